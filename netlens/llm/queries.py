@@ -1,10 +1,12 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
 from netlens.llm.language import op10_language_id
+from netlens.llm.mixing import op5_mixing
 from netlens.llm.packing import op1_packing
 from netlens.llm.quality import op2_quality_rules
+from netlens.llm.secrets import op9_secret_scan
 from netlens.llm.simhash import op3_simhash_dedup
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash_dedup, op5_mixing, op9_secret_scan, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
