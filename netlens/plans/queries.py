@@ -1,4 +1,6 @@
-"""Queries over the driver's tables, and the same in SQL."""
+"""All queries over the driver's tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from netlens.plans import traffic
+
+QUERIES = {**traffic.QUERIES}
+ORACLE_SQL = {**traffic.ORACLE_SQL}
