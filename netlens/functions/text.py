@@ -23,7 +23,7 @@ def url_host(url: Column) -> Column:
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits of the bytes of a string; 0 for the empty one."""
     digits = F.hex(F.encode(s, "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(1), F.length(digits) / 2), lambda i: F.substring(digits, (2 * i - 1).cast("int"), F.lit(2)))
+    octets = F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda i: F.substring(digits, 2 * i - 1, F.lit(2)))
     total = (F.length(digits) / 2).cast("double")
     counted = lambda all_: F.aggregate(F.array_distinct(all_), F.lit(0.0), lambda acc, o: acc - _share(all_, o, total) * F.log2(_share(all_, o, total)))
     return F.when(F.length(s) == 0, 0.0).otherwise(F.transform(F.array(octets), counted)[0])

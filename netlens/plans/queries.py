@@ -1,6 +1,6 @@
 """All queries over the driver's tables, and the same in SQL."""
 
-from netlens.plans import traffic
+from netlens.plans import content, traffic
 
-QUERIES = {**traffic.QUERIES}
-ORACLE_SQL = {**traffic.ORACLE_SQL}
+QUERIES = {**traffic.QUERIES, **content.QUERIES}
+ORACLE_SQL = {**traffic.ORACLE_SQL, **content.ORACLE_SQL}
