@@ -191,7 +191,7 @@ def private_hosts(spark, sf_dir):
 def human_figures(spark, sf_dir):
     """Bytes, shares and durations as people read them."""
     o = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"))
-    return o.select("n", text.human_bytes(F.col("n") * 1024 * 512).alias("bytes"), text.human_duration(F.col("n") * 7.0).alias("duration"), text.human_percent(F.col("n") / 4.0 / 100).alias("share"))
+    return o.select("n", text.human_bytes(F.col("n") * 1024 * 512).alias("bytes"), text.human_duration(F.col("n") * 7.0).alias("duration"), text.human_percent((F.col("n") + 0.04) / 400.0).alias("share"))
 
 
 def enriched_orders(spark, sf_dir):
@@ -257,6 +257,6 @@ SELECT kind, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens FROM k
     "private_hosts": f"{_H} SELECT private, count(*) AS hosts, CAST(sum(total_bytes) AS BIGINT) AS bytes FROM hosts GROUP BY 1",
     "human_figures": """SELECT p_partkey AS n, CASE WHEN p_partkey = 0 THEN '0 B' WHEN p_partkey < 2 THEN '512.0 KB' WHEN p_partkey < 2048 THEN printf('%.1f MB', p_partkey / 2.0::double) ELSE printf('%.1f GB', p_partkey / 2048.0::double) END AS bytes,
 CASE WHEN p_partkey = 0 THEN '0ms' WHEN p_partkey * 7 < 60 THEN printf('%.1fs', p_partkey * 7.0::double) WHEN p_partkey * 7 < 3600 THEN printf('%dm%02ds', p_partkey * 7 // 60, p_partkey * 7 % 60) ELSE printf('%dh%02dm', p_partkey * 7 // 3600, p_partkey * 7 % 3600 // 60) END AS duration,
-CASE WHEN p_partkey = 0 THEN '0%' WHEN p_partkey >= 40 THEN printf('%d%%', CAST(floor(p_partkey / 4.0 + 0.5) AS BIGINT)) WHEN p_partkey >= 4 THEN printf('%.1f%%', floor(p_partkey / 4.0::double * 10 + 0.5) / 10) ELSE printf('%.2f%%', p_partkey / 4.0::double) END AS share FROM part""",
+CASE WHEN p_partkey = 0 THEN printf('%.3f%%', 0.01::double) WHEN p_partkey >= 40 THEN printf('%.0f%%', (p_partkey + 0.04::double) / 4) WHEN p_partkey >= 4 THEN printf('%.1f%%', (p_partkey + 0.04::double) / 4) ELSE printf('%.2f%%', (p_partkey + 0.04::double) / 4) END AS share FROM part""",
     "enriched_orders": "SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
 }
