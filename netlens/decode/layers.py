@@ -20,8 +20,12 @@ HOP, ROUTING, FRAGMENT, AUTH, DESTINATION = 0, 43, 44, 51, 60
 
 
 def number(data: Column, at: Column, size: int) -> Column:
-    """Big-endian number of ``size`` bytes, null if the frame ends before."""
-    return F.when(at + size <= F.length(data), F.conv(F.hex(F.substring(data, at + 1, F.lit(size))), 16, 10).cast("long"))
+    """Big-endian number of ``size`` bytes, null if the frame ends before. Each byte is a character of Latin-1."""
+    byte = lambda k: F.ascii(F.decode(F.substring(data, at + (k + 1), F.lit(1)), "ISO-8859-1")).cast("long")
+    value = byte(0)
+    for k in range(1, size):
+        value = value * 256 + byte(k)
+    return F.when(at + size <= F.length(data), value)
 
 
 def _u(at: Column, size: int = 1) -> Column:
@@ -55,21 +59,21 @@ def v6_text(digits: Column) -> Column:
 
 def link_layer(frames: DataFrame) -> DataFrame:
     """Adds ``eth`` (null without), ``ethertype``, ``l3`` (offset) and ``link_warning``."""
-    size, kind = F.length("data"), F.col("link_type")
-    lit = F.lit
-    tags, at, ethertype, short = [], lit(12), _u(lit(12), 2), size < 14
-    for _ in range(MOST_TAGS):
-        tagged = ethertype.isin(*TAGS)
-        tci = _u(at + 2, 2)
-        tags.append(F.when(tagged & tci.isNotNull(), F.struct(ethertype.cast("int").alias("tpid"), F.shiftright(tci, 13).cast("int").alias("priority"), (F.shiftright(tci, 12).bitwiseAND(lit(1)) == 1).alias("dei"), tci.bitwiseAND(lit(0xFFF)).cast("int").alias("vid"))))
-        short = short | (tagged & (size < at + 6))
-        ethertype = F.when(tagged, _u(at + 4, 2)).otherwise(ethertype)
-        at = F.when(tagged, at + 4).otherwise(at)
+    size, kind, lit = F.length("data"), F.col("link_type"), F.lit
+    # Type fields lie at fixed places, as each tag moves the next by four bytes.
+    read = frames.withColumns({f"_e{k}": _u(lit(12 + 4 * k), 2).cast("int") for k in range(MOST_TAGS + 1)} | {f"_t{k}": _u(lit(14 + 4 * k), 2).cast("int") for k in range(MOST_TAGS)})
+    tagged = [F.coalesce(F.col("_e0").isin(*TAGS), lit(False))]
+    for k in range(1, MOST_TAGS):
+        tagged.append(tagged[-1] & F.coalesce(F.col(f"_e{k}").isin(*TAGS), lit(False)))
+    tags = [F.when(t, F.struct(F.col(f"_e{k}").alias("tpid"), F.shiftright(f"_t{k}", 13).alias("priority"), (F.shiftright(f"_t{k}", 12).bitwiseAND(lit(1)) == 1).alias("dei"), F.col(f"_t{k}").bitwiseAND(lit(0xFFF)).alias("vid"))) for k, t in enumerate(tagged)]
+    ethertype = F.when(tagged[2], F.col("_e3")).when(tagged[1], F.col("_e2")).when(tagged[0], F.col("_e1")).otherwise(F.col("_e0"))
+    at = F.when(tagged[2], 24).when(tagged[1], 20).when(tagged[0], 16).otherwise(12)
+    short = size < at + 2
     nibble, family = F.shiftright(_u(lit(0)), 4), _u(lit(0)) + _u(lit(1)) * 256 + _u(lit(2)) * 65536 + _u(lit(3)) * 16777216
     is_eth, raw, null, sll, sll2 = kind == ETHERNET, kind.isin(*RAW), kind.isin(NULL, LOOP), kind == SLL, kind == SLL2
     of_nibble = F.when(nibble == 4, IPV4).when(nibble == 6, IPV6)
     of_family = F.when(family.isin(*FAMILIES_V4), IPV4).when(family.isin(*FAMILIES_V6), IPV6)
-    whole = frames.withColumns({
+    whole = read.withColumns({
         "ethertype": F.when(is_eth, F.when(~short, ethertype)).when(raw, of_nibble).when(null, of_family).when(sll, F.when(size >= 16, _u(lit(14), 2))).when(sll2, F.when(size >= 20, _u(lit(0), 2))).cast("int"),
         "l3": F.when(is_eth, at + 2).when(raw, 0).when(null, 4).when(sll, 16).when(sll2, 20).cast("int"),
         "eth": F.when(is_eth & ~short, F.struct(_mac(6).alias("src"), _mac(0).alias("dst"), F.filter(F.array(*tags), lambda t: t.isNotNull()).alias("vlans"))),
@@ -77,7 +81,7 @@ def link_layer(frames: DataFrame) -> DataFrame:
         .when(null, F.when(size < 4, "loopback header: truncated").when(of_family.isNull(), F.concat(lit("loopback header: unknown address family "), family.cast("string"))))
         .when(sll, F.when(size < 16, "linux cooked header: truncated")).when(sll2, F.when(size < 20, "linux cooked v2 header: truncated")).otherwise(F.concat(lit("unsupported link type LINKTYPE_"), kind.cast("string"))),
     })
-    return whole.withColumn("ethertype", F.when(F.col("link_warning").isNull(), F.col("ethertype")))
+    return whole.withColumn("ethertype", F.when(F.col("link_warning").isNull(), F.col("ethertype"))).select(*frames.columns, "ethertype", "l3", "eth", "link_warning")
 
 
 def _v4(frames: DataFrame) -> DataFrame:
