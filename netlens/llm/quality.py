@@ -98,9 +98,8 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], size: int) -> tuple[float, list[tuple[float, float]]]:
     """Share of good documents, and for each rule how often its vote is right on good and on bad ones."""
-    size = len(patterns[0][0]) if patterns else 0
     share, rates = START_SHARE, [(START_GOOD, START_BAD)] * size
     total = sum(n for _, n in patterns)
     for _ in range(ITERATIONS if total else 0):
@@ -139,7 +138,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counts = found.where(~failed).groupBy(*(column.alias(name) for name, column in voted.items())).count()
     patterns = sorted((tuple(r[name] for name in voted), r["count"]) for r in counts.collect())
-    start, odds = weights(*estimate(patterns))
+    start, odds = weights(*estimate(patterns, len(voted)))
     score = F.lit(start)
     for column, (good, bad) in zip(voted.values(), odds, strict=True):
         score = score + F.when(column > 0, good).when(column < 0, bad).otherwise(0.0)
