@@ -1,199 +1,227 @@
-"""Frames to packets: link, network and transport layers as column expressions.
+"""Frames to packets: link, network and transport layers.
 
-Every field is read from the frame's bytes at an offset that the layer before gives, so decoding
-stays in the JVM and fields that a query doesn't use are never computed. Decoding never fails:
-what is wrong with a frame is in ``warnings``.
+Headers are chains of variable offsets, so each frame is walked once, in Arrow batches on the
+executors; all that follows is column work. Decoding never fails: what is wrong with a frame is
+in ``warnings``.
 """
 
+import ipaddress
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.functions import names
 
 # Link types, address families of the loopback header, tags and extension headers.
-ETHERNET, RAW, NULL, LOOP, SLL, SLL2 = 1, (12, 14, 101), 0, 108, 113, 276
+ETHERNET, RAW, LOOPBACK, SLL, SLL2 = 1, (12, 14, 101), (0, 108), 113, 276
 FAMILIES_V4, FAMILIES_V6 = (2,), (24, 28, 30)
 IPV4, IPV6, ARP = 0x0800, 0x86DD, 0x0806
 TAGS = (0x8100, 0x88A8, 0x9100)
-MOST_TAGS, MOST_EXTENSIONS, MOST_OPTIONS = 3, 16, 40
+MOST_TAGS, MOST_EXTENSIONS = 3, 16
 HOP, ROUTING, FRAGMENT, AUTH, DESTINATION = 0, 43, 44, 51, 60
 
-
-def number(data: Column, at: Column, size: int) -> Column:
-    """Big-endian number of ``size`` bytes, null if the frame ends before. Each byte is a character of Latin-1."""
-    byte = lambda k: F.ascii(F.decode(F.substring(data, at + (k + 1), F.lit(1)), "ISO-8859-1")).cast("long")
-    value = byte(0)
-    for k in range(1, size):
-        value = value * 256 + byte(k)
-    return F.when(at + size <= F.length(data), value)
-
-
-def _u(at: Column, size: int = 1) -> Column:
-    return number(F.col("data"), at, size)
-
-
-def _mac(at: int) -> Column:
-    digits = F.lower(F.hex(F.substring("data", at + 1, 6)))
-    return F.concat_ws(":", *(F.substring(digits, 2 * k + 1, 2) for k in range(6)))
-
-
-def _dotted(at: Column) -> Column:
-    return F.concat_ws(".", *(_u(at + k).cast("string") for k in range(4)))
-
-
-def v6_text(digits: Column) -> Column:
-    """The short form of an IPv6 address from 32 hex digits: the first longest run of zero groups is ``::``."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.lower(F.regexp_replace(F.substring(digits, 4 * k + 1, F.lit(4)), "^0{1,3}", "")))
-    whole = F.array_join(groups, ":")
-    out = whole
-    for n in range(2, 9):
-        run = ":".join(["0"] * n)
-        padded = F.concat(F.lit(":"), whole, F.lit(":"))
-        at = F.locate(f":{run}:", padded)
-        # Replace the first run alone.
-        first = F.concat(F.substring(padded, F.lit(1), at - 1), F.lit("::"), F.substring(padded, at + len(run) + 2, F.lit(64)))
-        tidy = F.regexp_replace(F.regexp_replace(first, "^:(?!:)", ""), "(?<!:):$", "")
-        out = F.when(at > 0, tidy).otherwise(out)
+ETH = "struct<src:string,dst:string,vlans:array<struct<tpid:int,priority:int,dei:boolean,vid:int>>>"
+IP4 = "struct<header_len:int,total_len:int,tos:int,id:bigint,dont_fragment:boolean,ttl:int>"
+IP6 = "struct<traffic_class:int,flow_label:bigint,payload_length:int,hop_limit:int,extension_headers:int>"
+ARP_TYPE = "struct<op:int,sender_mac:string,sender_ip:string,target_mac:string,target_ip:string>"
+TCP = "struct<src_port:int,dst_port:int,seq:bigint,ack:bigint,flags:int,window:int,checksum:int,urgent:int,options:struct<mss:int,window_scale:int,sack:boolean,timestamps:boolean>>"
+UDP = "struct<src_port:int,dst_port:int,length:int,checksum:int>"
+ICMP = "struct<type:int,code:int,checksum:int,echo_id:int,echo_seq:int,payload_len:int>"
+DECODED = (
+    f"eth {ETH}, ethertype int, ip4 {IP4}, ip6 {IP6}, arp {ARP_TYPE}, tcp {TCP}, udp {UDP}, icmp {ICMP}, src_ip string, dst_ip string, src_key binary, dst_key binary, ip_proto int, src_port int, dst_port int, tcp_flags int, "
+    "fragmented boolean, fragment_offset int, fragment_id bigint, more_fragments boolean, payload_len int, payload_at int, payload binary, ip_payload binary, warnings array<string>"
+)
+PASSED = ("file", "index", "ts_ns", "captured_len", "wire_len", "link_type")
+_EMPTY = {
+    **dict.fromkeys(("eth", "ethertype", "ip4", "ip6", "arp", "tcp", "udp", "icmp", "src_ip", "dst_ip", "src_key", "dst_key", "ip_proto", "src_port", "dst_port", "tcp_flags", "fragment_offset", "fragment_id", "payload_at", "payload", "ip_payload")),
+    "fragmented": False, "more_fragments": False, "payload_len": 0,
+}
+
+
+def mac_text(data: bytes) -> str:
+    return data.hex(":")
+
+
+def dotted(data: bytes) -> str:
+    return ".".join(map(str, data))
+
+
+def parse_link(link: int, data: bytes, out: dict) -> tuple[int, int]:
+    """Ethertype and offset of the network layer."""
+    if link == ETHERNET:
+        at, tags = 12, []
+        kind = _u16(data, at, "ethernet")
+        while kind in TAGS and len(tags) < MOST_TAGS:
+            tci = _u16(data, at + 2, "ethernet")
+            tags.append({"tpid": kind, "priority": tci >> 13, "dei": bool(tci >> 12 & 1), "vid": tci & 0xFFF})
+            at += 4
+            kind = _u16(data, at, "ethernet")
+        out["eth"] = {"src": mac_text(data[6:12]), "dst": mac_text(data[:6]), "vlans": tags}
+        return kind, at + 2
+    if link in RAW:
+        version = data[0] >> 4 if data else 0
+        if version not in (4, 6):
+            raise ValueError("raw link: unrecognised IP version")
+        return (IPV4 if version == 4 else IPV6), 0
+    if link in LOOPBACK:
+        if len(data) < 4:
+            raise ValueError("loopback header: truncated")
+        family = int.from_bytes(data[:4], "little")
+        if family not in (*FAMILIES_V4, *FAMILIES_V6):
+            raise ValueError(f"loopback header: unknown address family {family}")
+        return (IPV4 if family in FAMILIES_V4 else IPV6), 4
+    if link in (SLL, SLL2):
+        at, size, name = (14, 16, "linux cooked header") if link == SLL else (0, 20, "linux cooked v2 header")
+        if len(data) < size:
+            raise ValueError(f"{name}: truncated")
+        return _u16(data, at, name), size
+    raise ValueError(f"unsupported link type LINKTYPE_{link}")
+
+
+def _u16(data: bytes, at: int, layer: str) -> int:
+    if at + 2 > len(data):
+        raise ValueError(f"{layer}: truncated")
+    return data[at] << 8 | data[at + 1]
+
+
+def parse_v4(data: bytes, at: int, out: dict) -> tuple[int, int, bool]:
+    """Offset and end of the payload, and whether a transport header is there."""
+    if at + 20 > len(data):
+        raise ValueError("ipv4: truncated")
+    first, tos, total, ident, flags, ttl, proto = struct.unpack_from(">BBHHHBB", data, at)
+    head = (first & 15) * 4
+    if first >> 4 != 4 or head < 20:
+        raise ValueError("ipv4: malformed")
+    if at + head > len(data):
+        raise ValueError("ipv4: truncated")
+    end = min(len(data), at + total) if total > head else len(data)
+    offset, more = (flags & 0x1FFF) * 8, bool(flags & 0x2000)
+    src, dst = data[at + 12 : at + 16], data[at + 16 : at + 20]
+    out.update(
+        ip4={"header_len": head, "total_len": total, "tos": tos, "id": ident, "dont_fragment": bool(flags & 0x4000), "ttl": ttl}, ip_proto=proto, src_ip=dotted(src), dst_ip=dotted(dst), src_key=b"\4" + src, dst_key=b"\4" + dst,
+        fragmented=more or offset > 0, fragment_offset=offset, fragment_id=ident, more_fragments=more,
+    )
+    return at + head, end, offset == 0
+
+
+def parse_v6(data: bytes, at: int, out: dict) -> tuple[int, int, bool]:
+    if at + 40 > len(data):
+        raise ValueError("ipv6: truncated")
+    first, length, kind, hops = struct.unpack_from(">IHBB", data, at)
+    if first >> 28 != 6:
+        raise ValueError("ipv6: malformed")
+    src, dst = data[at + 8 : at + 24], data[at + 24 : at + 40]
+    end = min(len(data), at + 40 + length) if length else len(data)
+    p, headers, fragmented, offset, ident, more = at + 40, 0, False, 0, 0, False
+    for _ in range(MOST_EXTENSIONS):
+        if kind not in (HOP, ROUTING, DESTINATION, FRAGMENT, AUTH):
+            break
+        size = 8 if kind == FRAGMENT else 2
+        if p + size > end:
+            raise ValueError("ipv6: truncated")
+        if kind == FRAGMENT:
+            bits, ident = struct.unpack_from(">HI", data, p + 2)
+            fragmented, offset, more = True, (bits >> 3) * 8, bool(bits & 1)
+        else:
+            size = 8 + data[p + 1] * (4 if kind == AUTH else 8)
+        if p + size > end:
+            raise ValueError("ipv6: truncated")
+        kind, p, headers = data[p], p + size, headers + 1
+        if offset:
+            break
+    out.update(
+        ip6={"traffic_class": first >> 20 & 255, "flow_label": first & 0xFFFFF, "payload_length": length, "hop_limit": hops, "extension_headers": headers}, ip_proto=kind,
+        src_ip=str(ipaddress.IPv6Address(src)), dst_ip=str(ipaddress.IPv6Address(dst)), src_key=b"\6" + src, dst_key=b"\6" + dst, fragmented=fragmented, fragment_offset=offset, fragment_id=ident, more_fragments=more,
+    )
+    return p, end, offset == 0
+
+
+def parse_arp(data: bytes, at: int) -> dict:
+    if at + 28 > len(data):
+        raise ValueError("arp: truncated")
+    if data[at : at + 6] != b"\0\1\x08\0\6\4":
+        raise ValueError("arp: malformed")
+    f = data[at + 6 : at + 28]
+    return {"op": f[0] << 8 | f[1], "sender_mac": mac_text(f[2:8]), "sender_ip": dotted(f[8:12]), "target_mac": mac_text(f[12:18]), "target_ip": dotted(f[18:22])}
+
+
+def tcp_options(data: bytes) -> dict:
+    """What is read before the first malformed option."""
+    out = {"mss": None, "window_scale": None, "sack": False, "timestamps": False}
+    at = 0
+    while at < len(data) and data[at]:
+        if data[at] == 1:
+            at += 1
+            continue
+        if at + 2 > len(data) or data[at + 1] < 2 or at + data[at + 1] > len(data):
+            break
+        kind, body = data[at], data[at + 2 : at + data[at + 1]]
+        if kind == 2 and len(body) >= 2:
+            out["mss"] = body[0] << 8 | body[1]
+        elif kind == 3 and body:
+            out["window_scale"] = body[0]
+        out["sack"] |= kind == 4
+        out["timestamps"] |= kind == 8
+        at += data[at + 1]
     return out
 
 
-def link_layer(frames: DataFrame) -> DataFrame:
-    """Adds ``eth`` (null without), ``ethertype``, ``l3`` (offset) and ``link_warning``."""
-    size, kind, lit = F.length("data"), F.col("link_type"), F.lit
-    # Type fields lie at fixed places, as each tag moves the next by four bytes.
-    read = frames.withColumns({f"_e{k}": _u(lit(12 + 4 * k), 2).cast("int") for k in range(MOST_TAGS + 1)} | {f"_t{k}": _u(lit(14 + 4 * k), 2).cast("int") for k in range(MOST_TAGS)})
-    tagged = [F.coalesce(F.col("_e0").isin(*TAGS), lit(False))]
-    for k in range(1, MOST_TAGS):
-        tagged.append(tagged[-1] & F.coalesce(F.col(f"_e{k}").isin(*TAGS), lit(False)))
-    tags = [F.when(t, F.struct(F.col(f"_e{k}").alias("tpid"), F.shiftright(f"_t{k}", 13).alias("priority"), (F.shiftright(f"_t{k}", 12).bitwiseAND(lit(1)) == 1).alias("dei"), F.col(f"_t{k}").bitwiseAND(lit(0xFFF)).alias("vid"))) for k, t in enumerate(tagged)]
-    ethertype = F.when(tagged[2], F.col("_e3")).when(tagged[1], F.col("_e2")).when(tagged[0], F.col("_e1")).otherwise(F.col("_e0"))
-    at = F.when(tagged[2], 24).when(tagged[1], 20).when(tagged[0], 16).otherwise(12)
-    short = size < at + 2
-    nibble, family = F.shiftright(_u(lit(0)), 4), _u(lit(0)) + _u(lit(1)) * 256 + _u(lit(2)) * 65536 + _u(lit(3)) * 16777216
-    is_eth, raw, null, sll, sll2 = kind == ETHERNET, kind.isin(*RAW), kind.isin(NULL, LOOP), kind == SLL, kind == SLL2
-    of_nibble = F.when(nibble == 4, IPV4).when(nibble == 6, IPV6)
-    of_family = F.when(family.isin(*FAMILIES_V4), IPV4).when(family.isin(*FAMILIES_V6), IPV6)
-    whole = read.withColumns({
-        "ethertype": F.when(is_eth, F.when(~short, ethertype)).when(raw, of_nibble).when(null, of_family).when(sll, F.when(size >= 16, _u(lit(14), 2))).when(sll2, F.when(size >= 20, _u(lit(0), 2))).cast("int"),
-        "l3": F.when(is_eth, at + 2).when(raw, 0).when(null, 4).when(sll, 16).when(sll2, 20).cast("int"),
-        "eth": F.when(is_eth & ~short, F.struct(_mac(6).alias("src"), _mac(0).alias("dst"), F.filter(F.array(*tags), lambda t: t.isNotNull()).alias("vlans"))),
-        "link_warning": F.when(is_eth, F.when(short, "ethernet: truncated")).when(raw, F.when(of_nibble.isNull(), "raw link: unrecognised IP version"))
-        .when(null, F.when(size < 4, "loopback header: truncated").when(of_family.isNull(), F.concat(lit("loopback header: unknown address family "), family.cast("string"))))
-        .when(sll, F.when(size < 16, "linux cooked header: truncated")).when(sll2, F.when(size < 20, "linux cooked v2 header: truncated")).otherwise(F.concat(lit("unsupported link type LINKTYPE_"), kind.cast("string"))),
-    })
-    return whole.withColumn("ethertype", F.when(F.col("link_warning").isNull(), F.col("ethertype"))).select(*frames.columns, "ethertype", "l3", "eth", "link_warning")
-
-
-def _v4(frames: DataFrame) -> DataFrame:
-    at, size = F.col("l3"), F.length("data")
-    header, total = _u(at).bitwiseAND(F.lit(15)) * 4, _u(at + 2, 2)
-    flags = _u(at + 6, 2)
-    right = (F.shiftright(_u(at), 4) == 4) & (header >= 20) & (at + header <= size)
-    end = F.when(total > header, F.least(size, at + total)).otherwise(size)
-    offset, more = flags.bitwiseAND(F.lit(0x1FFF)) * 8, flags.bitwiseAND(F.lit(0x2000)) != 0
-    value = F.struct(
-        header.cast("int").alias("header_len"), total.cast("int").alias("total_len"), _u(at + 1).cast("int").alias("tos"), _u(at + 4, 2).alias("id"), (flags.bitwiseAND(F.lit(0x4000)) != 0).alias("dont_fragment"),
-        more.alias("more_fragments"), offset.cast("int").alias("offset"), (more | (offset > 0)).alias("fragmented"), _u(at + 8).cast("int").alias("ttl"), _u(at + 9).cast("int").alias("protocol"),
-        F.substring("data", at + 13, F.lit(4)).alias("src"), F.substring("data", at + 17, F.lit(4)).alias("dst"), (at + header).cast("int").alias("l4"), end.cast("int").alias("end"),
-    )
-    return frames.withColumn("ip4", F.when((F.col("ethertype") == IPV4) & F.coalesce(right, F.lit(False)), value))
-
-
-def _v6(frames: DataFrame) -> DataFrame:
-    at, data, size = F.col("l3"), F.col("data"), F.length("data")
-    long = lambda x: F.lit(x).cast("long")
-    length = _u(at + 4, 2)
-    end = F.when(length > 0, F.least(size.cast("long"), at + 40 + length)).otherwise(size.cast("long"))
-
-    def inside(p: Column, n: int) -> Column:
-        return F.when(p + n <= F.col("ip6_end"), number(data, p, n))
-
-    def step(s: Column, _: Column) -> Column:
-        kind, p = s["next"], s["at"]
-        option, fragment, auth = kind.isin(HOP, ROUTING, DESTINATION), kind == FRAGMENT, kind == AUTH
-        skip = F.when(option, 8 + inside(p + 1, 1) * 8).when(fragment, long(8)).when(auth, 8 + inside(p + 1, 1) * 4)
-        bits = inside(p + 2, 2)
-        broken = skip.isNull() | (p + skip > F.col("ip6_end"))
-        moved = F.struct(
-            inside(p, 1).alias("next"), (p + skip).alias("at"), (s["headers"] + 1).alias("headers"), (s["fragmented"] | fragment).alias("fragmented"),
-            F.when(fragment, F.shiftright(bits, 3) * 8).otherwise(s["offset"]).alias("offset"), F.when(fragment, inside(p + 4, 4)).otherwise(s["id"]).alias("id"),
-            F.when(fragment, bits.bitwiseAND(F.lit(1)) != 0).otherwise(s["more"]).alias("more"), F.lit(True).alias("ok"), (fragment & (F.shiftright(bits, 3) > 0)).alias("stop"),
-        )
-        failed = F.struct(kind.alias("next"), p.alias("at"), s["headers"].alias("headers"), s["fragmented"].alias("fragmented"), s["offset"].alias("offset"), s["id"].alias("id"), s["more"].alias("more"), F.lit(False).alias("ok"), F.lit(True).alias("stop"))
-        return F.when(s["stop"] | ~(option | fragment | auth), s).when(broken, failed).otherwise(moved)
-
-    start = F.struct(_u(at + 6).alias("next"), (at + 40).cast("long").alias("at"), F.lit(0).alias("headers"), F.lit(False).alias("fragmented"), long(0).alias("offset"), long(0).alias("id"), F.lit(False).alias("more"), F.lit(True).alias("ok"), F.lit(False).alias("stop"))
-    right = (F.col("ethertype") == IPV6) & F.coalesce((F.shiftright(_u(at), 4) == 6) & (at + 40 <= size), F.lit(False))
-    walked = frames.withColumn("ip6_end", F.when(right, end)).withColumn("ip6_walk", F.when(right, F.aggregate(F.sequence(F.lit(1), F.lit(MOST_EXTENSIONS)), start, step)))
-    w, first = F.col("ip6_walk"), _u(at, 4)
-    value = F.struct(
-        F.shiftright(first, 20).bitwiseAND(F.lit(255)).cast("int").alias("traffic_class"), first.bitwiseAND(F.lit(0xFFFFF)).alias("flow_label"), length.cast("int").alias("payload_length"), _u(at + 7).cast("int").alias("hop_limit"),
-        w["headers"].alias("extension_headers"), w["fragmented"].alias("fragmented"), w["offset"].cast("int").alias("offset"), w["id"].alias("id"), w["more"].alias("more_fragments"), w["next"].cast("int").alias("protocol"),
-        F.substring("data", at + 9, F.lit(16)).alias("src"), F.substring("data", at + 25, F.lit(16)).alias("dst"), w["at"].cast("int").alias("l4"), F.col("ip6_end").cast("int").alias("end"),
-    )
-    return walked.withColumn("ip6", F.when(F.coalesce(w["ok"], F.lit(False)), value)).drop("ip6_walk", "ip6_end")
-
-
-def _arp(frames: DataFrame) -> DataFrame:
-    at = F.col("l3")
-    right = (F.col("ethertype") == ARP) & F.coalesce((_u(at, 2) == 1) & (_u(at + 2, 2) == IPV4) & (_u(at + 4) == 6) & (_u(at + 5) == 4) & (at + 28 <= F.length("data")), F.lit(False))
-    mac = lambda k: F.concat_ws(":", *(F.lower(F.hex(F.substring("data", at + k + n + 1, F.lit(1)))) for n in range(6)))
-    value = F.struct(_u(at + 6, 2).cast("int").alias("op"), mac(8).alias("sender_mac"), _dotted(at + 14).alias("sender_ip"), mac(18).alias("target_mac"), _dotted(at + 24).alias("target_ip"))
-    return frames.withColumn("arp", F.when(right, value))
-
-
-def _options(at: Column, end: Column) -> Column:
-    """TCP options; a malformed one ends the walk."""
-    data = F.col("data")
-
-    def step(s: Column, _: Column) -> Column:
-        p = s["at"]
-        kind, size = number(data, p, 1), number(data, p + 1, 1)
-        usable = F.coalesce((p < end) & (kind != 0), F.lit(False))
-        whole = usable & F.coalesce((size >= 2) & (p + size <= end), F.lit(False))
-        ended = F.struct(end.cast("long").alias("at"), s["mss"].alias("mss"), s["window_scale"].alias("window_scale"), s["sack"].alias("sack"), s["timestamps"].alias("timestamps"))
-        pad = F.struct((p + 1).alias("at"), s["mss"].alias("mss"), s["window_scale"].alias("window_scale"), s["sack"].alias("sack"), s["timestamps"].alias("timestamps"))
-        read = F.struct(
-            (p + size).alias("at"), F.when((kind == 2) & (size >= 4), number(data, p + 2, 2)).otherwise(s["mss"]).alias("mss"), F.when((kind == 3) & (size >= 3), number(data, p + 2, 1)).otherwise(s["window_scale"]).alias("window_scale"),
-            (s["sack"] | (kind == 4)).alias("sack"), (s["timestamps"] | (kind == 8)).alias("timestamps"),
-        )
-        return F.when(p >= end, s).when(usable & (kind == 1), pad).when(whole, read).otherwise(ended)
-
-    none = F.lit(None).cast("long")
-    start = F.struct((at + 20).cast("long").alias("at"), none.alias("mss"), none.alias("window_scale"), F.lit(False).alias("sack"), F.lit(False).alias("timestamps"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_OPTIONS)), start, step)
-
-
-def transport_layer(frames: DataFrame) -> DataFrame:
-    """Adds ``tcp``, ``udp``, ``icmp`` and where the payload lies."""
-    at, end = F.col("l4"), F.col("l4_end")
-    there = F.col("has_transport")
-    u = lambda k, n: F.when(at + k + n <= end, _u(at + k, n))
-    offset = F.shiftright(u(12, 1), 4) * 4
-    tcp_ok = there & (F.col("ip_proto") == names.TCP) & F.coalesce((offset >= 20) & (at + offset <= end), F.lit(False))
-    udp_ok = there & (F.col("ip_proto") == names.UDP) & (at + 8 <= end)
-    icmp = there & F.col("ip_proto").isin(names.ICMP, names.ICMP6)
-    echo = F.when(F.col("ip_proto") == names.ICMP6, u(0, 1).isin(128, 129)).otherwise(u(0, 1).isin(0, 8))
-    icmp_ok = icmp & (at + F.when(echo, 8).otherwise(4) <= end)
-    laid = frames.withColumns({
-        "tcp": F.when(tcp_ok, F.struct(u(0, 2).cast("int").alias("src_port"), u(2, 2).cast("int").alias("dst_port"), u(4, 4).alias("seq"), u(8, 4).alias("ack"), u(13, 1).cast("int").alias("flags"), u(14, 2).cast("int").alias("window"), u(16, 2).cast("int").alias("checksum"), u(18, 2).cast("int").alias("urgent"), F.when(offset > 20, _options(at, at + offset)).alias("options"), (at + offset).cast("int").alias("payload"))),
-        "udp": F.when(udp_ok, F.struct(u(0, 2).cast("int").alias("src_port"), u(2, 2).cast("int").alias("dst_port"), u(4, 2).cast("int").alias("length"), u(6, 2).cast("int").alias("checksum"), (at + 8).cast("int").alias("payload"), F.when(u(4, 2) >= 8, F.least(end.cast("long"), at + u(4, 2))).otherwise(end.cast("long")).cast("int").alias("end"))),
-        "icmp": F.when(icmp_ok, F.struct(u(0, 1).cast("int").alias("type"), u(1, 1).cast("int").alias("code"), u(2, 2).cast("int").alias("checksum"), F.when(echo, u(4, 2)).cast("int").alias("echo_id"), F.when(echo, u(6, 2)).cast("int").alias("echo_seq"), (end - at - F.when(echo, 8).otherwise(4)).cast("int").alias("payload_len"))),
-    })
-    known = F.col("ip_proto").isin(names.TCP, names.UDP, names.ICMP, names.ICMP6)
-    name = F.lower(names.protocol(F.col("ip_proto")))
-    return laid.withColumns({
-        "src_port": F.coalesce("tcp.src_port", "udp.src_port"), "dst_port": F.coalesce("tcp.dst_port", "udp.dst_port"), "tcp_flags": F.col("tcp.flags"),
-        "payload_at": F.coalesce("tcp.payload", "udp.payload"),
-        "payload_len": F.coalesce(F.when(F.col("tcp").isNotNull(), end - F.col("tcp.payload")).when(F.col("udp").isNotNull(), F.greatest(F.lit(0), F.col("udp.end") - F.col("udp.payload"))).when(F.col("icmp").isNotNull(), F.col("icmp.payload_len")).when(end.isNotNull() & (~there | ~known), end - at), F.lit(0)),
-        "transport_warning": F.when(there & known & F.coalesce("tcp.flags", "udp.length", "icmp.type").isNull(), F.concat(name, F.lit(": truncated or malformed"))),
-    })
-
-
-PACKET_COLUMNS = (
-    "file", "index", "ts_ns", "captured_len", "wire_len", "link_type", "eth", "ethertype", "ip4", "ip6", "arp", "tcp", "udp", "icmp", "src_ip", "dst_ip", "src_key", "dst_key", "ip_proto",
-    "src_port", "dst_port", "tcp_flags", "fragmented", "fragment_offset", "fragment_id", "more_fragments", "payload_len", "payload_at", "ip_payload", "payload", "warnings",
-)
+def parse_transport(data: bytes, at: int, end: int, out: dict) -> None:
+    proto, have = out["ip_proto"], end - at
+    if proto == names.TCP:
+        if have < 20:
+            raise ValueError("tcp: truncated")
+        sport, dport, seq, ack, offset, flags, window, checksum, urgent = struct.unpack_from(">HHIIBBHHH", data, at)
+        head = (offset >> 4) * 4
+        if head < 20:
+            raise ValueError("tcp: malformed")
+        if head > have:
+            raise ValueError("tcp: truncated")
+        out["tcp"] = {"src_port": sport, "dst_port": dport, "seq": seq, "ack": ack, "flags": flags, "window": window, "checksum": checksum, "urgent": urgent, "options": tcp_options(data[at + 20 : at + head]) if head > 20 else None}
+        out.update(src_port=sport, dst_port=dport, tcp_flags=flags, payload_at=at + head, payload_len=have - head, payload=data[at + head : end] or None)
+    elif proto == names.UDP:
+        if have < 8:
+            raise ValueError("udp: truncated")
+        sport, dport, length, checksum = struct.unpack_from(">4H", data, at)
+        stop = min(end, at + length) if length >= 8 else end
+        out.update(udp={"src_port": sport, "dst_port": dport, "length": length, "checksum": checksum}, src_port=sport, dst_port=dport, payload_at=at + 8, payload_len=stop - at - 8, payload=data[at + 8 : stop] or None)
+    elif proto in (names.ICMP, names.ICMP6):
+        echo = have > 0 and data[at] in ((128, 129) if proto == names.ICMP6 else (0, 8))
+        size = 8 if echo else 4
+        if have < size:
+            raise ValueError("icmp: truncated")
+        kind, code, checksum = struct.unpack_from(">BBH", data, at)
+        ident, number = struct.unpack_from(">2H", data, at + 4) if echo else (None, None)
+        out["icmp"] = {"type": kind, "code": code, "checksum": checksum, "echo_id": ident, "echo_seq": number, "payload_len": have - size}
+        out["payload_len"] = have - size
+    else:
+        out["payload_len"] = have
+
+
+def parse_frame(link: int, data: bytes) -> dict:
+    """The columns of DECODED for one frame."""
+    out = dict(_EMPTY)
+    out["warnings"] = []
+    try:
+        kind, at = parse_link(link, data, out)
+        out["ethertype"] = kind
+        if kind == ARP:
+            out["arp"] = parse_arp(data, at)
+        elif kind in (IPV4, IPV6):
+            start, end, has_transport = (parse_v4 if kind == IPV4 else parse_v6)(data, at, out)
+            end = max(start, end)
+            if out["fragmented"]:
+                out["ip_payload"] = data[start:end]
+            if has_transport:
+                parse_transport(data, start, end, out)
+            else:
+                out["payload_len"] = end - start
+    except ValueError as e:
+        out["warnings"].append(str(e))
+    return out
 
 
 def decode(frames: DataFrame) -> DataFrame:
@@ -201,23 +229,21 @@ def decode(frames: DataFrame) -> DataFrame:
 
     ``payload`` is the transport payload of TCP and UDP; ``ip_payload`` the network payload of fragments.
     """
-    net = _arp(_v6(_v4(link_layer(frames))))
-    ip = lambda f: F.coalesce(f"ip4.{f}", f"ip6.{f}")
-    text = lambda side: F.when(F.col("ip4").isNotNull(), F.concat_ws(".", *(F.conv(F.hex(F.substring(f"ip4.{side}", k, 1)), 16, 10) for k in range(1, 5)))).when(F.col("ip6").isNotNull(), v6_text(F.hex(f"ip6.{side}")))
-    key = lambda side: F.when(F.col("ip4").isNotNull(), F.concat(F.lit(b"\x04"), F.col(f"ip4.{side}"))).when(F.col("ip6").isNotNull(), F.concat(F.lit(b"\x06"), F.col(f"ip6.{side}")))
-    addressed = net.withColumns({
-        "src_ip": text("src"), "dst_ip": text("dst"), "src_key": key("src"), "dst_key": key("dst"), "ip_proto": ip("protocol"), "fragmented": F.coalesce(ip("fragmented"), F.lit(False)),
-        "fragment_offset": ip("offset"), "fragment_id": ip("id"), "more_fragments": F.coalesce(ip("more_fragments"), F.lit(False)), "l4": ip("l4"), "l4_end": F.greatest(ip("end"), ip("l4")),
-        "network_warning": F.when(F.coalesce("ip4.l4", "ip6.l4").isNull() & F.col("arp").isNull() & F.col("ethertype").isin(IPV4, IPV6, ARP), F.concat(F.lower(names.ethertype(F.col("ethertype"))), F.lit(": truncated or malformed"))),
-    })
-    placed = addressed.withColumn("has_transport", F.coalesce(F.col("fragment_offset") == 0, F.lit(False)))
-    whole = transport_layer(placed)
-    cut = lambda at, n: F.substring("data", at + 1, n)
-    return whole.withColumns({
-        "payload": F.when(F.col("payload_at").isNotNull() & (F.col("payload_len") > 0), cut(F.col("payload_at"), F.col("payload_len"))),
-        "ip_payload": F.when(F.col("fragmented"), cut(F.col("l4"), F.col("l4_end") - F.col("l4"))),
-        "warnings": F.filter(F.array("link_warning", "network_warning", "transport_warning"), lambda w: w.isNotNull()),
-    }).select(*PACKET_COLUMNS)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    slim = frames.select(*PASSED, "data")
+    schema = StructType([*(slim.schema[c] for c in PASSED), *StructType.fromDDL(DECODED).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded = list(to_arrow_schema(schema))[len(PASSED) :]
+        for batch in batches:
+            links = batch.column(PASSED.index("link_type")).to_pylist()
+            rows = [parse_frame(link, data.as_buffer().to_pybytes()) for link, data in zip(links, batch.column(len(PASSED)), strict=True)]
+            columns = [pa.array([r[f.name] for r in rows], f.type) for f in decoded]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(PASSED)], *columns], schema.fieldNames())
+
+    return slim.mapInArrow(run, schema)
 
 
 def summary_line(app: Column | None = None) -> Column:

@@ -23,6 +23,7 @@ ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 MOST_CAPTURED, LEAST_BLOCK, MOST_BLOCK = 262_144, 12, 16 * 1024 * 1024
 TSRESOL, MICROSECONDS = 9, 1_000_000
 RECORDS_AT_ONCE = 4096
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 FILE_SHIFT = 1 << 40
 
 SCHEMA = "file string, n bigint, ts_ns bigint, captured_len int, wire_len int, link_type int, iface_id int, data binary, error string"
@@ -153,7 +154,7 @@ def read_capture(spark: SparkSession, path: str, legacy_link_type: bool = False)
 
 def stream_captures(spark: SparkSession, folder: str) -> DataFrame:
     """Records of captures as they appear in a folder; ``index`` is by time within a file's records."""
-    files = spark.readStream.format("binaryFile").load(folder)
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder)
     return records_of(files).withColumn("index", F.col("n"))
 
 
