@@ -6,7 +6,7 @@ from netlens.functions import names as fn
 from netlens.functions import text
 from netlens.operators import flows, indicators, messages
 from netlens.plans import views
-from netlens.plans.traffic import _F, _H, _private
+from netlens.plans.traffic import _F, _H
 from netlens.plans.views import PKT, URL_NAMES, _sql_ip
 
 QTYPES, VERSIONS = (1, 28, 16), (0x0301, 0x0302, 0x0303, 0x0304, 0x0303)

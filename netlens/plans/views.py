@@ -42,7 +42,7 @@ def pkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pkt_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare SYNs from ``events`` to many ports."""
-    return pkt(spark, sf_dir).where("true").withColumns({"tcp_flags": F.lit(2), "dst_port": (F.col("index") % 1000).cast("int"), "ip_proto": F.lit(6)})
+    return pkt(spark, sf_dir).withColumns({"tcp_flags": F.lit(2), "dst_port": (F.col("index") % 1000).cast("int"), "ip_proto": F.lit(6)})
 
 
 def pkt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
