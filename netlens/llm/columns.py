@@ -2,9 +2,12 @@
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netlens.storage import materialize
+
 # The separators between words, as a character class.
 SPACE = r"[ \t\n\x0B\f\r]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -42,3 +45,17 @@ def unused_name(df: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def with_row_id(docs: DataFrame, row: str) -> DataFrame:
+    """The frame with a column that identifies each row, the same in every pass over it.
+
+    Rows of a file scan have a place in their file. Any other frame is numbered and written.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select("*", place.alias(row))
+        except AnalysisException:
+            pass
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")

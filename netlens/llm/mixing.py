@@ -22,7 +22,7 @@ looked at. Sources of fewer than ``LEAST_BLOCKS`` full blocks have shorter block
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.columns import SPACE, documents, let, unused_name, word_count
+from netlens.llm.columns import SPACE, documents, let, unused_name, with_row_id, word_count
 from netlens.storage import materialize
 
 # Weights in turn, the share of all words that the mix has, and the most passes over a source.
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 def resample(docs: DataFrame, text_column: str = "text", source_column: str = "source", seed: int = 0) -> DataFrame:
     """The documents as the mix takes them: their taken words in order, and once more those taken twice."""
     row, record = (unused_name(docs, n) for n in ("row", "record"))
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias(row), F.struct(*docs.columns).alias(record)), "mixing-documents")
+    numbered = with_row_id(docs, row).select(row, F.struct(*docs.columns).alias(record))
     flat = numbered.select(F.col(row).alias("row"), F.lit(0).alias("doc_id"), F.col(f"{record}.`{source_column}`").alias("source"), F.col(f"{record}.`{text_column}`").alias("text"))
     sizes = materialize(sized(flat, F.col("row"), "doc_id", "text", "source"), "mixing-sizes")
     plan = materialize(plan_sources(sizes), "mixing-plan")
