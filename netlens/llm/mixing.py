@@ -35,6 +35,7 @@ SHARD_SLOTS = 1024
 #: Documents in a bucket of a source's stream, about; slots made in one row of work.
 BUCKET_ROWS = 1024
 CHUNK = 1 << 15
+MOST_PARTITIONS = 4096
 ROUNDS = 12
 
 
@@ -90,7 +91,9 @@ def slots(plan: DataFrame, seed: int = 0) -> DataFrame:
     """The mix: ``shard``, ``place`` in it, and the block ``sidx``, ``index`` that fills it."""
     all_slots = plan.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
     chunks = plan.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
-    spread = chunks.repartition(F.col("sidx"), F.col("chunk"))
+    # A fixed number of partitions: chunks are few rows, which adaptive execution would put into one task.
+    n_chunks = min(MOST_PARTITIONS, all_slots // CHUNK + 1)
+    spread = chunks.repartition(n_chunks, F.col("sidx"), F.col("chunk"))
     ranks = spread.withColumn("rank", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)))
     keyed = ranks.select("sidx", "blocks", (F.col("base") + F.col("rank")).alias("slot"), F.floor(F.col("rank") / F.col("blocks")).alias("pass"), (F.col("rank") % F.col("blocks")).alias("step"))
     index = permuted(F.col("step"), F.col("blocks"), F.lit(seed), F.col("sidx"), F.col("pass"))
@@ -106,7 +109,8 @@ def shard_counts(mix: DataFrame) -> DataFrame:
 def taken_pieces(sizes: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """The pieces whose blocks the mix takes, with ``times`` and ``shard``, the first that has them."""
     blocks = slots(plan, seed).groupBy("sidx", "index").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
-    return pieces(sizes, plan).join(blocks, ["sidx", "index"])
+    # Estimates of exploded rows are far too low; without the hint this side would be broadcast.
+    return pieces(sizes, plan).join(blocks.hint("merge"), ["sidx", "index"])
 
 
 def sized(docs: DataFrame, row: Column, id_column: str, text_column: str, source_column: str) -> DataFrame:

@@ -87,7 +87,7 @@ def linked(found: DataFrame, row: str) -> DataFrame:
     looking = part.where(F.col("rank") >= kind["weak_id"]).withColumn("bin", F.explode(F.sequence(F.floor((F.col("start") - 2 * SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))))
     there = part.select(F.col(row).alias("_row"), F.col("start").alias("s2"), F.col("rank").alias("r2"), F.col("end").alias("e2"), F.floor(F.col("start") / SCOPE).alias("bin2"))
     near = (F.col(row) == F.col("_row")) & (F.col("bin") == F.col("bin2")) & (F.col("s2") <= F.col("end") + SCOPE) & (F.col("e2") >= F.col("start") - SCOPE) & ((F.col("e2") <= F.col("start")) | (F.col("s2") >= F.col("end")))
-    joined = looking.join(there, near)
+    joined = looking.join(there.hint("merge"), near)
     is_id = F.col("r2").isin(kind["access"], kind["weak_id"])
     is_secret = F.col("r2").isin(kind["assign"], kind["hex"], kind["weak_secret"])
     company = joined.groupBy(row, "start", "rank", "end").agg(F.max(is_id).alias("id"), F.max(is_secret).alias("secret"), F.max(F.col("r2") == kind["endpoint"]).alias("endpoint"))

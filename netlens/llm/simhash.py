@@ -95,7 +95,7 @@ def ring_links(nodes: DataFrame) -> DataFrame:
         return F.coalesce(*(F.when(start == k, sum((counts[(k + j) % SEGMENTS] for j in range(1, links)), counts[k])) for k in range(SEGMENTS)))
 
     within = (F.col("a") < F.col("b")) & (changed(3) <= 2) & (changed(4) <= 3) & (F.bit_count(differ) <= DISTANCE)
-    return left.join(right, "key").where(within).select("a", "b").distinct()
+    return left.join(right.hint("merge"), "key").where(within).select("a", "b").distinct()
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
