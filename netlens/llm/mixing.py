@@ -8,14 +8,16 @@ multinomial draw without replacement, so the totals meet the targets exactly. Sl
 are joined by source and index.
 
 Permutations are swap-or-not networks keyed by hashes: any index can be computed where it is
-needed, for a domain of any size, and reruns agree.
+needed, for a domain of any size. A document's place in its stream comes from its id and size, not
+from the file or task that it is read in, so reruns agree on a cluster of any size.
 
 Positions in a source's stream come from sums by buckets of documents, so a source that holds
 a third of all rows is spread over many tasks. Slots are made in chunks of a fixed size.
 
 Defined results: null or empty texts have size 0 and are taken 0 times; a source without words
 has target 0. Null is a source of its own, last in order. Repeated rows are numbered when
-written and count each by itself. An empty table gives an empty result. Other columns are not
+written and count each by itself; those of equal id and size are next to each other in the stream,
+in order of their numbers. An empty table gives an empty result. Other columns are not
 looked at. Sources of fewer than ``LEAST_BLOCKS`` full blocks have shorter blocks.
 """
 
@@ -76,10 +78,10 @@ def plan_sources(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def pieces(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """The blocks that each document's words fall in: ``row``, ``sidx``, ``index``, and ``first`` and ``last`` (exclusive), words of the document."""
-    rows = sizes.where("size > 0").join(plan.select("source", "sidx", "block", "buckets"), sizes["source"].eqNullSafe(plan["source"])).select("row", "size", "sidx", "block", F.pmod(F.xxhash64("row"), "buckets").alias("bucket"))
+    rows = sizes.where("size > 0").join(plan.select("source", "sidx", "block", "buckets"), sizes["source"].eqNullSafe(plan["source"])).select("row", "doc_id", "size", "sidx", "block", F.pmod(F.xxhash64("doc_id", "size"), "buckets").alias("bucket"))
     totals = rows.groupBy("sidx", "bucket").agg(F.sum("size").alias("total"))
     starts = totals.select("sidx", "bucket", F.coalesce(F.sum("total").over(Window.partitionBy("sidx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bucket_start"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("sidx", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("sidx", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("inside", inside).join(starts, ["sidx", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("inside"))
     indexed = placed.withColumn("index", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block")))))
     first = F.greatest(F.lit(0).cast("long"), F.col("index") * F.col("block") - F.col("start"))
@@ -127,11 +129,11 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     return whole.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard")
 
 
-def resample(docs: DataFrame, text_column: str = "text", source_column: str = "source", seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0) -> DataFrame:
     """The documents as the mix takes them: their taken words in order, and once more those taken twice."""
     row, record = (unused_name(docs, n) for n in ("row", "record"))
     numbered = with_row_id(docs, row).select(row, F.struct(*docs.columns).alias(record))
-    flat = numbered.select(F.col(row).alias("row"), F.lit(0).alias("doc_id"), F.col(f"{record}.`{source_column}`").alias("source"), F.col(f"{record}.`{text_column}`").alias("text"))
+    flat = numbered.select(F.col(row).alias("row"), F.col(f"{record}.`{id_column}`").alias("doc_id"), F.col(f"{record}.`{source_column}`").alias("source"), F.col(f"{record}.`{text_column}`").alias("text"))
     sizes = materialize(sized(flat, F.col("row"), "doc_id", "text", "source"), "mixing-sizes")
     plan = materialize(plan_sources(sizes), "mixing-plan")
     taken = taken_pieces(sizes, plan, seed).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("pieces"))

@@ -49,6 +49,7 @@ def test_mixing(docs, nothing):
     for s, target in targets.items():
         assert abs(taken[s] - target) <= 0.02 * sizes[s] + 2
     assert sorted(map(repr, mixing.mix(docs).collect())) == sorted(map(repr, found))
+    assert sorted(map(repr, mixing.mix(docs.orderBy("text").repartition(7)).collect())) == sorted(map(repr, found))
     assert mixing.mix(nothing).count() == 0
 
 
