@@ -6,7 +6,8 @@ score for a language is the share of its n-grams that the language's filter cont
 expected false positives (from that filter's fill) taken out; the largest decides.
 
 The filter learns from a sample of labelled texts whose size is a parameter, ``PER_LANGUAGE``
-texts of each language at most, the first by a hash of the text. Counting n-grams runs on Spark;
+different texts of each language, about, the first by a hash of the text; copies of a text count once,
+so no group of copies makes the sample larger. Counting n-grams runs on Spark;
 the driver sees at most ``GRAMS_PER_LANGUAGE`` n-grams of each language.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text
@@ -161,14 +162,15 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
 
 
 def _first_by_order(rows: DataFrame) -> DataFrame:
-    """At most about PER_LANGUAGE rows of each label, those of the smallest hashes.
+    """At most about PER_LANGUAGE texts of each label, those of the smallest hashes, once each.
 
     The cut is a share of the hash range, from counts by label, so no window gathers a label's rows.
+    Copies of a text share its hash; they are merged before the shuffle.
     """
     counts = rows.groupBy("label").count()
     share = F.least(F.lit(1.0), F.lit(float(PER_LANGUAGE)) / F.col("count"))
     cuts = counts.select(F.col("label").alias("cut_label"), (share * float(1 << 62) * 2).alias("cut"))
-    return rows.join(F.broadcast(cuts.limit(MOST_LANGUAGES + 1)), F.col("label") == F.col("cut_label")).where(F.abs(F.col("order").cast("double")) <= F.col("cut")).select("label", "text")
+    return rows.join(F.broadcast(cuts.limit(MOST_LANGUAGES + 1)), F.col("label") == F.col("cut_label")).where(F.abs(F.col("order").cast("double")) <= F.col("cut")).groupBy("label", "order").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def identify(docs: DataFrame, filters: Filters, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

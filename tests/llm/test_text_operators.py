@@ -164,6 +164,15 @@ def test_language(docs, nothing):
     assert language.identify(docs, empty).where("lang_pred <> 'und'").count() == 0 and language.identify(nothing, filters).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 100)
+    copies = spark.range(3000).select(F.lit("one text of many copies").alias("text"))
+    others = spark.range(3000).select(F.format_string("text number %d", "id").alias("text"))
+    rows = copies.union(others).select(F.lit("en").alias("label"), "text", F.xxhash64("text").alias("order"))
+    sample = [r.text for r in language._first_by_order(rows.withColumn("order", F.when(F.col("text").startswith("one"), 0).otherwise(F.col("order")))).collect()]
+    assert len(sample) == len(set(sample)) and 10 < len(sample) < 110 and "one text of many copies" in sample
+
+
 def test_filter_has_no_false_negatives():
     grams = language.grams(language.letters("Où est la rivière, déjà?"))
     f = language.Filters({"a": grams[:10], "b": grams[5:]})
