@@ -1,7 +1,7 @@
 """Language identification with n-gram filters that share one bit-sliced Bloom filter.
 
-Each slot of the filter holds one bit for each language. An n-gram's slots are read once and
-combined with AND: what is left are all languages whose filter contains the n-gram. A text's
+Each slot of the filter holds one bit for each language, in as many words of 64 bits as the languages
+need. An n-gram's slots are read once for each word and combined with AND: what is left are all languages whose filter contains the n-gram. A text's
 score for a language is the share of its n-grams that the language's filter contains, with the
 expected false positives (from that filter's fill) taken out; the largest decides.
 
@@ -35,8 +35,8 @@ LEAST_TEXTS = 3
 SIZES = (2, 3, 4)
 SLOTS_LOG2 = 18
 HASHES = 3
-#: Languages of one filter: the bits of a slot.
-MOST_LANGUAGES = 63
+#: Languages of one word of a slot.
+WORD_BITS = 64
 #: Characters that are hashed at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -98,19 +98,23 @@ class Filters:
 
     def __init__(self, by_language: dict[str, np.ndarray]):
         self.languages = sorted(by_language)
-        self.bits = np.zeros(1 << SLOTS_LOG2, np.uint64)
+        self.bits = np.zeros((-(-len(self.languages) // WORD_BITS), 1 << SLOTS_LOG2), np.uint64)
+        fill = []
         for k, language in enumerate(self.languages):
+            word, bit = self.bits[k // WORD_BITS], np.uint64(1 << k % WORD_BITS)
             for at in slots(by_language[language]):
-                np.bitwise_or.at(self.bits, at, np.uint64(1 << k))
-        fill = [float(np.count_nonzero(self.bits >> np.uint64(k) & np.uint64(1))) / len(self.bits) for k in range(len(self.languages))]
+                word[at] |= bit
+            fill.append(np.count_nonzero(word & bit) / len(word))
         self.false_positive = np.array([f**HASHES for f in fill])
 
-    def containing(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the bits of all languages that contain it."""
-        at = slots(hashes)
-        out = self.bits[at[0]]
+    def containing(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the bits of all languages of a word that contain it."""
+        return self._meet(slots(hashes), word)
+
+    def _meet(self, at: list[np.ndarray], word: int) -> np.ndarray:
+        out = self.bits[word][at[0]]
         for more in at[1:]:
-            out &= self.bits[more]
+            out &= self.bits[word][more]
         return out
 
     def shares(self, text: str) -> np.ndarray | None:
@@ -121,9 +125,12 @@ class Filters:
         hits, total = np.zeros(len(self.languages)), 0
         for start in range(0, len(points), BLOCK):
             hashes = grams(points[start : start + BLOCK + max(SIZES) - 1])
-            found = self.containing(hashes)
+            at = slots(hashes)
             total += len(hashes)
-            hits += [np.count_nonzero(found & np.uint64(1 << k)) for k in range(len(self.languages))]
+            for word in range(len(self.bits)):
+                found, first = self._meet(at, word), word * WORD_BITS
+                count = min(WORD_BITS, len(self.languages) - first)
+                hits[first : first + count] += [np.count_nonzero(found & np.uint64(1 << k)) for k in range(count)]
         return np.clip((hits / max(total, 1) - self.false_positive) / (1 - self.false_positive), 0, 1)
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -156,21 +163,20 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
     found: dict[str, list[int]] = {}
     for r in ranked.where(F.col("rank") <= GRAMS_PER_LANGUAGE).select("label", "gram").toLocalIterator():
         found.setdefault(r.label, []).append(r.gram)
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return Filters({k: np.array(sorted(v), np.int64).view(np.uint64) for k, v in found.items()})
 
 
 def _first_by_order(rows: DataFrame) -> DataFrame:
     """At most about PER_LANGUAGE texts of each label, those of the smallest hashes, once each.
 
-    The cut is a share of the hash range, from counts by label, so no window gathers a label's rows.
-    Copies of a text share its hash; they are merged before the shuffle.
+    The cut is a share of the hash range, from each label's count of different hashes, so no window
+    gathers a label's rows. Copies of a text share its hash; they are merged before each shuffle.
+    Labels of no more texts have no cut and keep all, so the broadcast table is short.
     """
-    counts = rows.groupBy("label").count()
-    share = F.least(F.lit(1.0), F.lit(float(PER_LANGUAGE)) / F.col("count"))
-    cuts = counts.select(F.col("label").alias("cut_label"), (share * float(1 << 62) * 2).alias("cut"))
-    return rows.join(F.broadcast(cuts.limit(MOST_LANGUAGES + 1)), F.col("label") == F.col("cut_label")).where(F.abs(F.col("order").cast("double")) <= F.col("cut")).groupBy("label", "order").agg(F.min("text").alias("text")).select("label", "text")
+    counts = rows.select("label", "order").distinct().groupBy("label").count().where(F.col("count") > PER_LANGUAGE)
+    cuts = counts.select(F.col("label").alias("cut_label"), (F.lit(float(PER_LANGUAGE)) / F.col("count") * float(1 << 62) * 2).alias("cut"))
+    kept = F.col("cut").isNull() | (F.abs(F.col("order").cast("double")) <= F.col("cut"))
+    return rows.join(F.broadcast(cuts), F.col("label") == F.col("cut_label"), "left").where(kept).groupBy("label", "order").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def identify(docs: DataFrame, filters: Filters, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

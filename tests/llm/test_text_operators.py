@@ -173,6 +173,24 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     assert len(sample) == len(set(sample)) and 10 < len(sample) < 110 and "one text of many copies" in sample
 
 
+def test_language_copies_leave_the_sample_whole(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 100)
+    texts = spark.range(50).select(F.format_string("text number %d", "id").alias("text"))
+    rows = texts.crossJoin(spark.range(60)).select(F.lit("en").alias("label"), "text")
+    rows = rows.union(spark.range(5000).select(F.lit("fr"), F.when(F.col("id") < 4000, "copy").otherwise(F.format_string("texte %d", "id"))))
+    sample = [(r.label, r.text) for r in language._first_by_order(rows.withColumn("order", F.xxhash64("text"))).collect()]
+    assert sorted(t for k, t in sample if k == "en") == sorted(r.text for r in texts.collect())
+    assert 70 < len([t for k, t in sample if k == "fr"]) < 130 and len(sample) == len(set(sample))
+
+
+def test_language_of_many_labels(spark):
+    words = {f"l{k:03d}": " ".join(chr(0x4E00 + 40 * k + i) * 2 for i in range(20)) for k in range(150)}
+    docs = spark.createDataFrame([(f"{text} {n}", label) for label, text in words.items() for n in "abc"], "text string, lang string")
+    filters = language.learn(docs)
+    assert filters.languages == sorted(words)
+    assert all(filters.decide(text)[0] == label and filters.decide(text)[1] > 0.9 for label, text in words.items())
+
+
 def test_filter_has_no_false_negatives():
     grams = language.grams(language.letters("Où est la rivière, déjà?"))
     f = language.Filters({"a": grams[:10], "b": grams[5:]})
