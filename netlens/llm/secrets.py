@@ -7,7 +7,8 @@ token (``weak_secret``) needs an access identifier; a named account (``weak_id``
 and an endpoint; an endpoint needs an identifier and a secret.
 
 Patterns are row-local expressions: texts are not shuffled. Only the parts found go to the join,
-which is by row and scope-sized bin, so a window holds no more parts than fit in its characters.
+which is by row and scope-sized bin of a part's two ends, so a bin holds no more parts than fit in its
+characters, besides the few that only end or start there, and a part of any length is met.
 
 Positions are code points, ends exclusive. Defined results: a null text counts as empty; a text
 without findings has zero counts, the digest of the empty string and empty spans. Rows are
@@ -83,9 +84,13 @@ def linked(found: DataFrame, row: str) -> DataFrame:
     kind = {k: i for i, k in enumerate(KINDS)}
     needing = found.where(F.size("weak") > 0)
     part = needing.select(row, F.explode(F.concat("base", "weak")).alias("p")).select(row, F.col("p.start").alias("start"), F.col("p.rank").alias("rank"), F.col("p.end").alias("end"))
-    # A part stands in the bin of its start; the other side looks into all bins that its scope meets.
-    looking = part.where(F.col("rank") >= kind["weak_id"]).withColumn("bin", F.explode(F.sequence(F.floor((F.col("start") - 2 * SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))))
-    there = part.select(F.col(row).alias("_row"), F.col("start").alias("s2"), F.col("rank").alias("r2"), F.col("end").alias("e2"), F.floor(F.col("start") / SCOPE).alias("bin2"))
+    # Parts don't overlap their company, so one of its ends lies in the scope, before or after: a part stands in the
+    # bins of its two ends, and the other side looks into the bins of the scope before its start and after its end.
+    bins = lambda a, b: F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE))
+    around = F.array_union(bins(F.col("start") - SCOPE, F.col("start")), bins(F.col("end"), F.col("end") + SCOPE))
+    looking = part.where(F.col("rank") >= kind["weak_id"]).withColumn("bin", F.explode(around))
+    ends = F.array_distinct(F.array(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)))
+    there = part.select(F.col(row).alias("_row"), F.col("start").alias("s2"), F.col("rank").alias("r2"), F.col("end").alias("e2"), F.explode(ends).alias("bin2"))
     near = (F.col(row) == F.col("_row")) & (F.col("bin") == F.col("bin2")) & (F.col("s2") <= F.col("end") + SCOPE) & (F.col("e2") >= F.col("start") - SCOPE) & ((F.col("e2") <= F.col("start")) | (F.col("s2") >= F.col("end")))
     joined = looking.join(there.hint("merge"), near)
     is_id = F.col("r2").isin(kind["access"], kind["weak_id"])

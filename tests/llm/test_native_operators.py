@@ -128,6 +128,33 @@ def test_weak_parts_need_company(leaky):
     assert "weak" not in spans[5] and "weak" not in spans[7]
 
 
+def plain_links(text):
+    """All spans by comparison of all parts, for texts without access identifiers."""
+    found = plain_spans(text)
+    for kind, pattern in (("weak_id", secrets.WEAK_ID), ("endpoint", secrets.ENDPOINT)):
+        found += [(m.start(), secrets.KINDS.index(kind), m.end(), kind) for m in re.finditer(pattern, text, re.ASCII)]
+    out = plain_spans(text)
+    for a, rank, b, kind in found:
+        near = {k for s, _, e, k in found if b <= s <= b + secrets.SCOPE or a - secrets.SCOPE <= e <= a}
+        if kind == "weak_id" and near & {"assign", "hex"} and "endpoint" in near or kind == "endpoint" and near & {"assign", "hex"} and "weak_id" in near:
+            out.append((a, rank, b, kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_long_parts_keep_company(spark):
+    named, url = "client_id=bob42", "https://db.example.com/x"
+    texts = []
+    for n in (48, 512, 800, 3000):
+        long_secret, dump, long_url = "token=" + "aB3." * (n // 4), "0123456789abcdef" * (n // 16), "https://db.example.com/" + "p/" * (n // 2)
+        for parts in ((long_secret, named, url), (dump, named, url), (long_url, named, "token=abcdefgh"), (named, url, long_secret), (url, named, dump)):
+            texts += [f"{'é ' * pad}{(' ' * gap).join(parts)}" for pad in (0, 70, 149) for gap in (1, 120, 141, 143, 299, 300, 301)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = dict(enumerate(map(plain_links, texts)))
+    assert {r.doc_id: r.spans for r in secrets.scan(frame).collect()} == expected
+    assert sum("weak_id" in x and "endpoint" in x for x in expected.values()) > 60
+    assert all(("bob42" in r.text) == ("weak_id" not in expected[r.doc_id]) for r in secrets.redact(frame).collect())
+
+
 def test_redaction(leaky, docs, nothing):
     out = secrets.redact(leaky)
     assert out.columns == leaky.columns and out.count() == len(CASES)
