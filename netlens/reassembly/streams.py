@@ -8,7 +8,7 @@ dropped, so a group that goes to one task is bounded by the head, not by the str
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from netlens.functions.names import RST, SYN, TCP
 from netlens.reassembly.ranges import MOST_RANGES, Ranges
 
 HEAD = 16 * 1024
+#: Packets' indexes over which one task carries a flow's latest opening along; the result does not depend on it.
+CARRY = 1 << 16
 MOST_DATAGRAM = 65_535
 FIN, WRAP = 1, 1 << 32
 
@@ -109,18 +111,25 @@ def transport_payload(datagram: bytes, protocol: int) -> tuple[int, int, bytes]
 def head_segments(packets: DataFrame) -> DataFrame:
     """Segments that can matter to the head of their stream.
 
-    A segment counts if it ends or opens the stream, or lies within two heads, modulo 2^32, of the first
-    segment or of the last bare opening. Both come from an aggregation that combines before it shuffles, so
-    an elephant flow reaches the grouping as no more than its head.
+    A segment counts if it ends or opens the stream, or lies within two heads, modulo 2^32, of the latest
+    opening before it, or of the first segment if there is none. So an elephant flow reaches the grouping as
+    no more than a head for each of its openings. The latest opening is carried along within a flow's range
+    of ``CARRY`` indexes, and from range to range by one row for each, so no task sorts a whole flow.
     """
     tcp = packets.where(F.col("tcp").isNotNull() & ~F.col("fragmented")).select("index", *ENDPOINTS, F.col("tcp.seq").alias("seq"), F.col("tcp.flags").alias("flags"), "payload")
-    opening = F.when(F.col("flags").bitwiseAND(F.lit(SYN)) != 0, F.col("index"))
-    bases = tcp.groupBy(*ENDPOINTS).agg(F.min_by("seq", "index").alias("_first"), F.max_by("seq", opening).alias("_syn"))
+    ranged = tcp.withColumn("_range", F.floor(F.col("index") / CARRY))
+    is_opening = F.col("flags").bitwiseAND(F.lit(SYN)) != 0
+    each = ranged.groupBy(*ENDPOINTS, "_range").agg(F.min_by("seq", "index").alias("_start"), F.max_by("seq", F.when(is_opening, F.col("index"))).alias("_syn"))
+    so_far = Window.partitionBy(*ENDPOINTS).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*ENDPOINTS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = each.select(*ENDPOINTS, "_range", F.first("_start").over(so_far).alias("_first"), F.last("_syn", True).over(before).alias("_carried"))
     near = lambda base: F.pmod(F.col("seq") - F.col(base) + HEAD, F.lit(WRAP)) <= 3 * HEAD
     ends = F.col("flags").bitwiseAND(F.lit(FIN | RST | SYN)) != 0
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ENDPOINTS]
-    joined = tcp.alias("t").join(bases.alias("b"), same)
-    kept = joined.where(ends | (F.col("payload").isNotNull() & (near("_first") | F.coalesce(near("_syn"), F.lit(False)))))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*ENDPOINTS, "_range")]
+    within = Window.partitionBy(*ENDPOINTS, "_range").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = ranged.where(ends | F.col("payload").isNotNull()).withColumn("_latest", F.last(F.when(is_opening, F.col("seq")), True).over(within))
+    joined = latest.alias("t").join(bases.alias("b"), same).withColumn("_base", F.coalesce("_latest", "_carried", "_first"))
+    kept = joined.where(ends | near("_base"))
     return kept.select(*(F.col(f"t.{c}").alias(c) for c in tcp.columns))
 
 
