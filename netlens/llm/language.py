@@ -1,18 +1,22 @@
 """Language identification with n-gram filters that share one bit-sliced Bloom filter.
 
 Each slot of the filter holds one bit for each language, in as many words of 64 bits as the languages
-need. An n-gram's slots are read once for each word and combined with AND: what is left are all languages whose filter contains the n-gram. A text's
-score for a language is the share of its n-grams that the language's filter contains, with the
-expected false positives (from that filter's fill) taken out; the largest decides.
+need. An n-gram's slots are read once for each word and combined with AND: what is left are all
+languages whose filter contains the n-gram. A text's score for a language is the share of its n-grams
+that the language's filter contains, with the expected false positives (from that filter's fill) taken
+out; the largest decides.
 
-The filter learns from a sample of labelled texts whose size is a parameter, ``PER_LANGUAGE``
+The filters learn from a sample of labelled texts whose size is a parameter, ``PER_LANGUAGE``
 different texts of each language, about, the first by a hash of the text; copies of a text count once,
-so no group of copies makes the sample larger. Counting n-grams runs on Spark;
-the driver sees at most ``GRAMS_PER_LANGUAGE`` n-grams of each language.
+so no group of copies makes the sample larger. Every label that a text has is learned, be it of one
+text. A filter holds each n-gram that at least ``LEAST_PART`` of its language's sampled texts contain:
+no fixed number of n-grams, but never more than a text's mean number of n-grams divided by that part,
+which bounds what the driver sees. Counting n-grams runs on Spark.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text
 if nothing was learned. Ties go to the language that comes first by code point. Repeated rows
-are judged each by itself; labels that are null are not learned from.
+are judged each by itself; labels that are null are not learned from, and a language whose texts
+have no letter has an empty filter. An empty table gives an empty result.
 """
 
 from collections import Counter
@@ -25,16 +29,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlens.llm.columns import documents
+from netlens.storage import materialize, release
 
 #: Labelled texts that the filters learn from, for each language; the bound of the training sample.
 PER_LANGUAGE = 4000
-#: N-grams of each language's filter, the most frequent first.
-GRAMS_PER_LANGUAGE = 6000
-#: N-grams that fewer of the sampled texts contain are left out.
-LEAST_TEXTS = 3
+#: N-grams in a smaller part of a language's sampled texts are left out of its filter.
+LEAST_PART = 0.05
 SIZES = (2, 3, 4)
-SLOTS_LOG2 = 18
 HASHES = 3
+#: Slots for each n-gram of the language that has most, at least; and the fewest slots.
+SLOTS_PER_GRAM = 16
+LEAST_SLOTS = 1 << 12
+#: Entries of one counting table; a fuller one is passed on.
+COUNTED_AT_ONCE = 1_000_000
 #: Languages of one word of a slot.
 WORD_BITS = 64
 #: Characters that are hashed at once.
@@ -87,10 +94,10 @@ def grams(points: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def slots(hashes: np.ndarray) -> list[np.ndarray]:
-    """The slots of each hash, one array for each of the filter's hash functions."""
+def slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """The slots of each hash among ``size`` (a power of two), one array for each of the filter's hash functions."""
     step = (hashes >> np.uint64(40)) | np.uint64(1)
-    return [((hashes + np.uint64(k) * step) & np.uint64((1 << SLOTS_LOG2) - 1)).astype(np.intp) for k in range(HASHES)]
+    return [((hashes + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.intp) for k in range(HASHES)]
 
 
 class Filters:
@@ -98,18 +105,20 @@ class Filters:
 
     def __init__(self, by_language: dict[str, np.ndarray]):
         self.languages = sorted(by_language)
-        self.bits = np.zeros((-(-len(self.languages) // WORD_BITS), 1 << SLOTS_LOG2), np.uint64)
+        most = max(map(len, by_language.values()), default=0)
+        self.size = max(LEAST_SLOTS, 1 << (SLOTS_PER_GRAM * most).bit_length())
+        self.bits = np.zeros((-(-len(self.languages) // WORD_BITS), self.size), np.uint64)
         fill = []
         for k, language in enumerate(self.languages):
             word, bit = self.bits[k // WORD_BITS], np.uint64(1 << k % WORD_BITS)
-            for at in slots(by_language[language]):
+            for at in slots(by_language[language], self.size):
                 word[at] |= bit
             fill.append(np.count_nonzero(word & bit) / len(word))
         self.false_positive = np.array([f**HASHES for f in fill])
 
     def containing(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
         """For each n-gram the bits of all languages of a word that contain it."""
-        return self._meet(slots(hashes), word)
+        return self._meet(slots(hashes, self.size), word)
 
     def _meet(self, at: list[np.ndarray], word: int) -> np.ndarray:
         out = self.bits[word][at[0]]
@@ -125,7 +134,7 @@ class Filters:
         hits, total = np.zeros(len(self.languages)), 0
         for start in range(0, len(points), BLOCK):
             hashes = grams(points[start : start + BLOCK + max(SIZES) - 1])
-            at = slots(hashes)
+            at = slots(hashes, self.size)
             total += len(hashes)
             for word in range(len(self.bits)):
                 found, first = self._meet(at, word), word * WORD_BITS
@@ -148,22 +157,36 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
     rows = rows.select(F.col(label_column).alias("label"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("order"))
     sample = _first_by_order(rows)
 
+    def made(label: str, counts: Counter) -> pa.RecordBatch:
+        values = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([label] * len(counts)), pa.array(values), pa.array(list(counts.values()), pa.int64())], ["label", "gram", "texts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
+        texts: Counter = Counter()
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(label, Counter()).update(np.unique(grams(letters(text))).tolist())
-        for label, found in counts.items():
-            values = np.fromiter(found, np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(found)), pa.array(values), pa.array(list(found.values()), pa.int64())], ["label", "gram", "texts"])
+                texts[label] += 1
+                own = counts.setdefault(label, Counter())
+                own.update(np.unique(grams(letters(text))).tolist())
+                if sum(map(len, counts.values())) >= COUNTED_AT_ONCE:
+                    yield from (made(*x) for x in counts.items())
+                    counts = {}
+        yield from (made(*x) for x in counts.items())
+        # The null n-gram counts the texts themselves.
+        yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.nulls(len(texts), pa.int64()), pa.array(list(texts.values()), pa.int64())], ["label", "gram", "texts"])
 
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("texts", T.LongType())])
-    counted = sample.select("label", "text").mapInArrow(count, schema).groupBy("label", "gram").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("texts"), "gram")))
-    found: dict[str, list[int]] = {}
-    for r in ranked.where(F.col("rank") <= GRAMS_PER_LANGUAGE).select("label", "gram").toLocalIterator():
-        found.setdefault(r.label, []).append(r.gram)
-    return Filters({k: np.array(sorted(v), np.int64).view(np.uint64) for k, v in found.items()})
+    counted = materialize(sample.select("label", "text").mapInArrow(count, schema).groupBy("label", "gram").agg(F.sum("texts").alias("texts")), "language-grams")
+    totals = counted.where(F.col("gram").isNull()).select(F.col("label").alias("of"), F.col("texts").alias("all_texts"))
+    # One row for each language; a null n-gram makes an empty filter.
+    kept = counted.join(totals.hint("broadcast"), F.col("label") == F.col("of")).where(F.col("gram").isNull() | (F.col("texts") >= LEAST_PART * F.col("all_texts")))
+    table = kept.select("label", "gram").orderBy("label", "gram").toArrow()
+    release(counted)
+    labels, held = table.column(0).combine_chunks().dictionary_encode(), table.column(1)
+    valid = held.is_valid().to_numpy(zero_copy_only=False)
+    codes, values = np.asarray(labels.indices)[valid], held.drop_null().to_numpy().view(np.uint64)
+    return Filters({name: values[codes == k] for k, name in enumerate(labels.dictionary.to_pylist())})
 
 
 def _first_by_order(rows: DataFrame) -> DataFrame:

@@ -191,6 +191,15 @@ def test_language_of_many_labels(spark):
     assert all(filters.decide(text)[0] == label and filters.decide(text)[1] > 0.9 for label, text in words.items())
 
 
+def test_language_learns_every_label(spark):
+    """Labels of two texts, of one text in many copies, and of long and short texts are all learned."""
+    rows = [("common words of the usual kind " * 3 + str(n), "en") for n in range(200)]
+    rows += [("żółta łódź płynie", "pl"), ("gęś idzie dróżką", "pl")] + [("sjór og fjall", "is")] * 40 + [("123", "zz"), (None, "nn"), ("no label", None)]
+    filters = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert filters.languages == ["en", "is", "pl", "zz"]
+    assert [filters.decide(t)[0] for t in ("the usual words", "fjall og sjór", "żółta gęś", "łódź idzie", "123", None)] == ["en", "is", "pl", "pl", "und", "und"]
+
+
 def test_filter_has_no_false_negatives():
     grams = language.grams(language.letters("Où est la rivière, déjà?"))
     f = language.Filters({"a": grams[:10], "b": grams[5:]})
