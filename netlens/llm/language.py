@@ -159,7 +159,7 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
 
     def made(label: str, counts: Counter) -> pa.RecordBatch:
         values = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([label] * len(counts)), pa.array(values), pa.array(list(counts.values()), pa.int64())], ["label", "gram", "texts"])
+        return pa.RecordBatch.from_arrays([pa.array([label] * len(counts), pa.string()), pa.array(values, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["label", "gram", "texts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
