@@ -47,7 +47,7 @@ def test_mixing(docs, nothing):
         assert 0 <= r.taken <= 2 * r["size"]
         taken[by_target[round(r.target, 6)]] += r.taken
     for s, target in targets.items():
-        assert abs(taken[s] - target) <= 0.02 * sizes[s] + 2
+        assert abs(taken[s] - target) <= 0.500001
     assert sorted(map(repr, mixing.mix(docs).collect())) == sorted(map(repr, found))
     assert sorted(map(repr, mixing.mix(docs.orderBy("text").repartition(7)).collect())) == sorted(map(repr, found))
     assert mixing.mix(nothing).count() == 0
@@ -60,13 +60,44 @@ def test_permutations_are_permutations(spark):
 
 
 def test_shards_hold_every_slot_once(docs):
-    sizes = mixing.sized(docs, F.monotonically_increasing_id(), "doc_id", "text", "source")
-    plan = mixing.plan_sources(sizes)
-    slots = mixing.slots(plan).collect()
-    assert len({(r.shard, r.place) for r in slots}) == len(slots) == sum(r.slots for r in plan.collect())
-    times = Counter((r.sidx, r["index"]) for r in slots)
-    assert max(times.values()) <= 2
-    assert sum(r.slots for r in mixing.shard_counts(mixing.slots(plan)).collect()) == len(slots)
+    sizes = mixing.sized(docs, F.monotonically_increasing_id(), "doc_id", "text", "source").cache()
+    plan = mixing.plan_sources(sizes).cache()
+    drawn = mixing.draw_shards(plan)
+    mix = mixing.slots(plan, drawn).collect()
+    sources = plan.orderBy("sidx").collect()
+    assert sum(drawn.drawn) == sum(drawn.wanted) == sum(r.slots for r in sources) == len(mix)
+    assert len({(r.shard, r.place) for r in mix}) == len(mix) and all(0 <= r.place < mixing.SHARD_SLOTS for r in mix)
+    assert Counter(r.sidx for r in mix) == Counter({r.sidx: r.slots for r in sources if r.slots})
+    for r in sources:
+        times = Counter(x["index"] for x in mix if x.sidx == r.sidx)
+        assert set(times) <= set(range(r.blocks)) and max(times.values(), default=0) - min((times[k] for k in range(r.blocks)), default=0) <= 1
+
+
+def test_draws_are_multinomial(spark):
+    """Counts of many shards have a multinomial's mean and variance; what is drawn beyond a source's own moves, no more."""
+    slots = [600_000, 0, 300_000, 100_000, 7]
+    plan = spark.createDataFrame([(k, n, 10**6, 10**6 + 1, 5) for k, n in enumerate(slots)], "sidx long, slots long, full long, blocks long, cut long").cache()
+    drawn = mixing.draw_shards(plan)
+    shards = sum(slots) // mixing.SHARD_SLOTS
+    counts: dict = {}
+    for r in drawn.counts.where(F.col("shard") < shards).collect():
+        counts.setdefault(r.sidx, []).append(r["count"])
+    assert 1 not in counts
+    for k in (0, 2, 3):
+        p = slots[k] / sum(slots)
+        mean = sum(counts[k]) / shards
+        spread = sum((x - mean) ** 2 for x in counts[k]) / shards
+        assert abs(mean - mixing.SHARD_SLOTS * p) < 3 and 0.8 < spread / (mixing.SHARD_SLOTS * p * (1 - p)) < 1.2
+    ranks = mixing.ranked(drawn).groupBy("sidx").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d"), F.max("rank").alias("top")).collect()
+    assert {r.sidx: (r.n, r.d, r.top) for r in ranks} == {k: (n, n, n - 1) for k, n in enumerate(slots) if n}
+    moved = sum(max(0, d - w) for w, d in zip(drawn.wanted, drawn.drawn, strict=True))
+    assert moved < 5 * sum(slots) ** 0.5
+
+
+def test_interval_lookup(spark):
+    for starts in ([0], [0, 0, 5, 5, 9], list(range(0, 100, 3))):
+        found = spark.range(120).select("id", mixing.interval_at(F.col("id"), starts).alias("k")).collect()
+        assert all(r.k == max(i for i, s in enumerate(starts) if s <= r.id) for r in found)
 
 
 def test_resample_takes_the_words(docs, nothing):
@@ -79,7 +110,7 @@ def test_resample_takes_the_words(docs, nothing):
         assert r.n_chars == len(r.text) and count(r.text) > 0
         assert any(set(WORD.findall(r.text)) <= set(WORD.findall(t or "")) for t in texts[r.doc_id])
     total = sum(count(r.text) for r in docs.collect())
-    assert abs(sum(count(r.text) for r in out.collect()) - 1.5 * total) < 0.03 * total
+    assert abs(sum(count(r.text) for r in out.collect()) - 1.5 * total) < 3
     assert mixing.resample(nothing).count() == 0
 
 
