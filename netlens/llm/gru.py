@@ -1,18 +1,18 @@
 """A gated recurrent language model in numpy with a class-factored output softmax.
 
-Token ids below ``OUTPUTS - 1`` are frequent words, by falling count; the last id stands for all
-others. Ids of one class are neighbours in that order, so P(id) = P(class) P(id | class) costs
-two short softmaxes. Documents run in lanes: each lane is a queue of whole documents, the state
-is carried from window to window and set to zero where a document begins.
+Ids are symbols: frequent words by falling count, then symbols that each stand for many rarer words
+(see ``scoring``). Ids of one class are neighbours in that order, so P(id) = P(class) P(id | class) costs
+two softmaxes of about the square root of their number. Documents run in lanes: each lane is a queue of
+whole documents, the state is carried from window to window and set to zero where a document begins.
 """
 
 import heapq
 
 import numpy as np
 
-OUTPUTS, CLASS = 256, 16
+OUTPUTS, CLASS = 1024, 32
 CLASSES = OUTPUTS // CLASS
-HIDDEN = 24
+HIDDEN = 16
 WINDOW = 32
 START = 0
 CLIP = 1.0

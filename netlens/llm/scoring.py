@@ -4,8 +4,10 @@ Counts of all words in the training documents are gathered on Spark. The ``FREQU
 frequent words go to the tasks as a dictionary, a bound that doesn't grow with the data; the
 counts of rarer words are joined by word, which no hot word can skew.
 
-The model is a gated recurrent network over the most frequent words (see ``gru``); a word outside
-them is the network's rest symbol times the word's smoothed share of the rest. Training passes
+The model is a gated recurrent network (see ``gru``) that sees every word: the most frequent are symbols
+of their own, all others share ``RESTS`` symbols by their last letters, which tell much of a word's
+language and form. P(word) of those is P(symbol) times the word's smoothed share of the symbol's tokens,
+so probabilities of all words and of one unknown word for each symbol add up to 1. Training passes
 once over all training documents, in rounds over growing shares of them: in a round each task
 trains a copy on its own documents, and the mean of the copies, weighted by tokens and summed on
 Spark, starts the next round. The driver holds one copy of the weights.
@@ -19,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, chain, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ END = "\n"
 FREQUENT = 1 << 16
 #: Longer words are never in the dictionary, which bounds its bytes.
 LONGEST = 64
+#: Symbols of the words that have none of their own, and the bytes at a word's end that choose among them.
+RESTS, ENDING = gru.CLASS, 3
 #: Distinct words that a counting task holds, about.
 COUNTED_AT_ONCE = 300_000
 #: Tokens that are laid out in lanes at once, and lanes.
@@ -81,30 +86,52 @@ def counted_words(counts: list[Counter]) -> pa.MapArray:
     return pa.MapArray.from_arrays(offsets, pa.array(list(chain.from_iterable(counts)), pa.binary()).cast(pa.string()), pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int64()))
 
 
+def rest_symbol(word: bytes) -> int:
+    return crc32(word[-ENDING:]) % RESTS
+
+
+def rest_symbol_column(word: Column) -> Column:
+    return (F.crc32(F.substring(word.cast("binary"), -ENDING, ENDING)) % RESTS).cast("int")
+
+
 class Vocabulary:
-    """Frequent words by falling count, the end first, and totals over all words."""
+    """Frequent words by falling count, the end first, and totals over all words.
+
+    ``rests``: tokens and distinct words of each rest symbol, if all words were among them.
+    """
 
-    def __init__(self, rows: list[tuple[str, int]], tokens: int, distinct: int):
+    def __init__(self, rows: list[tuple[str, int]], rests: dict[int, tuple[int, int]]):
         counts = dict(rows)
         ordered = [(END, counts.pop(END, 0)), *sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
         self.index = {w.encode(): k for k, (w, _) in enumerate(ordered)}
         self.counts = np.array([c for _, c in ordered], np.int64)
         self.log_counts = np.log10(self.counts + 1)
-        self.tokens, self.distinct = tokens, distinct
-        top = min(gru.OUTPUTS - 1, len(ordered))
-        own = int(self.counts[:top].sum())
-        self.rest_tokens, self.rest_distinct = tokens - own, distinct - int((self.counts[:top] > 0).sum())
+        self.tokens, self.distinct = (sum(x[k] for x in rests.values()) for k in (0, 1))
+        own = gru.OUTPUTS - RESTS
+        symbol = np.fromiter(map(rest_symbol, self.index), np.int64, len(self.index))
+        tokens, distinct = np.zeros(RESTS, np.int64), np.zeros(RESTS, np.int64)
+        for k, (n, v) in rests.items():
+            tokens[k], distinct[k] = n, v
+        np.subtract.at(tokens, symbol[:own], self.counts[:own])
+        np.subtract.at(distinct, symbol[:own], self.counts[:own] > 0)
+        #: The denominator of a word's share of its rest symbol: its words' counts plus one each, and one unknown word.
+        self.log_rest_sizes = np.log10(tokens + distinct + 1)
+        self.id_of_place = np.where(np.arange(len(symbol)) < own, np.arange(len(symbol)), own + symbol).astype(np.int16)
         self.id_counts = np.zeros(gru.OUTPUTS)
-        self.id_counts[:top] = self.counts[:top]
-        self.id_counts[-1] = self.rest_tokens + 1
+        self.id_counts[: min(own, len(symbol))] = self.counts[:own]
+        self.id_counts[own:] = tokens + 1
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place, -1 for words outside, and the end's last."""
         get = self.index.get
         return np.fromiter(chain(map(get, words, repeat(-1)), (0,)), np.int32, len(words) + 1)
 
-    def ids(self, places: np.ndarray) -> np.ndarray:
-        return np.where((places < 0) | (places >= gru.OUTPUTS - 1), gru.OUTPUTS - 1, places).astype(np.int16)
+    def ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        """Each word's symbol."""
+        out = self.id_of_place[places]
+        outside = np.flatnonzero(places < 0)
+        out[outside] = [gru.OUTPUTS - RESTS + rest_symbol(words[i]) for i in outside.tolist()]
+        return out
 
 
 def train(docs: DataFrame, vocabulary, start: np.ndarray, salt: str = "lm") -> np.ndarray:
@@ -126,7 +153,8 @@ def train(docs: DataFrame, vocabulary, start: np.ndarray, salt: str = "lm") -> n
 
             for batch in batches:
                 for text in batch.column(0).cast(pa.binary()):
-                    held.append(vocabulary.value.ids(vocabulary.value.places(words_of(text))))
+                    words = words_of(text)
+                    held.append(vocabulary.value.ids(words, vocabulary.value.places(words)))
                     tokens += len(held[-1])
                     if tokens >= TRAIN_TOKENS:
                         flush()
@@ -154,17 +182,17 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
     training = slim.where(~F.col("held_out"))
     counts = materialize(count_words(training.select("text")), "word-counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    rests = {r.symbol: (r.n, r.v) for r in counts.groupBy(rest_symbol_column(F.col("word")).alias("symbol")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     short = (F.length("word") <= LONGEST) & (F.col("word") != END)
     frequent = counts.where(short).orderBy(F.desc("c"), "word").limit(FREQUENT).union(counts.where(F.col("word") == END))
-    vocabulary = Vocabulary([(r.word, r.c) for r in frequent.collect()], totals["n"], totals["v"])
+    vocabulary = Vocabulary([(r.word, r.c) for r in frequent.collect()], rests)
     shared = spark.sparkContext.broadcast(vocabulary)
     weights = train(training.select(F.col("doc_id").alias("key"), "text"), shared, gru.start_vector(vocabulary.id_counts))
     sent = spark.sparkContext.broadcast(weights)
 
     schema = T.StructType([
         T.StructField("row", T.LongType()), docs.schema[id_column] if id_column == "doc_id" else T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("held_out", T.BooleanType()),
-        T.StructField("n_tokens", T.LongType()), T.StructField("n_frequent", T.LongType()), T.StructField("n_rest", T.LongType()),
+        T.StructField("n_tokens", T.LongType()), T.StructField("n_frequent", T.LongType()), T.StructField("rest_sizes", T.DoubleType()),
         T.StructField("network", T.DoubleType()), T.StructField("log_frequent", T.DoubleType()), T.StructField("log_rest", T.DoubleType()),
         T.StructField("rare", T.MapType(T.StringType(), T.LongType())),
     ])
@@ -177,7 +205,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             def flush(end: int, batch=batch) -> pa.RecordBatch:
                 network = gru.score(sent.value, held, SCORE_LANES) / math.log(10)
                 columns = [list(c) for c in zip(*rows, strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 n, f, r, lf, lr = (pa.array(c, k) for c, k in zip(columns[:5], kinds, strict=True))
                 rare = counted_words(columns[5])
                 own = batch.slice(start, end - start)
@@ -186,12 +214,12 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             for k, text in enumerate(batch.column(3).cast(pa.binary())):
                 words = words_of(text)
                 places = voc.places(words)
-                ids = voc.ids(places)
-                rest = ids == gru.OUTPUTS - 1
+                ids = voc.ids(words, places)
+                rest = ids >= gru.OUTPUTS - RESTS
                 inside = places >= 0
                 logs = np.where(inside, voc.log_counts[places], 0.0)
                 known = int((inside & (voc.counts[places] > 0)).sum())
-                rows.append((len(places), known, int(rest.sum()), float(logs.sum()), float(logs[rest].sum()), Counter(words[i] for i in np.flatnonzero(~inside).tolist())))
+                rows.append((len(places), known, float(voc.log_rest_sizes[ids[rest] - (gru.OUTPUTS - RESTS)].sum()), float(logs.sum()), float(logs[rest].sum()), Counter(words[i] for i in np.flatnonzero(~inside).tolist())))
                 held.append(ids)
                 tokens += len(ids)
                 if tokens >= GROUP_TOKENS:
@@ -205,7 +233,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     known = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_rare"))
     whole = scored.drop("rare").join(known, "row", "left").na.fill({"n_rare": 0, "log_rare": 0.0})
     base = F.col("log_frequent") + F.col("log_rare") - F.col("n_tokens") * math.log10(vocabulary.tokens + vocabulary.distinct + 1)
-    rest = F.col("log_rest") + F.col("log_rare") - F.col("n_rest") * math.log10(vocabulary.rest_tokens + vocabulary.rest_distinct + 1)
+    rest = F.col("log_rest") + F.col("log_rare") - F.col("rest_sizes")
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.col("n_rare")).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("network") + rest).alias("score"))
 
 

@@ -272,8 +272,8 @@ def test_scores(docs, nothing):
 
 def test_gru_gradient_and_lanes():
     rng = np.random.default_rng(0)
-    docs = [rng.integers(0, 256, n).astype(np.int16) for n in (5, 9, 3, 7)]
-    v = gru.start_vector(np.ones(256)).astype(np.float64)
+    docs = [rng.integers(0, gru.OUTPUTS, n).astype(np.int16) for n in (5, 9, 3, 7)]
+    v = gru.start_vector(np.ones(gru.OUTPUTS)).astype(np.float64)
     laid = gru.Lanes(docs, 2)
     lanes = laid.ids.shape[1]
     used = np.arange(lanes)[None, :] < laid.active[:, None]
@@ -297,7 +297,7 @@ def test_gru_gradient_and_lanes():
 def test_network_learns_order():
     """Held-out text of a fixed cycle gets likelier than its unigram score."""
     ids = np.array([1, 2, 3, 4] * 200 + [0], np.int16)
-    counts = np.zeros(256)
+    counts = np.zeros(gru.OUTPUTS)
     counts[:5] = 1, 200, 200, 200, 200
     v = gru.start_vector(counts)
     before = gru.score(v, [ids], 1)[0]
@@ -307,6 +307,48 @@ def test_network_learns_order():
     assert gru.score(v, [ids], 1)[0] > 0.5 * before
 
 
+def test_network_is_a_distribution():
+    rng = np.random.default_rng(1)
+    p = gru.unpacked(gru.start_vector(np.arange(gru.OUTPUTS, 0, -1)))
+    states = rng.standard_normal((3, gru.HIDDEN)).astype(np.float32)
+    each = [np.exp(gru.log_probabilities(p, np.repeat(s[None, :], gru.OUTPUTS, axis=0), np.arange(gru.OUTPUTS))).sum() for s in states]
+    assert np.allclose(each, 1, atol=1e-4)
+
+
+def test_rest_symbols_agree_and_shares_add_up(spark):
+    counts = {**{f"w{k}": 5 + k % 7 for k in range(3000)}, "é": 4, "": 1, "ab": 2, scoring.END: 9}
+    words = spark.createDataFrame(list(counts.items()), "word string, c long")
+    found = {r.word: r.s for r in words.select("word", scoring.rest_symbol_column(F.col("word")).alias("s")).collect()}
+    assert found == {w: scoring.rest_symbol(w.encode()) for w in counts}
+    rests: dict = {}
+    for w, c in counts.items():
+        n, v = rests.get(found[w], (0, 0))
+        rests[found[w]] = n + c, v + 1
+    voc = scoring.Vocabulary(list(counts.items()), rests)
+    assert (voc.tokens, voc.distinct) == (sum(counts.values()), len(counts))
+    mass = np.zeros(scoring.RESTS)
+    first = gru.OUTPUTS - scoring.RESTS
+    for w in voc.index:
+        symbol = int(voc.ids([w], voc.places([w]))[0]) - first
+        if symbol >= 0:
+            mass[symbol] += (counts[w.decode()] + 1) / 10 ** voc.log_rest_sizes[symbol]
+    assert np.allclose(mass + 10**-voc.log_rest_sizes, 1)
+
+
+def test_held_out_score_beats_base(spark):
+    """Texts of a chain of 3000 words, most of them rest words: the model knows what follows, the base score doesn't."""
+    rng = np.random.default_rng(2)
+    forms = [f"{rng.integers(1e9):x}{('ing', 'ed', 'ly', 'ness')[k % 4]}" for k in range(3000)]
+    rows = []
+    for i in range(700):
+        at = rng.integers(0, 750) * 4
+        chain = [forms[(at + 4 * int(rng.integers(0, 750)) + k) % 3000] for k in range(300)]
+        rows.append((i, " ".join(chain)))
+    found = scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out")
+    sums = found.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert sums.n > 20_000 and sums.s > sums.b + 0.1 * sums.n
+
+
 def test_held_out_is_by_crc(spark):
     ids = spark.range(200).select(F.col("id").alias("doc_id"))
     for r in ids.select("doc_id", scoring.held_out().alias("a"), language.held_out().alias("b")).collect():
