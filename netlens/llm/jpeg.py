@@ -3,7 +3,8 @@
 Both work on many restart segments in step: each is independent, so a segment is a lane of
 numpy arrays, and one step codes one symbol of every lane. An image without restart markers is
 one lane. The reader takes any baseline image (8-bit samples, Huffman coding, one interleaved
-scan or a single component, any sampling factors and restart interval).
+scan or a single component, any sampling factors and restart interval). What a file claims is checked
+before anything of its size is made: an image has no more blocks than its scan's bits can code.
 """
 
 import numpy as np
@@ -151,6 +152,8 @@ class Image:
         while body:
             wide = body[0] >> 4
             n = BLOCK * (1 + wide)
+            if wide > 1 or len(body) <= n:
+                raise ValueError("broken quantisation table")
             self.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else "u1").astype(np.int64)
             body = body[1 + n :]
 
@@ -158,6 +161,8 @@ class Image:
         while body:
             counts = list(body[1:17])
             n = sum(counts)
+            if len(body) < 17 + n:
+                raise ValueError("broken Huffman table")
             self.huffman[body[0]] = (tuple(counts), body[17 : 17 + n])
             body = body[17 + n :]
 
@@ -166,6 +171,8 @@ class Image:
             raise ValueError("not 8-bit")
         self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
         self.parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])}
+        if not 1 <= len(self.parts) <= 4 or len(self.parts) != body[5] or not all(1 <= n <= 4 for h, v, _ in self.parts.values() for n in (h, v)):
+            raise ValueError("broken sampling")
         self.most = max(h for h, _, _ in self.parts.values()), max(v for _, v, _ in self.parts.values())
 
     def _scan(self, body: bytes) -> None:
@@ -184,12 +191,17 @@ class Image:
         self.shape = shape[0]
         self.blocks = tuple((k, self.huffman[t >> 4], self.huffman[16 | t & 15]) for k, ((_, t), (h, v)) in enumerate(zip(scanned, shape, strict=True)) for _ in range(h * v))
         self.mcus = self.grid[0] * self.grid[1]
+        if len({c for c, _ in scanned}) != len(scanned) or self.parts[self.first][2] not in self.quant:
+            raise ValueError("broken scan")
 
     def _data(self, data: bytes, at: int) -> None:
         end = at
         while (end := data.find(b"\xff", end)) >= 0 and end + 1 < len(data) and (data[end + 1] == 0 or RST0 <= data[end + 1] < RST0 + 8 or data[end + 1] == 0xFF):
             end += 1 + (data[end + 1] != 0xFF)
         scan = data[at : end if end >= 0 else len(data)]
+        # A block has two codes of one bit at least.
+        if self.mcus * len(self.blocks) > 4 * len(scan):
+            raise ValueError("more blocks than the scan can hold")
         parts, start, k = [], 0, 0
         if self.restart:
             while (found := scan.find(bytes([0xFF, RST0 + k % 8]), start)) >= 0:
@@ -206,6 +218,8 @@ class Image:
         return [min(self.restart, self.mcus - k) for k in range(0, self.mcus, self.restart)]
 
 
+#: Look-up tables of a worker, at most so many.
+MOST_TABLES = 32
 _luts: dict = {}
 
 
@@ -215,12 +229,15 @@ def _lut(table: tuple) -> np.ndarray:
         lut = np.zeros(1 << 16, np.int64)
         for symbol, length, code in canonical(list(table[0]), table[1]):
             lut[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
+        if len(_luts) >= MOST_TABLES:
+            _luts.clear()
         _luts[table] = lut
     return _luts[table]
 
 
-def decode(images: list[Image]) -> list[np.ndarray | None]:
-    """Coefficients of each image: (blocks, 64) in zigzag order, DC values summed up; None where the data are broken.
+def decode(images: list[Image], kept: int = BLOCK) -> list[np.ndarray | None]:
+    """The first ``kept`` coefficients of each block of each image: (blocks, kept) in zigzag order, DC values summed up;
+    None where the data are broken.
 
     The images must have the same ``blocks``.
     """
@@ -241,12 +258,12 @@ def decode(images: list[Image]) -> list[np.ndarray | None]:
     window |= flat[4:]
     starts = np.r_[0, np.cumsum(sizes + 8)[:-1]]
     first_block = np.r_[0, np.cumsum(n_blocks)[:-1]]
-    out = np.zeros(int(n_blocks.sum()) * BLOCK, np.int16)
+    out = np.zeros(int(n_blocks.sum()) * kept, np.int16)
     bad = np.zeros(len(segments), bool)
     # Lanes by number of blocks, so that those still running are always a front part.
     lane = np.argsort(-n_blocks, kind="stable")
     bit, limit = starts[lane] * 8, (starts[lane] + sizes[lane]) * 8
-    left, base = n_blocks[lane], first_block[lane] * BLOCK
+    left, base = n_blocks[lane], first_block[lane] * kept
     turn, k = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
     predicted = np.zeros((int(component.max()) + 1, len(lane)), np.int64)
     rows = np.arange(len(lane))
@@ -269,13 +286,14 @@ def decode(images: list[Image]) -> list[np.ndarray | None]:
             predicted[component[turn[dcs]], dcs] += value[dcs] * some[dcs]
             value[dcs] = predicted[component[turn[dcs]], dcs]
             some |= is_dc
-        out[(base + at)[some]] = value[some]
+        held = some & (at < kept)
+        out[(base + at)[held]] = value[held]
         ended = ~is_dc & ~some & (symbol != 0xF0)
         k = np.where(is_dc, 1, np.where(some, at + 1, np.where(ended, BLOCK, k + 16)))
         broken = (length == 0) | (bit > limit) | (size > 11)
         done = k >= BLOCK
         if done.any():
-            base[done] += BLOCK
+            base[done] += kept
             left[done] -= 1
             turn[done] = (turn[done] + 1) % per
             k[done] = 0
@@ -289,7 +307,7 @@ def decode(images: list[Image]) -> list[np.ndarray | None]:
     found, seg, at = [], 0, 0
     for image in images:
         n = image.mcus * per
-        found.append(None if bad[seg : seg + len(image.segments)].any() else out[at * BLOCK : (at + n) * BLOCK].reshape(n, BLOCK))
+        found.append(None if bad[seg : seg + len(image.segments)].any() else out[at * kept : (at + n) * kept].reshape(n, kept))
         seg += len(image.segments)
         at += n
     return found

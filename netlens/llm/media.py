@@ -4,7 +4,8 @@
 coefficients of a colour image: an MCU of three 8 by 8 blocks holds 192 bytes. Coefficients are
 what baseline JPEG keeps exactly, so the payload is lossless. ``inspect`` parses the markers of
 any baseline file, decodes its scan, and gives dimensions, a DC-only luminance thumbnail's hash
-and, for files that ``store`` made, the payload.
+and, for files that ``store`` made, the payload. Of other files only DC values are kept, so a file takes
+memory in proportion to its bytes, whatever it claims.
 
 Defined results: a null or empty text is 192 blanks. A null or broken file gives null features.
 Repeated rows give a row each; equal texts give equal files. An empty table gives an empty
@@ -12,6 +13,7 @@ result. Other columns are not looked at.
 """
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -74,31 +76,47 @@ def write_files(texts: list[bytes]) -> list[bytes]:
     return [jpeg.joined(jpeg.header(8 * c, 8 * r, COMPONENTS, RESTART, b"payload %d %d" % (len(t), len(p))), s) for t, p, (c, r), s in zip(texts, payloads, shapes, coded, strict=True)]
 
 
+#: Bits of the shortest code that ``write_files`` writes for a coefficient, with its sign and value.
+LEAST_BITS = 6
+
+
+def said_of(image: jpeg.Image) -> tuple[int, int] | None:
+    """The text's and the payload's bytes that a file of ``write_files`` names; None for any other file."""
+    said = re.fullmatch(rb"payload (\d{1,18}) (\d{1,18})", image.comment)
+    if not said or len(image.blocks) != COMPONENTS:
+        return None
+    n, padded_size = int(said[1]), int(said[2])
+    holds = image.mcus * UNIT
+    if not n <= padded_size <= holds or padded_size % UNIT or holds * LEAST_BITS > 8 * sum(map(len, image.segments)):
+        return None
+    return n, padded_size
+
+
 def payload_of(image: jpeg.Image, coefficients: np.ndarray) -> tuple[int, bytes] | None:
     """Length without padding and the payload of a file of ``write_files``; None for others."""
-    said = image.comment.split()
-    if len(said) != 3 or said[0] != b"payload":
+    said = said_of(image)
+    if said is None:
         return None
     values = coefficients.ravel()
     data = (values + np.where(values < 0, 128, 127)).astype(np.uint8).tobytes()
-    return int(said[1]), data[: int(said[2])]
+    return said[0], data[: said[1]]
 
 
 def read_files(files: list[bytes | None]) -> list[tuple | None]:
-    """(image, coefficients) of each file; None for broken ones."""
+    """(image, coefficients) of each file, those of files without a payload cut to DC; None for broken ones."""
     images: dict[int, jpeg.Image] = {}
     for k, data in enumerate(files):
         if data:
             try:
                 images[k] = jpeg.Image(data)
-            except (ValueError, IndexError, KeyError):
+            except (ValueError, IndexError, KeyError):  # what the parser raises for broken markers
                 continue
     alike: dict[tuple, list[int]] = {}
     for k, image in images.items():
-        alike.setdefault(image.blocks, []).append(k)
+        alike.setdefault((image.blocks, jpeg.BLOCK if said_of(image) else 1), []).append(k)
     out: list[tuple | None] = [None] * len(files)
-    for group in alike.values():
-        for k, found in zip(group, jpeg.decode([images[k] for k in group]), strict=True):
+    for (_, kept), group in alike.items():
+        for k, found in zip(group, jpeg.decode([images[k] for k in group], kept), strict=True):
             out[k] = None if found is None else (images[k], found)
     return out
 
