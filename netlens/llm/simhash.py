@@ -3,10 +3,14 @@
 A fingerprint is cut into five segments on a ring. If two fingerprints differ in at most four
 bits, then some segment starts a chain whose cumulative differences stay within their
 proportional budgets: none in one segment, at most 1 in two, 2 in three, 3 in four, 4 in all
-(pigeonring principle, strong form). The join key is the first two links of such a chain: the
-first segment as it is, and the second with at most one bit changed, on one side of the join.
-That is a key of 25 or 26 bits. The remaining links of the chain are checked before the full
-Hamming distance.
+(pigeonring principle, strong form). The join key is the first three links of such a chain, 38 or 39
+bits: the first segment as it is, and the next two with the bits changed in which the two fingerprints
+may differ there. The changes are split over both sides of the join: one side changes no bit, one of the
+second segment or one of the third, the other side no bit or one of the third, which makes up each
+difference within the budgets in exactly one way. A pair counts at the first start whose whole chain
+keeps its budgets and at that way alone, so it comes out once without a shuffle; the full
+Hamming distance is checked last. With keys of 38 bits chance meetings stay below one for each
+fingerprint up to some 10^8 of them.
 
 Work is on distinct fingerprints: copies, however many, never meet in a join. Near copies are
 few fingerprints, as only bits near a tie change. Components come from the links by rounds of
@@ -77,25 +81,40 @@ def segment(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+#: Bits of a packed key below the key itself: the changed bit of the third link, from 1, or 0.
+FLIP_BITS = 4
+
+
 def ring_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` at distance 4 or less."""
-    exact, varied = [], []
+    """Links (a, b), a < b, between distinct fingerprints ``fp`` at distance 4 or less, each once."""
+    one_side, other_side = [], []
+    long = lambda n: F.lit(n).cast("long")
     for k in range(SEGMENTS):
-        chain = F.lit(k << 32).cast("long") + segment(F.col("fp"), k) * F.lit(1 << 16).cast("long")
-        follow = segment(F.col("fp"), k + 1)
-        exact.append(chain + follow)
-        varied += [chain + follow, *(chain + follow.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(RING[(k + 1) % SEGMENTS][1]))]
-    left = nodes.select(F.col("fp").alias("a"), F.explode(F.array(*exact)).alias("key"))
-    right = nodes.select(F.col("fp").alias("b"), F.explode(F.array(*varied)).alias("key"))
-    differ, start = F.col("a").bitwiseXOR(F.col("b")), F.shiftright("key", 32)
-
-    def changed(links: int) -> Column:
-        """Bits that differ in the first links of the chain that the key starts."""
-        counts = [F.bit_count(segment(differ, k)) for k in range(SEGMENTS)]
-        return F.coalesce(*(F.when(start == k, sum((counts[(k + j) % SEGMENTS] for j in range(1, links)), counts[k])) for k in range(SEGMENTS)))
-
-    within = (F.col("a") < F.col("b")) & (changed(3) <= 2) & (changed(4) <= 3) & (F.bit_count(differ) <= DISTANCE)
-    return left.join(right.hint("merge"), "key").where(within).select("a", "b").distinct()
+        second, third = ([1 << b for b in range(RING[(k + j) % SEGMENTS][1])] for j in (1, 2))
+        links = [segment(F.col("fp"), k + j) for j in range(3)]
+        place = [1 << (FLIP_BITS + 13 * (2 - j)) for j in range(3)]
+        plain = sum((x * long(p) for x, p in zip(links, place, strict=True)), long(k << (FLIP_BITS + 39)))
+        # A bit of a link is the same bit of the packed key, moved to the link's place.
+        changed = [plain.bitwiseXOR(long(b * place[2])) + long(n) for n, b in enumerate(third, 1)]
+        one_side += [plain, *(plain.bitwiseXOR(long(b * place[1])) for b in second), *changed]
+        other_side += [plain, *changed]
+
+    def keyed(name: str, flip: str, packed: list[Column]) -> DataFrame:
+        exploded = nodes.select(F.col("fp").alias(name), F.explode(F.array(*packed)).alias("packed"))
+        return exploded.select(name, F.shiftright("packed", FLIP_BITS).alias("key"), F.col("packed").bitwiseAND(long((1 << FLIP_BITS) - 1)).cast("byte").alias(flip))
+
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    counts = [F.bit_count(segment(differ, k)) for k in range(SEGMENTS)]
+
+    def keeps(k: int) -> Column:
+        upto = lambda n: sum((counts[(k + j) % SEGMENTS] for j in range(1, n)), counts[k])
+        return (upto(1) == 0) & (upto(2) <= 1) & (upto(3) <= 2) & (upto(4) <= 3)
+
+    first = F.coalesce(*(F.when(keeps(k), k) for k in range(SEGMENTS)))
+    once = (F.col("flip_a") == 0) | (F.col("flip_b") > F.col("flip_a"))
+    within = (F.col("a") < F.col("b")) & once & (F.bit_count(differ) <= DISTANCE) & (F.shiftright("key", 39) == first)
+    joined = keyed("a", "flip_a", one_side).join(keyed("b", "flip_b", other_side).hint("merge"), "key")
+    return joined.where(within).select("a", "b")
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -85,14 +85,66 @@ def test_quality_features(docs, spark):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_windows_are_compared_by_words(spark, monkeypatch):
+    """Even if all hashes were equal, only equal windows count."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(list("abcdefg"), int(n))) for n in r.integers(3, 60, 60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = {i: plain_features(t)[4] for i, t in enumerate(texts)}
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    found = {r.doc_id: r.n_repeat_words for r in quality.features(frame).collect()}
+    monkeypatch.undo()
+    assert found == expected
+
+
+def plain_estimate(patterns, size, share, rates, prior):
+    """Responsibilities and rates of the two-class model, straight from Bayes' rule."""
+    total = sum(patterns.values())
+    prior = prior[0] + prior[1] * total
+    first, start = share, list(rates)
+    for _ in range(quality.ITERATIONS):
+        weight = {}
+        for v in patterns:
+            good, bad = share, 1 - share
+            for (g, b), x in zip(rates, v):
+                good *= {1: g, -1: 1 - g, 0: 1}[x]
+                bad *= {1: 1 - b, -1: b, 0: 1}[x]
+            weight[v] = good / (good + bad)
+        share = (sum(n * weight[v] for v, n in patterns.items()) + prior * first) / (total + prior)
+        sums = lambda k, value, mine: sum(n * mine(v) for v, n in patterns.items() if (v[k] == value if value else v[k]))
+        rates = [((sums(k, 1, weight.get) + prior * start[k][0]) / (sums(k, 0, weight.get) + prior), (sums(k, -1, lambda v: 1 - weight[v]) + prior * start[k][1]) / (sums(k, 0, lambda v: 1 - weight[v]) + prior)) for k in range(size)]
+    return share, rates
+
+
 def test_quality_estimates_accuracies(nothing):
-    good, bad = (1, 1, 1, 1), (1, -1, 1, 1)
-    share, rates = quality.estimate([(good, 900), (bad, 100)], 4)
-    assert share > 0.8 and rates[1][1] > 0.5
-    assert quality.posterior(good, share, rates) > 0.9 > 0.5 > quality.posterior(bad, share, rates)
+    rng = np.random.default_rng(9)
+    share, rates = 0.85, [(0.97, 0.8), (0.99, 0.6), (0.95, 0.7), (0.9, 0.2)]
+    counts: Counter = Counter()
+    right = []
+    for good in rng.random(20000) < share:
+        votes = tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < g) else -1) if good else (-1 if rng.random() < b else 1) for g, b in rates)
+        counts[votes] += 1
+        right.append((votes, good))
+    found_share, found = quality.estimate(sorted(counts.items()), 4)
+    assert abs(found_share - share) < 0.02
+    assert all(abs(a - c) < 0.03 and abs(b - d) < 0.06 for (a, b), (c, d) in zip(found, rates, strict=True))
+    assert sum((quality.posterior(v, found_share, found) >= 0.5) == good for v, good in right) > 0.95 * len(right)
+    plain_share, plain = plain_estimate(counts, 4, quality.START_SHARE, [(quality.START_GOOD, quality.START_BAD)] * 4, (quality.PRIOR, quality.PRIOR_PART))
+    assert abs(plain_share - found_share) < 1e-9 and np.allclose(plain, found)
     assert quality.judge(nothing).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """Junk goes by the votes of several rules, prose stays; each row's verdict is that of its own votes."""
+    rng = np.random.default_rng(6)
+    prose = [" ".join(f"word{rng.integers(5000)}"[: int(rng.integers(3, 9))] + chr(97 + int(rng.integers(26))) for _ in range(200)) for _ in range(300)]
+    junk = [" ".join(("##||##" if k % 2 else f"x{rng.integers(900)}") for k in range(200)) for _ in range(30)]
+    frame = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id long, text string")
+    found = {r.doc_id: r for r in quality.judge(frame).collect()}
+    assert all(found[i].kept for i in range(300)) and not any(found[300 + i].kept for i in range(30))
+    assert not any(found[300 + i].base_failed for i in range(30))
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
 
@@ -137,7 +189,9 @@ def test_ring_links_lose_none(spark):
             prints.add(f ^ sum(1 << int(b) for b in rng.choice(64, d, replace=False)))
     prints = sorted(prints)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    found = {tuple(r) for r in simhash.ring_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    links = [tuple(r) for r in simhash.ring_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    found = set(links)
+    assert len(links) == len(found)
     expected = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
     assert found == expected
 
@@ -249,6 +303,87 @@ def test_jpeg_with_runs_and_end_of_block():
     assert jpeg.thumbnail(image, out).tolist() == [[138, 138]]
 
 
+def inspected(spark, files):
+    frame = spark.createDataFrame(list(enumerate(map(bytearray, files))), "doc_id long, media binary")
+    return {r.doc_id: r for r in media.inspect(frame).collect()}
+
+
+def markers(data):
+    """(start, end) of each marker segment before the scan data."""
+    at, out = 2, []
+    while data[at + 1] != jpeg.SOS:
+        end = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        out.append((at, end))
+        at = end
+    return out
+
+
+def test_media_reader_survives_anything(spark):
+    """Claims that the bytes can't hold, zero sampling, wrong comments, and random damage give null features, never an error."""
+    whole = media.write_files([b"some text of a few words " * 40])[0]
+    frame_at = next(a for a, _ in markers(whole) if whole[a + 1] == jpeg.SOF0)
+    bad = [whole[: frame_at + 5] + b"\xff\xff\xff\xff" + whole[frame_at + 9 :]]
+    bad += [whole[: frame_at + 11 + 3 * k] + bytes([x]) + whole[frame_at + 12 + 3 * k :] for k in range(3) for x in (0, 0x10, 0x01, 0xFF)]
+    comment = b"payload 1000 1152"
+    assert comment in whole
+    foreign = [whole.replace(comment, c) for c in (b"payload xx   1152", b"payload 9999 1152", b"payload 1000 9999", b"payload 1000 1151", b"payload -1   1152")]
+    rng = np.random.default_rng(11)
+    damaged = []
+    for _ in range(1500):
+        data = bytearray(whole)
+        for _ in range(int(rng.integers(1, 6))):
+            k = int(rng.integers(0, 700 if rng.random() < 0.7 else len(data)))
+            kind = rng.integers(3)
+            if kind == 0:
+                data[k] = int(rng.integers(256))
+            elif kind == 1:
+                del data[k : k + int(rng.integers(1, 9))]
+            else:
+                data[k:k] = rng.bytes(int(rng.integers(1, 9)))
+        damaged.append(bytes(data))
+    found = inspected(spark, [whole, *bad, *foreign, *damaged])
+    assert found[0].n_bytes == 1000 and all(found[1 + k].width is None for k in range(len(bad)))
+    assert all(found[1 + len(bad) + k].width == found[0].width and found[1 + len(bad) + k].n_bytes is None for k in range(len(foreign)))
+    assert len(found) == 1 + len(bad) + len(foreign) + len(damaged)
+
+
+def test_tables_of_many_files_are_bounded():
+    for k in range(3 * jpeg.MOST_TABLES):
+        jpeg._lut(((0,) * 7 + (k + 1,) + (0,) * 8, bytes(range(k + 1))))
+    assert len(jpeg._luts) <= jpeg.MOST_TABLES
+
+
+def test_jpeg_against_another_codec(spark):
+    """Java's codec reads what the writer makes, and the reader agrees with it on files that Java wrote, colour and grey."""
+    jvm = spark.sparkContext._jvm
+    io, streams = jvm.javax.imageio.ImageIO, jvm.java.io
+    made = media.write_files([bytes(range(256)) * 20])[0]
+    seen = io.read(streams.ByteArrayInputStream(made))
+    image = jpeg.Image(made)
+    assert (seen.getWidth(), seen.getHeight()) == (image.width, image.height)
+    rng = np.random.default_rng(3)
+    for kind, bands in ((10, 1), (5, 3)):  # TYPE_BYTE_GRAY, TYPE_3BYTE_BGR
+        width, height = 67, 43
+        picture = jvm.java.awt.image.BufferedImage(width, height, kind)
+        raster = picture.getRaster()
+        blocks = rng.integers(30, 220, (6, 9))
+        for y in range(height):
+            for x in range(width):
+                for band in range(bands):
+                    raster.setSample(x, y, band, int(blocks[y // 8, x // 8]))
+        out = streams.ByteArrayOutputStream()
+        assert io.write(picture, "jpg", out)
+        data = bytes(out.toByteArray())
+        back = io.read(streams.ByteArrayInputStream(data)).getRaster()
+        (image, coefficients), = media.read_files([data])
+        pixels = jpeg.thumbnail(image, coefficients)
+        assert (image.width, image.height) == (width, height)
+        for y in range(0, 40, 8):
+            for x in range(0, 64, 8):
+                mean = np.mean([back.getSample(x + i, y + j, 0) for i in range(0, 8, 2) for j in range(0, 8, 2)])
+                assert abs(float(pixels[y // 8, x // 8]) - mean) < 4
+
+
 def test_scores(docs, nothing):
     found = scoring.score(docs).collect()
     rows = docs.select("doc_id", "text").collect()
