@@ -25,6 +25,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def scanned(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element the combination of all up to it, in rounds over doubled steps: n log n in all.
+
+    A fold that appends to an array would copy it at each step. ``combine`` is associative.
+    """
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values).cast("long"))) - 1)
+
+    def one_round(held: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        return let(step, lambda n: F.transform(held, lambda x, i: F.when(i < n, x).otherwise(combine(F.get(held, i - n), x))))
+
+    return F.aggregate(rounds, values, one_round)
+
+
 def words(text: Column) -> Column:
     """Words of a text between ASCII white space; empty for null."""
     parts = F.split(F.btrim(text, F.lit(SPACE_CHARS)), SPACE + "+")

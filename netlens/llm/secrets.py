@@ -19,7 +19,7 @@ an empty result. Other columns are not looked at.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm.columns import documents, let, unused_name
+from netlens.llm.columns import documents, let, scanned, unused_name
 from netlens.storage import materialize
 
 SCOPE = 300
@@ -43,14 +43,13 @@ def spans(text: Column, pattern: str, kind: str, passes=lambda match: F.lit(True
 
     def found(pieces: Column) -> Column:
         def placed(matches: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(pieces, i))
-                match = F.get(matches, i)
-                span = F.struct(start.alias("start"), rank.alias("rank"), (start + F.length(match)).alias("end"))
-                return F.struct((start + F.length(match)).alias("at"), F.when(passes(match), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+            steps = F.transform(matches, lambda m, i: (F.length(F.get(pieces, i)) + F.length(m)).cast("long"))
+            ends = let(steps, lambda lengths: scanned(lengths, lambda a, b: a + b))
 
-            zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(EMPTY).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step)["out"]
+            def span(match: Column, end: Column) -> Column:
+                return F.when(passes(match), F.struct((end - F.length(match)).alias("start"), rank.alias("rank"), end.alias("end")))
+
+            return let(ends, lambda e: F.array_compact(F.transform(matches, lambda m, i: span(m, F.get(e, i)))))
 
         return F.when(F.size(pieces) == 1, F.array().cast(EMPTY)).otherwise(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed))
 
@@ -115,18 +114,36 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 MASK = "[secret]"
+#: Code points of a chunk; a cut of the text looks at no more than its two outer chunks besides what it takes.
+CHUNK = 512
+
+
+def between(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text that is given in chunks."""
+    first, last = (F.floor(x / CHUNK).cast("int") for x in (start, end))
+    at, until = ((x % CHUNK).cast("int") for x in (start, end))
+    middle = F.when(last - first > 1, F.array_join(F.slice(chunks, first + 2, last - first - 1), "")).otherwise("")
+    outer = F.concat(F.substring(F.get(chunks, first), at + 1, F.lit(CHUNK)), middle, F.coalesce(F.substring(F.get(chunks, last), F.lit(1), until), F.lit("")))
+    return F.when(start >= end, "").when(first == last, F.substring(F.get(chunks, first), at + 1, until - at)).otherwise(outer)
 
 
 def masked(text: Column, found: Column) -> Column:
-    """The text with each run of overlapping spans replaced by MASK."""
+    """The text with each run of overlapping spans (sorted by start) replaced by MASK."""
+
+    def cut(chunks: Column, reach: Column) -> Column:
+        """``reach``: the largest end of the spans up to each."""
+
+        def gap(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(reach, i - 1), F.lit(0).cast("long"))
+            return F.when((i == 0) | (s["start"] >= before), F.concat(between(chunks, before, s["start"]), F.lit(MASK))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["text"]).otherwise(gap).alias("text"))
+        size = (F.size(chunks) - 1) * CHUNK + F.length(F.element_at(chunks, -1))
+        return F.concat(F.array_join(F.transform(found, gap), ""), between(chunks, F.element_at(reach, -1), size.cast("long")))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
-    whole = F.aggregate(found, zero, step, lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(found) == 0, text).otherwise(whole)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    ends = F.transform(found, lambda s: s["end"])
+    reach = let(ends, lambda e: scanned(e, lambda a, b: F.greatest(a, b)))
+    return F.when(F.size(found) == 0, text).otherwise(let(chunks, lambda c: let(reach, lambda r: cut(c, r))))
 
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
