@@ -1,14 +1,19 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Lines with a license cue (and licence files as a whole) become sparse TF-IDF vectors; their
-cosine to each template comes from a join of terms. Template weights are a bounded table. A file
+Each template has an anchor, a word that few texts hold. Wherever a text has an anchor, the terms around
+it make a window of the template's length, across line breaks and comment marks, which are no terms; so a
+wrapped header, a sentence within a paragraph and a title within a whole licence file are all seen as
+they are. Windows become sparse TF-IDF vectors, whose cosine to their template comes from a join of terms.
+Template weights are a bounded table. An SPDX identifier in the text decides before any cosine. A file
 with no license of its own takes that of the nearest directory above that holds a licence file:
 directories, not files, are joined to their ancestors, and files to their directory.
 
-Every line of every text is looked at. Defined results: a null text or path has none, score 0
-and no source. Of equal scores the first template by name wins; of several licence files in one
-directory the highest score, then the first name. Repeated rows are numbered when written and
-judged each by itself. An empty table gives an empty result. Other columns are not looked at.
+Every text is looked at as a whole, and explode makes rows of windows, never of texts. Names are SPDX
+identifiers, without what says whether later versions are allowed. Defined results: a null text or path
+has none, score 0 and no source. Of several identifiers the first counts. Of equal scores the first
+license by name wins; of several licence files in one directory the highest score, then the first name.
+Repeated rows are numbered when written and judged each by itself. An empty table gives an empty result.
+Other columns are not looked at.
 """
 
 import math
@@ -17,27 +22,51 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm.columns import ascii_lower, documents
+from netlens.llm.columns import ascii_lower, documents, let
 from netlens.storage import materialize
 
-# Templates of headers and licence files.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-    "Apache-2.0 short": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-4.0 short": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",
-    "CC-BY-NC-4.0 short": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
-    "GPL-3.0 short": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "MIT short": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+GNU = {"GPL": "General Public License", "LGPL": "Lesser General Public License", "AGPL": "Affero General Public License"}
+GNU_VERSIONS = {"GPL": ("2.0", "3.0"), "LGPL": ("2.1", "3.0"), "AGPL": ("3.0",)}
+CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution ShareAlike", "BY-NC": "Attribution NonCommercial", "BY-ND": "Attribution NoDerivatives", "BY-NC-SA": "Attribution NonCommercial ShareAlike"}
+
+# Sentences of headers and licence files, by license; the anchor of each stands before the bar.
+SENTENCES = {
+    "Apache-2.0": [
+        "licensed|Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "licensed|Licensed under the Apache License, Version 2.0.",
+        "license|Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ],
+    "BSD-2-Clause": [
+        "redistribution|Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors as is and any express or implied warranties",
+        "licensed|Licensed under the BSD 2-Clause License.",
+    ],
+    "BSD-3-Clause": [
+        "redistribution|Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "licensed|Licensed under the BSD 3-Clause License.",
+    ],
+    "BSL-1.0": ["permission|Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "license|Boost Software License Version 1.0"],
+    "CC0-1.0": ["creative|Creative Commons Legal Code CC0 1.0 Universal", "cc0|released under CC0 1.0 Universal public domain dedication"],
+    "EPL-2.0": ["eclipse|made available under the terms of the Eclipse Public License 2.0 which is available at", "eclipse|Eclipse Public License v 2.0"],
+    "ISC": ["permission|Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "license|Released under the ISC License."],
+    "MIT": [
+        "permission|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "license|Released under the MIT License.",
+        "licensed|Licensed under the MIT license.",
+        "license|The MIT License (MIT) Copyright (c)",
+    ],
+    "MPL-2.0": [
+        "mozilla|This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+        "mozilla|subject to the terms of the Mozilla Public License, v. 2.0.",
+        "mozilla|Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity",
+    ],
+    "Unlicense": ["unencumbered|This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
+    "Zlib": ["permission|In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
 }
-CUE = "licen[sc]e|copyright|spdx|hereby granted|redistribution and use"
+#: Months and years of the titles that GNU licences carry.
+GNU_DATES = {"GPL-2.0": "June 1991", "GPL-3.0": "29 June 2007", "LGPL-2.1": "February 1999", "LGPL-3.0": "29 June 2007", "AGPL-3.0": "19 November 2007"}
+
 FILE_NAMES = "^(license|licence|copying|notice)([.-].*)?$"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 LEAST_COSINE = 0.6
 
 
@@ -45,59 +74,116 @@ def terms_of(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def template_weights() -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(template, term, weight of unit length), inverse document frequencies, and that of unknown terms."""
-    n = len(TEMPLATES)
+def templates() -> list[tuple[str, str, list[str]]]:
+    """(license, anchor, terms) of each template."""
+    texts = [(name, *x.split("|")) for name, each in SENTENCES.items() for x in each]
+    for short, title in GNU.items():
+        for full in GNU_VERSIONS[short]:
+            name, version = f"{short}-{full}", full.removesuffix(".0")
+            texts += [
+                *((name, "gnu", f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version") for work in ("program", "library")),
+                (name, "gnu", f"you can redistribute it and/or modify it under the terms of the GNU {title} version {version} as published by the Free Software Foundation"),
+                (name, "gnu", f"This work is licensed under the GNU {title}, version {version}."),
+                (name, "gnu", f"GNU {title} Version {version}, {GNU_DATES[name]} Copyright (C)"),
+            ]
+    for short, title in CREATIVE.items():
+        texts += [(f"CC-{short}-4.0", "creative", f"This work is licensed under a Creative Commons {title} 4.0 International License."), (f"CC-{short}-4.0", "cc", f"Licensed under CC {short} 4.0.")]
+    return [(name, anchor, terms_of(text)) for name, anchor, text in texts]
+
+
+def template_tables() -> tuple[list[tuple], list[tuple], dict[str, float], float]:
+    """Windows (template, license, anchor, offset, length), weights of unit length (template, term, weight), inverse document
+    frequencies, and that of unknown terms."""
+    every = templates()
     frequency: dict[str, int] = {}
-    for text in TEMPLATES.values():
-        for term in set(terms_of(text)):
+    for _, _, terms in every:
+        for term in set(terms):
             frequency[term] = frequency.get(term, 0) + 1
-    idf = {t: math.log(1 + n / f) for t, f in sorted(frequency.items())}
-    rows = []
-    for name, text in TEMPLATES.items():
-        terms = terms_of(text)
+    idf = {t: math.log(1 + len(every) / f) for t, f in sorted(frequency.items())}
+    windows, weights = [], []
+    for k, (name, anchor, terms) in enumerate(every):
+        windows.append((k, name, anchor, terms.index(anchor), len(terms)))
         raw = {t: terms.count(t) * idf[t] for t in sorted(set(terms))}
         size = math.sqrt(sum(w * w for w in raw.values()))
-        rows += [(name, t, w / size) for t, w in raw.items()]
-    return rows, idf, math.log(1 + n)
+        weights += [(k, t, w / size) for t, w in raw.items()]
+    return windows, weights, idf, math.log(1 + len(every))
+
+
+def anchors() -> list[str]:
+    return sorted({anchor for _, anchor, _ in templates()})
+
+
+def cue() -> str:
+    return "(^|[^a-z0-9])(" + "|".join(anchors()) + ")([^a-z0-9]|$)"
+
+
+def plain(text: Column) -> Column:
+    """Lower-case, with one spelling of the word license."""
+    return F.replace(ascii_lower(text), F.lit("licenc"), F.lit("licens"))
 
 
-def segments(files: DataFrame) -> DataFrame:
-    """``row`` and ``segment``: lines with a cue, and licence files' whole texts."""
-    lines = F.filter(F.split(ascii_lower("text"), "\n", -1), lambda line: line.rlike(CUE))
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    whole = F.when(name.rlike(FILE_NAMES), F.array(ascii_lower("text"))).otherwise(F.array().cast("array<string>"))
-    return files.where(F.col("text").isNotNull()).select("row", F.posexplode(F.concat(lines, whole)).alias("at", "segment"))
+def windows_of(found: DataFrame, windows: list[tuple]) -> DataFrame:
+    """``row``, ``at``, ``template`` and ``terms`` of the windows around each anchor in ``plain`` texts."""
+    before, after = max(w[3] for w in windows), max(w[4] - w[3] for w in windows)
+    table = found.sparkSession.createDataFrame(windows, "template int, license string, anchor string, offset int, length int").drop("license")
+
+    def contexts(terms: Column) -> Column:
+        """What lies around each anchor, as far as any template reaches."""
+        hits = F.array_compact(F.transform(terms, lambda t, i: F.when(t.isin(anchors()), i)))
+
+        def context(i: Column) -> Column:
+            start = F.greatest(i - before, F.lit(0))
+            return F.struct(i.alias("at"), (i - start).alias("inside"), F.get(terms, i).alias("anchor"), F.slice(terms, start + 1, F.lit(before + after)).alias("terms"))
+
+        return F.transform(hits, context)
+
+    around = found.select("row", F.explode(let(F.regexp_extract_all("plain", F.lit("[a-z0-9]+"), F.lit(0)), contexts)).alias("c"))
+    joined = around.select("row", "c.at", "c.inside", "c.terms", "c.anchor").join(F.broadcast(table), "anchor")
+    start = F.col("inside") - F.col("offset")
+    window = F.slice("terms", F.greatest(start, F.lit(0)) + 1, F.col("length") + F.least(start, F.lit(0)))
+    return joined.select("row", "at", "template", window.alias("terms"))
 
 
 def best_templates(found: DataFrame) -> DataFrame:
-    """``row``, ``license`` and ``cosine`` of the segment and template that are most alike."""
+    """``row``, ``license`` and ``cosine`` of the window and template that are most alike."""
     spark = found.sparkSession
-    rows, idf, unknown = template_weights()
-    weights = spark.createDataFrame(rows, "template string, term string, weight double")
+    windows, weights, idf, unknown = template_tables()
+    weighed = spark.createDataFrame(weights, "template int, term string, weight double")
     inverse = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    counted = found.select("row", "at", F.explode(F.regexp_extract_all("segment", F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("row", "at", "term").agg(F.count("*").alias("times"))
-    # Both tables of the templates are bounded by the code above.
-    valued = counted.join(F.broadcast(inverse), "term", "left").withColumn("w", F.col("times") * F.coalesce("idf", F.lit(unknown)))
-    sizes = valued.groupBy("row", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = valued.join(F.broadcast(weights), "term").groupBy("row", "at", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(sizes, ["row", "at"]).select("row", "template", F.round(F.col("dot") / F.col("length"), 6).alias("cosine"))
-    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "template")).alias("best"))
-    return best.where(F.col("best.minus") <= -LEAST_COSINE).select("row", F.regexp_replace("best.template", " short$", "").alias("license"), (-F.col("best.minus")).alias("cosine"))
+    names = spark.createDataFrame([(w[0], w[1]) for w in windows], "template int, license string")
+    counted = windows_of(found, windows).select("row", "at", "template", F.explode("terms").alias("term")).groupBy("row", "at", "template", "term").agg(F.count("*").alias("times"))
+    # The tables of the templates are bounded by the code above.
+    valued = counted.join(F.broadcast(inverse), "term", "left").join(F.broadcast(weighed), ["template", "term"], "left").withColumn("w", F.col("times") * F.coalesce("idf", F.lit(unknown)))
+    scored = valued.groupBy("row", "at", "template").agg((F.sum(F.col("w") * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("exact"))
+    named = scored.join(F.broadcast(names), "template").select("row", "license", F.round("exact", 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    best = named.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
+    return best.select("row", F.col("best.license").alias("like"), (-F.col("best.minus")).alias("likeness"))
 
 
 def directory(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+def declared_name(text: Column) -> Column:
+    """The license that an SPDX identifier in the text names, spelled as the templates' names are; null without one."""
+    known = F.create_map(*(F.lit(x) for name in sorted({name for name, _, _ in templates()}) for x in (name.lower(), name)))
+    said = F.regexp_replace(F.nullif(F.regexp_extract(text, SPDX, 1), F.lit("")), r"(-only|-or-later|\+|\.)$", "")
+    return let(said, lambda s: F.coalesce(F.try_element_at(known, F.lower(s)), s))
+
+
 def scan(files: DataFrame, id_column: str, path_column: str, text_column: str) -> DataFrame:
-    """``doc_id``, ``path``, ``license``, ``cosine`` (0 without), ``found_in`` (header, file, inherited, none) and ``inherited_from``."""
+    """``doc_id``, ``path``, ``license``, ``cosine`` (0 without, 1 of an identifier), ``found_in`` (spdx, header, file, inherited,
+    none) and ``inherited_from``."""
     named = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(path_column).alias("path"), F.col(text_column).alias("text"))
-    # One pass over the texts: what the cues leave is small.
-    lines = materialize(named.select("row", "doc_id", "path", F.when(F.lower("text").rlike(CUE) | F.lower(F.element_at(F.split("path", "/"), -1)).rlike(FILE_NAMES), F.col("text")).alias("text")), "license-candidates")
-    own = best_templates(segments(lines))
-    judged = materialize(lines.drop("text").join(own, "row", "left").withColumn("directory", directory(F.col("path"))), "licenses")
-    is_file = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(FILE_NAMES)
+    # One pass over the texts: what the anchors leave is small.
+    low = plain(F.col("text"))
+    said = F.when(F.contains(low, F.lit("spdx-license-identifier:")), declared_name(F.col("text")))
+    lines = materialize(named.select("row", "doc_id", "path", said.alias("declared"), let(low, lambda t: F.when(t.rlike(cue()), t)).alias("plain")), "license-candidates")
+    own = best_templates(lines.where(F.col("plain").isNotNull() & F.col("declared").isNull()).select("row", "plain"))
+    license, cosine = F.coalesce("declared", "like"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.col("likeness"))
+    judged = lines.drop("plain").join(own, "row", "left").select("doc_id", "path", F.col("declared").isNotNull().alias("by_name"), license.alias("license"), cosine.alias("cosine"), directory(F.col("path")).alias("directory"))
+    judged = materialize(judged, "licenses")
+    is_file = F.coalesce(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(FILE_NAMES), F.lit(False))
     declared = judged.where(is_file & F.col("license").isNotNull()).groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("d")).select(F.col("directory").alias("above"), F.col("d.license").alias("from_license"))
     directories = judged.where(F.col("license").isNull() & F.col("directory").isNotNull()).select("directory").distinct()
     steps = F.split("directory", "/")
@@ -105,7 +191,8 @@ def scan(files: DataFrame, id_column: str, path_column: str, text_column: str) -
     ancestors = directories.select("directory", F.explode(F.array_distinct(above)).alias("above"))
     nearest = ancestors.join(declared, "above").groupBy("directory").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "from_license")).alias("n"))
     whole = judged.join(nearest, "directory", "left")
-    found_in = F.when(F.col("license").isNotNull(), F.when(is_file, "file").otherwise("header")).when(F.col("n").isNotNull(), "inherited").otherwise("none")
+    own_place = F.when(is_file, "file").when(F.col("by_name"), "spdx").otherwise("header")
+    found_in = F.when(F.col("license").isNotNull(), own_place).when(F.col("n").isNotNull(), "inherited").otherwise("none")
     return whole.select(
         "doc_id",
         "path",
@@ -117,35 +204,43 @@ def scan(files: DataFrame, id_column: str, path_column: str, text_column: str) -
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` has no paths: its rows are files ``source/hundreds/id.txt``, and ids divisible by 20 are the directory's LICENSE."""
+    """``documents`` has no paths: its rows are files ``source/thousands/hundreds/tens/id.txt``; ids divisible by 20 are LICENSE
+    files, in the source's folder or one to three folders further down in turn."""
     docs = documents(spark, sf_dir)
-    name = F.when(F.col("doc_id") % 20 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), name)
+    folders = F.array(F.coalesce("source", F.lit("none")), *(F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100, 10)))
+    licence = F.concat_ws("/", F.slice(folders, 1, (F.floor(F.col("doc_id") / 20) % 4).cast("int") + 1), F.lit("LICENSE"))
+    path = F.when(F.col("doc_id") % 20 == 0, licence).otherwise(F.concat_ws("/", folders, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     return scan(docs.withColumn("path", path), "doc_id", "path", "text")
 
 
 def oracle() -> str:
-    rows, idf, unknown = template_weights()
-    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::double" for x in r) + ")" for r in rows)
+    windows, weights, idf, unknown = template_tables()
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::double" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
+    known = sorted({name for name, _, _ in templates()})
     return f"""
-WITH weights(template, term, weight) AS (VALUES {values(rows)}),
+WITH windows(template, license, anchor, off, len) AS (VALUES {values(windows)}),
+weights(template, term, weight) AS (VALUES {values(weights)}),
 inverse(term, idf) AS (VALUES {values(sorted(idf.items()))}),
-files AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS directory,
-  CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS segment FROM files),
-cued AS (SELECT doc_id, segment FROM lines WHERE regexp_matches(segment, '{CUE}')
-  UNION ALL SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM files WHERE name = 'LICENSE'),
-numbered AS (SELECT doc_id, row_number() OVER () AS line_no, segment FROM cued),
-terms AS (SELECT doc_id, line_no, unnest(regexp_extract_all(segment, '[a-z0-9]+')) AS term FROM numbered),
-valued AS (SELECT doc_id, line_no, t.term, count(*) * coalesce(max(idf), {unknown!r}::double) AS w FROM terms t LEFT JOIN inverse USING (term) GROUP BY 1, 2, 3),
-sizes AS (SELECT line_no, sqrt(sum(w * w)) AS length FROM valued GROUP BY 1),
-dots AS (SELECT doc_id, line_no, template, sum(w * weight) AS dot FROM valued JOIN weights USING (term) GROUP BY 1, 2, 3),
-scored AS (SELECT doc_id, template, round(dot / length, 6) AS cosine FROM dots JOIN sizes USING (line_no)),
-ranked AS (SELECT doc_id, regexp_replace(template, ' short$', '') AS license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, template) AS n FROM scored),
-own AS (SELECT doc_id, license, cosine FROM ranked WHERE n = 1 AND cosine >= {LEAST_COSINE}),
-judged AS (SELECT f.doc_id, directory, name, license, cosine FROM files f LEFT JOIN own USING (doc_id)),
-declared AS (SELECT directory, arg_min(license, (-cosine, license)) AS license FROM judged WHERE name = 'LICENSE' AND license IS NOT NULL GROUP BY 1)
-SELECT j.doc_id, j.directory || '/' || j.name AS path, coalesce(j.license, d.license) AS license, coalesce(j.cosine, 0.0) AS cosine,
-  CASE WHEN j.license IS NOT NULL THEN CASE WHEN j.name = 'LICENSE' THEN 'file' ELSE 'header' END WHEN d.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS found_in,
-  CASE WHEN j.license IS NULL THEN d.directory END AS inherited_from
-FROM judged j LEFT JOIN declared d USING (directory)"""
+known(name) AS (VALUES {values([(k,) for k in known])}),
+placed AS (SELECT doc_id, text, replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'licenc', 'licens') AS plain,
+  [coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id // 10 AS VARCHAR)] AS folders FROM documents),
+files AS (SELECT doc_id, text, plain, array_to_string(CASE WHEN doc_id % 20 = 0 THEN folders[1 : (doc_id // 20) % 4 + 1] ELSE folders END, '/') AS directory,
+  CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM placed),
+said AS (SELECT doc_id, regexp_replace(nullif(regexp_extract(text, '{SPDX}', 1), ''), '(-only|-or-later|\\+|\\.)$', '') AS id FROM files),
+declared_ids AS (SELECT doc_id, coalesce(name, id) AS license FROM said LEFT JOIN known ON lower(id) = lower(name) WHERE id IS NOT NULL),
+lists AS (SELECT doc_id, regexp_extract_all(plain, '[a-z0-9]+') AS t FROM files WHERE regexp_matches(plain, '{cue()}') AND doc_id NOT IN (SELECT doc_id FROM declared_ids)),
+terms AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM lists),
+hits AS (SELECT doc_id, pos AS hit, template, pos - off AS start, pos - off + len AS stop FROM terms JOIN windows ON term = anchor),
+valued AS (SELECT h.doc_id, hit, template, t.term, count(*) * coalesce(max(idf), {unknown!r}::double) AS w
+  FROM hits h JOIN terms t ON t.doc_id = h.doc_id AND t.pos >= h.start AND t.pos < h.stop LEFT JOIN inverse i ON i.term = t.term GROUP BY 1, 2, 3, 4),
+scored AS (SELECT doc_id, hit, v.template, round(sum(w * coalesce(weight, 0.0)) / sqrt(sum(w * w)), 6) AS cosine FROM valued v LEFT JOIN weights g ON g.template = v.template AND g.term = v.term GROUP BY 1, 2, 3),
+ranked AS (SELECT doc_id, license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS n FROM scored JOIN windows USING (template) WHERE cosine >= {LEAST_COSINE}),
+own AS (SELECT doc_id, license, cosine, false AS by_name FROM ranked WHERE n = 1 UNION ALL SELECT doc_id, license, 1.0, true FROM declared_ids),
+judged AS (SELECT f.doc_id, directory, name, license, cosine, by_name FROM files f LEFT JOIN own USING (doc_id)),
+declared AS (SELECT directory AS above, arg_min(license, (-cosine, license)) AS given FROM judged WHERE name = 'LICENSE' AND license IS NOT NULL GROUP BY 1),
+folders AS (SELECT DISTINCT directory FROM judged),
+nearest AS (SELECT directory, arg_max(above, length(above)) AS above, arg_max(given, length(above)) AS given FROM folders JOIN declared ON directory = above OR starts_with(directory, above || '/') GROUP BY 1)
+SELECT j.doc_id, j.directory || '/' || j.name AS path, coalesce(j.license, n.given) AS license, coalesce(j.cosine, 0.0) AS cosine,
+  CASE WHEN j.license IS NOT NULL THEN CASE WHEN j.name = 'LICENSE' THEN 'file' WHEN j.by_name THEN 'spdx' ELSE 'header' END WHEN n.above IS NOT NULL THEN 'inherited' ELSE 'none' END AS found_in,
+  CASE WHEN j.license IS NULL THEN n.above END AS inherited_from
+FROM judged j LEFT JOIN nearest n USING (directory)"""
