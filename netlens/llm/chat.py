@@ -1,26 +1,32 @@
 """Chat formatting: linking tool calls to results, ordering, validation and canonical JSON.
 
 An assistant message may be a JSON object with ``tool_calls`` (a list of ``id``, ``name``,
-``arguments`` and optionally ``after``, ids of earlier calls) and ``content``. A message of role
+``arguments`` and optionally ``after``, ids of calls that come first) and ``content``. A message of role
 ``tool`` is an object with ``tool_call_id`` and ``content``. All other messages are plain text.
 
-Calls and results are joined by conversation and id. Calls are ordered by levels: a call stands
-one level above the calls it names in ``after``; rounds of joins raise levels until none is
-left, and calls on a cycle stay without a level. Arguments are variants: types are read from
+Calls and results are hash-joined by conversation and id, and so are calls and the calls they name in
+``after``. Messages stand in the order of turns, so a call of an earlier message comes first anyway, one
+of a later message cannot, and what is left to order are the calls of one message, by levels: a call
+stands one level above the calls of its message that it names. That is done within the row, whatever
+the length of chains through the conversation. Arguments are variants: types are read from
 them and checked against the tools' schemas, and written with sorted keys.
 
-Nothing gathers a conversation: the result has one row for each message, ordered by
-(``conv_id``, ``turn``). Defined results: null texts have null content; of repeated call ids the
-first by (turn, position) counts and the others are duplicates; of several results the first. A
-result must come in a later turn. Unknown tools and arguments that are no object are invalid.
-Broken JSON is plain text. Repeated rows are numbered when written. An empty table gives an empty
-result. Other columns are not looked at.
+Nothing gathers a conversation: the result has one row for each message, ordered by (``conv_id``,
+``turn``), with the calls of its JSON ordered by level and place. Defined results: null texts have null
+content. A null ``conv_id`` is a conversation like any other. Calls without an id stay, unlinked; without
+a name, invalid. Of repeated call ids the first by (turn, position) counts and the others are duplicates
+without a result; of several results the first. A result must come in a later turn. Unknown tools and
+arguments that are no object are invalid. A name in ``after`` is unmet if no call of this message or of
+one with a smaller turn has it. Calls on a cycle, and those that wait for one, have no level and come last.
+Broken JSON is plain text; fields that are named nowhere here are not kept. Repeated rows are numbered
+when written. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.storage import materialize, release
+from netlens.llm.columns import let
+from netlens.storage import materialize
 
 #: Tools and their arguments: (JSON types that fit, required).
 TOOLS = {
@@ -43,8 +49,12 @@ def parsed(messages: DataFrame) -> DataFrame:
     calls = F.when((F.col("role") == "assistant") & body.startswith("{") & F.contains("text", F.lit('"tool_calls"')), F.from_json("text", CALLS))
     result = F.when((F.col("role") == "tool") & body.startswith("{"), F.from_json("text", RESULT))
     numbered = messages.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", "text", calls.alias("calls"), result.alias("result"))
-    has = lambda column: F.filter(column, lambda c: c["id"].isNotNull() & c["name"].isNotNull())
-    return numbered.select("row", "conv_id", "turn", "role", "text", F.col("calls.content").alias("content"), has(F.col("calls.tool_calls")).alias("calls"), F.when(F.col("result.tool_call_id").isNotNull(), F.col("result")).alias("result"))
+    some = F.size(F.filter("calls.tool_calls", lambda c: c.isNotNull())) > 0
+    return numbered.select(
+        "row", "conv_id", "turn", "role", "text", F.col("calls.content").alias("content"),
+        F.when(some, F.filter("calls.tool_calls", lambda c: c.isNotNull())).alias("calls"),
+        F.when(F.col("result.tool_call_id").isNotNull(), F.col("result")).alias("result"),
+    )
 
 
 def fits(arguments: Column, name: Column) -> Column:
@@ -72,66 +82,81 @@ def calls_of(found: DataFrame) -> DataFrame:
 
 
 def linked(calls: DataFrame, found: DataFrame) -> DataFrame:
-    """Calls with ``first`` and ``result_turn`` (null without a later result)."""
-    first = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row", "place")).alias("f"))
-    results = found.where(F.col("result").isNotNull()).select("conv_id", F.col("result.tool_call_id").alias("id"), F.col("turn").alias("at"))
-    marked = calls.join(first, ["conv_id", "id"]).withColumn("first", (F.col("f.row") == F.col("row")) & (F.col("f.place") == F.col("place"))).drop("f")
-    firsts = marked.where("first").select("conv_id", "id", "turn")
-    answered = firsts.join(results, ["conv_id", "id"]).where("at > turn").groupBy("conv_id", "id").agg(F.min("at").alias("result_turn"))
-    return marked.join(answered, ["conv_id", "id"], "left").withColumn("result_turn", F.when(F.col("first"), F.col("result_turn")))
-
-
-def levels(calls: DataFrame) -> DataFrame:
-    """``conv_id``, ``id`` and ``level`` of each call that is on no cycle: 0, or one above the calls in ``after``."""
-    nodes = calls.where("first").select("conv_id", "id", "after")
-    known = nodes.select("conv_id", F.col("id").alias("needs"))
-    edges = materialize(nodes.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("needs")).join(known, ["conv_id", "needs"], "left_semi"), "call-edges")
-    waiting, level = edges, 0
-    done = materialize(nodes.select("conv_id", "id").join(edges, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    while not waiting.isEmpty():
-        level += 1
-        ready = done.select("conv_id", F.col("id").alias("needs"))
-        rest = materialize(waiting.join(ready, ["conv_id", "needs"], "left_anti"), "call-edges")
-        if rest.count() == waiting.count():
-            break
-        new = waiting.select("conv_id", "id").distinct().join(rest, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level))
-        grown = materialize(done.unionByName(new), "call-levels")
-        release(done)
-        if waiting is not edges:
-            release(waiting)
-        done, waiting = grown, rest
-    return done
+    """Calls with ``first`` (of its id), ``result_turn`` (null without a later result) and ``n_unmet``, the names in ``after`` that are of no call before it."""
+    named = calls.where(F.col("id").isNotNull())
+    first = named.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row", "place")).alias("f")).select(F.col("conv_id").alias("of"), F.col("id").alias("named"), F.col("f.turn").alias("first_turn"), F.col("f.row").alias("first_row"), F.col("f.place").alias("first_place"))
+    results = found.where(F.col("result").isNotNull()).select(F.col("conv_id").alias("in"), F.col("result.tool_call_id").alias("answers"), F.col("turn").alias("at"))
+    match = first["of"].eqNullSafe(results["in"]) & (first["named"] == results["answers"]) & (results["at"] > first["first_turn"])
+    answered = first.join(results, match, "left").groupBy("of", "named").agg(F.min("at").alias("result_turn"), F.min("first_turn").alias("first_turn"), F.min("first_row").alias("first_row"), F.min("first_place").alias("first_place"))
+    answered = materialize(answered, "call-ids")
+    marked = calls.join(answered, calls["conv_id"].eqNullSafe(answered["of"]) & (calls["id"] == answered["named"]), "left")
+    is_first = F.coalesce((F.col("first_row") == F.col("row")) & (F.col("first_place") == F.col("place")), F.lit(False))
+    marked = marked.select(*calls.columns, is_first.alias("first"), F.when(is_first, F.col("result_turn")).alias("result_turn"))
+    needs = calls.select("row", "conv_id", "turn", "place", F.explode(F.array_distinct("after")).alias("needs"))
+    targets = answered.select("of", "named", "first_turn", "first_row")
+    met = needs.join(targets, needs["conv_id"].eqNullSafe(targets["of"]) & (needs["needs"] == targets["named"]), "left")
+    before = F.coalesce((F.col("first_row") == F.col("row")) | (F.col("first_turn") < F.col("turn")), F.lit(False))
+    unmet = met.groupBy("row", "place").agg(F.count_if(~before).alias("n_unmet"))
+    return marked.join(unmet, ["row", "place"], "left").na.fill({"n_unmet": 0})
+
+
+def levels(calls: Column) -> Column:
+    """The level of each call of a message, in order of place; null on a cycle and above one.
+
+    ``calls``: structs with ``id`` and ``after``, in order of place; only first ones of an id can be named. A round gives each
+    call one more than the largest level that it needs; walks that are as long as there are calls have met a cycle.
+    """
+
+    def leveled(needs: Column) -> Column:
+        n = F.size(needs)
+        start = F.transform(needs, lambda x: F.lit(0))
+        one_round = lambda held, _: F.transform(needs, lambda need: F.coalesce(F.array_max(F.transform(need, lambda k: F.get(held, k) + 1)), F.lit(0)))
+        rounds = F.when(F.exists(needs, lambda need: F.size(need) > 0), F.aggregate(F.sequence(F.lit(1), n), start, one_round)).otherwise(start)
+        return F.transform(rounds, lambda level: F.when(level < n, level))
+
+    def placed(ids: Column) -> Column:
+        needs = F.transform(calls, lambda c: F.filter(F.transform(F.coalesce(c["after"], F.array().cast("array<string>")), lambda a: (F.array_position(ids, a) - 1).cast("int")), lambda k: k >= 0))
+        return let(needs, leveled)
+
+    return let(F.transform(calls, lambda c: F.when(c["first"], c["id"])), placed)
 
 
 def format_chat(messages: DataFrame) -> DataFrame:
     """One row for each message (``conv_id``, ``turn``, ``role``): its canonical ``json`` and counts of calls that are
-    linked, valid, duplicate or cyclic; ``level``, the highest of its calls (for a result, of the call it answers)."""
+    linked, valid, duplicate or cyclic, and of names in ``after`` that are unmet; ``level``, the highest of its calls (for a result, of the call it answers)."""
     found = materialize(parsed(messages.select("conv_id", "turn", "role", "text")), "chat-messages")
-    joined = linked(calls_of(found), found)
-    each = materialize(joined, "chat-calls")
-    ordered = each.join(levels(each), ["conv_id", "id"], "left")
-    sums = ordered.groupBy("row").agg(
-        F.count("*").alias("n_calls"),
-        F.count("result_turn").alias("n_linked"),
-        F.count_if("valid").alias("n_valid"),
-        F.count_if(~F.col("first")).alias("n_duplicate"),
-        F.count_if(F.col("first") & F.col("level").isNull()).alias("n_cyclic"),
-        F.max("level").alias("level"),
-        F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(1 << 30)).alias("by"), "place", F.to_json(F.struct("after", F.to_json("arguments").alias("arguments"), "id", "name")).alias("call")))).alias("made"),
-    )
-    answers = ordered.where("first").groupBy("conv_id", "id").agg(F.min("level").alias("answered_level"), F.min("result_turn").alias("answered_turn"))
-    results = found.where(F.col("result").isNotNull()).select("row", "conv_id", F.col("result.tool_call_id").alias("id")).join(answers, ["conv_id", "id"]).select("row", "answered_level", "answered_turn")
-    whole = found.join(sums, "row", "left").join(results, "row", "left")
+    each = materialize(linked(calls_of(found), found), "chat-calls")
+    # The calls of a message were one row and are one again.
+    call = F.struct("place", "id", "after", "first", "valid", "result_turn", "n_unmet", F.to_json(F.struct("after", F.to_json("arguments").alias("arguments"), "id", "name")).alias("json"))
+    gathered = each.groupBy("row").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    ordered = gathered.select("row", "calls", let(F.col("calls"), levels).alias("levels"))
+    sums = materialize(ordered.select(
+        "row", "calls", "levels",
+        F.size("calls").cast("long").alias("n_calls"),
+        *(F.size(F.filter("calls", test)).cast("long").alias(name) for name, test in {
+            "n_linked": lambda c: c["result_turn"].isNotNull(), "n_valid": lambda c: c["valid"], "n_duplicate": lambda c: c["id"].isNotNull() & ~c["first"],
+        }.items()),
+        F.size(F.filter("levels", lambda x: x.isNull())).cast("long").alias("n_cyclic"),
+        F.aggregate("calls", F.lit(0).cast("long"), lambda n, c: n + c["n_unmet"]).alias("n_unmet"),
+        F.array_max("levels").alias("level"),
+        F.array_join(F.transform(F.sort_array(F.zip_with("calls", "levels", lambda c, x: F.struct(F.coalesce(x, F.lit(1 << 30)).alias("by"), c["place"].alias("place"), c["json"].alias("json")))), lambda c: c["json"]), ",").alias("made"),
+    ), "chat-ordered")
+    answers = each.where("first").select(F.col("conv_id").alias("of"), F.col("id").alias("named"), F.col("row").alias("call_row"), "place", "result_turn")
+    at_level = answers.join(sums.select(F.col("row").alias("call_row"), "levels"), "call_row").select("of", "named", F.get("levels", F.col("place")).alias("answered_level"), F.col("result_turn").alias("answered_turn"))
+    results = found.where(F.col("result").isNotNull()).select(F.col("row").alias("result_row"), "conv_id", F.col("result.tool_call_id").alias("id"))
+    linked_results = results.join(at_level, results["conv_id"].eqNullSafe(at_level["of"]) & (results["id"] == at_level["named"])).select(F.col("result_row").alias("row"), "answered_level", "answered_turn")
+    whole = found.join(sums.drop("calls", "levels"), "row", "left").join(linked_results, "row", "left")
     plain = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
-    with_calls = F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.array("content"), {"ignoreNullFields": "false"}), F.lit("[null]")).substr(F.lit(2), F.length(F.to_json(F.array("content"), {"ignoreNullFields": "false"})) - 2), F.lit(',"role":"assistant","tool_calls":['), F.array_join(F.transform("made", lambda m: m["call"]), ","), F.lit("]}"))
+    content = F.to_json(F.array("content"), {"ignoreNullFields": "false"})
+    with_calls = F.concat(F.lit('{"content":'), F.substring(content, F.lit(2), F.length(content) - 2), F.lit(',"role":"assistant","tool_calls":['), F.col("made"), F.lit("]}"))
     with_result = F.concat(F.lit('{"content":'), F.coalesce(F.to_json("result.content"), F.lit("null")), F.lit(',"role":"tool",'), F.to_json(F.struct(F.col("result.tool_call_id").alias("tool_call_id"))).substr(F.lit(2), F.lit(1 << 30)))
-    counts = ("n_calls", "n_linked", "n_valid", "n_duplicate", "n_cyclic")
+    counts = ("n_calls", "n_linked", "n_valid", "n_duplicate", "n_cyclic", "n_unmet")
     return whole.select(
         "conv_id",
         "turn",
         "role",
         F.when(F.col("made").isNotNull(), with_calls).when(F.col("result").isNotNull(), with_result).otherwise(plain).alias("json"),
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
         (F.col("answered_turn") == F.col("turn")).alias("is_answer"),
         F.coalesce("level", "answered_level").alias("level"),
     )
@@ -144,6 +169,6 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The driver's table has no tool calls: every message is plain.
 ORACLE = """
 SELECT conv_id, turn, role, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS json,
-  CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid, CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_cyclic,
+  CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid, CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_cyclic, CAST(0 AS BIGINT) AS n_unmet,
   CAST(NULL AS BOOLEAN) AS is_answer, CAST(NULL AS INTEGER) AS level
 FROM conversations"""

@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,23 +198,115 @@ def test_redaction(leaky, docs, nothing):
     assert secrets.redact(nothing).count() == 0 and secrets.scan(nothing).count() == 0
 
 
-def test_licenses(spark):
+def plain_masked(text, spans):
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out.append(text[at:start] + secrets.MASK)
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_masks_at_every_place(spark):
+    """Spans that touch, nest and end at a chunk's edge, over text of one to four bytes a character."""
+    size = secrets.CHUNK
+    text = "aé中😀\n" * (size * 3 // 5)
+    n = len(text)
+    cases = [[(0, n)], [(0, 1), (1, 2)], [(3, 9), (5, 7), (8, 12)], [(size - 1, size), (size, size + 1)], [(size - 3, size + 3), (size + 2, 3 * size - 2)], [(n - 1, n)], [(2, 2 * size), (2 * size + 1, n - 5)], [(size, 2 * size)], [(0, size)]]
+    rows = [(k, text, [(a, 0, b) for a, b in c]) for k, c in enumerate(cases)] + [(99, text[: 2 * size], [(size, 0, 2 * size)]), (100, text[: 2 * size], [(1, 0, 2)])]
+    frame = spark.createDataFrame(rows, "id int, text string, found array<struct<start:bigint,rank:int,end:bigint>>")
+    out = {r.id: r.made for r in frame.select("id", secrets.masked(F.col("text"), F.col("found")).alias("made")).collect()}
+    assert out == {i: plain_masked(t, [(a, b) for a, _, b in f]) for i, t, f in rows}
+
+
+def test_many_secrets_in_one_text(spark):
+    """A text of 100,000 matches takes seconds, as work grows in proportion."""
+    import time
+
+    n = 100_000
+    text = " ".join(f"é{k % 7} {k:024x}" for k in range(n))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    found = secrets.scan(frame).select("n_hex", "base_sha256").first()
+    clean = secrets.redact(frame).first().text
+    assert time.monotonic() - start < 60
+    said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in plain_spans(text))
+    assert found.n_hex == n and found.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert clean == " ".join(f"é{k % 7} {secrets.MASK}" for k in range(n))
+
+
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ */
+int x;"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla
+# Public License, v. 2.0. If a copy of the MPL was not distributed
+# with this file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def gnu_header(title, version, program="program"):
+    return f"""// This {program} is free software: you can redistribute it and/or modify
+// it under the terms of the GNU {title} as
+// published by the Free Software Foundation, either version {version} of the
+// License, or (at your option) any later version.
+"""
+
+
+HEADERS = [
+    ("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("GPL-3.0", gnu_header("General Public License", 3)), ("GPL-2.0", gnu_header("General Public License", 2)), ("AGPL-3.0", gnu_header("Affero General Public License", 3)),
+    ("LGPL-3.0", gnu_header("Lesser General Public License", 3, "library")), ("LGPL-2.1", gnu_header("Lesser General Public License", "2.1", "library")),
+    ("MIT", "prose before " * 30 + "Released under the MIT License. " + "and prose after " * 30), ("Apache-2.0", "many words " * 30 + "Licensed under the Apache License, Version 2.0. " + "many more " * 30),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "This work is licenced under a Creative Commons Attribution 4.0 International Licence."),
+    (None, "a license, said in passing, to use the word permission"), (None, "GNU is a word here, and mozilla, creative, eclipse, cc: none of them alone means much"), (None, "licensed"), (None, None), (None, ""),
+]
+SPDX = [("MIT", "# SPDX-License-Identifier: MIT"), ("Apache-2.0", "// spdx-license-identifier: apache-2.0 */"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later\n" + gnu_header("General Public License", 3)), ("Foo-1.0", "SPDX-License-Identifier: (Foo-1.0 OR MIT)"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1+")]
+
+
+def test_license_headers(spark):
+    rows = [(k, f"a/{k}.c", text, 0) for k, (_, text) in enumerate(HEADERS + SPDX)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string, row int")
+    found = {r.doc_id: r for r in licenses.scan(files, "doc_id", "path", "text").collect()}
+    assert [found[k].license for k in range(len(rows))] == [name for name, _ in HEADERS + SPDX]
+    assert all(found[k].found_in == ("none" if name is None else "header") for k, (name, _) in enumerate(HEADERS))
+    assert all(found[len(HEADERS) + k].found_in == "spdx" and found[len(HEADERS) + k].cosine == 1 for k in range(len(SPDX)))
+
+
+WHOLE = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def test_whole_licence_files(spark):
+    folder = Path("/usr/share/common-licenses")
+    there = [n for n in WHOLE if (folder / n).is_file()]
+    if not there:
+        pytest.skip("no licence texts on this machine")
+    files = spark.createDataFrame([(n, f"{n}/LICENSE", (folder / n).read_text()) for n in there], "doc_id string, path string, text string")
+    found = {r.doc_id: (r.license, r.found_in) for r in licenses.scan(files, "doc_id", "path", "text").collect()}
+    assert found == {n: (WHOLE[n], "file") for n in there}
+
+
+def test_licenses_are_inherited(spark):
+    mit = "MIT License\n" + licenses.SENTENCES["MIT"][0].split("|")[1]
     rows = [
-        (1, "a/LICENSE", "MIT License\n" + licenses.TEMPLATES["MIT"], 0),
+        (1, "a/LICENSE", mit, 0),
         (2, "a/b/c.py", "code", 0),
         (3, "a/b/d.py", "Licensed under the Apache License, Version 2.0.\ncode", 0),
         (4, "e/f.py", None, 0),
         (5, None, "Released under the MIT License.", 0),
-        (6, "a/b/LICENSE.txt", licenses.TEMPLATES["GPL-3.0"], 0),
+        (6, "a/b/LICENSE.txt", gnu_header("General Public License", 3), 0),
         (7, "a/b/g/h.py", "", 0),
         (7, "a/b/g/h.py", "", 0),
         (8, "top.py", "about a license, said in passing", 0),
+        (9, "a/x/y/z/deep.py", "code", 0),
+        (10, "ab/near.py", "code", 0),
+        (11, None, None, 0),
     ]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string, row int")
     found = Counter((r.doc_id, r.license, r.found_in, r.inherited_from) for r in licenses.scan(files, "doc_id", "path", "text").collect())
     assert found == Counter({
         (1, "MIT", "file", None): 1, (2, "GPL-3.0", "inherited", "a/b"): 1, (3, "Apache-2.0", "header", None): 1, (4, None, "none", None): 1, (5, "MIT", "header", None): 1,
-        (6, "GPL-3.0", "file", None): 1, (7, "GPL-3.0", "inherited", "a/b"): 2, (8, None, "none", None): 1,
+        (6, "GPL-3.0", "file", None): 1, (7, "GPL-3.0", "inherited", "a/b"): 2, (8, None, "none", None): 1, (9, "MIT", "inherited", "a"): 1, (10, None, "none", None): 1, (11, None, "none", None): 1,
     })
     assert licenses.scan(files.where("false"), "doc_id", "path", "text").count() == 0
 
@@ -238,6 +331,116 @@ def test_chat(spark):
     assert chat.format_chat(messages.where("false")).count() == 0
 
 
+FITS = {"string": lambda v: isinstance(v, str), "integer": lambda v: type(v) is int, "number": lambda v: type(v) in (int, float), "boolean": lambda v: isinstance(v, bool), "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list)}
+
+
+def plain_valid(call):
+    schema, given = chat.TOOLS.get(call.get("name")), call.get("arguments")
+    if schema is None or not isinstance(given, dict) or set(given) - set(schema):
+        return False
+    return all((FITS[kind](given[f]) if f in given else not required) for f, (kind, required) in schema.items())
+
+
+def plain_levels(calls, firsts):
+    at = {c["id"]: k for k, c in enumerate(calls) if firsts[k]}
+    needs = [[at[a] for a in c.get("after", []) if a in at] for c in calls]
+
+    def level(k, seen):
+        if k in seen:
+            return None
+        each = [level(n, seen | {k}) for n in needs[k]]
+        return None if None in each else max(each, default=-1) + 1
+
+    return [level(k, frozenset()) for k in range(len(calls))]
+
+
+def plain_chat(rows):
+    """All messages by loops over all calls and results of their conversation."""
+    made = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True)
+    parsed = []
+    for conv, turn, role, text in rows:
+        body = None
+        if text and text.startswith("{") and role in ("assistant", "tool"):
+            body = json.loads(text)
+        calls = (body or {}).get("tool_calls") if role == "assistant" else None
+        parsed.append((conv, turn, role, text, calls or None, body if role == "tool" and body and "tool_call_id" in body else None, body))
+    owner: dict = {}
+    for row, (conv, turn, _, _, calls, _, _) in sorted(enumerate(parsed), key=lambda x: (x[1][1], x[0])):
+        for place, c in enumerate(calls or []):
+            if "id" in c:
+                owner.setdefault((conv, c["id"]), (turn, row, place))
+    answered: dict = {}
+    for conv, turn, _, _, _, result, _ in parsed:
+        key = (conv, (result or {}).get("tool_call_id"))
+        if result and key in owner and turn > owner[key][0]:
+            answered[key] = min(turn, answered.get(key, turn))
+    every, out = {}, []
+    for row, (conv, turn, _, _, calls, _, _) in enumerate(parsed):
+        if calls:
+            firsts = [owner.get((conv, c.get("id"))) == (turn, row, k) for k, c in enumerate(calls)]
+            every[row] = (firsts, plain_levels(calls, firsts))
+    for row, (conv, turn, role, text, calls, result, body) in enumerate(parsed):
+        if calls:
+            firsts, order = every[row]
+            unmet = sum(not ((o := owner.get((conv, a))) and (o[1] == row or o[0] < turn)) for c in calls for a in dict.fromkeys(c.get("after", [])))
+            ranked = sorted(range(len(calls)), key=lambda k: (1 << 30 if order[k] is None else order[k], k))
+            shown = [{"after": calls[k].get("after", []), **({"arguments": made(calls[k]["arguments"])} if "arguments" in calls[k] else {}), **{f: calls[k][f] for f in ("id", "name") if f in calls[k]}} for k in ranked]
+            text = f'{{"content":{made(body.get("content"))},"role":"assistant","tool_calls":[{",".join(map(made, shown))}]}}'
+            linked = sum(f and (conv, c["id"]) in answered for f, c in zip(firsts, calls))
+            counts = (len(calls), linked, sum(map(plain_valid, calls)), sum("id" in c and not f for f, c in zip(firsts, calls)), order.count(None), unmet)
+            out.append((conv, turn, role, text, *counts, None, max((x for x in order if x is not None), default=None)))
+        elif result:
+            key = (conv, result["tool_call_id"])
+            level = every[owner[key][1]][1][owner[key][2]] if key in owner else None
+            out.append((conv, turn, role, f'{{"content":{made(result.get("content"))},"role":"tool","tool_call_id":{made(result["tool_call_id"])}}}', *[0] * 6, answered[key] == turn if key in answered else None, level))
+        else:
+            out.append((conv, turn, role, f'{{"content":{made(text)},"role":{made(role)}}}', *[0] * 6, None, None))
+    return out
+
+
+def test_chat_against_loops(spark):
+    import random
+
+    r = random.Random(8)
+    values = {"string": lambda: r.choice(["x", "é\"q", ""]), "integer": lambda: r.randint(-5, 10**12), "number": lambda: r.choice([1, 2.5]), "boolean": lambda: r.random() < 0.5, "object": lambda: {"z": 1, "a": [None, {"k": "v"}]}, "array": lambda: [1, "b"]}
+
+    def call():
+        name = r.choice([*chat.TOOLS, "unknown"])
+        arguments = {f: values[kind if r.random() < 0.9 else r.choice(list(values))]() for f, (kind, needed) in chat.TOOLS.get(name, {}).items() if needed or r.random() < 0.5}
+        if r.random() < 0.1:
+            arguments["other"] = 1
+        c = {"id": r.choice("abcdefgh"), "name": name, "arguments": arguments if r.random() < 0.9 else r.choice([[1], "text", 3]), "after": [r.choice("abcdefghz") for _ in range(r.choice([0, 0, 1, 2]))]}
+        for f in list(c):
+            if r.random() < 0.07:
+                del c[f]
+        return c
+
+    rows = []
+    for conv in [*range(40), None]:
+        for turn in range(r.randint(1, 9)):
+            kind = r.random()
+            if kind < 0.5:
+                body = {"tool_calls": [call() for _ in range(r.randint(0, 5))]} | ({"content": r.choice(["hi", "é\n", ""])} if r.random() < 0.5 else {})
+                rows.append((conv, turn, "assistant", json.dumps(body)))
+            elif kind < 0.8:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": r.choice("abcdefghz"), "content": r.choice(["ok", {"b": 1, "a": 2}, [1, 2]])})))
+            else:
+                rows.append((conv, turn, r.choice(["user", "system", None]), r.choice(["hello", None, "", "tab\t\"quoted\""])))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    found = Counter(map(tuple, chat.format_chat(frame).collect()))
+    assert found == Counter(plain_chat(rows))
+    assert sum(x[4] for x in found) > 100 and any(x[5] for x in found) and any(x[8] for x in found) and any(x[9] for x in found)
+
+
+def test_chat_of_a_deep_chain(spark):
+    """A chain of 600 calls, within one message and over as many messages: no rounds of jobs."""
+    chain = [{"id": f"c{k}", "name": "fetch", "arguments": {"url": "u"}, "after": [f"c{k - 1}"] if k else []} for k in range(600)]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": chain[::-1]}))] + [(2, k, "assistant", json.dumps({"tool_calls": [c]})) for k, c in enumerate(chain)]
+    found = {(r.conv_id, r.turn): r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert found[1, 0].level == 599 and [c["id"] for c in json.loads(found[1, 0].json)["tool_calls"]] == [c["id"] for c in chain]
+    assert all(found[2, k].level == 0 and found[2, k].n_unmet == 0 for k in range(600))
+
+
 def test_components(spark):
     links = [(9, 8), (8, 7), (7, 6), (5, 5), (1, 100), (100, 2), (2, 50), (3, 4)] + [(1000 + k, 1001 + k) for k in range(60)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
