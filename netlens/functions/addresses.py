@@ -53,10 +53,13 @@ def is_private(key: Column) -> Column:
 
 
 def prefix_of(key: Column, bits: Column) -> Column:
-    """The first ``bits`` bits of a key's octets, as a string of 0 and 1 with the family in front."""
-    digits = F.hex(key)
-    nibbles = F.transform(F.split(digits, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
-    return F.substring(F.array_join(nibbles, ""), F.lit(1), bits + 8)
+    """The first ``bits`` bits of a key's octets, filled up to a whole byte with zeros, behind the family byte."""
+    whole, rest = F.floor(bits / 8).cast("int"), (bits % 8).cast("int")
+    octet = F.conv(F.hex(F.substring(key, whole + 2, F.lit(1))), 16, 10).cast("int")
+    mask = F.lit(256) - F.call_function("shiftleft", F.lit(1), 8 - rest)
+    part = F.unhex(F.lpad(F.hex(octet.bitwiseAND(mask).cast("long")), 2, "0"))
+    lead = F.substring(key, F.lit(1), whole + 1)
+    return F.when(rest == 0, lead).otherwise(F.concat(lead, part))
 
 
 def mac_is_broadcast(mac: Column) -> Column:

@@ -46,14 +46,14 @@ def address_hits(hosts: DataFrame, found: DataFrame) -> DataFrame:
     """Hosts (``ip``, ``key``, ``count``) that an address or range names: an exact address beats ranges, of ranges the first listed counts."""
     exact = found.where("kind = 'ip'").select(key_of_text(F.col("value")).alias("key"), F.col("value").alias("indicator"), "source", "tag", "ord")
     parts = F.split("value", "/")
-    ranges = found.where("kind = 'cidr'").select(F.col("value").alias("indicator"), "source", "tag", "ord", addresses.prefix_of(key_of_text(F.get(parts, 0)), F.get(parts, 1).cast("int")).alias("prefix"))
-    ranges = ranges.withColumn("bits", F.length("prefix"))
-    # At most 33 + 129 lengths: a bounded table that each host looks through.
-    lengths = ranges.groupBy("bits").agg(F.count("*").alias("n")).select("bits")
-    whole = hosts.withColumn("all_bits", addresses.prefix_of(F.col("key"), F.lit(128)))
-    tried = whole.select("ip", "key", "count", "all_bits").join(F.broadcast(lengths), F.col("bits") <= F.length("all_bits")).withColumn("prefix", F.substring("all_bits", F.lit(1), F.col("bits")))
+    cidrs = found.where("kind = 'cidr'").select(F.col("value").alias("indicator"), "source", "tag", "ord", key_of_text(F.get(parts, 0)).alias("of"), F.get(parts, 1).cast("int").alias("bits"))
+    family = lambda key: F.length(key)  # noqa: E731  a key's length tells its family
+    ranges = cidrs.select("indicator", "source", "tag", "ord", "bits", addresses.prefix_of(F.col("of"), F.col("bits")).alias("prefix"))
+    # At most 33 + 129 rows: the lengths in use in each family, as a bounded table.
+    lengths = cidrs.select(family("of").alias("family"), "bits").distinct()
+    tried = hosts.select("ip", "key", "count", family("key").alias("family")).join(F.broadcast(lengths), "family").withColumn("prefix", addresses.prefix_of(F.col("key"), F.col("bits")))
     facts = F.struct(F.lit(1).alias("rank"), "ord", "indicator", "source", "tag")
-    by_range = tried.join(ranges.drop("bits"), "prefix").select("ip", "key", "count", facts.alias("hit"))
+    by_range = tried.join(ranges, ["bits", "prefix"]).select("ip", "key", "count", facts.alias("hit"))
     by_address = hosts.select("ip", "key", "count").join(exact, "key").select("ip", "key", "count", F.struct(F.lit(0).alias("rank"), "ord", "indicator", "source", "tag").alias("hit"))
     best = by_range.unionByName(by_address).groupBy("ip", "key", "count").agg(F.min("hit").alias("hit"))
     return best.select(F.col("hit.indicator").alias("indicator"), F.col("ip").alias("observed"), F.lit("host").alias("context"), "hit.source", "hit.tag", "count")

@@ -5,7 +5,7 @@ and one of the structs ``dns``, ``tls``, ``http``. What depends on order takes t
 largest ``ord``; nothing relies on the order of rows.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions import names, text
@@ -113,20 +113,48 @@ def top(found: DataFrame, count: str, key: str, n: int) -> DataFrame:
     return found.orderBy(F.desc(count), key).limit(n)
 
 
+#: The distinct values of a flow that are kept, by kind: the first that arrive.
+FLOW_VALUES = {"dns_names": 256, "http_hosts": 64, "user_agents": 16}
+
+
+def flow_values(messages: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """``dns_names``, ``http_hosts`` and ``user_agents`` of each flow: of each the first distinct ones by arrival, sorted.
+
+    Values are made distinct before they are ranked, so a flow that repeats itself brings few rows, and only what
+    is kept is gathered.
+    """
+    value = lambda kind, v, pos: F.struct(F.lit(kind).alias("kind"), v.alias("value"), pos.alias("pos"))
+    asked = F.transform(F.coalesce("dns.questions", F.array()), lambda q, i: value("dns_names", q["name"], i))
+    told = F.concat(asked, F.array(value("http_hosts", F.col("http.host"), F.lit(0)), value("user_agents", F.col("http.user_agent"), F.lit(0))))
+    each = messages.select(*key, "ord", F.explode(told).alias("v")).where(F.col("v.value").isNotNull())
+    first = each.groupBy(*key, "v.kind", "v.value").agg(F.min(F.struct("ord", "v.pos")).alias("at"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy(*key, "kind").orderBy("at")))
+    kept = None
+    for kind, most in FLOW_VALUES.items():
+        within = (F.col("kind") == kind) & (F.col("n") <= most)
+        kept = within if kept is None else kept | within
+    gathered = [F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind) for kind in FLOW_VALUES]
+    return ranked.where(kept).groupBy(*key).agg(*gathered)
+
+
 def flow_messages(messages: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """What messages tell of their flow: protocols, names, the first SNI and client fingerprint, the version that counts."""
     tls, version = F.col("tls"), F.col("tls.version")
     server, client = F.col("tls.kind") == "server", F.col("tls.kind") == "client"
     first = lambda value, cond: F.min_by(value, F.when(cond, F.col("ord")))
-    return messages.groupBy(*key).agg(
+    told = messages.groupBy(*key).agg(
         F.array_sort(F.collect_set(F.when(F.col("dns").isNotNull(), "dns").when(F.col("http").isNotNull(), "http").when(tls.isNotNull(), "tls"))).alias("protocols"),
         first(F.col("tls.sni"), F.col("tls.sni").isNotNull()).alias("sni"),
         first(F.col("tls.ja3"), client).alias("ja3"),
         F.coalesce(F.max_by(version, F.when(server, F.col("ord"))), first(version, client)).alias("tls_version"),
         F.coalesce(F.max(F.col("http.has_authorization")), F.lit(False)).alias("cleartext_credentials"),
-        F.array_sort(F.slice(F.collect_set("http.host"), 1, 64)).alias("http_hosts"),
-        F.array_sort(F.slice(F.collect_set("http.user_agent"), 1, 16)).alias("user_agents"),
     )
+    values = flow_values(messages, key).select(*(F.col(k).alias(f"_{k}") for k in key), *FLOW_VALUES)
+    same = None
+    for k in key:
+        same = told[k].eqNullSafe(values[f"_{k}"]) if same is None else same & told[k].eqNullSafe(values[f"_{k}"])
+    none = F.array().cast("array<string>")
+    return told.join(values, same, "left").select(*told.columns, *(F.coalesce(kind, none).alias(kind) for kind in FLOW_VALUES))
 
 
 def arp_bindings(packets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from netlens.functions import names, text
 from netlens.operators import beacon, flows, indicators, messages
 from netlens.reassembly import streams
 from netlens.sources import capture
-from netlens.storage import materialize
+from netlens.storage import materialize, release
 
 EVIDENCE = 12
 SEVERITIES = ("info", "low", "medium", "high")
@@ -44,13 +44,22 @@ class Analysis:
     """Tables of a capture's records (see ``sources.capture``), and indicators if there are any."""
 
     def __init__(self, records: DataFrame, settings: Settings | None = None, listed: DataFrame | None = None, limit: int | None = None):
-        self.settings = (settings or Settings()).clamped()
-        self.listed = listed if listed is not None and not listed.isEmpty() else None
         frames = capture.frames(records)
         if limit is not None:
             frames = frames.where(F.col("index") <= max(1, limit))
-        self.errors = capture.read_errors(records)
-        self.packets = materialize(layers.decode(frames), "packets")
+        self._prepare(materialize(layers.decode(frames), "packets"), capture.read_errors(records), settings, listed)
+
+    @classmethod
+    def of_packets(cls, packets: DataFrame, errors: DataFrame, settings: Settings | None = None, listed: DataFrame | None = None) -> "Analysis":
+        """The analysis of packets that are decoded and stored already."""
+        made = cls.__new__(cls)
+        made._prepare(packets, errors, settings, listed)
+        return made
+
+    def _prepare(self, packets: DataFrame, errors: DataFrame, settings: Settings | None, listed: DataFrame | None) -> None:
+        self.settings = (settings or Settings()).clamped()
+        self.listed = listed if listed is not None and not listed.isEmpty() else None
+        self.packets, self.errors = packets, errors
         self.streams = materialize(streams.recover_streams(self.packets), "streams")
         self.datagrams = materialize(streams.recover_datagrams(self.packets), "datagrams")
         found = applications.messages(self.packets)
@@ -61,6 +70,11 @@ class Analysis:
         self.hosts = materialize(flows.hosts(self.packets), "hosts")
         self.names = materialize(messages.dns_names(self.messages), "dns-names")
 
+    def release(self) -> None:
+        """Delete the tables that this analysis wrote."""
+        for table in (self.packets, self.streams, self.datagrams, self.messages, self.flows, self.hosts, self.names):
+            release(table)
+
     def _flows(self) -> DataFrame:
         base = flows.flows(self.packets)
         keyed = flows.with_flow_key(self.messages)

@@ -26,9 +26,9 @@ def _messages(spark, sf_dir, kind, value):
     return base.withColumns({k: F.lit(None).cast(t) for k, t in MESSAGE_TYPES.items() if k != kind})
 
 
-def _dns(spark, sf_dir):
+def _dns(spark, sf_dir, name=None):
     def value(n):
-        question = F.struct(F.col("host").alias("name"), F.element_at(F.array(*map(F.lit, QTYPES)), (n % 3 + 1).cast("int")).alias("qtype"))
+        question = F.struct((F.col("host") if name is None else name).alias("name"), F.element_at(F.array(*map(F.lit, QTYPES)), (n % 3 + 1).cast("int")).alias("qtype"))
         answer = F.struct(F.col("host").alias("name"), F.lit(1).alias("rtype"), F.concat(F.lit("203.0.113."), (n % 9).cast("string")).alias("data"))
         return F.struct((n % 2 == 1).alias("is_response"), F.when(n % 5 == 1, 3).otherwise(0).alias("rcode"), F.array(question).alias("questions"), F.when(n % 2 == 1, F.array(answer)).otherwise(F.array().cast("array<struct<name:string,rtype:int,data:string>>")).alias("answers"))
 
@@ -57,7 +57,9 @@ def dns_subdomain_volume(spark, sf_dir):
 
 
 def dns_high_entropy(spark, sf_dir):
-    return messages.high_entropy(messages.dns_names(_dns(spark, sf_dir)), 1.5)
+    """Every fourth name has a label of hexadecimal digits in front."""
+    label = F.concat(F.substring(F.md5("url"), 1, 20), F.lit("."))
+    return messages.high_entropy(messages.dns_names(_dns(spark, sf_dir, F.concat(F.when(F.col("index") % 4 == 0, label).otherwise(""), "host"))), 3.3)
 
 
 def dns_servers(spark, sf_dir):
@@ -93,6 +95,13 @@ def tls_version_names(spark, sf_dir):
     return _tls(spark, sf_dir).groupBy(fn.tls_version(F.col("tls.version")).alias("version")).agg(F.count("*").alias("hellos"))
 
 
+def flow_values(spark, sf_dir):
+    """The first distinct hosts and agents of each flow."""
+    found = _http(spark, sf_dir).withColumn("http", F.col("http").withField("user_agent", F.when(F.col("http.is_request"), F.concat(F.lit("agent/"), F.expr("ord.index div 7").cast("string")))))
+    kept = messages.flow_values(found, ("dst_ip",))
+    return kept.select("dst_ip", *(F.array_join(kind, ",").alias(kind) for kind in ("http_hosts", "user_agents")))
+
+
 def http_overview(spark, sf_dir):
     return messages.http_overview(_http(spark, sf_dir))
 
@@ -202,7 +211,7 @@ def enriched_orders(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     dns_names, dns_subdomains, dns_subdomain_volume, dns_high_entropy, dns_servers, dns_resolved, dns_answers, dns_overview, tls_names, tls_fingerprints, tls_overview, tls_version_names,
-    http_overview, http_hosts, http_agents, http_credentials, arp_bindings, arp_conflicts, arp_counters, flow_first_last, flow_destinations, ioc_addresses, ioc_domains, ioc_fingerprints, ioc_union,
+    flow_values, http_overview, http_hosts, http_agents, http_credentials, arp_bindings, arp_conflicts, arp_counters, flow_first_last, flow_destinations, ioc_addresses, ioc_domains, ioc_fingerprints, ioc_union,
     url_hosts, name_entropy, token_kinds, private_hosts, human_figures, enriched_orders,
 )}
 
@@ -219,7 +228,13 @@ ORACLE_SQL = {
     "dns_names": f"{_Q} SELECT name, count(*) FILTER (NOT r) AS queries, count(*) FILTER (r) AS responses, count(*) FILTER (r AND rcode = 3) AS nxdomain, array_to_string(list_sort(list(DISTINCT qtype)), ',') AS qtypes FROM q GROUP BY 1",
     "dns_subdomains": f"{_SUB} SELECT * FROM s",
     "dns_subdomain_volume": f"{_SUB} SELECT * FROM s WHERE subdomains >= 3",
-    "dns_high_entropy": f"{_Q}, labels AS (SELECT DISTINCT name AS host, split_part(name, '.', 1) AS label FROM q), {_ENT} SELECT e.host AS name, count(*) AS lookups, count(*) FILTER (r AND rcode = 3) AS nxdomain, any_value(entropy) AS entropy FROM q JOIN entropies e ON e.host = q.name WHERE strlen(label) >= 12 AND entropy >= 1.5 GROUP BY 1",
+    "dns_high_entropy": f"""{_N}, q AS (SELECT idx % 2 = 1 AS r, CASE WHEN idx % 5 = 1 THEN 3 ELSE 0 END AS rcode, CASE WHEN idx % 4 = 0 THEN substr(md5(url), 1, 20) || '.' ELSE '' END || host AS name FROM url_names),
+labels AS (SELECT DISTINCT name AS host, split_part(name, '.', 1) AS label FROM q), {_ENT}
+SELECT e.host AS name, count(*) AS lookups, count(*) FILTER (r AND rcode = 3) AS nxdomain, any_value(entropy) AS entropy FROM q JOIN entropies e ON e.host = q.name WHERE strlen(label) >= 12 AND entropy >= 3.3 GROUP BY 1""",
+    "flow_values": f"""{_W}, f AS (SELECT idx, '9.9.9.' || idx % 5 AS dst_ip, host, CASE WHEN req THEN 'agent/' || idx // 7 END AS agent FROM w),
+v AS (SELECT dst_ip, 'host' AS kind, host AS v, min(idx) AS arrived FROM f WHERE host IS NOT NULL GROUP BY ALL UNION ALL SELECT dst_ip, 'agent', agent, min(idx) FROM f WHERE agent IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY dst_ip, kind ORDER BY arrived) AS n FROM v)
+SELECT dst_ip, array_to_string(list_sort(list(v) FILTER (kind = 'host' AND n <= 64)), ',') AS http_hosts, array_to_string(list_sort(list(v) FILTER (kind = 'agent' AND n <= 16)), ',') AS user_agents FROM n GROUP BY 1""",
     "dns_servers": f"{_Q} SELECT CASE WHEN r THEN '10.0.0.9' ELSE '9.9.9.' || idx % 5 END AS ip, count(*) AS messages FROM q GROUP BY 1",
     "dns_resolved": f"{_Q}, {_RES} SELECT * FROM r",
     "dns_answers": f"{_Q}, f AS (SELECT name, min(idx) AS first FROM q GROUP BY 1), e AS (SELECT name, '203.0.113.' || idx % 9 AS ip, min(idx) AS seen FROM q JOIN f USING (name) WHERE r AND first <= idx GROUP BY 1, 2) SELECT name, string_agg(ip, ',' ORDER BY seen) AS resolved FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seen) AS n FROM e) WHERE n <= 32 GROUP BY 1",

@@ -2,15 +2,21 @@
 
 Files are read through Spark's own ``binaryFile`` source, so any store that Spark reads will do,
 in batches and as a stream; records aren't splittable, so a file is one task's work. Rotated
-captures spread over tasks by file. A ``capture`` data source with the same reader, for local
-paths, and a writer can be registered for ``spark.read`` and ``df.write``.
+captures spread over tasks by file. Files of more than ``AT_ONCE`` bytes, which that source would hold
+whole, are opened in the task and read in stretches, so a capture may have any size. A ``capture`` data
+source with the same reader, for local paths, and a writer can be registered for ``spark.read`` and
+``df.write``.
 """
 
 import os
+import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -23,6 +29,8 @@ ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 MOST_CAPTURED, LEAST_BLOCK, MOST_BLOCK = 262_144, 12, 16 * 1024 * 1024
 TSRESOL, MICROSECONDS = 9, 1_000_000
 RECORDS_AT_ONCE = 4096
+#: Bytes of a file that are taken whole, at most; bytes of a stretch of larger ones.
+AT_ONCE, STRETCH = 128 << 20, 8 << 20
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 FILE_SHIFT = 1 << 40
 
@@ -34,7 +42,41 @@ class CaptureError(ValueError):
     """What is wrong with a file; the frames before it are good."""
 
 
-def records(content: bytes, legacy_link_type: bool = False) -> Iterator[tuple]:
+class Stretches:
+    """An open file as bytes to slice from front to back, of which one stretch is held."""
+
+    def __init__(self, file: BinaryIO, size: int):
+        self.file, self.size, self.start, self.held = file, size, 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop = part.start or 0, min(self.size, part.stop)
+        if start < self.start or stop > self.start + len(self.held):
+            self.file.seek(start)
+            self.start, self.held = start, self.file.read(max(STRETCH, stop - start))
+        return self.held[start - self.start : stop - self.start]
+
+
+@contextmanager
+def opened(path: str) -> Iterator[Stretches]:
+    """A file of a mounted or remote store; ``path`` as Spark names it."""
+    if path.startswith("file:") or "://" not in path:
+        local = re.sub("^file:/*", "/", path)
+        with open(local, "rb") as f:
+            yield Stretches(f, os.path.getsize(local))
+    else:
+        store, inner = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+        with store.open_input_file(inner) as f:
+            yield Stretches(f, f.size())
+
+
+def _numbers(layout: str, content: bytes | Stretches, at: int) -> tuple:
+    return struct.unpack(layout, content[at : at + struct.calcsize(layout)])
+
+
+def records(content: bytes | Stretches, legacy_link_type: bool = False) -> Iterator[tuple]:
     """(ts_ns, captured_len, wire_len, link_type, iface_id, data) of each frame. A cut-off last record ends the file; others are errors."""
     magic = bytes(content[:4])
     if magic in MAGICS:
@@ -45,13 +87,13 @@ def records(content: bytes, legacy_link_type: bool = False) -> Iterator[tuple]:
         raise CaptureError("unknown capture format")
 
 
-def _pcap(content: bytes, order: str, unit: int) -> Iterator[tuple]:
+def _pcap(content: bytes | Stretches, order: str, unit: int) -> Iterator[tuple]:
     if len(content) < 24:
         raise CaptureError("file header is cut off")
-    link = struct.unpack_from(order + "I", content, 20)[0]
+    link = _numbers(order + "I", content, 20)[0]
     at = 24
     while at + 16 <= len(content):
-        seconds, fraction, captured, wire = struct.unpack_from(order + "4I", content, at)
+        seconds, fraction, captured, wire = _numbers(order + "4I", content, at)
         if captured > MOST_CAPTURED:
             raise CaptureError(f"implausible record length {captured}")
         at += 16
@@ -78,15 +120,15 @@ def _resolution(options: bytes, order: str) -> int:
     return MICROSECONDS
 
 
-def _pcapng(content: bytes, legacy: bool) -> Iterator[tuple]:
+def _pcapng(content: bytes | Stretches, legacy: bool) -> Iterator[tuple]:
     order, at, interfaces = "<", 0, []
     while at + 12 <= len(content):
-        kind = struct.unpack_from(order + "I", content, at)[0]
+        kind = _numbers(order + "I", content, at)[0]
         if content[at : at + 4] == SECTION.to_bytes(4, "big"):
             order, interfaces, kind = ORDERS.get(bytes(content[at + 8 : at + 12])), [], SECTION
             if order is None:
                 raise CaptureError("section without byte order")
-        size = struct.unpack_from(order + "I", content, at + 4)[0]
+        size = _numbers(order + "I", content, at + 4)[0]
         if not LEAST_BLOCK <= size <= MOST_BLOCK or size % 4:
             raise CaptureError(f"implausible block length {size}")
         if at + size > len(content):
@@ -108,7 +150,7 @@ def _pcapng(content: bytes, legacy: bool) -> Iterator[tuple]:
             yield 0, len(data), max(wire, len(data)), 1 if legacy or not interfaces else interfaces[0][0], 0, data
 
 
-def _batches(name: str, content: bytes, legacy: bool) -> Iterator[pa.RecordBatch]:
+def _batches(name: str, content: bytes | Stretches, legacy: bool) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     n, error = 0, None
     found = records(content, legacy)
@@ -145,17 +187,42 @@ def records_of(files: DataFrame, legacy_link_type: bool = False) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def read_capture(spark: SparkSession, path: str, legacy_link_type: bool = False) -> DataFrame:
-    """All records under a path, with ``index``: the number in the file, and the file's place by name in the high bits."""
-    files = spark.read.format("binaryFile").load(path)
+def records_of_large(files: DataFrame, legacy_link_type: bool = False) -> DataFrame:
+    """Records of ``path`` rows, whose files the tasks open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with opened(path) as content:
+                    yield from _batches(path, content, legacy_link_type)
+
+    return files.select("path").mapInArrow(run, SCHEMA)
+
+
+def indexed(files: DataFrame, legacy_link_type: bool = False, base: int = 0) -> DataFrame:
+    """Records of ``binaryFile`` rows with ``index``: from ``base`` on, the number in the file, and the file's place by name in the high bits."""
     places = files.select("path").withColumn("place", F.row_number().over(Window.orderBy("path")) - 1).withColumnRenamed("path", "file")
-    return records_of(files, legacy_link_type).join(places, "file").withColumn("index", F.col("place") * FILE_SHIFT + F.col("n")).drop("place", "n")
+    # The source checks the length before it reads a file.
+    small, large = files.where(F.col("length") <= AT_ONCE), files.where(F.col("length") > AT_ONCE)
+    found = records_of(small, legacy_link_type).unionByName(records_of_large(large, legacy_link_type))
+    return found.join(places, "file").withColumn("index", base + F.col("place") * FILE_SHIFT + F.col("n")).drop("place", "n")
+
+
+def read_capture(spark: SparkSession, path: str, legacy_link_type: bool = False) -> DataFrame:
+    """All records under a path, with ``index`` (see ``indexed``)."""
+    return indexed(spark.read.format("binaryFile").load(path), legacy_link_type)
+
+
+def stream_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures as they appear in a folder."""
+    return spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder)
 
 
 def stream_captures(spark: SparkSession, folder: str) -> DataFrame:
     """Records of captures as they appear in a folder; ``index`` is by time within a file's records."""
-    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder)
-    return records_of(files).withColumn("index", F.col("n"))
+    files = stream_files(spark, folder)
+    small, large = files.where(F.col("length") <= AT_ONCE), files.where(F.col("length") > AT_ONCE)
+    return records_of(small).unionByName(records_of_large(large)).withColumn("index", F.col("n"))
 
 
 def frames(found: DataFrame) -> DataFrame:
@@ -191,8 +258,8 @@ class CaptureReader(DataSourceReader):
         return [CapturePartition(self.path)]
 
     def read(self, partition: CapturePartition) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            yield from _batches(partition.path, f.read(), self.legacy)
+        with opened(partition.path) as content:
+            yield from _batches(partition.path, content, self.legacy)
 
 
 class CaptureMessage(WriterCommitMessage):

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from netlens.operators import beacon, flows
+from netlens.operators import beacon, flows, messages
 from netlens.plans import report as reports
 from netlens.plans.analysis import Settings, analyze
 from netlens.sources import intel, sample
@@ -93,3 +93,47 @@ def test_stream_equals_batch(spark, folder, analysis, tmp_path):
     assert {(r.ip, r.sent_bytes, r.received_bytes) for r in seen["hosts"]} == {(r.ip, r.sent_bytes, r.received_bytes) for r in analysis.hosts.collect()}
     answered = {(r.src_ip, r.dst_port): r.answered for r in seen["handshakes"]}
     assert answered["192.168.1.10", 80] and sum(not v for v in answered.values()) == 20
+
+
+def test_stream_reports_equal_batch(spark, tmp_path):
+    """Reports over captures that come one after the other: the last one says what a batch over both says, findings and all."""
+    from netlens.sources.capture import pcap_header, pcap_record
+
+    (tmp_path / "in").mkdir()
+    frames = list(sample.frames())
+    seen: list[tuple[int, dict]] = []
+    # Cut between two segments of one message, so that only both files together hold it.
+    cut = len(frames) // 2
+    for name, part in (("a.pcap", frames[:cut]), ("b.pcap", frames[cut:])):
+        (tmp_path / "in" / name).write_bytes(pcap_header(1) + b"".join(pcap_record(*f) for f in part))
+        query = continuous.publish_reports(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "state"), lambda r, n: seen.append((n, r)), once=True)
+        query.awaitTermination()
+    whole = reports.build(analyze(spark, str(tmp_path / "in")), str(tmp_path / "in"))
+    assert [n for n, _ in seen] == [0, 1]
+    for section in set(whole) - {"generated_at"}:
+        assert seen[-1][1][section] == whole[section], section
+    assert len(whole["findings"]) > 8 and seen[0][1]["summary"]["packets"] < whole["summary"]["packets"]
+
+
+def test_flow_values_keep_the_first_to_arrive(spark):
+    schema = "flow string, ord struct<index:bigint,origin:int,pos:int>, dns struct<questions:array<struct<name:string>>>, http struct<host:string,user_agent:string>"
+    rows = [("f", (1000 - k, 0, 0), ([(f"n{k:03d}",), (f"m{k:03d}",)],), None) for k in range(300)]
+    rows += [("f", (2000 + k, 0, 0), None, (f"h{(k * 37) % 150:03d}", f"a{k % 40:02d}" if k % 3 else None)) for k in range(450)]
+    rows += [("g", (1, 0, 0), None, ("only", None)), (None, (1, 0, 0), None, (None, "agent"))]
+    found = {r.flow: r for r in messages.flow_values(spark.createDataFrame(rows, schema).repartition(5), ("flow",)).collect()}
+    names = [x for k in range(299, -1, -1) for x in (f"n{k:03d}", f"m{k:03d}")]
+    agents = list(dict.fromkeys(f"a{k % 40:02d}" for k in range(450) if k % 3))
+    assert found["f"].dns_names == sorted(names[:256]) and found["f"].http_hosts == sorted(f"h{(k * 37) % 150:03d}" for k in range(64)) and found["f"].user_agents == sorted(agents[:16])
+    assert (found["g"].dns_names, found["g"].http_hosts, found["g"].user_agents) == ([], ["only"], []) and found[None].user_agents == ["agent"]
+
+
+def test_busy_flows_are_cut_to_their_first_arrivals(spark, monkeypatch):
+    """A flow past the number of arrivals that count is cut by ranges of indexes first; its score is that of the first ones."""
+    times = [10.0 * k for k in range(60)] + [600 + 3.7 * k for k in range(300)]
+    monkeypatch.setattr(beacon, "SAMPLES", 60)
+    monkeypatch.setattr(beacon, "RANGE_BITS", 3)
+    packets = series(spark, times)
+    kept = beacon.first_arrivals(flows.with_flow_key(packets), flows.flows(packets))
+    assert 60 <= kept.count() < 80
+    found = beacon.scores(packets, flows.flows(packets)).first()
+    assert (found.interval, found.jitter, found.times, found.samples_truncated) == (10.0, 0.0, 60, True)

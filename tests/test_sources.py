@@ -96,3 +96,18 @@ def test_address_hits(spark):
     hosts = spark.createDataFrame([("10.0.0.127", 1), ("10.0.0.5", 2), ("11.0.0.1", 3), ("2001:db8::9", 4), ("2001:db9::9", 5)], "ip string, count long").withColumn("key", indicators.key_of_text(F.col("ip")))
     found = {r.observed: r.indicator for r in indicators.address_hits(hosts, listed).collect()}
     assert found == {"10.0.0.127": "10.0.0.0/8", "10.0.0.5": "10.0.0.5", "2001:db8::9": "2001:db8::/32"}
+
+
+def test_large_files_are_read_in_stretches(spark, tmp_path, monkeypatch):
+    """Files past the limit give the same records, whatever the stretches."""
+    content = sample.capture_bytes()
+    (tmp_path / "a.pcap").write_bytes(content)
+    (tmp_path / "b.pcap").write_bytes(content[:5000])
+    (tmp_path / "c.txt").write_bytes(b"no capture at all" * 10)
+    rows = lambda: sorted(map(tuple, capture.read_capture(spark, str(tmp_path)).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(capture, "AT_ONCE", 1000)
+    assert rows() == whole and len(whole) > 4000
+    monkeypatch.setattr(capture, "STRETCH", 100)
+    with capture.opened(f"file:{tmp_path}/a.pcap") as stretches:
+        assert list(capture.records(stretches)) == list(capture.records(content))
