@@ -50,6 +50,20 @@ def release(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def written() -> int:
+    """How many tables are written and not released; a mark for ``release_since``."""
+    return len(_written)
+
+
+def release_since(mark: int, keep: DataFrame) -> None:
+    """Delete the tables written since the mark, but for the one behind ``keep``, which none of the others may be needed for."""
+    kept = getattr(keep, "_scratch_path", None)
+    for spark, path in _written[mark:]:
+        if path != kept:
+            _delete(spark, path)
+    _written[mark:] = [x for x in _written[mark:] if x[1] == kept]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
