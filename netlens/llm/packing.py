@@ -11,6 +11,7 @@ rows are packed each by itself. Columns other than the id and the text are not l
 An empty table gives an empty result.
 """
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,6 +30,15 @@ CACHE_ENTRIES = 600_000
 #: Token bytes that one output batch holds, about.
 BATCH_BYTES = 8_000_000
 
+# Normaliser and splits of a tokenizer file whose words can be cached one by one. Any other file is used as it is.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # The contractions that the vocabulary's own split of a text keeps whole.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Texts of these characters normalise character by character; chunks with others go through the whole tokenizer.
@@ -59,8 +69,9 @@ def byte_alphabet() -> dict[int, str]:
 class CachedTokenizer:
     """Token ids of a text, as little-endian bytes, word by word.
 
-    The vocabulary lowers letters, drops white space and never joins across words, so a text's
-    ids are those of its words in order. Most words of a corpus repeat and come from a cache.
+    If the file's vocabulary lowers letters, drops white space and never joins across words, a text's
+    ids are those of its words in order, and most words of a corpus repeat and come from a cache. Files with
+    other settings encode each text as a whole.
     """
 
     def __init__(self, path: str):
@@ -68,11 +79,20 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_word = (
+            (settings["normalizer"], settings["pre_tokenizer"], settings["model"]["type"]) == (NORMALIZER, SPLITS, "BPE")
+            and not settings["model"].get("dropout")
+            and all("<|" in t["content"] for t in settings["added_tokens"])
+        )
         self.split = re.compile(word_pattern()).findall
         self.is_plain = re.compile(f"[ \t\n\r{PLAIN}]*").fullmatch
         self.alphabet = byte_alphabet()
         self.words: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
         found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
@@ -82,10 +102,12 @@ class CachedTokenizer:
         return found
 
     def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
         if "<|" in text or not self.is_plain(text):
             if len(chunks := re.split(r"[ \t\n\r]+", text)) > 1:
                 return b"".join([self.ids(c) for c in chunks])
-            return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+            return self._whole(text)
         known = self.words.get
         return b"".join([known(w) or self._word(w) for w in self.split(text.lower())])
 

@@ -65,6 +65,13 @@ def test_cached_tokenizer_equals_whole(text):
     assert t.ids(text) == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_tokenizers_are_used_as_they_are():
+    t = packing.tokenizer_at(public.path("byte_bpe_50k.json"))
+    assert packing.tokenizer_at(tokenizer_path()).by_word and not t.by_word
+    for text in ("Two  Words\n\tand MORE", "", "é <|endoftext|> 12"):
+        assert t.ids(text) == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def plain_features(text):
     text = text or ""
     w = split(text)
