@@ -9,7 +9,7 @@ a tokenizer), so it is tested against a plain version.
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm import language, mixing, packing, secrets, simhash
-from netlens.storage import materialize
+from netlens.storage import materialize, release_since, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each result is written before the next stage reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole table; each result is written before the next stage reads it, and what it came from is deleted."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release_since(start, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
