@@ -45,7 +45,13 @@ def main(argv: list[str] | None = None) -> int:
     sets = [intel.read_list(spark, path) for path in args.ioc]
     cached = intel.load_cache(spark, args.intel) if args.intel else None
     sets += [cached] if cached is not None else []
-    settings = Settings(top=args.top, beacon_jitter=args.beacon_jitter, beacon_packets=args.beacon_packets, subdomains=args.subdomains, scan_ports=args.scan_ports)
+    settings = Settings(
+        top=args.top,
+        beacon_jitter=args.beacon_jitter,
+        beacon_packets=args.beacon_packets,
+        subdomains=args.subdomains,
+        scan_ports=args.scan_ports,
+    )
     aligned = [s.select("kind", "value", "source", "tag", s["ord"].cast("string").alias("ord")) for s in sets]
     a = analyze(spark, args.file, settings, indicators.union(*aligned) if aligned else None, args.limit)
     if args.packets:

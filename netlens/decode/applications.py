@@ -23,7 +23,15 @@ HANDSHAKE, CLIENT, SERVER = 22, 1, 2
 SERVER_NAME, GROUPS, FORMATS, ALPN, VERSIONS = 0, 10, 11, 16, 43
 METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "CONNECT", "TRACE")
 HEAD_LIMIT, HEADER_LIMIT, URI_LIMIT, REASON_LIMIT = 16 * 1024, 256, 512, 120
-KEPT = {"host": "host", "user-agent": "user_agent", "server": "server", "content-type": "content_type", "content-length": "content_length", "location": "location", "referer": "referer"}
+KEPT = {
+    "host": "host",
+    "user-agent": "user_agent",
+    "server": "server",
+    "content-type": "content_type",
+    "content-length": "content_length",
+    "location": "location",
+    "referer": "referer",
+}
 
 MESSAGE = (
     "app string, complete boolean, "
@@ -87,7 +95,15 @@ def parse_dns(message: bytes) -> dict | None:
     opcode = flags >> 11 & 15
     if opcode > MOST_OPCODE or questions > MOST_QUESTIONS or answers > MOST_ANSWERS:
         return None
-    out = {"id": number, "is_response": flags >= 0x8000, "opcode": opcode, "rcode": flags & 15, "truncated": bool(flags & 0x200), "questions": [], "answers": []}
+    out = {
+        "id": number,
+        "is_response": flags >= 0x8000,
+        "opcode": opcode,
+        "rcode": flags & 15,
+        "truncated": bool(flags & 0x200),
+        "questions": [],
+        "answers": [],
+    }
     at = 12
     try:
         for _ in range(questions):
@@ -184,10 +200,18 @@ def _hello(record: Cursor) -> dict | None:
             except IndexError:
                 continue
     dashed = lambda values: "-".join(map(str, values))
-    parts = [str(legacy), dashed(ciphers), dashed(extensions)] + ([dashed(found["groups"]), dashed(found["formats"])] if kind == CLIENT else [])
+    parts = [str(legacy), dashed(ciphers), dashed(extensions)] + (
+        [dashed(found["groups"]), dashed(found["formats"])] if kind == CLIENT else []
+    )
     text = ",".join(parts)
     return {
-        "kind": "client" if kind == CLIENT else "server", "version": found["version"], "legacy_version": legacy, "sni": found["sni"], "alpn": found["alpn"], "ciphers": ciphers, "extensions": extensions,
+        "kind": "client" if kind == CLIENT else "server",
+        "version": found["version"],
+        "legacy_version": legacy,
+        "sni": found["sni"],
+        "alpn": found["alpn"],
+        "ciphers": ciphers,
+        "extensions": extensions,
         "ja3_text": text, "ja3": hashlib.md5(text.encode()).hexdigest(), "complete": complete,
     }
 
@@ -251,13 +275,22 @@ def parse_http(payload: bytes) -> dict | None:
 
 
 def _start_line(line: str) -> dict | None:
-    out = dict.fromkeys(("method", "uri", "status", "reason", *KEPT.values())) | {"has_authorization": False, "has_cookie": False, "header_count": 0}
+    out = dict.fromkeys(("method", "uri", "status", "reason", *KEPT.values())) | {
+        "has_authorization": False,
+        "has_cookie": False,
+        "header_count": 0,
+    }
     if line.startswith("HTTP/"):
         version, _, rest = line.partition(" ")
         status, space, reason = rest.partition(" ")
         if not (status.isascii() and status.isdigit() and 100 <= int(status) <= 599):
             return None
-        return out | {"is_request": False, "version": version, "status": int(status), "reason": shortened(reason, REASON_LIMIT) if space else None}
+        return out | {
+            "is_request": False,
+            "version": version,
+            "status": int(status),
+            "reason": shortened(reason, REASON_LIMIT) if space else None,
+        }
     parts = line.split(" ")
     if len(parts) < 3 or parts[0] not in METHODS or not parts[2].startswith("HTTP/1."):
         return None

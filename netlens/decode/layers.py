@@ -36,7 +36,31 @@ DECODED = (
 )
 PASSED = ("file", "index", "ts_ns", "captured_len", "wire_len", "link_type")
 _EMPTY = {
-    **dict.fromkeys(("eth", "ethertype", "ip4", "ip6", "arp", "tcp", "udp", "icmp", "src_ip", "dst_ip", "src_key", "dst_key", "ip_proto", "src_port", "dst_port", "tcp_flags", "fragment_offset", "fragment_id", "payload_at", "payload", "ip_payload")),
+    **dict.fromkeys(
+        (
+            "eth",
+            "ethertype",
+            "ip4",
+            "ip6",
+            "arp",
+            "tcp",
+            "udp",
+            "icmp",
+            "src_ip",
+            "dst_ip",
+            "src_key",
+            "dst_key",
+            "ip_proto",
+            "src_port",
+            "dst_port",
+            "tcp_flags",
+            "fragment_offset",
+            "fragment_id",
+            "payload_at",
+            "payload",
+            "ip_payload",
+        )
+    ),
     "fragmented": False, "more_fragments": False, "payload_len": 0,
 }
 
@@ -101,7 +125,12 @@ def parse_v4(data: bytes, at: int, out: dict) -> tuple[int, int, bool]:
     offset, more = (flags & 0x1FFF) * 8, bool(flags & 0x2000)
     src, dst = data[at + 12 : at + 16], data[at + 16 : at + 20]
     out.update(
-        ip4={"header_len": head, "total_len": total, "tos": tos, "id": ident, "dont_fragment": bool(flags & 0x4000), "ttl": ttl}, ip_proto=proto, src_ip=dotted(src), dst_ip=dotted(dst), src_key=b"\4" + src, dst_key=b"\4" + dst,
+        ip4={"header_len": head, "total_len": total, "tos": tos, "id": ident, "dont_fragment": bool(flags & 0x4000), "ttl": ttl},
+        ip_proto=proto,
+        src_ip=dotted(src),
+        dst_ip=dotted(dst),
+        src_key=b"\4" + src,
+        dst_key=b"\4" + dst,
         fragmented=more or offset > 0, fragment_offset=offset, fragment_id=ident, more_fragments=more,
     )
     return at + head, end, offset == 0
@@ -133,8 +162,22 @@ def parse_v6(data: bytes, at: int, out: dict) -> tuple[int, int, bool]:
         if offset:
             break
     out.update(
-        ip6={"traffic_class": first >> 20 & 255, "flow_label": first & 0xFFFFF, "payload_length": length, "hop_limit": hops, "extension_headers": headers}, ip_proto=kind,
-        src_ip=str(ipaddress.IPv6Address(src)), dst_ip=str(ipaddress.IPv6Address(dst)), src_key=b"\6" + src, dst_key=b"\6" + dst, fragmented=fragmented, fragment_offset=offset, fragment_id=ident, more_fragments=more,
+        ip6={
+            "traffic_class": first >> 20 & 255,
+            "flow_label": first & 0xFFFFF,
+            "payload_length": length,
+            "hop_limit": hops,
+            "extension_headers": headers,
+        },
+        ip_proto=kind,
+        src_ip=str(ipaddress.IPv6Address(src)),
+        dst_ip=str(ipaddress.IPv6Address(dst)),
+        src_key=b"\6" + src,
+        dst_key=b"\6" + dst,
+        fragmented=fragmented,
+        fragment_offset=offset,
+        fragment_id=ident,
+        more_fragments=more,
     )
     return p, end, offset == 0
 
@@ -145,7 +188,13 @@ def parse_arp(data: bytes, at: int) -> dict:
     if data[at : at + 6] != b"\0\1\x08\0\6\4":
         raise ValueError("arp: malformed")
     f = data[at + 6 : at + 28]
-    return {"op": f[0] << 8 | f[1], "sender_mac": mac_text(f[2:8]), "sender_ip": dotted(f[8:12]), "target_mac": mac_text(f[12:18]), "target_ip": dotted(f[18:22])}
+    return {
+        "op": f[0] << 8 | f[1],
+        "sender_mac": mac_text(f[2:8]),
+        "sender_ip": dotted(f[8:12]),
+        "target_mac": mac_text(f[12:18]),
+        "target_ip": dotted(f[18:22]),
+    }
 
 
 def tcp_options(data: bytes) -> dict:
@@ -180,14 +229,38 @@ def parse_transport(data: bytes, at: int, end: int, out: dict) -> None:
             raise ValueError("tcp: malformed")
         if head > have:
             raise ValueError("tcp: truncated")
-        out["tcp"] = {"src_port": sport, "dst_port": dport, "seq": seq, "ack": ack, "flags": flags, "window": window, "checksum": checksum, "urgent": urgent, "options": tcp_options(data[at + 20 : at + head]) if head > 20 else None}
-        out.update(src_port=sport, dst_port=dport, tcp_flags=flags, payload_at=at + head, payload_len=have - head, payload=data[at + head : end] or None)
+        out["tcp"] = {
+            "src_port": sport,
+            "dst_port": dport,
+            "seq": seq,
+            "ack": ack,
+            "flags": flags,
+            "window": window,
+            "checksum": checksum,
+            "urgent": urgent,
+            "options": tcp_options(data[at + 20 : at + head]) if head > 20 else None,
+        }
+        out.update(
+            src_port=sport,
+            dst_port=dport,
+            tcp_flags=flags,
+            payload_at=at + head,
+            payload_len=have - head,
+            payload=data[at + head : end] or None,
+        )
     elif proto == names.UDP:
         if have < 8:
             raise ValueError("udp: truncated")
         sport, dport, length, checksum = struct.unpack_from(">4H", data, at)
         stop = min(end, at + length) if length >= 8 else end
-        out.update(udp={"src_port": sport, "dst_port": dport, "length": length, "checksum": checksum}, src_port=sport, dst_port=dport, payload_at=at + 8, payload_len=stop - at - 8, payload=data[at + 8 : stop] or None)
+        out.update(
+            udp={"src_port": sport, "dst_port": dport, "length": length, "checksum": checksum},
+            src_port=sport,
+            dst_port=dport,
+            payload_at=at + 8,
+            payload_len=stop - at - 8,
+            payload=data[at + 8 : stop] or None,
+        )
     elif proto in (names.ICMP, names.ICMP6):
         echo = have > 0 and data[at] in ((128, 129) if proto == names.ICMP6 else (0, 8))
         size = 8 if echo else 4
@@ -195,7 +268,14 @@ def parse_transport(data: bytes, at: int, end: int, out: dict) -> None:
             raise ValueError("icmp: truncated")
         kind, code, checksum = struct.unpack_from(">BBH", data, at)
         ident, number = struct.unpack_from(">2H", data, at + 4) if echo else (None, None)
-        out["icmp"] = {"type": kind, "code": code, "checksum": checksum, "echo_id": ident, "echo_seq": number, "payload_len": have - size}
+        out["icmp"] = {
+            "type": kind,
+            "code": code,
+            "checksum": checksum,
+            "echo_id": ident,
+            "echo_seq": number,
+            "payload_len": have - size,
+        }
         out["payload_len"] = have - size
     else:
         out["payload_len"] = have
@@ -239,7 +319,10 @@ def decode(frames: DataFrame) -> DataFrame:
         decoded = list(to_arrow_schema(schema))[len(PASSED) :]
         for batch in batches:
             links = batch.column(PASSED.index("link_type")).to_pylist()
-            rows = [parse_frame(link, data.as_buffer().to_pybytes()) for link, data in zip(links, batch.column(len(PASSED)), strict=True)]
+            rows = [
+                parse_frame(link, data.as_buffer().to_pybytes())
+                for link, data in zip(links, batch.column(len(PASSED)), strict=True)
+            ]
             columns = [pa.array([r[f.name] for r in rows], f.type) for f in decoded]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(PASSED)], *columns], schema.fieldNames())
 
@@ -248,8 +331,33 @@ def decode(frames: DataFrame) -> DataFrame:
 
 def summary_line(app: Column | None = None) -> Column:
     """One line for each packet: its endpoints, protocol and length."""
-    ends = lambda ip, port: F.when(F.col(port).isNotNull(), F.concat(F.col(ip), F.lit(":"), F.col(port).cast("string"))).otherwise(F.col(ip))
-    label = F.coalesce(*([app] if app is not None else []), F.when(F.col("ip_proto").isNotNull(), names.protocol(F.col("ip_proto"))), F.when(F.col("arp").isNotNull(), "ARP"), names.ethertype(F.col("ethertype")), F.lit("?"))
-    flags = F.when(F.col("tcp_flags").isNotNull(), F.concat(F.lit(" ["), names.flags_text(F.col("tcp_flags")), F.lit("]"))).otherwise("")
-    arrow = F.coalesce(F.concat(ends("src_ip", "src_port"), F.lit(" -> "), ends("dst_ip", "dst_port")), F.concat(F.col("eth.src"), F.lit(" -> "), F.col("eth.dst")), F.lit("-"))
-    return F.concat(F.col("index").cast("string"), F.lit(" "), arrow, F.lit(" "), label, flags, F.lit(" len="), F.col("wire_len").cast("string"))
+    ends = lambda ip, port: F.when(
+        F.col(port).isNotNull(),
+        F.concat(F.col(ip), F.lit(":"), F.col(port).cast("string")),
+    ).otherwise(F.col(ip))
+    label = F.coalesce(
+        *([app] if app is not None else []),
+        F.when(F.col("ip_proto").isNotNull(), names.protocol(F.col("ip_proto"))),
+        F.when(F.col("arp").isNotNull(), "ARP"),
+        names.ethertype(F.col("ethertype")),
+        F.lit("?"),
+    )
+    flags = F.when(
+        F.col("tcp_flags").isNotNull(),
+        F.concat(F.lit(" ["), names.flags_text(F.col("tcp_flags")), F.lit("]")),
+    ).otherwise("")
+    arrow = F.coalesce(
+        F.concat(ends("src_ip", "src_port"), F.lit(" -> "), ends("dst_ip", "dst_port")),
+        F.concat(F.col("eth.src"), F.lit(" -> "), F.col("eth.dst")),
+        F.lit("-"),
+    )
+    return F.concat(
+        F.col("index").cast("string"),
+        F.lit(" "),
+        arrow,
+        F.lit(" "),
+        label,
+        flags,
+        F.lit(" len="),
+        F.col("wire_len").cast("string"),
+    )

@@ -23,6 +23,28 @@ def text_of_v4(number: Column) -> Column:
     return F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))
 
 
+def text_of_key(key: Column) -> Column:
+    """An address as text: dotted, or hexadecimal groups with the first of the longest runs of zeros left out."""
+    digits = F.hex(key)
+    v4 = text_of_v4(F.conv(F.substring(digits, 3, 8), 16, 10))
+    groups = [
+        F.coalesce(F.nullif(F.ltrim(F.lower(F.substring(digits, 3 + 4 * k, 4)), F.lit("0")), F.lit("")), F.lit("0"))
+        for k in range(8)
+    ]
+    whole = F.concat_ws(":", *groups)
+
+    def shortened(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):
+            run = f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+            out = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$2")).otherwise(out)
+        return out
+
+    mapped = F.concat(F.lit("::ffff:"), text_of_v4(F.conv(F.substring(digits, 27, 8), 16, 10)))
+    v6 = F.when(digits.startswith("06" + "0" * 20 + "FFFF"), mapped).otherwise(F.transform(F.array(whole), shortened)[0])
+    return F.when(is_v4(key), v4).otherwise(v6)
+
+
 # Private and local IPv4 ranges (first, last) and IPv6 prefixes as hex after the family byte.
 PRIVATE_V4 = (
     ("10.0.0.0", "10.255.255.255"),

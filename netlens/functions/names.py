@@ -8,18 +8,64 @@ from pyspark.sql import functions as F
 # Fixed values: (service, ports, T for TCP alone, U for all but TCP, B for both).
 SERVICES = (
     ("ftp", (20, 21), "T"), ("ssh", (22,), "T"), ("telnet", (23,), "T"), ("smtp", (25, 587), "T"), ("dns", (53,), "B"),
-    ("dhcp", (67, 68), "U"), ("tftp", (69,), "U"), ("http", (80, 8080, 8000), "T"), ("kerberos", (88,), "B"), ("pop3", (110,), "T"),
+    ("dhcp", (67, 68), "U"),
+    ("tftp", (69,), "U"),
+    ("http", (80, 8080, 8000), "T"),
+    ("kerberos", (88,), "B"),
+    ("pop3", (110,), "T"),
     ("ntp", (123,), "U"), ("msrpc", (135,), "T"), ("netbios", (137, 138), "U"), ("smb", (139, 445), "T"), ("imap", (143,), "T"),
     ("snmp", (161, 162), "U"), ("ldap", (389,), "B"), ("https", (443, 8443), "T"), ("quic", (443,), "U"), ("syslog", (514,), "U"),
     ("ldaps", (636,), "T"), ("mssql", (1433,), "T"), ("oracle", (1521,), "T"), ("mysql", (3306,), "T"), ("rdp", (3389,), "T"),
-    ("sip", (5060, 5061), "B"), ("postgres", (5432,), "T"), ("mdns", (5353,), "U"), ("winrm", (5985, 5986), "T"), ("redis", (6379,), "T"),
+    ("sip", (5060, 5061), "B"),
+    ("postgres", (5432,), "T"),
+    ("mdns", (5353,), "U"),
+    ("winrm", (5985, 5986), "T"),
+    ("redis", (6379,), "T"),
     ("elasticsearch", (9200,), "T"), ("mongodb", (27017,), "T"),
 )
 CLEARTEXT = ("ftp", "telnet", "http", "pop3", "imap", "smtp", "tftp", "syslog", "snmp")
 TCP, UDP, ICMP, ICMP6 = 6, 17, 1, 58
-PROTOCOLS = {1: "ICMP", 2: "IGMP", 6: "TCP", 17: "UDP", 41: "IPv6", 47: "GRE", 50: "ESP", 51: "AH", 58: "ICMPv6", 89: "OSPF", 132: "SCTP"}
-ETHERTYPES = {0x0800: "IPv4", 0x0806: "ARP", 0x86DD: "IPv6", 0x8100: "VLAN", 0x88A8: "QinQ", 0x88CC: "LLDP", 0x8847: "MPLS", 0x888E: "EAPOL"}
-QTYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 41: "OPT", 43: "DS", 46: "RRSIG", 48: "DNSKEY", 64: "SVCB", 65: "HTTPS", 255: "ANY"}
+PROTOCOLS = {
+    1: "ICMP",
+    2: "IGMP",
+    6: "TCP",
+    17: "UDP",
+    41: "IPv6",
+    47: "GRE",
+    50: "ESP",
+    51: "AH",
+    58: "ICMPv6",
+    89: "OSPF",
+    132: "SCTP",
+}
+ETHERTYPES = {
+    0x0800: "IPv4",
+    0x0806: "ARP",
+    0x86DD: "IPv6",
+    0x8100: "VLAN",
+    0x88A8: "QinQ",
+    0x88CC: "LLDP",
+    0x8847: "MPLS",
+    0x888E: "EAPOL",
+}
+QTYPES = {
+    1: "A",
+    2: "NS",
+    5: "CNAME",
+    6: "SOA",
+    12: "PTR",
+    15: "MX",
+    16: "TXT",
+    28: "AAAA",
+    33: "SRV",
+    41: "OPT",
+    43: "DS",
+    46: "RRSIG",
+    48: "DNSKEY",
+    64: "SVCB",
+    65: "HTTPS",
+    255: "ANY",
+}
 RCODES = {0: "NOERROR", 1: "FORMERR", 2: "SERVFAIL", 3: "NXDOMAIN", 4: "NOTIMP", 5: "REFUSED"}
 TLS_VERSIONS = {0x0300: "SSL 3.0", 0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
 OBSOLETE_TLS = (0x0300, 0x0302)

@@ -23,9 +23,16 @@ def url_host(url: Column) -> Column:
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits of the bytes of a string; 0 for the empty one."""
     digits = F.hex(F.encode(s, "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda i: F.substring(digits, 2 * i - 1, F.lit(2)))
+    octets = F.transform(
+        F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")),
+        lambda i: F.substring(digits, 2 * i - 1, F.lit(2)),
+    )
     total = (F.length(digits) / 2).cast("double")
-    counted = lambda all_: F.aggregate(F.array_distinct(all_), F.lit(0.0), lambda acc, o: acc - _share(all_, o, total) * F.log2(_share(all_, o, total)))
+    counted = lambda all_: F.aggregate(
+        F.array_distinct(all_),
+        F.lit(0.0),
+        lambda acc, o: acc - _share(all_, o, total) * F.log2(_share(all_, o, total)),
+    )
     return F.when(F.length(s) == 0, 0.0).otherwise(F.transform(F.array(octets), counted)[0])
 
 
@@ -36,7 +43,10 @@ def _share(all_: Column, octet: Column, total: Column) -> Column:
 def suffixes(name: Column) -> Column:
     """A name and its parents as structs of (depth, suffix), the whole name at depth 0."""
     labels = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("suffix")))
+    return F.transform(
+        F.sequence(F.lit(0), F.size(labels) - 1),
+        lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("suffix")),
+    )
 
 
 UNITS = ("KB", "MB", "GB", "TB")
@@ -64,7 +74,9 @@ def human_duration(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("long")
     return (
         F.when(seconds < 1, F.format_string("%.0fms", seconds * 1000)).when(seconds < 60, F.format_string("%.1fs", seconds))
-        .when(seconds < 3600, F.format_string("%dm%02ds", F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%dh%02dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
+        .when(seconds < 3600, F.format_string("%dm%02ds", F.floor(whole / 60), whole % 60)).otherwise(
+            F.format_string("%dh%02dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60))
+        )
     )
 
 
@@ -93,6 +105,12 @@ def indicator_kind(token: Column) -> Column:
     """ip, cidr, ja3, domain, or null for what is none of these."""
     address, bits = F.split_part(token, F.lit("/"), F.lit(1)), F.split_part(token, F.lit("/"), F.lit(2))
     number = F.when(bits.rlike(r"^\d{1,3}$"), bits.cast("int"))
-    cidr = F.when((F.length(token) - F.length(F.replace(token, F.lit("/"), F.lit(""))) == 1) & ((address.rlike(IPV4) & (number <= 32)) | (address.rlike(IPV6) & (number <= 128))), "cidr")
+    cidr = F.when(
+        (F.length(token) - F.length(F.replace(token, F.lit("/"), F.lit(""))) == 1) & (
+            (address.rlike(IPV4) & (number <= 32))
+            | (address.rlike(IPV6) & (number <= 128))
+        ),
+        "cidr",
+    )
     plain = F.when(token.rlike(IPV4) | token.rlike(IPV6), "ip").when(token.rlike(JA3), "ja3").when(token.rlike(DOMAIN), "domain")
     return F.when(F.contains(token, F.lit("/")), cidr).otherwise(plain)

@@ -27,7 +27,10 @@ def union(*sets: DataFrame) -> DataFrame:
         whole = whole.unionByName(s)
     order = F.struct("list", "ord")
     ranges = whole.where("kind = 'cidr'").select("kind", "value", "source", "tag", order.alias("ord"))
-    last = whole.where("kind <> 'cidr'").groupBy("kind", "value").agg(F.max_by(F.struct("source", "tag"), order).alias("p"), F.max(order).alias("ord"))
+    last = whole.where("kind <> 'cidr'").groupBy("kind", "value").agg(
+        F.max_by(F.struct("source", "tag"), order).alias("p"),
+        F.max(order).alias("ord"),
+    )
     return ranges.unionByName(last.select("kind", "value", "p.source", "p.tag", "ord"))
 
 
@@ -38,41 +41,101 @@ def key_of_text(ip: Column) -> Column:
     halves = F.split(ip, "::")
     groups = lambda half: F.transform(F.filter(F.split(half, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
     left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
-    v6 = F.unhex(F.concat(F.lit("06"), F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), F.lit(8) - F.size(left) - F.size(right)), right), "")))
+    v6 = F.unhex(
+        F.concat(
+            F.lit("06"),
+            F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), F.lit(8) - F.size(left) - F.size(right)), right), ""),
+        )
+    )
     return F.when(ip.rlike(text.IPV4), v4).when(ip.rlike(text.IPV6), v6)
 
 
 def address_hits(hosts: DataFrame, found: DataFrame) -> DataFrame:
     """Hosts (``ip``, ``key``, ``count``) that an address or range names: an exact address beats ranges, of ranges the first listed counts."""
-    exact = found.where("kind = 'ip'").select(key_of_text(F.col("value")).alias("key"), F.col("value").alias("indicator"), "source", "tag", "ord")
+    exact = found.where("kind = 'ip'").select(
+        key_of_text(F.col("value")).alias("key"),
+        F.col("value").alias("indicator"),
+        "source",
+        "tag",
+        "ord",
+    )
     parts = F.split("value", "/")
-    cidrs = found.where("kind = 'cidr'").select(F.col("value").alias("indicator"), "source", "tag", "ord", key_of_text(F.get(parts, 0)).alias("of"), F.get(parts, 1).cast("int").alias("bits"))
+    cidrs = found.where("kind = 'cidr'").select(
+        F.col("value").alias("indicator"),
+        "source",
+        "tag",
+        "ord",
+        key_of_text(F.get(parts, 0)).alias("of"),
+        F.get(parts, 1).cast("int").alias("bits"),
+    )
     family = lambda key: F.length(key)  # noqa: E731  a key's length tells its family
-    ranges = cidrs.select("indicator", "source", "tag", "ord", "bits", addresses.prefix_of(F.col("of"), F.col("bits")).alias("prefix"))
+    ranges = cidrs.select(
+        "indicator",
+        "source",
+        "tag",
+        "ord",
+        "bits",
+        addresses.prefix_of(F.col("of"), F.col("bits")).alias("prefix"),
+    )
     # At most 33 + 129 rows: the lengths in use in each family, as a bounded table.
     lengths = cidrs.select(family("of").alias("family"), "bits").distinct()
-    tried = hosts.select("ip", "key", "count", family("key").alias("family")).join(F.broadcast(lengths), "family").withColumn("prefix", addresses.prefix_of(F.col("key"), F.col("bits")))
+    tried = hosts.select("ip", "key", "count", family("key").alias("family")).join(F.broadcast(lengths), "family").withColumn(
+        "prefix",
+        addresses.prefix_of(F.col("key"), F.col("bits")),
+    )
     facts = F.struct(F.lit(1).alias("rank"), "ord", "indicator", "source", "tag")
     by_range = tried.join(ranges, ["bits", "prefix"]).select("ip", "key", "count", facts.alias("hit"))
-    by_address = hosts.select("ip", "key", "count").join(exact, "key").select("ip", "key", "count", F.struct(F.lit(0).alias("rank"), "ord", "indicator", "source", "tag").alias("hit"))
+    by_address = hosts.select("ip", "key", "count").join(exact, "key").select(
+        "ip",
+        "key",
+        "count",
+        F.struct(F.lit(0).alias("rank"), "ord", "indicator", "source", "tag").alias("hit"),
+    )
     best = by_range.unionByName(by_address).groupBy("ip", "key", "count").agg(F.min("hit").alias("hit"))
-    return best.select(F.col("hit.indicator").alias("indicator"), F.col("ip").alias("observed"), F.lit("host").alias("context"), "hit.source", "hit.tag", "count")
+    return best.select(
+        F.col("hit.indicator").alias("indicator"),
+        F.col("ip").alias("observed"),
+        F.lit("host").alias("context"),
+        "hit.source",
+        "hit.tag",
+        "count",
+    )
 
 
 def merged_names(*sets: tuple[DataFrame, str, str, str]) -> DataFrame:
     """Names from (frame, name column, count column, context): counts summed by lower-case name, contexts joined."""
     whole = None
     for df, name, count, context in sets:
-        part = df.select(text.ascii_lower(F.col(name)).alias("observed"), F.col(count).alias("count"), F.lit(context).alias("context"))
+        part = df.select(
+            text.ascii_lower(F.col(name)).alias("observed"),
+            F.col(count).alias("count"),
+            F.lit(context).alias("context"),
+        )
         whole = part if whole is None else whole.unionByName(part)
-    return whole.groupBy("observed").agg(F.sum("count").alias("count"), F.array_join(F.array_sort(F.collect_set("context")), "/").alias("context"))
+    return whole.groupBy("observed").agg(
+        F.sum("count").alias("count"),
+        F.array_join(F.array_sort(F.collect_set("context")), "/").alias("context"),
+    )
 
 
 def domain_hits(names: DataFrame, found: DataFrame) -> DataFrame:
     """Names (``observed``, ``count``, ``context``) that a domain or a parent of it names; the most specific counts."""
     domains = found.where("kind = 'domain'").select(F.col("value").alias("indicator"), "source", "tag")
-    tried = names.select("observed", "count", "context", F.explode(text.suffixes(F.rtrim("observed", F.lit(".")))).alias("s")).select("observed", "count", "context", F.col("s.depth").alias("depth"), F.col("s.suffix").alias("indicator"))
-    hits = tried.join(domains, "indicator").groupBy("observed", "count", "context").agg(F.min(F.struct("depth", "indicator", "source", "tag")).alias("hit"))
+    tried = names.select(
+        "observed",
+        "count",
+        "context",
+        F.explode(text.suffixes(F.rtrim("observed", F.lit(".")))).alias("s"),
+    ).select(
+        "observed",
+        "count",
+        "context",
+        F.col("s.depth").alias("depth"),
+        F.col("s.suffix").alias("indicator"),
+    )
+    hits = tried.join(domains, "indicator").groupBy("observed", "count", "context").agg(
+        F.min(F.struct("depth", "indicator", "source", "tag")).alias("hit")
+    )
     return hits.select("hit.indicator", "observed", "context", "hit.source", "hit.tag", "count")
 
 
@@ -80,7 +143,14 @@ def fingerprint_hits(fingerprints: DataFrame, found: DataFrame) -> DataFrame:
     """Fingerprints (``ja3``, ``hellos``, ``first_sni``) that are listed."""
     listed = found.where("kind = 'ja3'").select(F.col("value").alias("indicator"), "source", "tag")
     seen = fingerprints.withColumn("indicator", text.ascii_lower(F.col("ja3")))
-    return seen.join(listed, "indicator").select("indicator", F.col("ja3").alias("observed"), F.coalesce(F.concat(F.lit("sni="), F.col("first_sni")), F.lit("tls client")).alias("context"), "source", "tag", F.col("hellos").alias("count"))
+    return seen.join(listed, "indicator").select(
+        "indicator",
+        F.col("ja3").alias("observed"),
+        F.coalesce(F.concat(F.lit("sni="), F.col("first_sni")), F.lit("tls client")).alias("context"),
+        "source",
+        "tag",
+        F.col("hellos").alias("count"),
+    )
 
 
 def ordered_hits(hits: DataFrame) -> DataFrame:

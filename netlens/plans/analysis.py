@@ -37,20 +37,42 @@ class Settings:
     legacy_link_type: bool = False
 
     def clamped(self) -> "Settings":
-        return Settings(**(self.__dict__ | {"beacon_jitter": min(1.0, max(0.0, self.beacon_jitter)), "beacon_packets": max(5, self.beacon_packets), "subdomains": max(2, self.subdomains), "scan_ports": max(2, self.scan_ports)}))
+        return Settings(
+            **(
+                self.__dict__
+                | {
+                    "beacon_jitter": min(1.0, max(0.0, self.beacon_jitter)),
+                    "beacon_packets": max(5, self.beacon_packets),
+                    "subdomains": max(2, self.subdomains),
+                    "scan_ports": max(2, self.scan_ports),
+                }
+            )
+        )
 
 
 class Analysis:
     """Tables of a capture's records (see ``sources.capture``), and indicators if there are any."""
 
-    def __init__(self, records: DataFrame, settings: Settings | None = None, listed: DataFrame | None = None, limit: int | None = None):
+    def __init__(
+        self,
+        records: DataFrame,
+        settings: Settings | None = None,
+        listed: DataFrame | None = None,
+        limit: int | None = None,
+    ):
         frames = capture.frames(records)
         if limit is not None:
             frames = frames.where(F.col("index") <= max(1, limit))
         self._prepare(materialize(layers.decode(frames), "packets"), capture.read_errors(records), settings, listed)
 
     @classmethod
-    def of_packets(cls, packets: DataFrame, errors: DataFrame, settings: Settings | None = None, listed: DataFrame | None = None) -> "Analysis":
+    def of_packets(
+        cls,
+        packets: DataFrame,
+        errors: DataFrame,
+        settings: Settings | None = None,
+        listed: DataFrame | None = None,
+    ) -> "Analysis":
         """The analysis of packets that are decoded and stored already."""
         made = cls.__new__(cls)
         made._prepare(packets, errors, settings, listed)
@@ -83,13 +105,27 @@ class Analysis:
         return base.join(told, list(flows.FLOW_KEY), "left").join(resolved, "server_ip", "left")
 
     def counters(self) -> DataFrame:
-        more = self.packets.agg(F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"), F.count_if("fragmented").alias("fragments"), F.count_if(F.col("arp").isNotNull()).alias("arp"), F.count_if(F.col("src_key").isNull() & F.col("arp").isNull()).alias("other_l3"))
+        more = self.packets.agg(
+            F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"),
+            F.count_if("fragmented").alias("fragments"),
+            F.count_if(F.col("arp").isNotNull()).alias("arp"),
+            F.count_if(F.col("src_key").isNull() & F.col("arp").isNull()).alias("other_l3"),
+        )
         return flows.summary(flows.counters(self.packets)).crossJoin(more)  # one row each
 
     def beacons(self) -> DataFrame:
         s = self.settings
-        scored = beacon.gated(beacon.scores(self.packets, self.flows), s.beacon_packets, s.beacon_jitter, s.beacon_least, s.beacon_most)
-        return scored.join(self.flows.select(*flows.FLOW_KEY, "sni", "destination"), list(flows.FLOW_KEY)).orderBy(F.desc("confidence"), "flow")
+        scored = beacon.gated(
+            beacon.scores(self.packets, self.flows),
+            s.beacon_packets,
+            s.beacon_jitter,
+            s.beacon_least,
+            s.beacon_most,
+        )
+        return scored.join(
+            self.flows.select(*flows.FLOW_KEY, "sni", "destination"),
+            list(flows.FLOW_KEY),
+        ).orderBy(F.desc("confidence"), "flow")
 
     def subdomains(self) -> DataFrame:
         return messages.dns_subdomains(self.names)
@@ -103,7 +139,11 @@ class Analysis:
             return None
         hosts = self.hosts.select("ip", "key", (F.col("sent_packets") + F.col("received_packets")).alias("count"))
         dns = self.names.withColumn("n", F.col("queries") + F.col("responses"))
-        seen = indicators.merged_names((dns, "name", "n", "dns"), (messages.http_hosts(self.messages), "host", "requests", "http"), (messages.tls_names(self.messages), "sni", "hellos", "tls"))
+        seen = indicators.merged_names(
+            (dns, "name", "n", "dns"),
+            (messages.http_hosts(self.messages), "host", "requests", "http"),
+            (messages.tls_names(self.messages), "sni", "hellos", "tls"),
+        )
         return {
             "ip": indicators.ordered_hits(indicators.address_hits(hosts, self.listed)),
             "domain": indicators.ordered_hits(indicators.domain_hits(seen, self.listed)),
@@ -114,7 +154,16 @@ class Analysis:
         return collect_findings(self)
 
 
-def finding(rows: DataFrame, order: list[Column], evidence: Column, kind: str, severity: Column | str, title: Column, detail: str, technique: tuple[str, ...] = ()) -> DataFrame:
+def finding(
+    rows: DataFrame,
+    order: list[Column],
+    evidence: Column,
+    kind: str,
+    severity: Column | str,
+    title: Column,
+    detail: str,
+    technique: tuple[str, ...] = (),
+) -> DataFrame:
     """One row from the rows that a rule found, or none: a title over ``n`` rows and the first evidence."""
     ranked = rows.select(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("by"), evidence.alias("e"), "*")
     # The evidence shown comes from a top-k, the number from a count that combines before it shuffles.
@@ -122,7 +171,14 @@ def finding(rows: DataFrame, order: list[Column], evidence: Column, kind: str, s
     facts = ranked.agg(F.count("*").alias("n"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"))
     whole = facts.where("n > 0").crossJoin(shown)  # one row each
     techniques = F.array(*map(F.lit, technique)) if technique else F.array().cast("array<string>")
-    return whole.select(F.lit(kind).alias("id"), "severity", title.alias("title"), F.lit(detail).alias("detail"), F.transform("l", lambda x: x["e"]).alias("evidence"), techniques.alias("technique"))
+    return whole.select(
+        F.lit(kind).alias("id"),
+        "severity",
+        title.alias("title"),
+        F.lit(detail).alias("detail"),
+        F.transform("l", lambda x: x["e"]).alias("evidence"),
+        techniques.alias("technique"),
+    )
 
 
 def _titled(after: str) -> Column:
@@ -139,40 +195,209 @@ def collect_findings(a: Analysis) -> DataFrame:
     sni = F.coalesce(F.concat(F.lit(" sni="), c("sni")), F.lit(""))
     out: list[DataFrame] = []
     hits = a.indicator_hits() or {}
-    units = {"ip": ("host(s) matched an address indicator", "packet(s)"), "domain": ("name(s) matched a domain indicator", "lookup(s)/hit(s)"), "ja3": ("TLS client(s) matched a fingerprint indicator", "handshake(s)")}
+    units = {
+        "ip": ("host(s) matched an address indicator", "packet(s)"),
+        "domain": ("name(s) matched a domain indicator", "lookup(s)/hit(s)"),
+        "ja3": ("TLS client(s) matched a fingerprint indicator", "handshake(s)"),
+    }
     for kind, found in hits.items():
         what, unit = units[kind]
-        line = F.concat(c("indicator"), F.lit(" → "), c("observed"), F.lit(" ["), c("context"), F.lit("] via "), c("source"), F.coalesce(F.concat(F.lit(" ("), c("tag"), F.lit(")")), F.lit("")), _fmt(f" (%d {unit})", c("count")))
-        out.append(finding(found, [-c("count"), c("observed")], line, f"ioc-{kind}-match", "high", _titled(f" {what}"), "Check that the list is current and the indicator narrow before acting on a match."))
+        line = F.concat(
+            c("indicator"),
+            F.lit(" → "),
+            c("observed"),
+            F.lit(" ["),
+            c("context"),
+            F.lit("] via "),
+            c("source"),
+            F.coalesce(F.concat(F.lit(" ("), c("tag"), F.lit(")")), F.lit("")),
+            _fmt(f" (%d {unit})", c("count")),
+        )
+        out.append(
+            finding(
+                found,
+                [-c("count"), c("observed")],
+                line,
+                f"ioc-{kind}-match",
+                "high",
+                _titled(f" {what}"),
+                "Check that the list is current and the indicator narrow before acting on a match.",
+            )
+        )
     strong = F.when(F.max("confidence") >= 0.8, "high").otherwise("medium")
-    line = F.concat(c("flow"), F.lit(" every "), text.human_duration(c("interval")), F.lit(" (jitter "), text.human_percent(c("jitter")), _fmt(", %d samples, confidence %.2f)", c("samples"), c("confidence")), sni)
-    out.append(finding(a.beacons(), [-c("confidence"), c("flow")], line, "periodic-beaconing", strong, _titled(" flow(s) with machine-regular timing"), "Timing this even is a program's, not a person's; scheduled jobs and telemetry do it too.", ("T1071",)))
+    line = F.concat(
+        c("flow"),
+        F.lit(" every "),
+        text.human_duration(c("interval")),
+        F.lit(" (jitter "),
+        text.human_percent(c("jitter")),
+        _fmt(", %d samples, confidence %.2f)", c("samples"), c("confidence")),
+        sni,
+    )
+    out.append(
+        finding(
+            a.beacons(),
+            [-c("confidence"), c("flow")],
+            line,
+            "periodic-beaconing",
+            strong,
+            _titled(" flow(s) with machine-regular timing"),
+            "Timing this even is a program's, not a person's; scheduled jobs and telemetry do it too.",
+            ("T1071",),
+        )
+    )
     line = F.concat(c("parent"), _fmt(": %d distinct subdomains, e.g. ", c("subdomains")), c("example"))
-    out.append(finding(messages.subdomain_volume(a.subdomains(), s.subdomains), [-c("subdomains"), c("parent")], line, "dns-subdomain-volume", "high", _titled(" domain(s) queried with unusually many subdomains"), "Many names below one parent can carry data out over DNS; content networks also have many.", ("T1071.004",)))
-    line = F.concat(c("name"), _fmt(" (entropy %.2f bits/char, %d lookups", c("entropy"), c("lookups")), F.when(c("nxdomain") > 0, _fmt(", %d NXDOMAIN", c("nxdomain"))).otherwise(""), F.lit(")"))
+    out.append(
+        finding(
+            messages.subdomain_volume(a.subdomains(), s.subdomains),
+            [-c("subdomains"), c("parent")],
+            line,
+            "dns-subdomain-volume",
+            "high",
+            _titled(" domain(s) queried with unusually many subdomains"),
+            "Many names below one parent can carry data out over DNS; content networks also have many.",
+            ("T1071.004",),
+        )
+    )
+    line = F.concat(
+        c("name"),
+        _fmt(" (entropy %.2f bits/char, %d lookups", c("entropy"), c("lookups")),
+        F.when(c("nxdomain") > 0, _fmt(", %d NXDOMAIN", c("nxdomain"))).otherwise(""),
+        F.lit(")"),
+    )
     heavy = F.when(F.count_if(c("nxdomain") > 0) > 2, "high").otherwise("medium")
-    out.append(finding(messages.high_entropy(a.names, s.entropy), [-c("entropy"), c("name")], line, "high-entropy-dns", heavy, _titled(" high-entropy DNS name(s)"), "Generated names and encoded data look random; so do hashed host names of cloud services.", ("T1568.002",)))
+    out.append(
+        finding(
+            messages.high_entropy(a.names, s.entropy),
+            [-c("entropy"), c("name")],
+            line,
+            "high-entropy-dns",
+            heavy,
+            _titled(" high-entropy DNS name(s)"),
+            "Generated names and encoded data look random; so do hashed host names of cloud services.",
+            ("T1568.002",),
+        )
+    )
     line = F.concat(c("src_ip"), _fmt(": up to %d ports probed on a single host, %d host(s) targeted", c("widest"), c("targets")))
-    out.append(finding(a.scans(), [-c("widest"), c("src_ip")], line, "port-scan", "high", _titled(" host(s) exhibiting port-scan behaviour"), "Connections were opened to many ports of one host; inventory scanners do the same.", ("T1046",)))
-    line = F.concat(c("flow"), F.lit(" sent "), text.human_bytes(c("up_payload")), F.lit(" up vs "), text.human_bytes(c("down_payload")), F.when(c("upload_ratio") == float("inf"), " down (ratio infx) over ").otherwise(_fmt(" down (ratio %.1fx) over ", c("upload_ratio"))), text.human_duration(c("duration")), sni)
-    out.append(finding(flows.upload_heavy(a.flows, s.upload_bytes, s.upload_ratio), [-c("up_payload"), c("flow")], line, "outbound-upload-heavy", "medium", _titled(" outbound flow(s) dominated by upload"), "An inside host sent far more than it got back; backups and sync do too.", ("T1048",)))
+    out.append(
+        finding(
+            a.scans(),
+            [-c("widest"), c("src_ip")],
+            line,
+            "port-scan",
+            "high",
+            _titled(" host(s) exhibiting port-scan behaviour"),
+            "Connections were opened to many ports of one host; inventory scanners do the same.",
+            ("T1046",),
+        )
+    )
+    line = F.concat(
+        c("flow"),
+        F.lit(" sent "),
+        text.human_bytes(c("up_payload")),
+        F.lit(" up vs "),
+        text.human_bytes(c("down_payload")),
+        F.when(
+            c("upload_ratio") == float("inf"),
+            " down (ratio infx) over ",
+        ).otherwise(_fmt(" down (ratio %.1fx) over ", c("upload_ratio"))),
+        text.human_duration(c("duration")),
+        sni,
+    )
+    out.append(
+        finding(
+            flows.upload_heavy(a.flows, s.upload_bytes, s.upload_ratio),
+            [-c("up_payload"), c("flow")],
+            line,
+            "outbound-upload-heavy",
+            "medium",
+            _titled(" outbound flow(s) dominated by upload"),
+            "An inside host sent far more than it got back; backups and sync do too.",
+            ("T1048",),
+        )
+    )
     auth = a.messages.where(c("http.is_request") & c("http.has_authorization"))
-    out.append(finding(auth, [c("ord")], c("http.summary"), "cleartext-http-credentials", "high", F.concat(F.lit("HTTP Authorization sent in the clear on "), c("n").cast("string"), F.lit(" request(s)")), "Credentials went over plain HTTP; their values are not kept here.", ("T1040",)))
+    out.append(
+        finding(
+            auth,
+            [c("ord")],
+            c("http.summary"),
+            "cleartext-http-credentials",
+            "high",
+            F.concat(F.lit("HTTP Authorization sent in the clear on "), c("n").cast("string"), F.lit(" request(s)")),
+            "Credentials went over plain HTTP; their values are not kept here.",
+            ("T1040",),
+        )
+    )
     clear = a.flows.where(names.is_cleartext(c("service")) & (c("a_payload") + c("b_payload") > 0))
-    line = F.concat(c("service"), F.lit(" on "), c("service_ip"), F.lit(":"), c("service_port").cast("string"), F.lit(" — "), text.human_bytes(c("bytes")), _fmt(" across %d packet(s)", c("packets")))
-    out.append(finding(clear.select(line.alias("line")).distinct(), [c("line")], c("line"), "cleartext-service", "low", _titled(" unencrypted service flow(s)"), "These services carry their data, and often passwords, without encryption.", ("T1040",)))
+    line = F.concat(
+        c("service"),
+        F.lit(" on "),
+        c("service_ip"),
+        F.lit(":"),
+        c("service_port").cast("string"),
+        F.lit(" — "),
+        text.human_bytes(c("bytes")),
+        _fmt(" across %d packet(s)", c("packets")),
+    )
+    out.append(
+        finding(
+            clear.select(line.alias("line")).distinct(),
+            [c("line")],
+            c("line"),
+            "cleartext-service",
+            "low",
+            _titled(" unencrypted service flow(s)"),
+            "These services carry their data, and often passwords, without encryption.",
+            ("T1040",),
+        )
+    )
     obsolete = a.messages.where(names.is_obsolete_tls(c("tls.version")))
     final = a.flows.where(names.is_obsolete_tls(c("tls_version")))
     shown = final.select(F.concat(c("flow"), F.lit(" "), names.tls_version(c("tls_version")), sni).alias("line"))
-    title = finding(obsolete, [c("ord")], F.lit(""), "obsolete-tls", "medium", F.concat(c("n").cast("string"), F.lit(" TLS handshake(s) negotiated a deprecated version")), "Versions before TLS 1.2 have known weaknesses.", ("T1040",))
+    title = finding(
+        obsolete,
+        [c("ord")],
+        F.lit(""),
+        "obsolete-tls",
+        "medium",
+        F.concat(c("n").cast("string"), F.lit(" TLS handshake(s) negotiated a deprecated version")),
+        "Versions before TLS 1.2 have known weaknesses.",
+        ("T1040",),
+    )
     lines = shown.orderBy("line").limit(EVIDENCE).agg(F.sort_array(F.collect_list("line")).alias("lines"))
     out.append(title.crossJoin(lines).withColumn("evidence", c("lines")).drop("lines"))  # one row each
-    for table, kind, what, unit in ((a.streams, "tcp-overlap-conflict", "TCP segment(s)", "stream(s)"), (a.datagrams, "ip-fragment-overlap", "IP fragment(s)", "datagram(s)")):
+    for table, kind, what, unit in (
+        (a.streams, "tcp-overlap-conflict", "TCP segment(s)", "stream(s)"),
+        (a.datagrams, "ip-fragment-overlap", "IP fragment(s)", "datagram(s)"),
+    ):
         total = streams.stats(table).where("conflicts > 0")
         line = _fmt(f"%d conflicting overlap(s) across %d tracked {unit}; first writer was kept", c("conflicts"), c("tracked"))
-        out.append(total.select(F.lit(kind).alias("id"), F.lit("medium").alias("severity"), _fmt(f"%d {what} overlapped earlier data with different bytes", c("conflicts")).alias("title"), F.lit("Two versions of the same bytes let a monitor and a host see different data; merged taps do it too.").alias("detail"), F.array(line).alias("evidence"), F.array().cast("array<string>").alias("technique")))
+        out.append(
+            total.select(
+                F.lit(kind).alias("id"),
+                F.lit("medium").alias("severity"),
+                _fmt(f"%d {what} overlapped earlier data with different bytes", c("conflicts")).alias("title"),
+                F.lit(
+                    "Two versions of the same bytes let a monitor and a host see different data; merged taps do it too."
+                ).alias("detail"),
+                F.array(line).alias("evidence"),
+                F.array().cast("array<string>").alias("technique"),
+            )
+        )
     conflicts = messages.arp_conflicts(messages.arp_bindings(a.packets))
-    out.append(finding(conflicts, [c("ip")], F.concat(c("ip"), F.lit(" claimed by "), F.array_join("macs", ", ")), "arp-address-conflict", "high", _titled(" IP(s) claimed by more than one MAC"), "Several devices answered for one address: a poisoned cache, or a failover pair.", ("T1557.002",)))
+    out.append(
+        finding(
+            conflicts,
+            [c("ip")],
+            F.concat(c("ip"), F.lit(" claimed by "), F.array_join("macs", ", ")),
+            "arp-address-conflict",
+            "high",
+            _titled(" IP(s) claimed by more than one MAC"),
+            "Several devices answered for one address: a poisoned cache, or a failover pair.",
+            ("T1557.002",),
+        )
+    )
     out.append(capture_quality(a))
     whole = out[0]
     for one in out[1:]:
@@ -185,18 +410,49 @@ def capture_quality(a: Analysis) -> DataFrame:
     """What limits the analysis, one note for each condition."""
     c = F.col
     outside = a.hosts.agg((F.coalesce(F.min(~c("private")), F.lit(False)) & (F.count("*") > 0)).alias("outside"))
-    facts = a.counters().crossJoin(outside).crossJoin(streams.stats(a.streams).select(c("recovered").alias("tcp_recovered"))).crossJoin(streams.stats(a.datagrams).select(c("recovered").alias("ip_recovered")))  # one row each
+    facts = a.counters().crossJoin(outside).crossJoin(  # one row each
+        streams.stats(a.streams).select(c("recovered").alias("tcp_recovered"))
+    ).crossJoin(
+        streams.stats(a.datagrams).select(c("recovered").alias("ip_recovered"))
+    )
     notes = F.array(
-        F.when(c("truncated") > 0, _fmt("%d of %d packets (%.1f%%) were cut short by the capture's limit", c("truncated"), c("packets"), c("truncated") * 100.0 / c("packets"))),
+        F.when(
+            c("truncated") > 0,
+            _fmt(
+                "%d of %d packets (%.1f%%) were cut short by the capture's limit",
+                c("truncated"),
+                c("packets"),
+                c("truncated") * 100.0 / c("packets"),
+            ),
+        ),
         F.when(c("warnings") > 0, _fmt("%d decode warning(s) were raised", c("warnings"))),
-        F.when(c("fragments") > 0, _fmt("%d IP fragment(s) seen; %d datagram(s) were reassembled from them", c("fragments"), c("ip_recovered"))),
-        F.when(c("tcp_recovered") > 0, _fmt("%d application message(s) were recovered from several TCP segments", c("tcp_recovered"))),
+        F.when(
+            c("fragments") > 0,
+            _fmt("%d IP fragment(s) seen; %d datagram(s) were reassembled from them", c("fragments"), c("ip_recovered")),
+        ),
+        F.when(
+            c("tcp_recovered") > 0,
+            _fmt("%d application message(s) were recovered from several TCP segments", c("tcp_recovered")),
+        ),
         F.when(c("outside"), "no private address was seen: the capture point may be outside the network"),
     )
     kept = facts.select(F.filter(notes, lambda n: n.isNotNull()).alias("evidence")).where(F.size("evidence") > 0)
-    return kept.select(F.lit("capture-quality").alias("id"), F.lit("info").alias("severity"), F.lit("Capture quality notes").alias("title"), F.lit("What may limit this analysis.").alias("detail"), "evidence", F.array().cast("array<string>").alias("technique"))
+    return kept.select(
+        F.lit("capture-quality").alias("id"),
+        F.lit("info").alias("severity"),
+        F.lit("Capture quality notes").alias("title"),
+        F.lit("What may limit this analysis.").alias("detail"),
+        "evidence",
+        F.array().cast("array<string>").alias("technique"),
+    )
 
 
-def analyze(spark: SparkSession, path: str, settings: Settings | None = None, listed: DataFrame | None = None, limit: int | None = None) -> Analysis:
+def analyze(
+    spark: SparkSession,
+    path: str,
+    settings: Settings | None = None,
+    listed: DataFrame | None = None,
+    limit: int | None = None,
+) -> Analysis:
     s = settings or Settings()
     return Analysis(capture.read_capture(spark, path, s.legacy_link_type), s, listed, limit)

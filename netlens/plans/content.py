@@ -21,31 +21,77 @@ MESSAGE_TYPES = {
 def _messages(spark, sf_dir, kind, value):
     n = F.col("index")
     base = views.url_names(spark, sf_dir).select(
-        F.struct("index", F.lit(0).alias("origin"), F.lit(0).alias("pos")).alias("ord"), F.lit("10.0.0.9").alias("src_ip"), F.concat(F.lit("9.9.9."), (n % 5).cast("string")).alias("dst_ip"), F.lit(b"\x04\x0a\0\0\x09").alias("src_key"), F.unhex(F.concat(F.lit("040909090"), (n % 5).cast("string"))).alias("dst_key"), value(n).cast(MESSAGE_TYPES[kind]).alias(kind)
+        F.struct("index", F.lit(0).alias("origin"), F.lit(0).alias("pos")).alias("ord"),
+        F.lit("10.0.0.9").alias("src_ip"),
+        F.concat(F.lit("9.9.9."), (n % 5).cast("string")).alias("dst_ip"),
+        F.lit(b"\x04\x0a\0\0\x09").alias("src_key"),
+        F.unhex(F.concat(F.lit("040909090"), (n % 5).cast("string"))).alias("dst_key"),
+        value(n).cast(MESSAGE_TYPES[kind]).alias(kind)
     )
     return base.withColumns({k: F.lit(None).cast(t) for k, t in MESSAGE_TYPES.items() if k != kind})
 
 
 def _dns(spark, sf_dir, name=None):
     def value(n):
-        question = F.struct((F.col("host") if name is None else name).alias("name"), F.element_at(F.array(*map(F.lit, QTYPES)), (n % 3 + 1).cast("int")).alias("qtype"))
-        answer = F.struct(F.col("host").alias("name"), F.lit(1).alias("rtype"), F.concat(F.lit("203.0.113."), (n % 9).cast("string")).alias("data"))
-        return F.struct((n % 2 == 1).alias("is_response"), F.when(n % 5 == 1, 3).otherwise(0).alias("rcode"), F.array(question).alias("questions"), F.when(n % 2 == 1, F.array(answer)).otherwise(F.array().cast("array<struct<name:string,rtype:int,data:string>>")).alias("answers"))
+        question = F.struct(
+            (F.col("host") if name is None else name).alias("name"),
+            F.element_at(F.array(*map(F.lit, QTYPES)), (n % 3 + 1).cast("int")).alias("qtype"),
+        )
+        answer = F.struct(
+            F.col("host").alias("name"),
+            F.lit(1).alias("rtype"),
+            F.concat(F.lit("203.0.113."), (n % 9).cast("string")).alias("data"),
+        )
+        return F.struct(
+            (n % 2 == 1).alias("is_response"),
+            F.when(n % 5 == 1, 3).otherwise(0).alias("rcode"),
+            F.array(question).alias("questions"),
+            F.when(n % 2 == 1, F.array(answer)).otherwise(
+                F.array().cast("array<struct<name:string,rtype:int,data:string>>")
+            ).alias("answers"),
+        )
 
     return _messages(spark, sf_dir, "dns", value)
 
 
 def _tls(spark, sf_dir):
-    return _messages(spark, sf_dir, "tls", lambda n: F.struct(F.when(n % 4 == 0, "server").otherwise("client").alias("kind"), F.element_at(F.array(*map(F.lit, VERSIONS)), (n % 5 + 1).cast("int")).alias("version"), F.when(n % 7 != 0, F.col("host")).alias("sni"), F.md5("parent").alias("ja3")))
+    return _messages(
+        spark,
+        sf_dir,
+        "tls",
+        lambda n: F.struct(
+            F.when(n % 4 == 0, "server").otherwise("client").alias("kind"),
+            F.element_at(F.array(*map(F.lit, VERSIONS)), (n % 5 + 1).cast("int")).alias("version"),
+            F.when(n % 7 != 0, F.col("host")).alias("sni"),
+            F.md5("parent").alias("ja3"),
+        ),
+    )
 
 
 def _http(spark, sf_dir):
     agent, request = F.concat(F.lit("agent/"), (F.col("index") % 6).cast("string")), F.col("index") % 3 != 0
-    return _messages(spark, sf_dir, "http", lambda n: F.struct(request.alias("is_request"), F.when(request, F.when(n % 10 == 0, F.concat("host", F.lit(":8080"))).otherwise(F.col("host"))).alias("host"), F.when(request, agent).alias("user_agent"), (n % 9 == 1).alias("has_authorization"), F.concat(F.lit("GET http://"), "host").alias("summary")))
+    return _messages(
+        spark,
+        sf_dir,
+        "http",
+        lambda n: F.struct(
+            request.alias("is_request"),
+            F.when(request, F.when(n % 10 == 0, F.concat("host", F.lit(":8080"))).otherwise(F.col("host"))).alias("host"),
+            F.when(request, agent).alias("user_agent"),
+            (n % 9 == 1).alias("has_authorization"),
+            F.concat(F.lit("GET http://"), "host").alias("summary"),
+        ),
+    )
 
 
 def dns_names(spark, sf_dir):
-    return messages.dns_names(_dns(spark, sf_dir)).select("name", "queries", "responses", "nxdomain", F.array_join(F.col("qtypes").cast("array<string>"), ",").alias("qtypes"))
+    return messages.dns_names(_dns(spark, sf_dir)).select(
+        "name",
+        "queries",
+        "responses",
+        "nxdomain",
+        F.array_join(F.col("qtypes").cast("array<string>"), ",").alias("qtypes"),
+    )
 
 
 def dns_subdomains(spark, sf_dir):
@@ -59,7 +105,10 @@ def dns_subdomain_volume(spark, sf_dir):
 def dns_high_entropy(spark, sf_dir):
     """Every fourth name has a label of hexadecimal digits in front."""
     label = F.concat(F.substring(F.md5("url"), 1, 20), F.lit("."))
-    return messages.high_entropy(messages.dns_names(_dns(spark, sf_dir, F.concat(F.when(F.col("index") % 4 == 0, label).otherwise(""), "host"))), 3.3)
+    return messages.high_entropy(
+        messages.dns_names(_dns(spark, sf_dir, F.concat(F.when(F.col("index") % 4 == 0, label).otherwise(""), "host"))),
+        3.3,
+    )
 
 
 def dns_servers(spark, sf_dir):
@@ -97,7 +146,13 @@ def tls_version_names(spark, sf_dir):
 
 def flow_values(spark, sf_dir):
     """The first distinct hosts and agents of each flow."""
-    found = _http(spark, sf_dir).withColumn("http", F.col("http").withField("user_agent", F.when(F.col("http.is_request"), F.concat(F.lit("agent/"), F.expr("ord.index div 7").cast("string")))))
+    found = _http(spark, sf_dir).withColumn(
+        "http",
+        F.col("http").withField(
+            "user_agent",
+            F.when(F.col("http.is_request"), F.concat(F.lit("agent/"), F.expr("ord.index div 7").cast("string"))),
+        ),
+    )
     kept = messages.flow_values(found, ("dst_ip",))
     return kept.select("dst_ip", *(F.array_join(kind, ",").alias(kind) for kind in ("http_hosts", "user_agents")))
 
@@ -121,7 +176,14 @@ def http_credentials(spark, sf_dir):
 def _arp(spark, sf_dir):
     s = views.table(spark, sf_dir, "supplier")
     mac = F.concat(F.lit("02:00:00:00:00:"), F.lpad(F.lower(F.hex(F.col("s_suppkey") % 16)), 2, "0"))
-    return s.select(F.struct((F.col("s_suppkey") % 3).cast("int").alias("op"), mac.alias("sender_mac"), F.concat(F.lit("10.0.1."), F.col("s_nationkey").cast("string")).alias("sender_ip"), F.concat(F.lit("10.0.1."), (F.col("s_suppkey") % 25).cast("string")).alias("target_ip")).alias("arp"))
+    return s.select(
+        F.struct(
+            (F.col("s_suppkey") % 3).cast("int").alias("op"),
+            mac.alias("sender_mac"),
+            F.concat(F.lit("10.0.1."), F.col("s_nationkey").cast("string")).alias("sender_ip"),
+            F.concat(F.lit("10.0.1."), (F.col("s_suppkey") % 25).cast("string")).alias("target_ip"),
+        ).alias("arp")
+    )
 
 
 def arp_bindings(spark, sf_dir):
@@ -139,39 +201,71 @@ def arp_counters(spark, sf_dir):
 def flow_first_last(spark, sf_dir):
     """First and last values by order, of conversations."""
     c = views.table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.max_by(F.length("text"), "turn").cast("long").alias("last_length"))
+    return c.groupBy("conv_id").agg(
+        F.min_by("role", "turn").alias("first_role"),
+        F.max_by("role", "turn").alias("last_role"),
+        F.max_by(F.length("text"), "turn").cast("long").alias("last_length"),
+    )
 
 
 def flow_destinations(spark, sf_dir):
     """Flows with the name that last resolved to their server."""
-    found = flows.flows(views.pkt(spark, sf_dir)).select("flow", "server_ip", F.concat(F.lit("203.0.113."), F.substring_index("server_ip", ".", -1)).alias("ip"))
+    found = flows.flows(views.pkt(spark, sf_dir)).select(
+        "flow",
+        "server_ip",
+        F.concat(F.lit("203.0.113."), F.substring_index("server_ip", ".", -1)).alias("ip"),
+    )
     return found.join(messages.dns_resolved(_dns(spark, sf_dir)), "ip", "left").select("flow", F.col("name").alias("destination"))
 
 
 LISTED = (
-    ("10.0.0.7", "list-a", "bot"), ("10.0.0.0/28", "list-a", None), ("10.0.0.0/24", "list-b", "wide"), ("93.184.216.0/30", "list-b", None),
-    ("example.com", "list-a", "parent"), ("m.ththth.example.net", "list-b", None), ("example.net.", "list-a", None), ("10.0.0.7", "list-b", "later"), ("not an indicator", "list-b", None), ("10.0.0.0/33", "list-b", None),
+    ("10.0.0.7", "list-a", "bot"),
+    ("10.0.0.0/28", "list-a", None),
+    ("10.0.0.0/24", "list-b", "wide"),
+    ("93.184.216.0/30", "list-b", None),
+    ("example.com", "list-a", "parent"),
+    ("m.ththth.example.net", "list-b", None),
+    ("example.net.", "list-a", None),
+    ("10.0.0.7", "list-b", "later"),
+    ("not an indicator", "list-b", None),
+    ("10.0.0.0/33", "list-b", None),
 )
 
 
 def _listed(spark):
-    tokens = spark.createDataFrame([(t, s, g, k) for k, (t, s, g) in enumerate(LISTED)], "token string, source string, tag string, ord int")
+    tokens = spark.createDataFrame(
+        [(t, s, g, k) for k, (t, s, g) in enumerate(LISTED)],
+        "token string, source string, tag string, ord int",
+    )
     return indicators.union(indicators.classify(tokens))
 
 
 def ioc_addresses(spark, sf_dir):
-    hosts = flows.hosts(views.pkt(spark, sf_dir)).select("ip", "key", (F.col("sent_packets") + F.col("received_packets")).alias("count"))
+    hosts = flows.hosts(views.pkt(spark, sf_dir)).select(
+        "ip",
+        "key",
+        (F.col("sent_packets") + F.col("received_packets")).alias("count"),
+    )
     return indicators.ordered_hits(indicators.address_hits(hosts, _listed(spark)))
 
 
 def ioc_domains(spark, sf_dir):
     dns = messages.dns_names(_dns(spark, sf_dir)).withColumn("n", F.col("queries") + F.col("responses"))
-    whole = indicators.merged_names((dns, "name", "n", "dns"), (messages.http_hosts(_http(spark, sf_dir)), "host", "requests", "http"), (messages.tls_names(_tls(spark, sf_dir)), "sni", "hellos", "tls"))
+    whole = indicators.merged_names(
+        (dns, "name", "n", "dns"),
+        (messages.http_hosts(_http(spark, sf_dir)), "host", "requests", "http"),
+        (messages.tls_names(_tls(spark, sf_dir)), "sni", "hellos", "tls"),
+    )
     return indicators.ordered_hits(indicators.domain_hits(whole, _listed(spark)))
 
 
 def ioc_fingerprints(spark, sf_dir):
-    listed = views.url_names(spark, sf_dir).where("parent = 'example.com'").select(F.lit("ja3").alias("kind"), F.md5("parent").alias("value"), F.lit("list-c").alias("source"), F.lit("stack").alias("tag")).distinct()
+    listed = views.url_names(spark, sf_dir).where("parent = 'example.com'").select(
+        F.lit("ja3").alias("kind"),
+        F.md5("parent").alias("value"),
+        F.lit("list-c").alias("source"),
+        F.lit("stack").alias("tag"),
+    ).distinct()
     return indicators.fingerprint_hits(messages.tls_fingerprints(_tls(spark, sf_dir)), listed)
 
 
@@ -184,34 +278,79 @@ def url_hosts(spark, sf_dir):
 
 
 def name_entropy(spark, sf_dir):
-    return views.url_names(spark, sf_dir).select("host").distinct().select("host", F.round(text.entropy(F.col("host")), 9).alias("entropy"))
+    return views.url_names(spark, sf_dir).select("host").distinct().select(
+        "host",
+        F.round(text.entropy(F.col("host")), 9).alias("entropy"),
+    )
 
 
 def token_kinds(spark, sf_dir):
     """Kinds of the address-shaped and domain-shaped words of documents."""
     word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9./-]*\.[A-Za-z0-9./-]+"), F.lit(0))).alias("token")
-    return views.table(spark, sf_dir, "documents").select(word).select("token", text.indicator_kind(F.col("token")).alias("kind")).groupBy("kind").agg(F.count("*").alias("tokens"), F.count_distinct("token").alias("distinct_tokens"))
+    return views.table(spark, sf_dir, "documents").select(word).select(
+        "token",
+        text.indicator_kind(F.col("token")).alias("kind"),
+    ).groupBy("kind").agg(
+        F.count("*").alias("tokens"),
+        F.count_distinct("token").alias("distinct_tokens"),
+    )
 
 
 def private_hosts(spark, sf_dir):
-    return flows.hosts(views.pkt(spark, sf_dir)).groupBy("private").agg(F.count("*").alias("hosts"), F.sum("total_bytes").alias("bytes"))
+    return flows.hosts(views.pkt(spark, sf_dir)).groupBy("private").agg(
+        F.count("*").alias("hosts"),
+        F.sum("total_bytes").alias("bytes"),
+    )
 
 
 def human_figures(spark, sf_dir):
     """Bytes, shares and durations as people read them."""
     o = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"))
-    return o.select("n", text.human_bytes(F.col("n") * 1024 * 512).alias("bytes"), text.human_duration(F.col("n") * 7.0).alias("duration"), text.human_percent((F.col("n") + 0.04) / 400.0).alias("share"))
+    return o.select(
+        "n",
+        text.human_bytes(F.col("n") * 1024 * 512).alias("bytes"),
+        text.human_duration(F.col("n") * 7.0).alias("duration"),
+        text.human_percent((F.col("n") + 0.04) / 400.0).alias("share"),
+    )
 
 
 def enriched_orders(spark, sf_dir):
     t = lambda n: views.table(spark, sf_dir, n)
-    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(
+        F.broadcast(t("nation")),
+        F.col("c_nationkey") == F.col("n_nationkey"),
+        "left",
+    ).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (
-    dns_names, dns_subdomains, dns_subdomain_volume, dns_high_entropy, dns_servers, dns_resolved, dns_answers, dns_overview, tls_names, tls_fingerprints, tls_overview, tls_version_names,
-    flow_values, http_overview, http_hosts, http_agents, http_credentials, arp_bindings, arp_conflicts, arp_counters, flow_first_last, flow_destinations, ioc_addresses, ioc_domains, ioc_fingerprints, ioc_union,
+    dns_names,
+    dns_subdomains,
+    dns_subdomain_volume,
+    dns_high_entropy,
+    dns_servers,
+    dns_resolved,
+    dns_answers,
+    dns_overview,
+    tls_names,
+    tls_fingerprints,
+    tls_overview,
+    tls_version_names,
+    flow_values,
+    http_overview,
+    http_hosts,
+    http_agents,
+    http_credentials,
+    arp_bindings,
+    arp_conflicts,
+    arp_counters,
+    flow_first_last,
+    flow_destinations,
+    ioc_addresses,
+    ioc_domains,
+    ioc_fingerprints,
+    ioc_union,
     url_hosts, name_entropy, token_kinds, private_hosts, human_figures, enriched_orders,
 )}
 

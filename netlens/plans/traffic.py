@@ -11,7 +11,15 @@ from netlens.plans.views import PKT, PKT_LINES, PKT_SCAN, _sql_ip
 
 FLOW_FACTS = (
     "flow", "client_ip", "client_port", "server_ip", "server_port", "service", "service_port", "scope", "packets", "bytes",
-    "client_packets", "server_packets", "up_payload", "down_payload", "upload_ratio", "duration", "handshake", "reset", "unanswered",
+    "client_packets",
+    "server_packets",
+    "up_payload",
+    "down_payload",
+    "upload_ratio",
+    "duration",
+    "handshake",
+    "reset",
+    "unanswered",
 )
 TOP = 20
 
@@ -63,13 +71,27 @@ def summary(spark, sf_dir):
 def beacon_candidates(spark, sf_dir):
     packets = views.pkt(spark, sf_dir)
     scored = beacon.scores(packets, flows.flows(packets))
-    gate = (F.col("client_packets") >= beacon.LEAST_PACKETS) & (F.col("jitter") <= beacon.MOST_JITTER) & F.col("interval").between(beacon.LEAST_INTERVAL, beacon.MOST_INTERVAL)
-    return scored.select("flow", "interval", "jitter", "confidence", "samples", "total_seconds", "samples_truncated", gate.alias("passes")).orderBy(F.desc("confidence"), "flow")
+    gate = (
+        F.col("client_packets") >= beacon.LEAST_PACKETS
+    ) & (F.col("jitter") <= beacon.MOST_JITTER) & F.col("interval").between(beacon.LEAST_INTERVAL, beacon.MOST_INTERVAL)
+    return scored.select(
+        "flow",
+        "interval",
+        "jitter",
+        "confidence",
+        "samples",
+        "total_seconds",
+        "samples_truncated",
+        gate.alias("passes"),
+    ).orderBy(F.desc("confidence"), "flow")
 
 
 def beacon_gated(spark, sf_dir):
     packets = views.pkt(spark, sf_dir)
-    return beacon.gated(beacon.scores(packets, flows.flows(packets)), most_jitter=0.45).select("flow", "interval", "jitter", "confidence")
+    return beacon.gated(
+        beacon.scores(packets, flows.flows(packets)),
+        most_jitter=0.45,
+    ).select("flow", "interval", "jitter", "confidence")
 
 
 def syn_ports(spark, sf_dir):
@@ -81,11 +103,20 @@ def port_scans(spark, sf_dir):
 
 
 def unanswered_syns(spark, sf_dir):
-    return flows.flows(views.pkt_scan(spark, sf_dir)).agg(F.count_if("unanswered").alias("unanswered"), F.count("*").alias("flows"))
+    return flows.flows(views.pkt_scan(spark, sf_dir)).agg(
+        F.count_if("unanswered").alias("unanswered"),
+        F.count("*").alias("flows"),
+    )
 
 
 def upload_heavy(spark, sf_dir):
-    return flows.upload_heavy(_flows(spark, sf_dir), 2000, 1.5).select("flow", "up_payload", "down_payload", "upload_ratio", "duration")
+    return flows.upload_heavy(_flows(spark, sf_dir), 2000, 1.5).select(
+        "flow",
+        "up_payload",
+        "down_payload",
+        "upload_ratio",
+        "duration",
+    )
 
 
 def cleartext_services(spark, sf_dir):
@@ -101,7 +132,22 @@ def reset_flows(spark, sf_dir):
 
 
 def direction_stats(spark, sf_dir):
-    return _flows(spark, sf_dir).select("a_ip", "a_port", "b_ip", "b_port", names.protocol(F.col("ip_proto")).alias("protocol"), "a_packets", "a_bytes", "a_payload", names.flags_text(F.col("a_flags")).alias("a_flags"), "b_packets", "b_bytes", "b_payload", names.flags_text(F.col("b_flags")).alias("b_flags"), "initiator_a")
+    return _flows(spark, sf_dir).select(
+        "a_ip",
+        "a_port",
+        "b_ip",
+        "b_port",
+        names.protocol(F.col("ip_proto")).alias("protocol"),
+        "a_packets",
+        "a_bytes",
+        "a_payload",
+        names.flags_text(F.col("a_flags")).alias("a_flags"),
+        "b_packets",
+        "b_bytes",
+        "b_payload",
+        names.flags_text(F.col("b_flags")).alias("b_flags"),
+        "initiator_a",
+    )
 
 
 def first_packets(spark, sf_dir):
@@ -112,11 +158,26 @@ def first_packets(spark, sf_dir):
 def flow_sessions(spark, sf_dir):
     """Sessions of a client with an hour's silence between them (an extension)."""
     packets = views.pkt(spark, sf_dir).withColumn("at", F.timestamp_micros(whole_div(F.col("ts_ns"), 1000)))
-    return packets.groupBy("src_ip", F.session_window("at", "1 hour").alias("s")).agg(F.count("*").alias("packets"), F.sum("wire_len").alias("bytes")).select("src_ip", F.unix_micros("s.start").alias("start_us"), "packets", "bytes")
+    return packets.groupBy("src_ip", F.session_window("at", "1 hour").alias("s")).agg(
+        F.count("*").alias("packets"),
+        F.sum("wire_len").alias("bytes"),
+    ).select(
+        "src_ip",
+        F.unix_micros("s.start").alias("start_us"),
+        "packets",
+        "bytes",
+    )
 
 
 def _case(port: str, proto: str) -> str:
-    arms = [f"WHEN {port} IN ({', '.join(map(str, ports))})" + {"T": f" AND {proto} = 6", "U": f" AND {proto} <> 6", "B": ""}[kind] + f" THEN '{name}'" for name, ports, kind in names.SERVICES]
+    arms = [
+        f"WHEN {port} IN ({', '.join(map(str, ports))})" + {
+            "T": f" AND {proto} = 6",
+            "U": f" AND {proto} <> 6",
+            "B": "",
+        }[kind] + f" THEN '{name}'"
+        for name, ports, kind in names.SERVICES
+    ]
     return "CASE " + " ".join(arms) + " END"
 
 
@@ -160,7 +221,10 @@ hosts AS (SELECT {_sql_ip('ip')} AS ip, count(*) FILTER (sent) AS sent_packets,
   CAST(sum(wire_len) AS BIGINT) AS total_bytes, {_private('sides.ip')} AS private FROM sides GROUP BY sides.ip)"""
 
 
-_FLAGS = lambda f: "CASE WHEN {0} = 0 THEN '-' ELSE ".format(f) + " || ".join(f"CASE WHEN ({f} & {bit}) <> 0 THEN '{letter}' ELSE '' END" for letter, bit in names.TCP_FLAGS) + " END"
+_FLAGS = lambda f: "CASE WHEN {0} = 0 THEN '-' ELSE ".format(f) + " || ".join(
+    f"CASE WHEN ({f} & {bit}) <> 0 THEN '{letter}' ELSE '' END"
+    for letter, bit in names.TCP_FLAGS
+) + " END"
 _BEACON = f"""{PKT}, {_flow_sql('pkt')},
 mine AS (SELECT e.*, f.flow, f.client_packets FROM ends e JOIN flows f USING (a, ap, b, bp, ip_proto) WHERE e.ab = f.ca),
 ordered AS (SELECT flow, client_packets, idx, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY flow ORDER BY idx) AS d FROM mine),
@@ -172,8 +236,28 @@ scored AS (SELECT flow, interval, least(mad / interval, 1.0) AS jitter, samples,
 beacons AS (SELECT *, greatest(0.0, least(1.0, (1 - jitter) * (0.6 + 0.4 * greatest(0.0, least(1.0, (samples - 4.0::double) / 26.0))))) AS confidence FROM scored)"""
 
 QUERIES = {f.__name__: f for f in (
-    beacon_candidates, beacon_gated, flow_table, top_flows, host_table, top_talkers, host_table_lines, flow_table_lines, service_table, top_services, timeline, summary,
-    syn_ports, port_scans, unanswered_syns, upload_heavy, cleartext_services, flow_search, reset_flows, direction_stats, first_packets, flow_sessions,
+    beacon_candidates,
+    beacon_gated,
+    flow_table,
+    top_flows,
+    host_table,
+    top_talkers,
+    host_table_lines,
+    flow_table_lines,
+    service_table,
+    top_services,
+    timeline,
+    summary,
+    syn_ports,
+    port_scans,
+    unanswered_syns,
+    upload_heavy,
+    cleartext_services,
+    flow_search,
+    reset_flows,
+    direction_stats,
+    first_packets,
+    flow_sessions,
 )}
 
 _F, _H = f"WITH {PKT}, {_flow_sql('pkt')}", f"WITH {PKT}, {_host_sql('pkt')}"

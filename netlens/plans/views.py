@@ -21,10 +21,28 @@ def _pick(values: tuple, by: Column) -> Column:
 def _packets(rows: DataFrame) -> DataFrame:
     swap = F.col("swap")
     either = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    ends = rows.withColumns({"src": either("client", "server"), "dst": either("server", "client"), "src_port": either("client_port", "server_port"), "dst_port": either("server_port", "client_port")})
+    ends = rows.withColumns(
+        {
+            "src": either("client", "server"),
+            "dst": either("server", "client"),
+            "src_port": either("client_port", "server_port"),
+            "dst_port": either("server_port", "client_port"),
+        }
+    )
     return ends.select(
-        "index", "ts_ns", addresses.text_of_v4(F.col("src")).alias("src_ip"), addresses.text_of_v4(F.col("dst")).alias("dst_ip"), addresses.key_of_v4(F.col("src")).alias("src_key"), addresses.key_of_v4(F.col("dst")).alias("dst_key"),
-        "src_port", "dst_port", "ip_proto", F.when(F.col("ip_proto") == 6, F.col("flags")).alias("tcp_flags"), "wire_len", F.col("wire_len").alias("captured_len"), (F.col("wire_len") - 54).alias("payload_len"),
+        "index",
+        "ts_ns",
+        addresses.text_of_v4(F.col("src")).alias("src_ip"),
+        addresses.text_of_v4(F.col("dst")).alias("dst_ip"),
+        addresses.key_of_v4(F.col("src")).alias("src_key"),
+        addresses.key_of_v4(F.col("dst")).alias("dst_key"),
+        "src_port",
+        "dst_port",
+        "ip_proto",
+        F.when(F.col("ip_proto") == 6, F.col("flags")).alias("tcp_flags"),
+        "wire_len",
+        F.col("wire_len").alias("captured_len"),
+        (F.col("wire_len") - 54).alias("payload_len"),
     )
 
 
@@ -42,16 +60,23 @@ def pkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pkt_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare SYNs from ``events`` to many ports."""
-    return pkt(spark, sf_dir).withColumns({"tcp_flags": F.lit(2), "dst_port": (F.col("index") % 1000).cast("int"), "ip_proto": F.lit(6)})
+    return pkt(spark, sf_dir).withColumns(
+        {"tcp_flags": F.lit(2), "dst_port": (F.col("index") % 1000).cast("int"), "ip_proto": F.lit(6)}
+    )
 
 
 def pkt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many packets from ``lineitem``: suppliers send to parts."""
     li = table(spark, sf_dir, "lineitem")
     return _packets(li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("ts_ns"),
-        (F.lit(CLIENT_BASE) + F.col("l_suppkey")).alias("client"), (F.lit(SERVER_BASE) + F.col("l_partkey") % 251).alias("server"),
-        F.lit(50000).alias("client_port"), _pick(SERVER_PORTS, F.col("l_linenumber")).alias("server_port"), F.lit(6).alias("ip_proto"), F.lit(24).alias("flags"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"),
+        (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("ts_ns"),
+        (F.lit(CLIENT_BASE) + F.col("l_suppkey")).alias("client"),
+        (F.lit(SERVER_BASE) + F.col("l_partkey") % 251).alias("server"),
+        F.lit(50000).alias("client_port"),
+        _pick(SERVER_PORTS, F.col("l_linenumber")).alias("server_port"),
+        F.lit(6).alias("ip_proto"),
+        F.lit(24).alias("flags"),
         (F.floor("l_quantity").cast("long") + 54).alias("wire_len"), F.lit(False).alias("swap"),
     ))
 
@@ -59,7 +84,12 @@ def pkt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host names from ``pages``."""
     host = text.url_host(F.col("url"))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("index"), "url", host.alias("host"), text.parent_domain(host).alias("parent"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("index"),
+        "url",
+        host.alias("host"),
+        text.parent_domain(host).alias("parent"),
+    )
 
 
 def _sql_ip(n: str) -> str:

@@ -116,18 +116,35 @@ def head_segments(packets: DataFrame) -> DataFrame:
     no more than a head for each of its openings. The latest opening is carried along within a flow's range
     of ``CARRY`` indexes, and from range to range by one row for each, so no task sorts a whole flow.
     """
-    tcp = packets.where(F.col("tcp").isNotNull() & ~F.col("fragmented")).select("index", *ENDPOINTS, F.col("tcp.seq").alias("seq"), F.col("tcp.flags").alias("flags"), "payload")
+    tcp = packets.where(F.col("tcp").isNotNull() & ~F.col("fragmented")).select(
+        "index",
+        *ENDPOINTS,
+        F.col("tcp.seq").alias("seq"),
+        F.col("tcp.flags").alias("flags"),
+        "payload",
+    )
     ranged = tcp.withColumn("_range", F.floor(F.col("index") / CARRY))
     is_opening = F.col("flags").bitwiseAND(F.lit(SYN)) != 0
-    each = ranged.groupBy(*ENDPOINTS, "_range").agg(F.min_by("seq", "index").alias("_start"), F.max_by("seq", F.when(is_opening, F.col("index"))).alias("_syn"))
+    each = ranged.groupBy(*ENDPOINTS, "_range").agg(
+        F.min_by("seq", "index").alias("_start"),
+        F.max_by("seq", F.when(is_opening, F.col("index"))).alias("_syn"),
+    )
     so_far = Window.partitionBy(*ENDPOINTS).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*ENDPOINTS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = each.select(*ENDPOINTS, "_range", F.first("_start").over(so_far).alias("_first"), F.last("_syn", True).over(before).alias("_carried"))
+    bases = each.select(
+        *ENDPOINTS,
+        "_range",
+        F.first("_start").over(so_far).alias("_first"),
+        F.last("_syn", True).over(before).alias("_carried"),
+    )
     near = lambda base: F.pmod(F.col("seq") - F.col(base) + HEAD, F.lit(WRAP)) <= 3 * HEAD
     ends = F.col("flags").bitwiseAND(F.lit(FIN | RST | SYN)) != 0
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*ENDPOINTS, "_range")]
     within = Window.partitionBy(*ENDPOINTS, "_range").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = ranged.where(ends | F.col("payload").isNotNull()).withColumn("_latest", F.last(F.when(is_opening, F.col("seq")), True).over(within))
+    latest = ranged.where(ends | F.col("payload").isNotNull()).withColumn(
+        "_latest",
+        F.last(F.when(is_opening, F.col("seq")), True).over(within),
+    )
     joined = latest.alias("t").join(bases.alias("b"), same).withColumn("_base", F.coalesce("_latest", "_carried", "_first"))
     kept = joined.where(ends | near("_base"))
     return kept.select(*(F.col(f"t.{c}").alias(c) for c in tcp.columns))
@@ -180,13 +197,23 @@ def recover_datagrams(packets: DataFrame) -> DataFrame:
         return out
 
     pieces = packets.where("fragmented").select("index", *FRAGMENT_KEY, "fragment_offset", "more_fragments", "ip_payload")
-    schema = T.StructType([*(pieces.schema[c] for c in FRAGMENT_KEY), T.StructField("src_port", T.IntegerType()), T.StructField("dst_port", T.IntegerType()), *T._parse_datatype_string(RESULT).fields])
+    schema = T.StructType(
+        [
+            *(pieces.schema[c] for c in FRAGMENT_KEY),
+            T.StructField("src_port", T.IntegerType()),
+            T.StructField("dst_port", T.IntegerType()),
+            *T._parse_datatype_string(RESULT).fields,
+        ]
+    )
     return pieces.groupBy(*FRAGMENT_KEY).applyInPandas(run, schema)
 
 
 def recovered_messages(recovered: DataFrame, origin: int) -> DataFrame:
     """Messages of recovered streams (origin 1) or datagrams (2), with the columns of ``applications.messages``."""
-    there = recovered.where(F.col("message").isNotNull()).withColumn("m", F.from_json("message", "struct<" + _colons(MESSAGE) + ">"))
+    there = recovered.where(F.col("message").isNotNull()).withColumn(
+        "m",
+        F.from_json("message", "struct<" + _colons(MESSAGE) + ">"),
+    )
     return with_order(there.select("index", *ENDPOINTS, "m.*"), origin)
 
 
@@ -197,4 +224,8 @@ def _colons(columns: str) -> str:
 
 def stats(recovered: DataFrame) -> DataFrame:
     """One row: keys tracked, messages or datagrams recovered, conflicts."""
-    return recovered.agg(F.coalesce(F.sum("segments"), F.lit(0)).alias("tracked"), F.count_if(F.col("index") >= 0).alias("recovered"), F.coalesce(F.sum("conflicts"), F.lit(0)).alias("conflicts"))
+    return recovered.agg(
+        F.coalesce(F.sum("segments"), F.lit(0)).alias("tracked"),
+        F.count_if(F.col("index") >= 0).alias("recovered"),
+        F.coalesce(F.sum("conflicts"), F.lit(0)).alias("conflicts"),
+    )

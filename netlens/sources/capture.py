@@ -23,7 +23,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 # Magic numbers (byte order, nanoseconds per unit), block types and limits.
-MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}
+MAGICS = {
+    b"\xd4\xc3\xb2\xa1": ("<", 1000),
+    b"\xa1\xb2\xc3\xd4": (">", 1000),
+    b"\x4d\x3c\xb2\xa1": ("<", 1),
+    b"\xa1\xb2\x3c\x4d": (">", 1),
+}
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
 ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 MOST_CAPTURED, LEAST_BLOCK, MOST_BLOCK = 262_144, 12, 16 * 1024 * 1024
@@ -144,7 +149,10 @@ def _pcapng(content: bytes | Stretches, legacy: bool) -> Iterator[tuple]:
             if captured > MOST_CAPTURED or 20 + captured > len(body):
                 raise CaptureError(f"implausible record length {captured}")
             link, ticks = interfaces[iface] if iface < len(interfaces) else (1, MICROSECONDS)
-            yield (high << 32 | low) * 1_000_000_000 // ticks, captured, max(wire, captured), 1 if legacy else link, iface, body[20 : 20 + captured]
+            yield (
+                high << 32
+                | low
+            ) * 1_000_000_000 // ticks, captured, max(wire, captured), 1 if legacy else link, iface, body[20 : 20 + captured]
         elif kind == SIMPLE and len(body) >= 4:
             wire, data = struct.unpack_from(order + "I", body)[0], body[4:]
             yield 0, len(data), max(wire, len(data)), 1 if legacy or not interfaces else interfaces[0][0], 0, data
@@ -173,7 +181,10 @@ def _batches(name: str, content: bytes | Stretches, legacy: bool) -> Iterator[pa
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], COLUMNS)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+        COLUMNS,
+    )
 
 
 def records_of(files: DataFrame, legacy_link_type: bool = False) -> DataFrame:
@@ -201,7 +212,10 @@ def records_of_large(files: DataFrame, legacy_link_type: bool = False) -> DataFr
 
 def indexed(files: DataFrame, legacy_link_type: bool = False, base: int = 0) -> DataFrame:
     """Records of ``binaryFile`` rows with ``index``: from ``base`` on, the number in the file, and the file's place by name in the high bits."""
-    places = files.select("path").withColumn("place", F.row_number().over(Window.orderBy("path")) - 1).withColumnRenamed("path", "file")
+    places = files.select("path").withColumn(
+        "place",
+        F.row_number().over(Window.orderBy("path")) - 1,
+    ).withColumnRenamed("path", "file")
     # The source checks the length before it reads a file.
     small, large = files.where(F.col("length") <= AT_ONCE), files.where(F.col("length") > AT_ONCE)
     found = records_of(small, legacy_link_type).unionByName(records_of_large(large, legacy_link_type))
@@ -254,7 +268,11 @@ class CaptureReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.path):
-            return [CapturePartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if not f.startswith((".", "_"))]
+            return [
+                CapturePartition(os.path.join(self.path, f))
+                for f in sorted(os.listdir(self.path))
+                if not f.startswith((".", "_"))
+            ]
         return [CapturePartition(self.path)]
 
     def read(self, partition: CapturePartition) -> Iterator[pa.RecordBatch]:

@@ -24,12 +24,20 @@ MANIFEST = "manifest.json"
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines in order, of one file or several."""
-    return spark.read.text(path, lineSep="\n").select(F.trim(F.regexp_replace("value", "\r$", "")).alias("line"), F.monotonically_increasing_id().alias("ord"))
+    return spark.read.text(path, lineSep="\n").select(
+        F.trim(F.regexp_replace("value", "\r$", "")).alias("line"),
+        F.monotonically_increasing_id().alias("ord"),
+    )
 
 
 def _tokens_of_list(spark: SparkSession, path: str) -> DataFrame:
     token = F.trim(F.split_part("line", F.lit("#"), F.lit(1)))
-    return _lines(spark, path).select(token.alias("token"), F.lit(path).alias("source"), F.lit(None).cast("string").alias("tag"), "ord").where(F.col("token") != "")
+    return _lines(spark, path).select(
+        token.alias("token"),
+        F.lit(path).alias("source"),
+        F.lit(None).cast("string").alias("tag"),
+        "ord",
+    ).where(F.col("token") != "")
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +48,10 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 def list_warnings(spark: SparkSession, path: str) -> DataFrame:
     """The first entries that are no indicator."""
     tokens = _tokens_of_list(spark, path)
-    return tokens.where(text.indicator_kind(F.col("token")).isNull()).orderBy("ord").limit(MOST_WARNINGS).select("ord", F.concat(F.lit("not an indicator: "), "token").alias("warning"))
+    return tokens.where(text.indicator_kind(F.col("token")).isNull()).orderBy("ord").limit(MOST_WARNINGS).select(
+        "ord",
+        F.concat(F.lit("not an indicator: "), "token").alias("warning"),
+    )
 
 
 def feed_tokens(spark: SparkSession, feed: str, path: str) -> DataFrame:
@@ -50,10 +61,18 @@ def feed_tokens(spark: SparkSession, feed: str, path: str) -> DataFrame:
     if how["form"] == "lines":
         return rows.select(F.col("line").alias("token"), F.lit(feed).alias("source"), F.lit(how["tag"]).alias("tag"), "ord")
     width = max(how["value"], how["tag_column"]) + 1
-    parsed = rows.select("ord", F.from_csv("line", F.lit(", ".join(f"c{k} string" for k in range(max(width, 9)))), {"escape": '"'}).alias("r"))
+    parsed = rows.select(
+        "ord",
+        F.from_csv("line", F.lit(", ".join(f"c{k} string" for k in range(max(width, 9)))), {"escape": '"'}).alias("r"),
+    )
     value, tag = F.trim(f"r.c{how['value']}"), F.trim(f"r.c{how['tag_column']}")
     token = text.url_host(value) if how["form"] == "url_csv" else value
-    return parsed.select(token.alias("token"), F.lit(feed).alias("source"), F.when(tag != "", tag).alias("tag"), "ord").where(F.col("token") != "")
+    return parsed.select(
+        token.alias("token"),
+        F.lit(feed).alias("source"),
+        F.when(tag != "", tag).alias("tag"),
+        "ord",
+    ).where(F.col("token") != "")
 
 
 def read_feed(spark: SparkSession, feed: str, path: str) -> DataFrame:
@@ -72,7 +91,13 @@ def fetch(url: str, key: str | None = None, opener=urllib.request.urlopen) -> by
     return data
 
 
-def update_cache(spark: SparkSession, folder: str, feeds: list[str], key: str | None = None, opener=urllib.request.urlopen) -> dict[str, str]:
+def update_cache(
+    spark: SparkSession,
+    folder: str,
+    feeds: list[str],
+    key: str | None = None,
+    opener=urllib.request.urlopen,
+) -> dict[str, str]:
     """Fetch feeds into a folder. A feed that fails keeps its old copy; returns what failed."""
     os.makedirs(folder, exist_ok=True)
     entries = {e["id"]: e for e in manifest(folder)}
@@ -88,7 +113,13 @@ def update_cache(spark: SparkSession, folder: str, feeds: list[str], key: str |
             f.write(data)
         os.replace(path + ".new", path)
         count = read_feed(spark, feed, path).select("kind", "value").distinct().count()
-        entries[feed] = {"id": feed, "url": FEEDS[feed]["url"], "fetched_at": int(time.time()), "bytes": len(data), "indicators": count}
+        entries[feed] = {
+            "id": feed,
+            "url": FEEDS[feed]["url"],
+            "fetched_at": int(time.time()),
+            "bytes": len(data),
+            "indicators": count,
+        }
     with open(os.path.join(folder, MANIFEST), "w") as f:
         json.dump({"feeds": [entries[k] for k in sorted(entries)]}, f, indent=1)
     return failed
@@ -104,5 +135,9 @@ def manifest(folder: str) -> list[dict]:
 
 def load_cache(spark: SparkSession, folder: str) -> DataFrame | None:
     """Indicators of all cached feeds; unknown feeds and missing files are passed over."""
-    sets = [read_feed(spark, e["id"], path) for e in manifest(folder) if e["id"] in FEEDS and os.path.exists(path := os.path.join(folder, f"{e['id']}.data"))]
+    sets = [
+        read_feed(spark, e["id"], path)
+        for e in manifest(folder)
+        if e["id"] in FEEDS and os.path.exists(path := os.path.join(folder, f"{e['id']}.data"))
+    ]
     return indicators.union(*sets) if sets else None

@@ -14,7 +14,13 @@ def ipv4(src: str, dst: str, proto: int, payload: bytes, ident: int = 0, offset:
 
 
 def ipv6(src: str, dst: str, proto: int, payload: bytes) -> bytes:
-    return struct.pack(">IHBB", 6 << 28, len(payload), proto, 64) + ipaddress.ip_address(src).packed + ipaddress.ip_address(dst).packed + payload
+    return struct.pack(
+        ">IHBB",
+        6 << 28,
+        len(payload),
+        proto,
+        64,
+    ) + ipaddress.ip_address(src).packed + ipaddress.ip_address(dst).packed + payload
 
 
 def tcp(sport: int, dport: int, seq: int, flags: int, payload: bytes = b"") -> bytes:
@@ -42,17 +48,34 @@ def client_hello(sni: str | None, version: int = 0x0303, ciphers: tuple = (0x0A0
     if sni:
         name = sni.encode()
         extensions += struct.pack(">2H", 0, len(name) + 5) + struct.pack(">HBH", len(name) + 3, 0, len(name)) + name
-    extensions += struct.pack(">2HHBB", 16, 5, 3, 2, 0x68) + b"2" + struct.pack(">2HHH", 10, 4, 2, 29) + struct.pack(">2HBB", 11, 2, 1, 0)
+    extensions += struct.pack(
+        ">2HHBB",
+        16,
+        5,
+        3,
+        2,
+        0x68,
+    ) + b"2" + struct.pack(">2HHH", 10, 4, 2, 29) + struct.pack(">2HBB", 11, 2, 1, 0)
     if version >= 0x0303:
         extensions += struct.pack(">2HBHH", 43, 5, 4, 0x0A0A, 0x0304)
     suites = b"".join(struct.pack(">H", c) for c in ciphers)
-    body = struct.pack(">H", version) + bytes(32) + b"\0" + struct.pack(">H", len(suites)) + suites + b"\1\0" + struct.pack(">H", len(extensions)) + extensions
+    body = struct.pack(">H", version) + bytes(32) + b"\0" + struct.pack(">H", len(suites)) + suites + b"\1\0" + struct.pack(
+        ">H",
+        len(extensions),
+    ) + extensions
     hello = b"\1" + struct.pack(">I", len(body))[1:] + body
     return struct.pack(">BHH", 22, 0x0301, len(hello)) + hello
 
 
 def arp(op: int, mac: str, ip: str, target: str) -> bytes:
-    return struct.pack(">HHBBH", 1, 0x0800, 6, 4, op) + bytes.fromhex(mac.replace(":", "")) + ipaddress.ip_address(ip).packed + bytes(6) + ipaddress.ip_address(target).packed
+    return struct.pack(
+        ">HHBBH",
+        1,
+        0x0800,
+        6,
+        4,
+        op,
+    ) + bytes.fromhex(mac.replace(":", "")) + ipaddress.ip_address(ip).packed + bytes(6) + ipaddress.ip_address(target).packed
 
 
 def frames() -> list[tuple[int, int, bytes]]:
@@ -64,7 +87,10 @@ def frames() -> list[tuple[int, int, bytes]]:
 
     me, resolver, server = "192.168.1.10", "192.168.1.1", "93.184.216.34"
     for k in range(25):  # a check-in every minute
-        add(10 + 60.0 * k + (k % 3) * 0.4, ethernet(ipv4("192.168.1.50", "203.0.113.77", 6, tcp(50123, 443, 100 + 4 * k, 24, b"beat"))))
+        add(
+            10 + 60.0 * k + (k % 3) * 0.4,
+            ethernet(ipv4("192.168.1.50", "203.0.113.77", 6, tcp(50123, 443, 100 + 4 * k, 24, b"beat"))),
+        )
     for k in range(60):  # names that carry data out
         label = f"{(k * 2654435761) % (1 << 32):08x}{(k * 40503 + 7) % (1 << 16):04x}q{chr(97 + k % 26)}"
         add(20 + 0.5 * k, ethernet(ipv4("192.168.1.77", resolver, 17, udp(51000, 53, dns(f"{label}.exfil.example")))))
@@ -77,11 +103,25 @@ def frames() -> list[tuple[int, int, bytes]]:
     add(71.01, ethernet(ipv4(server, me, 6, tcp(80, 50001, 5000, 18))))
     add(71.02, ethernet(ipv4(me, server, 6, tcp(50001, 80, 1001, 24, request[:40]))))
     add(71.03, ethernet(ipv4(me, server, 6, tcp(50001, 80, 1041, 24, request[40:]))))
-    add(71.04, ethernet(ipv4(server, me, 6, tcp(80, 50001, 5001, 24, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 0\r\n\r\n"))))
+    add(
+        71.04,
+        ethernet(
+            ipv4(
+                server,
+                me,
+                6,
+                tcp(80, 50001, 5001, 24, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 0\r\n\r\n"),
+            )
+        ),
+    )
     add(80, ethernet(ipv4(me, server, 6, tcp(50002, 443, 1, 24, client_hello("www.example.com")))))
     add(81, ethernet(ipv4("192.168.1.11", server, 6, tcp(50003, 443, 1, 24, client_hello("old.example.com", 0x0301)))))
     for k in range(4500):  # one large upload
-        add(100 + 0.01 * k, ethernet(ipv4("192.168.1.88", "198.51.100.5", 6, tcp(46000, 443, 1 + 1400 * k, 16, bytes(1400)))), 96 if k < 8 else None)
+        add(
+            100 + 0.01 * k,
+            ethernet(ipv4("192.168.1.88", "198.51.100.5", 6, tcp(46000, 443, 1 + 1400 * k, 16, bytes(1400)))),
+            96 if k < 8 else None,
+        )
     for mac in ("02:00:00:00:00:0a", "02:00:00:00:00:0b"):
         add(150, ethernet(arp(2, mac, "192.168.1.1", me), 0x0806))
     add(160, ethernet(ipv4(me, "192.168.1.21", 6, tcp(50010, 23, 1, 24, b"login"))))

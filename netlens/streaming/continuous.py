@@ -10,7 +10,7 @@ are decoded once and kept, and each snapshot is the analysis of all that are kep
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netlens.decode import layers
 from netlens.functions import names
+from netlens.functions.addresses import text_of_key
 from netlens.functions.text import whole_div
 from netlens.operators.flows import FLOW_KEY, with_flow_key
 from netlens.plans import report
@@ -27,6 +28,11 @@ from netlens.sources import capture
 LEAST_REFRESH, MOST_REFRESH = 0.25, 60.0
 
 
+def ends() -> list[Column]:
+    """A flow's key with its addresses as text."""
+    return [text_of_key(F.col(k)).alias(k.replace("_key", "_ip")) if k.endswith("_key") else F.col(k) for k in FLOW_KEY]
+
+
 def packet_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded packets of captures as they appear, with ``ts`` for windows."""
     return with_time(layers.decode(capture.frames(capture.stream_captures(spark, folder))))
@@ -40,25 +46,51 @@ def timeline(packets: DataFrame, watermark: str | None = None) -> DataFrame:
     """Packets and bytes of each second."""
     timed = packets.where("ts_ns <> 0")
     timed = timed.withWatermark("ts", watermark) if watermark else timed
-    return timed.groupBy(F.window("ts", "1 second")).agg(F.count("*").alias("packets"), F.sum("wire_len").alias("bytes")).select(F.unix_seconds("window.start").alias("second"), "packets", "bytes")
+    return timed.groupBy(F.window("ts", "1 second")).agg(F.count("*").alias("packets"), F.sum("wire_len").alias("bytes")).select(
+        F.unix_seconds("window.start").alias("second"),
+        "packets",
+        "bytes",
+    )
 
 
 def flow_totals(packets: DataFrame) -> DataFrame:
     """Packets, bytes and flags of each flow so far, for complete or update mode."""
     keyed = with_flow_key(packets)
-    return keyed.groupBy(*FLOW_KEY).agg(F.count("*").alias("packets"), F.sum("wire_len").alias("bytes"), F.bit_or("tcp_flags").alias("flags"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
+    totals = keyed.groupBy(*FLOW_KEY).agg(
+        F.count("*").alias("packets"),
+        F.sum("wire_len").alias("bytes"),
+        F.bit_or("tcp_flags").alias("flags"),
+        F.min("ts_ns").alias("first_ns"),
+        F.max("ts_ns").alias("last_ns"),
+    )
+    return totals.select(*ends(), "packets", "bytes", "flags", "first_ns", "last_ns")
 
 
 def host_totals(packets: DataFrame) -> DataFrame:
     side = lambda ip, sent: F.struct(F.col(ip).alias("ip"), F.lit(sent).alias("sent"))
-    both = packets.where(F.col("src_ip").isNotNull()).select("wire_len", F.explode(F.array(side("src_ip", True), side("dst_ip", False))).alias("e"))
-    return both.groupBy("e.ip").agg(F.sum(F.when(F.col("e.sent"), F.col("wire_len")).otherwise(0)).alias("sent_bytes"), F.sum(F.when(F.col("e.sent"), 0).otherwise(F.col("wire_len"))).alias("received_bytes"))
+    both = packets.where(F.col("src_ip").isNotNull()).select(
+        "wire_len",
+        F.explode(F.array(side("src_ip", True), side("dst_ip", False))).alias("e"),
+    )
+    return both.groupBy("e.ip").agg(
+        F.sum(F.when(F.col("e.sent"), F.col("wire_len")).otherwise(0)).alias("sent_bytes"),
+        F.sum(F.when(F.col("e.sent"), 0).otherwise(F.col("wire_len"))).alias("received_bytes"),
+    )
 
 
 def flow_sessions(packets: DataFrame, gap: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Flows that end after a silence; an extension, as flows otherwise never end."""
     keyed = with_flow_key(packets).withWatermark("ts", watermark)
-    return keyed.groupBy(*FLOW_KEY, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("packets"), F.sum("wire_len").alias("bytes")).select(*FLOW_KEY, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "packets", "bytes")
+    return keyed.groupBy(*FLOW_KEY, F.session_window("ts", gap).alias("s")).agg(
+        F.count("*").alias("packets"),
+        F.sum("wire_len").alias("bytes"),
+    ).select(
+        *ends(),
+        F.col("s.start").alias("start"),
+        F.col("s.end").alias("end"),
+        "packets",
+        "bytes",
+    )
 
 
 HANDSHAKES = "src_ip string, dst_ip string, dst_port int, syns bigint, answered boolean"
@@ -75,15 +107,39 @@ def handshakes(packets: DataFrame) -> DataFrame:
         state.update((syns, answered))
         yield pd.DataFrame([(*key, syns, answered)], columns=["src_ip", "dst_ip", "dst_port", "syns", "answered"])
 
-    opening, answer = names.is_syn_only(F.col("tcp_flags")), names.has(F.col("tcp_flags"), names.SYN) & names.has(F.col("tcp_flags"), names.ACK)
+    opening, answer = names.is_syn_only(F.col("tcp_flags")), names.has(
+        F.col("tcp_flags"),
+        names.SYN,
+    ) & names.has(F.col("tcp_flags"), names.ACK)
     either = packets.where(opening | F.coalesce(answer, F.lit(False)))
     back = F.coalesce(answer, F.lit(False))
     pick = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
-    turned = either.select(pick("src_ip", "dst_ip").alias("src_ip"), pick("dst_ip", "src_ip").alias("dst_ip"), pick("dst_port", "src_port").alias("dst_port"), back.cast("int").alias("answer"))
-    return turned.groupBy("src_ip", "dst_ip", "dst_port").applyInPandasWithState(update, HANDSHAKES, "syns bigint, answered boolean", "update", GroupStateTimeout.NoTimeout)
-
-
-def publish_reports(spark: SparkSession, folder: str, store: str, checkpoint: str, put: Callable[[dict, int], None], settings: Settings | None = None, listed: DataFrame | None = None, refresh: float = 2.0, once: bool = False) -> StreamingQuery:
+    turned = either.select(
+        pick("src_ip", "dst_ip").alias("src_ip"),
+        pick("dst_ip", "src_ip").alias("dst_ip"),
+        pick("dst_port", "src_port").alias("dst_port"),
+        back.cast("int").alias("answer"),
+    )
+    return turned.groupBy("src_ip", "dst_ip", "dst_port").applyInPandasWithState(
+        update,
+        HANDSHAKES,
+        "syns bigint, answered boolean",
+        "update",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def publish_reports(
+    spark: SparkSession,
+    folder: str,
+    store: str,
+    checkpoint: str,
+    put: Callable[[dict, int], None],
+    settings: Settings | None = None,
+    listed: DataFrame | None = None,
+    refresh: float = 2.0,
+    once: bool = False,
+) -> StreamingQuery:
     """Hand ``put`` the report of all captures in a folder with its generation, again whenever captures have come.
 
     Each batch's packets go to a folder of their own under ``store``, which a repeated batch replaces, so nothing counts
@@ -107,7 +163,14 @@ def publish_reports(spark: SparkSession, folder: str, store: str, checkpoint: st
     return publish(capture.stream_files(spark, folder), checkpoint, take, refresh, "append", once)
 
 
-def publish(found: DataFrame, checkpoint: str, put: Callable[[DataFrame, int], None], refresh: float = 2.0, mode: str = "complete", once: bool = False) -> StreamingQuery:
+def publish(
+    found: DataFrame,
+    checkpoint: str,
+    put: Callable[[DataFrame, int], None],
+    refresh: float = 2.0,
+    mode: str = "complete",
+    once: bool = False,
+) -> StreamingQuery:
     """Run an aggregate and hand each snapshot with its generation to ``put``."""
     writer = found.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put)
     if once:

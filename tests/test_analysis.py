@@ -34,14 +34,33 @@ def report(analysis):
 def test_findings(report):
     found = [(f["severity"], f["id"]) for f in report["findings"]]
     assert found == [
-        ("high", "arp-address-conflict"), ("high", "cleartext-http-credentials"), ("high", "dns-subdomain-volume"), ("high", "ioc-domain-match"), ("high", "ioc-ip-match"), ("high", "periodic-beaconing"), ("high", "port-scan"),
-        ("medium", "ip-fragment-overlap"), ("medium", "obsolete-tls"), ("medium", "outbound-upload-heavy"), ("low", "cleartext-service"), ("info", "capture-quality"),
+        ("high", "arp-address-conflict"),
+        ("high", "cleartext-http-credentials"),
+        ("high", "dns-subdomain-volume"),
+        ("high", "ioc-domain-match"),
+        ("high", "ioc-ip-match"),
+        ("high", "periodic-beaconing"),
+        ("high", "port-scan"),
+        ("medium", "ip-fragment-overlap"),
+        ("medium", "obsolete-tls"),
+        ("medium", "outbound-upload-heavy"),
+        ("low", "cleartext-service"),
+        ("info", "capture-quality"),
     ]
 
 
 def test_summary_and_flows(report):
     s = report["summary"]
-    assert (s["packets"], s["tcp"], s["udp"], s["ipv6"], s["fragments"], s["truncated"], s["arp"], s["warnings"]) == (4621, 4553, 66, 1, 3, 8, 2, 0)
+    assert (
+        s["packets"],
+        s["tcp"],
+        s["udp"],
+        s["ipv6"],
+        s["fragments"],
+        s["truncated"],
+        s["arp"],
+        s["warnings"],
+    ) == (4621, 4553, 66, 1, 3, 8, 2, 0)
     assert report["top_flows"][0]["flow"] == "192.168.1.88:46000 <-> 198.51.100.5:443 TCP" and report["top_flows"][0]["packets"] == 4500
     web = next(f for f in report["top_flows"] if f["server_port"] == 80)
     assert web["protocols"] == ["http"] and web["cleartext_credentials"] and web["resolved_dest"] == "www.example.com"
@@ -51,7 +70,10 @@ def test_summary_and_flows(report):
 
 def test_outputs(analysis, report):
     assert json.loads(reports.to_json(report))["schema_version"] == 1
-    assert "<script>alert" not in reports.to_html(report | {"source": "</script><script>alert(1)"}) and "\\u003c/script" in reports.to_html(report | {"source": "</script>"})
+    assert "<script>alert" not in reports.to_html(
+        report
+        | {"source": "</script><script>alert(1)"}
+    ) and "\\u003c/script" in reports.to_html(report | {"source": "</script>"})
     assert "[HIGH] 1 host(s) exhibiting port-scan behaviour (port-scan)" in reports.to_text(report)
     assert reports.gate(analysis.findings(), "high") == 2
 
@@ -69,10 +91,29 @@ def test_clean_capture(spark, tmp_path):
 def series(spark, times):
     rows = [(k, int(t * 1e9), "10.0.0.1", "8.8.8.8", 50000, 443) for k, t in enumerate(times)]
     base = spark.createDataFrame(rows, "index long, ts_ns long, src_ip string, dst_ip string, src_port int, dst_port int")
-    return base.withColumns({"src_key": F.unhex(F.lit("040A000001")), "dst_key": F.unhex(F.lit("0408080808")), "ip_proto": F.lit(6), "tcp_flags": F.lit(16), "wire_len": F.lit(60), "captured_len": F.lit(60), "payload_len": F.lit(6)})
-
-
-@pytest.mark.parametrize(("times", "interval", "jitter"), [([60.0 * k for k in range(40)], 60, (0, 0)), ([60.0 * k for k in range(20) if k not in (7, 12)], 60, (0, 0.05)), ([0, 0.1, 0.2, 30, 30.05, 31, 90, 90.2, 200, 200.01, 200.5, 301], None, (0.5, 1)), ([0, 1, 2], None, None), ([5.0] * 9, None, None)])
+    return base.withColumns(
+        {
+            "src_key": F.unhex(F.lit("040A000001")),
+            "dst_key": F.unhex(F.lit("0408080808")),
+            "ip_proto": F.lit(6),
+            "tcp_flags": F.lit(16),
+            "wire_len": F.lit(60),
+            "captured_len": F.lit(60),
+            "payload_len": F.lit(6),
+        }
+    )
+
+
+@pytest.mark.parametrize(
+    ("times", "interval", "jitter"),
+    [
+        ([60.0 * k for k in range(40)], 60, (0, 0)),
+        ([60.0 * k for k in range(20) if k not in (7, 12)], 60, (0, 0.05)),
+        ([0, 0.1, 0.2, 30, 30.05, 31, 90, 90.2, 200, 200.01, 200.5, 301], None, (0.5, 1)),
+        ([0, 1, 2], None, None),
+        ([5.0] * 9, None, None),
+    ],
+)
 def test_beacons(spark, times, interval, jitter):
     packets = series(spark, times)
     found = beacon.scores(packets, flows.flows(packets)).collect()
@@ -85,12 +126,29 @@ def test_beacons(spark, times, interval, jitter):
 def test_stream_equals_batch(spark, folder, analysis, tmp_path):
     seen: dict[str, list] = {}
     packets = continuous.packet_stream(spark, str(folder))
-    for name, frame, mode in (("timeline", continuous.timeline(packets), "complete"), ("flows", continuous.flow_totals(packets), "complete"), ("hosts", continuous.host_totals(packets), "complete"), ("handshakes", continuous.handshakes(packets), "update")):
-        query = continuous.publish(frame, str(tmp_path / name), lambda df, _, name=name: seen.__setitem__(name, df.collect()), mode=mode, once=True)
+    for name, frame, mode in (
+        ("timeline", continuous.timeline(packets), "complete"),
+        ("flows", continuous.flow_totals(packets), "complete"),
+        ("hosts", continuous.host_totals(packets), "complete"),
+        ("handshakes", continuous.handshakes(packets), "update"),
+    ):
+        query = continuous.publish(
+            frame,
+            str(tmp_path / name),
+            lambda df, _, name=name: seen.__setitem__(name, df.collect()),
+            mode=mode,
+            once=True,
+        )
         query.awaitTermination()
     assert sorted(map(tuple, seen["timeline"])) == sorted(map(tuple, flows.timeline(analysis.packets).collect()))
-    assert {tuple(r[:7]) for r in seen["flows"]} == {tuple(r) for r in analysis.flows.select(*flows.FLOW_KEY, "packets", "bytes").collect()}
-    assert {(r.ip, r.sent_bytes, r.received_bytes) for r in seen["hosts"]} == {(r.ip, r.sent_bytes, r.received_bytes) for r in analysis.hosts.collect()}
+    assert {tuple(r[:7]) for r in seen["flows"]} == {
+        tuple(r)
+        for r in analysis.flows.select("a_ip", "a_port", "b_ip", "b_port", "ip_proto", "packets", "bytes").collect()
+    }
+    assert {(r.ip, r.sent_bytes, r.received_bytes) for r in seen["hosts"]} == {
+        (r.ip, r.sent_bytes, r.received_bytes)
+        for r in analysis.hosts.collect()
+    }
     answered = {(r.src_ip, r.dst_port): r.answered for r in seen["handshakes"]}
     assert answered["192.168.1.10", 80] and sum(not v for v in answered.values()) == 20
 
@@ -106,7 +164,14 @@ def test_stream_reports_equal_batch(spark, tmp_path):
     cut = len(frames) // 2
     for name, part in (("a.pcap", frames[:cut]), ("b.pcap", frames[cut:])):
         (tmp_path / "in" / name).write_bytes(pcap_header(1) + b"".join(pcap_record(*f) for f in part))
-        query = continuous.publish_reports(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "state"), lambda r, n: seen.append((n, r)), once=True)
+        query = continuous.publish_reports(
+            spark,
+            str(tmp_path / "in"),
+            str(tmp_path / "store"),
+            str(tmp_path / "state"),
+            lambda r, n: seen.append((n, r)),
+            once=True,
+        )
         query.awaitTermination()
     whole = reports.build(analyze(spark, str(tmp_path / "in")), str(tmp_path / "in"))
     assert [n for n, _ in seen] == [0, 1]
@@ -123,8 +188,15 @@ def test_flow_values_keep_the_first_to_arrive(spark):
     found = {r.flow: r for r in messages.flow_values(spark.createDataFrame(rows, schema).repartition(5), ("flow",)).collect()}
     names = [x for k in range(299, -1, -1) for x in (f"n{k:03d}", f"m{k:03d}")]
     agents = list(dict.fromkeys(f"a{k % 40:02d}" for k in range(450) if k % 3))
-    assert found["f"].dns_names == sorted(names[:256]) and found["f"].http_hosts == sorted(f"h{(k * 37) % 150:03d}" for k in range(64)) and found["f"].user_agents == sorted(agents[:16])
-    assert (found["g"].dns_names, found["g"].http_hosts, found["g"].user_agents) == ([], ["only"], []) and found[None].user_agents == ["agent"]
+    assert found["f"].dns_names == sorted(names[:256]) and found["f"].http_hosts == sorted(
+        f"h{(k * 37) % 150:03d}"
+        for k in range(64)
+    ) and found["f"].user_agents == sorted(agents[:16])
+    assert (
+        found["g"].dns_names,
+        found["g"].http_hosts,
+        found["g"].user_agents,
+    ) == ([], ["only"], []) and found[None].user_agents == ["agent"]
 
 
 def test_busy_flows_are_cut_to_their_first_arrivals(spark, monkeypatch):
@@ -133,7 +205,7 @@ def test_busy_flows_are_cut_to_their_first_arrivals(spark, monkeypatch):
     monkeypatch.setattr(beacon, "SAMPLES", 60)
     monkeypatch.setattr(beacon, "RANGE_BITS", 3)
     packets = series(spark, times)
-    kept = beacon.first_arrivals(flows.with_flow_key(packets), flows.flows(packets))
+    kept = beacon.first_arrivals(flows.with_flow_key(packets))
     assert 60 <= kept.count() < 80
     found = beacon.scores(packets, flows.flows(packets)).first()
     assert (found.interval, found.jitter, found.times, found.samples_truncated) == (10.0, 0.0, 60, True)

@@ -17,19 +17,47 @@ def decoded(spark, *frames):
 
 
 def test_layers(spark):
-    tagged = bytes(12) + bytes.fromhex("8100a00188a80fff0800") + sample.ipv4("1.2.3.255", "255.0.0.1", 6, sample.tcp(1, 65535, 4294967295, 18) + b"hi")
+    tagged = bytes(12) + bytes.fromhex("8100a00188a80fff0800") + sample.ipv4(
+        "1.2.3.255",
+        "255.0.0.1",
+        6,
+        sample.tcp(1, 65535, 4294967295, 18) + b"hi",
+    )
     options = b"\0\1\0\2" + bytes(8) + bytes([0x80, 2]) + bytes(6) + bytes([2, 4, 5, 180, 1, 3, 3, 7, 4, 2, 8, 0])
     fragment = bytes([44, 0]) + bytes(6) + bytes([17, 0, 0, 1, 0, 0, 0, 9]) + sample.udp(7, 8, b"x")
     rows = decoded(
-        spark, (1, tagged), (1, b"\0" * 13), (101, sample.ipv6("fe80::1", "2001:db8:0:0:1:0:0:1", 0, fragment)), (1, sample.ethernet(sample.ipv4("1.1.1.1", "2.2.2.2", 6, options))),
-        (0, b"\x02\0\0\0" + sample.ipv4("9.9.9.9", "8.8.8.8", 1, b"\x08\0\0\0\0\5\0\6zz")), (9, b"x"), (1, sample.ethernet(sample.arp(2, "02:00:00:00:00:0a", "10.0.0.1", "10.0.0.2"), 0x0806)), (113, bytes(14) + b"\x08\0" + sample.ipv4("1.1.1.1", "2.2.2.2", 17, sample.udp(5, 6, b"abc"))),
+        spark,
+        (1, tagged),
+        (1, b"\0" * 13),
+        (101, sample.ipv6("fe80::1", "2001:db8:0:0:1:0:0:1", 0, fragment)),
+        (1, sample.ethernet(sample.ipv4("1.1.1.1", "2.2.2.2", 6, options))),
+        (0, b"\x02\0\0\0" + sample.ipv4("9.9.9.9", "8.8.8.8", 1, b"\x08\0\0\0\0\5\0\6zz")),
+        (9, b"x"),
+        (1, sample.ethernet(sample.arp(2, "02:00:00:00:00:0a", "10.0.0.1", "10.0.0.2"), 0x0806)),
+        (113, bytes(14) + b"\x08\0" + sample.ipv4("1.1.1.1", "2.2.2.2", 17, sample.udp(5, 6, b"abc"))),
         (1, sample.ethernet(sample.ipv4("1.1.1.1", "2.2.2.2", 17, b"abcd", 5, 16, False))),
     )
     a, b, c, d, e, f, g, h, i = rows
     assert [(v.tpid, v.priority, v.dei, v.vid) for v in a.eth.vlans] == [(0x8100, 5, False, 1), (0x88A8, 0, False, 0xFFF)]
-    assert (a.src_ip, a.dst_ip, a.src_port, a.dst_port, a.tcp.seq, a.tcp_flags, bytes(a.payload), a.warnings) == ("1.2.3.255", "255.0.0.1", 1, 65535, 4294967295, 18, b"hi", [])
+    assert (
+        a.src_ip,
+        a.dst_ip,
+        a.src_port,
+        a.dst_port,
+        a.tcp.seq,
+        a.tcp_flags,
+        bytes(a.payload),
+        a.warnings,
+    ) == ("1.2.3.255", "255.0.0.1", 1, 65535, 4294967295, 18, b"hi", [])
     assert b.warnings == ["ethernet: truncated"] and b.src_ip is None
-    assert (c.src_ip, c.dst_ip, c.fragmented, c.fragment_id, c.src_port, bytes(c.payload)) == ("fe80::1", "2001:db8::1:0:0:1", True, 9, 7, b"x")
+    assert (
+        c.src_ip,
+        c.dst_ip,
+        c.fragmented,
+        c.fragment_id,
+        c.src_port,
+        bytes(c.payload),
+    ) == ("fe80::1", "2001:db8::1:0:0:1", True, 9, 7, b"x")
     assert (d.tcp.options.mss, d.tcp.options.window_scale, d.tcp.options.sack, d.tcp.options.timestamps) == (1460, 7, True, False)
     assert (e.icmp.type, e.icmp.echo_id, e.icmp.echo_seq, e.icmp.payload_len) == (8, 5, 6, 2)
     assert f.warnings == ["unsupported link type LINKTYPE_9"]
@@ -62,7 +90,14 @@ def test_http():
     cut = applications.parse_http(b"POST /y HTTP/1.0\r\nAuthorization: Basic x")
     assert cut["has_authorization"] and not cut["complete"]
     assert applications.parse_http(b"HTTP/1.1 404 Not Found\r\n\r\n")["summary"] == "404"
-    for wrong in (b"GET /x", b"BREW / HTTP/1.1\r\n\r\n", b"HTTP/1.1 99 x\r\n\r\n", b"\xff\xfe\r\n\r\n", b"", b"GET / HTTP/2\r\n\r\n"):
+    for wrong in (
+        b"GET /x",
+        b"BREW / HTTP/1.1\r\n\r\n",
+        b"HTTP/1.1 99 x\r\n\r\n",
+        b"\xff\xfe\r\n\r\n",
+        b"",
+        b"GET / HTTP/2\r\n\r\n",
+    ):
         assert applications.parse_http(wrong) is None
     long = applications.parse_http(b"GET /" + b"\xc3\xa9" * 600 + b" HTTP/1.1\r\n\r\n")
     assert long["uri"].endswith("…") and len(long["uri"].encode()) <= 512 + 3
@@ -82,6 +117,10 @@ def test_broken_hellos_never_fail(at, noise):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.binary(max_size=120), st.sampled_from([0, 1, 101, 108, 113, 276, 77]), st.sampled_from([b"", b"\x45\0\0\x28", b"\x60\0\0\0", bytes(12) + b"\x08\0\x45", bytes(12) + b"\x86\xdd\x60"]))
+@given(
+    st.binary(max_size=120),
+    st.sampled_from([0, 1, 101, 108, 113, 276, 77]),
+    st.sampled_from([b"", b"\x45\0\0\x28", b"\x60\0\0\0", bytes(12) + b"\x08\0\x45", bytes(12) + b"\x86\xdd\x60"]),
+)
 def test_noise_never_fails(noise, link, start):
     layers.parse_frame(link, start + noise)

@@ -81,20 +81,45 @@ def test_segments_near_any_opening_are_kept(spark):
     half = len(REQUEST) // 2
     for gap in (1, streams.CARRY, 3 * streams.CARRY):
         # The last one is far from its own opening, though near the first.
-        sent = [(1, 1 << 20, 2, b""), (2, 1 << 24, 2, b""), (2 + gap, (1 << 24) + 1, 24, REQUEST[:half]), (3 + gap, (1 << 24) + 1 + half, 24, REQUEST[half:]), (4 + 2 * gap, 1 << 28, 2, b""), (5 + 2 * gap, (1 << 20) + 1, 24, b"old")]
-        rows = [("f", k, 1, len(d), len(d), 1, d) for k, seq, flags, data in sent for d in [sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, seq, flags, data)))]]
-        packets = layers.decode(spark.createDataFrame(rows, "file string, index long, ts_ns long, captured_len int, wire_len int, link_type int, data binary"))
+        sent = [
+            (1, 1 << 20, 2, b""),
+            (2, 1 << 24, 2, b""),
+            (2 + gap, (1 << 24) + 1, 24, REQUEST[:half]),
+            (3 + gap, (1 << 24) + 1 + half, 24, REQUEST[half:]),
+            (4 + 2 * gap, 1 << 28, 2, b""),
+            (5 + 2 * gap, (1 << 20) + 1, 24, b"old"),
+        ]
+        rows = [
+            ("f", k, 1, len(d), len(d), 1, d)
+            for k, seq, flags, data in sent
+            for d in [sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, seq, flags, data)))]
+        ]
+        packets = layers.decode(
+            spark.createDataFrame(
+                rows,
+                "file string, index long, ts_ns long, captured_len int, wire_len int, link_type int, data binary",
+            )
+        )
         assert sorted(r["index"] for r in streams.head_segments(packets).collect()) == [k for k, *_ in sent[:5]]
-        assert [r.http.summary for r in streams.recovered_messages(streams.recover_streams(packets), 1).collect()] == ["GET h/private"]
+        assert [
+            r.http.summary
+            for r in streams.recovered_messages(streams.recover_streams(packets), 1).collect()
+        ] == ["GET h/private"]
 
 
 def test_on_spark(spark):
     frames = [
-        sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, 1, 24, REQUEST[:30]))), sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, 31, 24, REQUEST[30:]))),
+        sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, 1, 24, REQUEST[:30]))),
+        sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, 31, 24, REQUEST[30:]))),
         sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, 1 + (1 << 24), 24, b"far"))),
     ]
     rows = [("f", k, 1, len(d), len(d), 1, d) for k, d in enumerate(frames, 1)]
-    packets = layers.decode(spark.createDataFrame(rows, "file string, index long, ts_ns long, captured_len int, wire_len int, link_type int, data binary"))
+    packets = layers.decode(
+        spark.createDataFrame(
+            rows,
+            "file string, index long, ts_ns long, captured_len int, wire_len int, link_type int, data binary",
+        )
+    )
     assert streams.head_segments(packets).count() == 2
     recovered = streams.recover_streams(packets)
     assert [r.http.summary for r in streams.recovered_messages(recovered, 1).collect()] == ["GET h/private"]

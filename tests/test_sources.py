@@ -1,7 +1,9 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from netlens.functions import addresses
 from netlens.operators import indicators
 from netlens.sources import capture, intel, sample
 
@@ -24,13 +26,25 @@ def test_pcapng():
     nano = block(1, struct.pack("<HHI", 113, 0, 0) + struct.pack("<HHB3xHH", 9, 1, 9, 0, 0))
     binary = block(1, struct.pack("<HHI", 1, 0, 0) + struct.pack("<HHB3xHH", 9, 1, 0x80 | 10, 0, 0))
     ticks = 3_000_000_005
-    packets = block(6, struct.pack("<5I", 0, ticks >> 32, ticks & 0xFFFFFFFF, 3, 8) + b"abc") + block(6, struct.pack("<5I", 1, 0, 1536, 1, 1) + b"z") + block(3, struct.pack("<I", 6) + b"simple")
+    packets = block(
+        6,
+        struct.pack("<5I", 0, ticks >> 32, ticks & 0xFFFFFFFF, 3, 8) + b"abc",
+    ) + block(6, struct.pack("<5I", 1, 0, 1536, 1, 1) + b"z") + block(3, struct.pack("<I", 6) + b"simple")
     found = list(capture.records(section + nano + binary + block(77, b"skip") + packets))
     assert found == [(ticks, 3, 8, 113, 0, b"abc"), (1_500_000_000, 1, 1, 1, 1, b"z"), (0, 8, 8, 113, 0, b"simple\0\0")]
     assert next(capture.records(section + nano + packets, True))[3] == 1
 
 
-@pytest.mark.parametrize("content", [b"", b"junk", capture.pcap_header(1)[:10], capture.pcap_header(1) + struct.pack("<4I", 0, 0, 1 << 20, 1), struct.pack("<2I", 0x0A0D0D0A, 28) + b"\x4d\x3c\x2b\x1a" + b"\xff" * 16 + b"\1\0\0\0\7\0\0\0\0\0\0\0"])
+@pytest.mark.parametrize(
+    "content",
+    [
+        b"",
+        b"junk",
+        capture.pcap_header(1)[:10],
+        capture.pcap_header(1) + struct.pack("<4I", 0, 0, 1 << 20, 1),
+        struct.pack("<2I", 0x0A0D0D0A, 28) + b"\x4d\x3c\x2b\x1a" + b"\xff" * 16 + b"\1\0\0\0\7\0\0\0\0\0\0\0",
+    ],
+)
 def test_broken_files(content):
     with pytest.raises(capture.CaptureError):
         list(capture.records(content))
@@ -41,7 +55,11 @@ def test_round_trip_on_spark(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.pcap").write_bytes(capture.pcap_header(1) + b"".join(capture.pcap_record(*f) for f in frames[:120]))
-    (folder / "b.pcap").write_bytes(capture.pcap_header(1) + b"".join(capture.pcap_record(*f) for f in frames[120:]) + struct.pack("<4I", 0, 0, 1 << 20, 1))
+    (folder / "b.pcap").write_bytes(
+        capture.pcap_header(1)
+        + b"".join(capture.pcap_record(*f) for f in frames[120:])
+        + struct.pack("<4I", 0, 0, 1 << 20, 1)
+    )
     records = capture.read_capture(spark, str(folder))
     found = capture.frames(records)
     assert [(r.ts_ns, r.wire_len, bytes(r.data)) for r in found.orderBy("index").collect()] == frames
@@ -53,9 +71,17 @@ def test_round_trip_on_spark(spark, tmp_path):
 
 
 def test_lists_and_feeds(spark, tmp_path):
-    (tmp_path / "list.txt").write_text("# all\n10.0.0.0/8 # net\n1.2.3.4\r\nEvil.Example.\n2e3003a416b4edad56a32683dfb5bfe1\nbad one\n1.2.3.4/40\n::1\n")
+    (tmp_path / "list.txt").write_text(
+        "# all\n10.0.0.0/8 # net\n1.2.3.4\r\nEvil.Example.\n2e3003a416b4edad56a32683dfb5bfe1\nbad one\n1.2.3.4/40\n::1\n"
+    )
     found = {(r.kind, r.value) for r in intel.read_list(spark, str(tmp_path / "list.txt")).collect()}
-    assert found == {("cidr", "10.0.0.0/8"), ("ip", "1.2.3.4"), ("domain", "evil.example"), ("ja3", "2e3003a416b4edad56a32683dfb5bfe1"), ("ip", "::1")}
+    assert found == {
+        ("cidr", "10.0.0.0/8"),
+        ("ip", "1.2.3.4"),
+        ("domain", "evil.example"),
+        ("ja3", "2e3003a416b4edad56a32683dfb5bfe1"),
+        ("ip", "::1"),
+    }
     assert intel.list_warnings(spark, str(tmp_path / "list.txt")).count() == 2
 
     class Answer:
@@ -71,7 +97,11 @@ def test_lists_and_feeds(spark, tmp_path):
         def __exit__(self, *_):
             pass
 
-    pages = {"feodo": b"# c\n5.6.7.8\n\n", "sslbl": b"# x\r\n2e3003a416b4edad56a32683dfb5bfe1,2020,2021,Stack\r\n", "urlhaus": b'"1","d","http://user@Bad.Example:80/x?y","online","l","malware","emotet,doc","u","r"\n'}
+    pages = {
+        "feodo": b"# c\n5.6.7.8\n\n",
+        "sslbl": b"# x\r\n2e3003a416b4edad56a32683dfb5bfe1,2020,2021,Stack\r\n",
+        "urlhaus": b'"1","d","http://user@Bad.Example:80/x?y","online","l","malware","emotet,doc","u","r"\n',
+    }
 
     def opener(request, timeout):
         for name, data in pages.items():
@@ -81,19 +111,38 @@ def test_lists_and_feeds(spark, tmp_path):
 
     assert intel.update_cache(spark, str(tmp_path / "cache"), list(intel.FEEDS), opener=opener) == {}
     loaded = {(r.kind, r.value, r.source, r.tag) for r in intel.load_cache(spark, str(tmp_path / "cache")).collect()}
-    assert loaded == {("ip", "5.6.7.8", "feodo", "botnet-c2"), ("ja3", "2e3003a416b4edad56a32683dfb5bfe1", "sslbl", "Stack"), ("domain", "bad.example", "urlhaus", "malware")} or ("domain", "bad.example", "urlhaus", "malware") in loaded
+    assert loaded == {
+        ("ip", "5.6.7.8", "feodo", "botnet-c2"),
+        ("ja3", "2e3003a416b4edad56a32683dfb5bfe1", "sslbl", "Stack"),
+        ("domain", "bad.example", "urlhaus", "malware"),
+    } or ("domain", "bad.example", "urlhaus", "malware") in loaded
     pages.clear()
-    assert set(intel.update_cache(spark, str(tmp_path / "cache"), ["feodo"], opener=opener)) == {"feodo"} and len(intel.manifest(str(tmp_path / "cache"))) == 3
+    assert set(
+        intel.update_cache(spark, str(tmp_path / "cache"), ["feodo"], opener=opener)
+    ) == {"feodo"} and len(intel.manifest(str(tmp_path / "cache"))) == 3
     assert intel.load_cache(spark, str(tmp_path / "none")) is None
     with pytest.raises(ValueError):
         intel.fetch("http://plain.example/")
 
 
 def test_address_hits(spark):
-    listed = indicators.classify(spark.createDataFrame([("10.0.0.0/8", "a", None, 0), ("10.0.0.0/25", "b", None, 1), ("10.0.0.5", "c", "t", 2), ("2001:db8::/32", "d", None, 3)], "token string, source string, tag string, ord int"))
+    listed = indicators.classify(
+        spark.createDataFrame(
+            [
+                ("10.0.0.0/8", "a", None, 0),
+                ("10.0.0.0/25", "b", None, 1),
+                ("10.0.0.5", "c", "t", 2),
+                ("2001:db8::/32", "d", None, 3),
+            ],
+            "token string, source string, tag string, ord int",
+        )
+    )
     from pyspark.sql import functions as F
 
-    hosts = spark.createDataFrame([("10.0.0.127", 1), ("10.0.0.5", 2), ("11.0.0.1", 3), ("2001:db8::9", 4), ("2001:db9::9", 5)], "ip string, count long").withColumn("key", indicators.key_of_text(F.col("ip")))
+    hosts = spark.createDataFrame(
+        [("10.0.0.127", 1), ("10.0.0.5", 2), ("11.0.0.1", 3), ("2001:db8::9", 4), ("2001:db9::9", 5)],
+        "ip string, count long",
+    ).withColumn("key", indicators.key_of_text(F.col("ip")))
     found = {r.observed: r.indicator for r in indicators.address_hits(hosts, listed).collect()}
     assert found == {"10.0.0.127": "10.0.0.0/8", "10.0.0.5": "10.0.0.5", "2001:db8::9": "2001:db8::/32"}
 
@@ -111,3 +160,28 @@ def test_large_files_are_read_in_stretches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(capture, "STRETCH", 100)
     with capture.opened(f"file:{tmp_path}/a.pcap") as stretches:
         assert list(capture.records(stretches)) == list(capture.records(content))
+
+
+def test_addresses_as_text(spark):
+    """Keys become the text that Python writes for them."""
+    import ipaddress
+    import random
+
+    r = random.Random(5)
+    keys = [b"\4" + r.randbytes(4) for _ in range(20)] + [b"\4\0\0\0\0", b"\4\xff\xff\xff\xff"]
+    sixes = [
+        bytes(16),
+        bytes(15) + b"\1",
+        b"\0" * 10 + b"\xff\xff\1\2\3\4",
+        bytes.fromhex("20010db8000000000001000000000001"),
+        bytes.fromhex("20010db8000000010000000000000001"),
+        bytes.fromhex("00010000000200000003000000040000"),
+    ]
+    sixes += [
+        b"".join(r.choice([b"\0\0", b"\0\0", r.randbytes(2), b"\0" + r.randbytes(1)]) for _ in range(8))
+        for _ in range(200)
+    ]
+    keys += [b"\6" + x for x in sixes]
+    frame = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+    found = {bytes(r.key): r.text for r in frame.select("key", addresses.text_of_key(F.col("key")).alias("text")).collect()}
+    assert found == {k: str(ipaddress.ip_address(k[1:])) for k in keys}
