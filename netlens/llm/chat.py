@@ -37,7 +37,14 @@ TOOLS = {
     "list": {"items": ("array", True)},
 }
 # JSON types as the type names of variants begin.
-TYPE_NAMES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
+TYPE_NAMES = {
+    "string": ["STRING"],
+    "integer": ["BIGINT"],
+    "number": ["BIGINT", "DECIMAL", "DOUBLE"],
+    "boolean": ["BOOLEAN"],
+    "object": ["OBJECT"],
+    "array": ["ARRAY"],
+}
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:variant,after:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:variant>"
@@ -46,9 +53,20 @@ RESULT = "struct<tool_call_id:string,content:variant>"
 def parsed(messages: DataFrame) -> DataFrame:
     """Messages with ``calls`` and ``result`` where their text has them."""
     body = F.ltrim("text")
-    calls = F.when((F.col("role") == "assistant") & body.startswith("{") & F.contains("text", F.lit('"tool_calls"')), F.from_json("text", CALLS))
+    calls = F.when(
+        (F.col("role") == "assistant") & body.startswith("{") & F.contains("text", F.lit('"tool_calls"')),
+        F.from_json("text", CALLS),
+    )
     result = F.when((F.col("role") == "tool") & body.startswith("{"), F.from_json("text", RESULT))
-    numbered = messages.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", "text", calls.alias("calls"), result.alias("result"))
+    numbered = messages.select(
+        F.monotonically_increasing_id().alias("row"),
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        calls.alias("calls"),
+        result.alias("result"),
+    )
     some = F.size(F.filter("calls.tool_calls", lambda c: c.isNotNull())) > 0
     return numbered.select(
         "row", "conv_id", "turn", "role", "text", F.col("calls.content").alias("content"),
@@ -67,27 +85,58 @@ def fits(arguments: Column, name: Column) -> Column:
             value = F.schema_of_variant(F.try_variant_get(arguments, f"$.{field}", "variant"))
             right = F.coalesce(F.regexp_like(value, F.lit("^(" + "|".join(TYPE_NAMES[wanted]) + ")")), F.lit(not required))
             each.append(right)
-        known = F.coalesce(F.size(F.array_except(F.map_keys(arguments.cast("map<string,variant>")), F.array(*map(F.lit, fields)))) == 0, F.lit(False))
+        known = F.coalesce(
+            F.size(F.array_except(F.map_keys(arguments.cast("map<string,variant>")), F.array(*map(F.lit, fields)))) == 0,
+            F.lit(False),
+        )
         fit = known
         for x in each:
             fit = fit & x
-        out = F.when(name == tool, F.when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), fit).otherwise(False)).otherwise(out)
+        out = F.when(
+            name == tool,
+            F.when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), fit).otherwise(False),
+        ).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
 def calls_of(found: DataFrame) -> DataFrame:
     """One row for each call: its message, place, and whether it is the first of its id."""
     rows = found.where(F.size("calls") > 0).select("row", "conv_id", "turn", F.posexplode("calls").alias("place", "c"))
-    return rows.select("row", "conv_id", "turn", "place", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"), fits(F.col("c.arguments"), F.col("c.name")).alias("valid"))
+    return rows.select(
+        "row",
+        "conv_id",
+        "turn",
+        "place",
+        F.col("c.id").alias("id"),
+        F.col("c.name").alias("name"),
+        F.col("c.arguments").alias("arguments"),
+        F.coalesce("c.after", F.array().cast("array<string>")).alias("after"),
+        fits(F.col("c.arguments"), F.col("c.name")).alias("valid"),
+    )
 
 
 def linked(calls: DataFrame, found: DataFrame) -> DataFrame:
     """Calls with ``first`` (of its id), ``result_turn`` (null without a later result) and ``n_unmet``, the names in ``after`` that are of no call before it."""
     named = calls.where(F.col("id").isNotNull())
-    first = named.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row", "place")).alias("f")).select(F.col("conv_id").alias("of"), F.col("id").alias("named"), F.col("f.turn").alias("first_turn"), F.col("f.row").alias("first_row"), F.col("f.place").alias("first_place"))
-    results = found.where(F.col("result").isNotNull()).select(F.col("conv_id").alias("in"), F.col("result.tool_call_id").alias("answers"), F.col("turn").alias("at"))
+    first = named.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row", "place")).alias("f")).select(
+        F.col("conv_id").alias("of"),
+        F.col("id").alias("named"),
+        F.col("f.turn").alias("first_turn"),
+        F.col("f.row").alias("first_row"),
+        F.col("f.place").alias("first_place"),
+    )
+    results = found.where(F.col("result").isNotNull()).select(
+        F.col("conv_id").alias("in"),
+        F.col("result.tool_call_id").alias("answers"),
+        F.col("turn").alias("at"),
+    )
     match = first["of"].eqNullSafe(results["in"]) & (first["named"] == results["answers"]) & (results["at"] > first["first_turn"])
-    answered = first.join(results, match, "left").groupBy("of", "named").agg(F.min("at").alias("result_turn"), F.min("first_turn").alias("first_turn"), F.min("first_row").alias("first_row"), F.min("first_place").alias("first_place"))
+    answered = first.join(results, match, "left").groupBy("of", "named").agg(
+        F.min("at").alias("result_turn"),
+        F.min("first_turn").alias("first_turn"),
+        F.min("first_row").alias("first_row"),
+        F.min("first_place").alias("first_place"),
+    )
     answered = materialize(answered, "call-ids")
     marked = calls.join(answered, calls["conv_id"].eqNullSafe(answered["of"]) & (calls["id"] == answered["named"]), "left")
     is_first = F.coalesce((F.col("first_row") == F.col("row")) & (F.col("first_place") == F.col("place")), F.lit(False))
@@ -110,12 +159,27 @@ def levels(calls: Column) -> Column:
     def leveled(needs: Column) -> Column:
         n = F.size(needs)
         start = F.transform(needs, lambda x: F.lit(0))
-        one_round = lambda held, _: F.transform(needs, lambda need: F.coalesce(F.array_max(F.transform(need, lambda k: F.get(held, k) + 1)), F.lit(0)))
-        rounds = F.when(F.exists(needs, lambda need: F.size(need) > 0), F.aggregate(F.sequence(F.lit(1), n), start, one_round)).otherwise(start)
+        one_round = lambda held, _: F.transform(
+            needs,
+            lambda need: F.coalesce(F.array_max(F.transform(need, lambda k: F.get(held, k) + 1)), F.lit(0)),
+        )
+        rounds = F.when(
+            F.exists(needs, lambda need: F.size(need) > 0),
+            F.aggregate(F.sequence(F.lit(1), n), start, one_round),
+        ).otherwise(start)
         return F.transform(rounds, lambda level: F.when(level < n, level))
 
     def placed(ids: Column) -> Column:
-        needs = F.transform(calls, lambda c: F.filter(F.transform(F.coalesce(c["after"], F.array().cast("array<string>")), lambda a: (F.array_position(ids, a) - 1).cast("int")), lambda k: k >= 0))
+        needs = F.transform(
+            calls,
+            lambda c: F.filter(
+                F.transform(
+                    F.coalesce(c["after"], F.array().cast("array<string>")),
+                    lambda a: (F.array_position(ids, a) - 1).cast("int"),
+                ),
+                lambda k: k >= 0,
+            ),
+        )
         return let(needs, leveled)
 
     return let(F.transform(calls, lambda c: F.when(c["first"], c["id"])), placed)
@@ -127,35 +191,94 @@ def format_chat(messages: DataFrame) -> DataFrame:
     found = materialize(parsed(messages.select("conv_id", "turn", "role", "text")), "chat-messages")
     each = materialize(linked(calls_of(found), found), "chat-calls")
     # The calls of a message were one row and are one again.
-    call = F.struct("place", "id", "after", "first", "valid", "result_turn", "n_unmet", F.to_json(F.struct("after", F.to_json("arguments").alias("arguments"), "id", "name")).alias("json"))
+    call = F.struct(
+        "place",
+        "id",
+        "after",
+        "first",
+        "valid",
+        "result_turn",
+        "n_unmet",
+        F.to_json(F.struct("after", F.to_json("arguments").alias("arguments"), "id", "name")).alias("json"),
+    )
     gathered = each.groupBy("row").agg(F.sort_array(F.collect_list(call)).alias("calls"))
     ordered = gathered.select("row", "calls", let(F.col("calls"), levels).alias("levels"))
     sums = materialize(ordered.select(
         "row", "calls", "levels",
         F.size("calls").cast("long").alias("n_calls"),
         *(F.size(F.filter("calls", test)).cast("long").alias(name) for name, test in {
-            "n_linked": lambda c: c["result_turn"].isNotNull(), "n_valid": lambda c: c["valid"], "n_duplicate": lambda c: c["id"].isNotNull() & ~c["first"],
+            "n_linked": lambda c: c["result_turn"].isNotNull(),
+            "n_valid": lambda c: c["valid"],
+            "n_duplicate": lambda c: c["id"].isNotNull() & ~c["first"],
         }.items()),
         F.size(F.filter("levels", lambda x: x.isNull())).cast("long").alias("n_cyclic"),
         F.aggregate("calls", F.lit(0).cast("long"), lambda n, c: n + c["n_unmet"]).alias("n_unmet"),
         F.array_max("levels").alias("level"),
-        F.array_join(F.transform(F.sort_array(F.zip_with("calls", "levels", lambda c, x: F.struct(F.coalesce(x, F.lit(1 << 30)).alias("by"), c["place"].alias("place"), c["json"].alias("json")))), lambda c: c["json"]), ",").alias("made"),
+        F.array_join(
+            F.transform(
+                F.sort_array(
+                    F.zip_with(
+                        "calls",
+                        "levels",
+                        lambda c, x: F.struct(
+                            F.coalesce(x, F.lit(1 << 30)).alias("by"),
+                            c["place"].alias("place"),
+                            c["json"].alias("json"),
+                        ),
+                    )
+                ),
+                lambda c: c["json"],
+            ),
+            ",",
+        ).alias("made"),
     ), "chat-ordered")
-    answers = each.where("first").select(F.col("conv_id").alias("of"), F.col("id").alias("named"), F.col("row").alias("call_row"), "place", "result_turn")
-    at_level = answers.join(sums.select(F.col("row").alias("call_row"), "levels"), "call_row").select("of", "named", F.get("levels", F.col("place")).alias("answered_level"), F.col("result_turn").alias("answered_turn"))
-    results = found.where(F.col("result").isNotNull()).select(F.col("row").alias("result_row"), "conv_id", F.col("result.tool_call_id").alias("id"))
-    linked_results = results.join(at_level, results["conv_id"].eqNullSafe(at_level["of"]) & (results["id"] == at_level["named"])).select(F.col("result_row").alias("row"), "answered_level", "answered_turn")
+    answers = each.where("first").select(
+        F.col("conv_id").alias("of"),
+        F.col("id").alias("named"),
+        F.col("row").alias("call_row"),
+        "place",
+        "result_turn",
+    )
+    at_level = answers.join(sums.select(F.col("row").alias("call_row"), "levels"), "call_row").select(
+        "of",
+        "named",
+        F.get("levels", F.col("place")).alias("answered_level"),
+        F.col("result_turn").alias("answered_turn"),
+    )
+    results = found.where(F.col("result").isNotNull()).select(
+        F.col("row").alias("result_row"),
+        "conv_id",
+        F.col("result.tool_call_id").alias("id"),
+    )
+    linked_results = results.join(
+        at_level,
+        results["conv_id"].eqNullSafe(at_level["of"]) & (results["id"] == at_level["named"]),
+    ).select(F.col("result_row").alias("row"), "answered_level", "answered_turn")
     whole = found.join(sums.drop("calls", "levels"), "row", "left").join(linked_results, "row", "left")
     plain = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
     content = F.to_json(F.array("content"), {"ignoreNullFields": "false"})
-    with_calls = F.concat(F.lit('{"content":'), F.substring(content, F.lit(2), F.length(content) - 2), F.lit(',"role":"assistant","tool_calls":['), F.col("made"), F.lit("]}"))
-    with_result = F.concat(F.lit('{"content":'), F.coalesce(F.to_json("result.content"), F.lit("null")), F.lit(',"role":"tool",'), F.to_json(F.struct(F.col("result.tool_call_id").alias("tool_call_id"))).substr(F.lit(2), F.lit(1 << 30)))
+    with_calls = F.concat(
+        F.lit('{"content":'),
+        F.substring(content, F.lit(2), F.length(content) - 2),
+        F.lit(',"role":"assistant","tool_calls":['),
+        F.col("made"),
+        F.lit("]}"),
+    )
+    with_result = F.concat(
+        F.lit('{"content":'),
+        F.coalesce(F.to_json("result.content"), F.lit("null")),
+        F.lit(',"role":"tool",'),
+        F.to_json(F.struct(F.col("result.tool_call_id").alias("tool_call_id"))).substr(F.lit(2), F.lit(1 << 30)),
+    )
     counts = ("n_calls", "n_linked", "n_valid", "n_duplicate", "n_cyclic", "n_unmet")
     return whole.select(
         "conv_id",
         "turn",
         "role",
-        F.when(F.col("made").isNotNull(), with_calls).when(F.col("result").isNotNull(), with_result).otherwise(plain).alias("json"),
+        F.when(F.col("made").isNotNull(), with_calls).when(
+            F.col("result").isNotNull(),
+            with_result,
+        ).otherwise(plain).alias("json"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
         (F.col("answered_turn") == F.col("turn")).alias("is_answer"),
         F.coalesce("level", "answered_level").alias("level"),

@@ -42,7 +42,10 @@ def scanned(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
 def words(text: Column) -> Column:
     """Words of a text between ASCII white space; empty for null."""
     parts = F.split(F.btrim(text, F.lit(SPACE_CHARS)), SPACE + "+")
-    return F.when(F.coalesce(F.btrim(text, F.lit(SPACE_CHARS)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
+    return F.when(
+        F.coalesce(F.btrim(text, F.lit(SPACE_CHARS)), F.lit("")) == "",
+        F.array().cast("array<string>"),
+    ).otherwise(parts)
 
 
 def word_count(text: Column) -> Column:

@@ -18,7 +18,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     roots = None
     while True:
         both = links.union(links.select("b", "a"))
-        pointers = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), "pointers")
+        pointers = materialize(
+            both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"),
+            "pointers",
+        )
         for _ in range(2):
             target = pointers.select(F.col("node").alias("to"), F.col("to").alias("further"))
             jumped = materialize(pointers.join(target, "to").select("node", F.col("further").alias("to")), "pointers")
@@ -27,7 +30,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         if roots is None:
             moved = pointers.withColumnRenamed("to", "root")
         else:
-            moved = roots.join(pointers.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            moved = roots.join(
+                pointers.withColumnRenamed("node", "root"),
+                "root",
+                "left",
+            ).select("node", F.coalesce("to", "root").alias("root"))
         moved = materialize(moved, "roots")
         first = pointers.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         second = pointers.select(F.col("node").alias("b"), F.col("to").alias("tb"))

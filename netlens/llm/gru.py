@@ -17,7 +17,14 @@ WINDOW = 32
 START = 0
 CLIP = 1.0
 
-SHAPES = {"inputs": (OUTPUTS, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "words": (CLASSES, HIDDEN, CLASS), "word_bias": (CLASSES, CLASS)}
+SHAPES = {
+    "inputs": (OUTPUTS, 3 * HIDDEN),
+    "state": (HIDDEN, 3 * HIDDEN),
+    "classes": (HIDDEN, CLASSES),
+    "class_bias": (CLASSES,),
+    "words": (CLASSES, HIDDEN, CLASS),
+    "word_bias": (CLASSES, CLASS),
+}
 LENGTH = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
@@ -180,7 +187,11 @@ def score(vector: np.ndarray, docs: list[np.ndarray], lanes: int) -> np.ndarray:
         ids, keep = laid.ids[a:b, :n], laid.keep[a:b, :n]
         states, h, _ = run_window(p, inputs_of(ids, keep, last[:n]), keep, h[:n])
         used = laid.used(a, b, n)
-        total += np.bincount(laid.doc[a:b, :n][used].ravel(), log_probabilities(p, states[used].reshape(-1, HIDDEN), ids[used].ravel().astype(np.int64)), len(docs))
+        total += np.bincount(
+            laid.doc[a:b, :n][used].ravel(),
+            log_probabilities(p, states[used].reshape(-1, HIDDEN), ids[used].ravel().astype(np.int64)),
+            len(docs),
+        )
         last = ids[-1]
     return total
 

@@ -154,12 +154,23 @@ class Filters:
 def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "lang") -> Filters:
     """Filters from a bounded sample of labelled texts."""
     rows = labelled.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
-    rows = rows.select(F.col(label_column).alias("label"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("order"))
+    rows = rows.select(
+        F.col(label_column).alias("label"),
+        F.col(text_column).alias("text"),
+        F.xxhash64(text_column).alias("order"),
+    )
     sample = _first_by_order(rows)
 
     def made(label: str, counts: Counter) -> pa.RecordBatch:
         values = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([label] * len(counts), pa.string()), pa.array(values, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["label", "gram", "texts"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([label] * len(counts), pa.string()),
+                pa.array(values, pa.int64()),
+                pa.array(list(counts.values()), pa.int64()),
+            ],
+            ["label", "gram", "texts"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -174,13 +185,24 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
                     counts = {}
         yield from (made(*x) for x in counts.items())
         # The null n-gram counts the texts themselves.
-        yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.nulls(len(texts), pa.int64()), pa.array(list(texts.values()), pa.int64())], ["label", "gram", "texts"])
-
-    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("texts", T.LongType())])
-    counted = materialize(sample.select("label", "text").mapInArrow(count, schema).groupBy("label", "gram").agg(F.sum("texts").alias("texts")), "language-grams")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(texts), pa.string()), pa.nulls(len(texts), pa.int64()), pa.array(list(texts.values()), pa.int64())],
+            ["label", "gram", "texts"],
+        )
+
+    schema = T.StructType(
+        [T.StructField("label", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("texts", T.LongType())]
+    )
+    counted = materialize(
+        sample.select("label", "text").mapInArrow(count, schema).groupBy("label", "gram").agg(F.sum("texts").alias("texts")),
+        "language-grams",
+    )
     totals = counted.where(F.col("gram").isNull()).select(F.col("label").alias("of"), F.col("texts").alias("all_texts"))
     # One row for each language; a null n-gram makes an empty filter.
-    kept = counted.join(totals.hint("broadcast"), F.col("label") == F.col("of")).where(F.col("gram").isNull() | (F.col("texts") >= LEAST_PART * F.col("all_texts")))
+    kept = counted.join(totals.hint("broadcast"), F.col("label") == F.col("of")).where(
+        F.col("gram").isNull()
+        | (F.col("texts") >= LEAST_PART * F.col("all_texts"))
+    )
     table = kept.select("label", "gram").orderBy("label", "gram").toArrow()
     release(counted)
     labels, held = table.column(0).combine_chunks().dictionary_encode(), table.column(1)
@@ -197,20 +219,36 @@ def _first_by_order(rows: DataFrame) -> DataFrame:
     Labels of no more texts have no cut and keep all, so the broadcast table is short.
     """
     counts = rows.select("label", "order").distinct().groupBy("label").count().where(F.col("count") > PER_LANGUAGE)
-    cuts = counts.select(F.col("label").alias("cut_label"), (F.lit(float(PER_LANGUAGE)) / F.col("count") * float(1 << 62) * 2).alias("cut"))
+    cuts = counts.select(
+        F.col("label").alias("cut_label"),
+        (F.lit(float(PER_LANGUAGE)) / F.col("count") * float(1 << 62) * 2).alias("cut"),
+    )
     kept = F.col("cut").isNull() | (F.abs(F.col("order").cast("double")) <= F.col("cut"))
-    return rows.join(F.broadcast(cuts), F.col("label") == F.col("cut_label"), "left").where(kept).groupBy("label", "order").agg(F.min("text").alias("text")).select("label", "text")
+    return rows.join(
+        F.broadcast(cuts),
+        F.col("label") == F.col("cut_label"),
+        "left",
+    ).where(kept).groupBy("label", "order").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def identify(docs: DataFrame, filters: Filters, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of each document, from its text alone."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", docs.schema[id_column].dataType),
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.decide(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                ["doc_id", "lang_pred", "score"],
+            )
 
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
 

@@ -27,7 +27,13 @@ from netlens.storage import materialize
 
 GNU = {"GPL": "General Public License", "LGPL": "Lesser General Public License", "AGPL": "Affero General Public License"}
 GNU_VERSIONS = {"GPL": ("2.0", "3.0"), "LGPL": ("2.1", "3.0"), "AGPL": ("3.0",)}
-CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution ShareAlike", "BY-NC": "Attribution NonCommercial", "BY-ND": "Attribution NoDerivatives", "BY-NC-SA": "Attribution NonCommercial ShareAlike"}
+CREATIVE = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution ShareAlike",
+    "BY-NC": "Attribution NonCommercial",
+    "BY-ND": "Attribution NoDerivatives",
+    "BY-NC-SA": "Attribution NonCommercial ShareAlike",
+}
 
 # Sentences of headers and licence files, by license; the anchor of each stands before the bar.
 SENTENCES = {
@@ -44,10 +50,22 @@ SENTENCES = {
         "redistribution|Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         "licensed|Licensed under the BSD 3-Clause License.",
     ],
-    "BSL-1.0": ["permission|Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "license|Boost Software License Version 1.0"],
-    "CC0-1.0": ["creative|Creative Commons Legal Code CC0 1.0 Universal", "cc0|released under CC0 1.0 Universal public domain dedication"],
-    "EPL-2.0": ["eclipse|made available under the terms of the Eclipse Public License 2.0 which is available at", "eclipse|Eclipse Public License v 2.0"],
-    "ISC": ["permission|Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "license|Released under the ISC License."],
+    "BSL-1.0": [
+        "permission|Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "license|Boost Software License Version 1.0",
+    ],
+    "CC0-1.0": [
+        "creative|Creative Commons Legal Code CC0 1.0 Universal",
+        "cc0|released under CC0 1.0 Universal public domain dedication",
+    ],
+    "EPL-2.0": [
+        "eclipse|made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "eclipse|Eclipse Public License v 2.0",
+    ],
+    "ISC": [
+        "permission|Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "license|Released under the ISC License.",
+    ],
     "MIT": [
         "permission|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "license|Released under the MIT License.",
@@ -59,11 +77,21 @@ SENTENCES = {
         "mozilla|subject to the terms of the Mozilla Public License, v. 2.0.",
         "mozilla|Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity",
     ],
-    "Unlicense": ["unencumbered|This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
-    "Zlib": ["permission|In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
+    "Unlicense": [
+        "unencumbered|This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"
+    ],
+    "Zlib": [
+        "permission|In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"
+    ],
 }
 #: Months and years of the titles that GNU licences carry.
-GNU_DATES = {"GPL-2.0": "June 1991", "GPL-3.0": "29 June 2007", "LGPL-2.1": "February 1999", "LGPL-3.0": "29 June 2007", "AGPL-3.0": "19 November 2007"}
+GNU_DATES = {
+    "GPL-2.0": "June 1991",
+    "GPL-3.0": "29 June 2007",
+    "LGPL-2.1": "February 1999",
+    "LGPL-3.0": "29 June 2007",
+    "AGPL-3.0": "19 November 2007",
+}
 
 FILE_NAMES = "^(license|licence|copying|notice)([.-].*)?$"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
@@ -81,13 +109,27 @@ def templates() -> list[tuple[str, str, list[str]]]:
         for full in GNU_VERSIONS[short]:
             name, version = f"{short}-{full}", full.removesuffix(".0")
             texts += [
-                *((name, "gnu", f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version") for work in ("program", "library")),
-                (name, "gnu", f"you can redistribute it and/or modify it under the terms of the GNU {title} version {version} as published by the Free Software Foundation"),
+                *(
+                    (
+                        name,
+                        "gnu",
+                        f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version",
+                    )
+                    for work in ("program", "library")
+                ),
+                (
+                    name,
+                    "gnu",
+                    f"you can redistribute it and/or modify it under the terms of the GNU {title} version {version} as published by the Free Software Foundation",
+                ),
                 (name, "gnu", f"This work is licensed under the GNU {title}, version {version}."),
                 (name, "gnu", f"GNU {title} Version {version}, {GNU_DATES[name]} Copyright (C)"),
             ]
     for short, title in CREATIVE.items():
-        texts += [(f"CC-{short}-4.0", "creative", f"This work is licensed under a Creative Commons {title} 4.0 International License."), (f"CC-{short}-4.0", "cc", f"Licensed under CC {short} 4.0.")]
+        texts += [
+            (f"CC-{short}-4.0", "creative", f"This work is licensed under a Creative Commons {title} 4.0 International License."),
+            (f"CC-{short}-4.0", "cc", f"Licensed under CC {short} 4.0."),
+        ]
     return [(name, anchor, terms_of(text)) for name, anchor, text in texts]
 
 
@@ -125,7 +167,10 @@ def plain(text: Column) -> Column:
 def windows_of(found: DataFrame, windows: list[tuple]) -> DataFrame:
     """``row``, ``at``, ``template`` and ``terms`` of the windows around each anchor in ``plain`` texts."""
     before, after = max(w[3] for w in windows), max(w[4] - w[3] for w in windows)
-    table = found.sparkSession.createDataFrame(windows, "template int, license string, anchor string, offset int, length int").drop("license")
+    table = found.sparkSession.createDataFrame(
+        windows,
+        "template int, license string, anchor string, offset int, length int",
+    ).drop("license")
 
     def contexts(terms: Column) -> Column:
         """What lies around each anchor, as far as any template reaches."""
@@ -133,7 +178,12 @@ def windows_of(found: DataFrame, windows: list[tuple]) -> DataFrame:
 
         def context(i: Column) -> Column:
             start = F.greatest(i - before, F.lit(0))
-            return F.struct(i.alias("at"), (i - start).alias("inside"), F.get(terms, i).alias("anchor"), F.slice(terms, start + 1, F.lit(before + after)).alias("terms"))
+            return F.struct(
+                i.alias("at"),
+                (i - start).alias("inside"),
+                F.get(terms, i).alias("anchor"),
+                F.slice(terms, start + 1, F.lit(before + after)).alias("terms"),
+            )
 
         return F.transform(hits, context)
 
@@ -151,11 +201,29 @@ def best_templates(found: DataFrame) -> DataFrame:
     weighed = spark.createDataFrame(weights, "template int, term string, weight double")
     inverse = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     names = spark.createDataFrame([(w[0], w[1]) for w in windows], "template int, license string")
-    counted = windows_of(found, windows).select("row", "at", "template", F.explode("terms").alias("term")).groupBy("row", "at", "template", "term").agg(F.count("*").alias("times"))
+    counted = windows_of(found, windows).select(
+        "row",
+        "at",
+        "template",
+        F.explode("terms").alias("term"),
+    ).groupBy("row", "at", "template", "term").agg(F.count("*").alias("times"))
     # The tables of the templates are bounded by the code above.
-    valued = counted.join(F.broadcast(inverse), "term", "left").join(F.broadcast(weighed), ["template", "term"], "left").withColumn("w", F.col("times") * F.coalesce("idf", F.lit(unknown)))
-    scored = valued.groupBy("row", "at", "template").agg((F.sum(F.col("w") * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("exact"))
-    named = scored.join(F.broadcast(names), "template").select("row", "license", F.round("exact", 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    valued = counted.join(F.broadcast(inverse), "term", "left").join(
+        F.broadcast(weighed),
+        ["template", "term"],
+        "left",
+    ).withColumn(
+        "w",
+        F.col("times") * F.coalesce("idf", F.lit(unknown)),
+    )
+    scored = valued.groupBy("row", "at", "template").agg(
+        (F.sum(F.col("w") * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("exact")
+    )
+    named = scored.join(F.broadcast(names), "template").select(
+        "row",
+        "license",
+        F.round("exact", 6).alias("cosine"),
+    ).where(F.col("cosine") >= LEAST_COSINE)
     best = named.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
     return best.select("row", F.col("best.license").alias("like"), (-F.col("best.minus")).alias("likeness"))
 
@@ -174,22 +242,50 @@ def declared_name(text: Column) -> Column:
 def scan(files: DataFrame, id_column: str, path_column: str, text_column: str) -> DataFrame:
     """``doc_id``, ``path``, ``license``, ``cosine`` (0 without, 1 of an identifier), ``found_in`` (spdx, header, file, inherited,
     none) and ``inherited_from``."""
-    named = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(path_column).alias("path"), F.col(text_column).alias("text"))
+    named = files.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_column).alias("doc_id"),
+        F.col(path_column).alias("path"),
+        F.col(text_column).alias("text"),
+    )
     # One pass over the texts: what the anchors leave is small.
     low = plain(F.col("text"))
     said = F.when(F.contains(low, F.lit("spdx-license-identifier:")), declared_name(F.col("text")))
-    lines = materialize(named.select("row", "doc_id", "path", said.alias("declared"), let(low, lambda t: F.when(t.rlike(cue()), t)).alias("plain")), "license-candidates")
+    lines = materialize(
+        named.select(
+            "row",
+            "doc_id",
+            "path",
+            said.alias("declared"),
+            let(low, lambda t: F.when(t.rlike(cue()), t)).alias("plain"),
+        ),
+        "license-candidates",
+    )
     own = best_templates(lines.where(F.col("plain").isNotNull() & F.col("declared").isNull()).select("row", "plain"))
     license, cosine = F.coalesce("declared", "like"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.col("likeness"))
-    judged = lines.drop("plain").join(own, "row", "left").select("doc_id", "path", F.col("declared").isNotNull().alias("by_name"), license.alias("license"), cosine.alias("cosine"), directory(F.col("path")).alias("directory"))
+    judged = lines.drop("plain").join(own, "row", "left").select(
+        "doc_id",
+        "path",
+        F.col("declared").isNotNull().alias("by_name"),
+        license.alias("license"),
+        cosine.alias("cosine"),
+        directory(F.col("path")).alias("directory"),
+    )
     judged = materialize(judged, "licenses")
     is_file = F.coalesce(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(FILE_NAMES), F.lit(False))
-    declared = judged.where(is_file & F.col("license").isNotNull()).groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("d")).select(F.col("directory").alias("above"), F.col("d.license").alias("from_license"))
+    declared = judged.where(is_file & F.col("license").isNotNull()).groupBy("directory").agg(
+        F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("d")
+    ).select(F.col("directory").alias("above"), F.col("d.license").alias("from_license"))
     directories = judged.where(F.col("license").isNull() & F.col("directory").isNotNull()).select("directory").distinct()
     steps = F.split("directory", "/")
-    above = F.concat(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/")), F.array(F.lit("")))
+    above = F.concat(
+        F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/")),
+        F.array(F.lit("")),
+    )
     ancestors = directories.select("directory", F.explode(F.array_distinct(above)).alias("above"))
-    nearest = ancestors.join(declared, "above").groupBy("directory").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "from_license")).alias("n"))
+    nearest = ancestors.join(declared, "above").groupBy("directory").agg(
+        F.max(F.struct(F.length("above").alias("depth"), "above", "from_license")).alias("n")
+    )
     whole = judged.join(nearest, "directory", "left")
     own_place = F.when(is_file, "file").when(F.col("by_name"), "spdx").otherwise("header")
     found_in = F.when(F.col("license").isNotNull(), own_place).when(F.col("n").isNotNull(), "inherited").otherwise("none")
@@ -207,15 +303,28 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` has no paths: its rows are files ``source/thousands/hundreds/tens/id.txt``; ids divisible by 20 are LICENSE
     files, in the source's folder or one to three folders further down in turn."""
     docs = documents(spark, sf_dir)
-    folders = F.array(F.coalesce("source", F.lit("none")), *(F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100, 10)))
+    folders = F.array(
+        F.coalesce("source", F.lit("none")),
+        *(F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100, 10)),
+    )
     licence = F.concat_ws("/", F.slice(folders, 1, (F.floor(F.col("doc_id") / 20) % 4).cast("int") + 1), F.lit("LICENSE"))
-    path = F.when(F.col("doc_id") % 20 == 0, licence).otherwise(F.concat_ws("/", folders, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    path = F.when(F.col("doc_id") % 20 == 0, licence).otherwise(
+        F.concat_ws("/", folders, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    )
     return scan(docs.withColumn("path", path), "doc_id", "path", "text")
 
 
 def oracle() -> str:
     windows, weights, idf, unknown = template_tables()
-    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::double" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
+    values = lambda rows: ", ".join(
+        "(" + ", ".join(
+            f"'{x}'"
+            if isinstance(x, str) else f"{x!r}::double"
+            if isinstance(x, float) else repr(x)
+            for x in r
+        ) + ")"
+        for r in rows
+    )
     known = sorted({name for name, _, _ in templates()})
     return f"""
 WITH windows(template, license, anchor, off, len) AS (VALUES {values(windows)}),

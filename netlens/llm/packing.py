@@ -31,11 +31,19 @@ CACHE_ENTRIES = 600_000
 BATCH_BYTES = 8_000_000
 
 # Normaliser and splits of a tokenizer file whose words can be cached one by one. Any other file is used as it is.
-NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
 SPLITS = {
     "type": "Sequence",
     "pretokenizers": [
-        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
@@ -128,7 +136,15 @@ def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
     return [max_len] * (n // max_len) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer_path: str,
+    *,
+    max_len: int = MAX_LEN,
+    end_id: int = END_ID,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
     """One row for each piece: its id column, ``start``, ``length``, ``doc_tokens``, ``bucket``
     (exponent of the length), ``sequence_id``, ``offset`` (always 0) and ``ids`` (little-endian
     unsigned 32-bit). ``max_len`` is a power of two up to 32768.
@@ -174,7 +190,12 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, end_id
                 yield made(batch, rows, numbers, ids)
 
     def made(batch, rows, numbers, ids):
-        columns = [batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(x, pa.int64()) for x in numbers), pa.array([0] * len(rows), pa.int64()), pa.array(ids, pa.binary())]
+        columns = [
+            batch.column(0).take(pa.array(rows, pa.int32())),
+            *(pa.array(x, pa.int64()) for x in numbers),
+            pa.array([0] * len(rows), pa.int64()),
+            pa.array(ids, pa.binary()),
+        ]
         return pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(cut, schema)
@@ -187,7 +208,16 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 def digest(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "bucket",
+    )
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,10 @@ def repeated_words(w: Column) -> Column:
 
     def alike(order: Column, j: Column, same: Callable[[Column, Column], Column]) -> Column:
         here = F.get(order, j)
-        return F.coalesce(same(here, F.get(order, j - 1)), F.lit(False)) | F.coalesce(same(here, F.get(order, j + 1)), F.lit(False))
+        return F.coalesce(
+            same(here, F.get(order, j - 1)),
+            F.lit(False),
+        ) | F.coalesce(same(here, F.get(order, j + 1)), F.lit(False))
 
     def counted(w: Column) -> Column:
         def candidates(shift: Column, order: Column) -> Column:
@@ -56,16 +59,47 @@ def repeated_words(w: Column) -> Column:
             mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
             twice = F.filter(order, lambda x, j: alike(order, j, lambda a, b: key(a) == key(b)))
             at = let(mask, lambda m: F.transform(twice, lambda x: x.bitwiseAND(m).cast("int")))
-            return let(at, lambda at: F.sort_array(F.transform(at, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))))
+            return let(
+                at,
+                lambda at: F.sort_array(
+                    F.transform(
+                        at,
+                        lambda i: F.struct(
+                            F.get(w, i).alias("a"),
+                            F.get(w, i + 1).alias("b"),
+                            F.get(w, i + 2).alias("c"),
+                            i.alias("i"),
+                        ),
+                    )
+                ),
+            )
 
         def covered(order: Column) -> Column:
-            twice = F.filter(order, lambda x, j: alike(order, j, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])))
+            twice = F.filter(
+                order,
+                lambda x, j: alike(order, j, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])),
+            )
             positions = F.sort_array(F.transform(twice, lambda x: x["i"].cast("long")))
-            return let(positions, lambda p: F.aggregate(F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(3).cast("long"), F.get(p, j + 1) - x), F.lit(3).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x))
-
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+            return let(
+                positions,
+                lambda p: F.aggregate(
+                    F.transform(
+                        p,
+                        lambda x, j: F.coalesce(F.least(F.lit(3).cast("long"), F.get(p, j + 1) - x), F.lit(3).cast("long")),
+                    ),
+                    F.lit(0).cast("long"),
+                    lambda a, x: a + x,
+                ),
+            )
+
+        windows = F.transform(
+            F.sequence(F.lit(0), F.size(w) - 3),
+            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
+        )
         shift = F.length(F.bin(F.size(w).cast("long")))
-        ordered = lambda s: F.sort_array(F.transform(windows, lambda h, i: F.call_function("shiftleft", h, s).bitwiseOR(i.cast("long"))))
+        ordered = lambda s: F.sort_array(
+            F.transform(windows, lambda h, i: F.call_function("shiftleft", h, s).bitwiseOR(i.cast("long")))
+        )
         return let(let(shift, lambda s: let(ordered(s), lambda order: candidates(s, order))), covered)
 
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(counted(w))
@@ -80,7 +114,10 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words"),
         F.size(F.filter(w, lambda x: x.rlike(LETTER))).cast("long").alias("n_letter_words"),
     )
-    of_lines = lambda lines: F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
+    of_lines = lambda lines: F.struct(
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+    )
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(NOT_BLANK))
     found = docs.select(
         F.col(id_column).alias("doc_id"),
@@ -89,7 +126,17 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.length(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
-    return found.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_distinct_words", "w.n_letter_words", "l.n_lines")
+    return found.select(
+        "doc_id",
+        "w.n_words",
+        "word_chars",
+        "n_symbols",
+        "l.n_dup_lines",
+        "w.n_repeat_words",
+        "w.n_distinct_words",
+        "w.n_letter_words",
+        "l.n_lines",
+    )
 
 
 def vote(bad: Column, good: Column) -> Column:
@@ -102,7 +149,10 @@ def rules() -> dict[str, Column]:
     n = F.greatest(c("n_words"), F.lit(1))
     return {
         "length": vote(n < 60, n >= 150),
-        "word_length": vote((c("word_chars") < 3 * n) | (c("word_chars") > 7 * n), (c("word_chars") >= 4 * n) & (2 * c("word_chars") <= 13 * n)),
+        "word_length": vote(
+            (c("word_chars") < 3 * n) | (c("word_chars") > 7 * n),
+            (c("word_chars") >= 4 * n) & (2 * c("word_chars") <= 13 * n),
+        ),
         "symbols": vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
         "letters": vote(5 * c("n_letter_words") < 4 * n, 20 * c("n_letter_words") >= 19 * n),
         "repeated_lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), 20 * c("n_dup_lines") <= c("n_lines")),
@@ -157,7 +207,17 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     for column, (good, bad) in zip(voted.values(), odds, strict=True):
         score = score + F.when(column > 0, good).when(column < 0, bad).otherwise(0.0)
     p_good = 1 / (1 + F.exp(-score))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p_good >= KEEP_FROM)).alias("kept"), p_good.alias("p_good"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & (p_good >= KEEP_FROM)).alias("kept"),
+        p_good.alias("p_good"),
+    )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

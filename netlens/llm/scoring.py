@@ -63,7 +63,10 @@ def count_words(texts: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("c", T.LongType())])
 
     def made(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
+            ["word", "c"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -83,7 +86,11 @@ def count_words(texts: DataFrame) -> DataFrame:
 def counted_words(counts: list[Counter]) -> pa.MapArray:
     """One map from words to counts for each counter."""
     offsets = pa.array([0, *accumulate(map(len, counts))], pa.int32())
-    return pa.MapArray.from_arrays(offsets, pa.array(list(chain.from_iterable(counts)), pa.binary()).cast(pa.string()), pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int64()))
+    return pa.MapArray.from_arrays(
+        offsets,
+        pa.array(list(chain.from_iterable(counts)), pa.binary()).cast(pa.string()),
+        pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int64()),
+    )
 
 
 def rest_symbol(word: bytes) -> int:
@@ -163,10 +170,16 @@ def train(docs: DataFrame, vocabulary, start: np.ndarray, salt: str = "lm") -> n
                 flush()
                 total += tokens
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([own.astype(np.float64) * total], pa.list_(pa.float64())), pa.array([total], pa.int64())], ["weights", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own.astype(np.float64) * total], pa.list_(pa.float64())), pa.array([total], pa.int64())],
+                    ["weights", "tokens"],
+                )
 
         part = docs.where((place >= low) & (place < low + share)).select("text").mapInArrow(run, schema)
-        sums = part.select(F.posexplode("weights").alias("at", "w"), "tokens").groupBy("at").agg((F.sum("w") / F.sum("tokens")).alias("w"))
+        sums = part.select(
+            F.posexplode("weights").alias("at", "w"),
+            "tokens",
+        ).groupBy("at").agg((F.sum("w") / F.sum("tokens")).alias("w"))
         found = sums.collect()
         if found:
             vector = np.zeros(gru.LENGTH, np.float32)
@@ -179,10 +192,20 @@ def train(docs: DataFrame, vocabulary, start: np.ndarray, salt: str = "lm") -> n
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10)."""
     spark = docs.sparkSession
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
+    slim = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_column).alias("doc_id"),
+        held_out(id_column).alias("held_out"),
+        F.col(text_column).alias("text"),
+    )
     training = slim.where(~F.col("held_out"))
     counts = materialize(count_words(training.select("text")), "word-counts")
-    rests = {r.symbol: (r.n, r.v) for r in counts.groupBy(rest_symbol_column(F.col("word")).alias("symbol")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    rests = {
+        r.symbol: (r.n, r.v)
+        for r in counts.groupBy(
+            rest_symbol_column(F.col("word")).alias("symbol")
+        ).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    }
     short = (F.length("word") <= LONGEST) & (F.col("word") != END)
     frequent = counts.where(short).orderBy(F.desc("c"), "word").limit(FREQUENT).union(counts.where(F.col("word") == END))
     vocabulary = Vocabulary([(r.word, r.c) for r in frequent.collect()], rests)
@@ -191,9 +214,15 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     sent = spark.sparkContext.broadcast(weights)
 
     schema = T.StructType([
-        T.StructField("row", T.LongType()), docs.schema[id_column] if id_column == "doc_id" else T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("held_out", T.BooleanType()),
-        T.StructField("n_tokens", T.LongType()), T.StructField("n_frequent", T.LongType()), T.StructField("rest_sizes", T.DoubleType()),
-        T.StructField("network", T.DoubleType()), T.StructField("log_frequent", T.DoubleType()), T.StructField("log_rest", T.DoubleType()),
+        T.StructField("row", T.LongType()),
+        docs.schema[id_column] if id_column == "doc_id" else T.StructField("doc_id", docs.schema[id_column].dataType),
+        T.StructField("held_out", T.BooleanType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("n_frequent", T.LongType()),
+        T.StructField("rest_sizes", T.DoubleType()),
+        T.StructField("network", T.DoubleType()),
+        T.StructField("log_frequent", T.DoubleType()),
+        T.StructField("log_rest", T.DoubleType()),
         T.StructField("rare", T.MapType(T.StringType(), T.LongType())),
     ])
 
@@ -209,7 +238,10 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 n, f, r, lf, lr = (pa.array(c, k) for c, k in zip(columns[:5], kinds, strict=True))
                 rare = counted_words(columns[5])
                 own = batch.slice(start, end - start)
-                return pa.RecordBatch.from_arrays([*own.columns[:3], n, f, r, pa.array(network, pa.float64()), lf, lr, rare], schema.fieldNames())
+                return pa.RecordBatch.from_arrays(
+                    [*own.columns[:3], n, f, r, pa.array(network, pa.float64()), lf, lr, rare],
+                    schema.fieldNames(),
+                )
 
             for k, text in enumerate(batch.column(3).cast(pa.binary())):
                 words = words_of(text)
@@ -219,7 +251,16 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 inside = places >= 0
                 logs = np.where(inside, voc.log_counts[places], 0.0)
                 known = int((inside & (voc.counts[places] > 0)).sum())
-                rows.append((len(places), known, float(voc.log_rest_sizes[ids[rest] - (gru.OUTPUTS - RESTS)].sum()), float(logs.sum()), float(logs[rest].sum()), Counter(words[i] for i in np.flatnonzero(~inside).tolist())))
+                rows.append(
+                    (
+                        len(places),
+                        known,
+                        float(voc.log_rest_sizes[ids[rest] - (gru.OUTPUTS - RESTS)].sum()),
+                        float(logs.sum()),
+                        float(logs[rest].sum()),
+                        Counter(words[i] for i in np.flatnonzero(~inside).tolist()),
+                    )
+                )
                 held.append(ids)
                 tokens += len(ids)
                 if tokens >= GROUP_TOKENS:
@@ -230,11 +271,22 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     scored = materialize(slim.select("row", "doc_id", "held_out", "text").mapInArrow(run, schema), "scored-documents")
     rare = scored.select("row", F.explode("rare").alias("word", "times"))
-    known = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_rare"))
+    known = rare.join(counts, "word").groupBy("row").agg(
+        F.sum("times").alias("n_rare"),
+        F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_rare"),
+    )
     whole = scored.drop("rare").join(known, "row", "left").na.fill({"n_rare": 0, "log_rare": 0.0})
     base = F.col("log_frequent") + F.col("log_rare") - F.col("n_tokens") * math.log10(vocabulary.tokens + vocabulary.distinct + 1)
     rest = F.col("log_rest") + F.col("log_rare") - F.col("rest_sizes")
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.col("n_rare")).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("network") + rest).alias("score"))
+    return whole.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_frequent") + F.col("n_rare")).alias("n_known"),
+        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (F.col("network") + rest).alias("score"),
+    )
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

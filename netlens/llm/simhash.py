@@ -71,7 +71,10 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, "<u8").view("<i8"), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.array(made, "<u8").view("<i8"), pa.int64())],
+                ["doc_id", "fp"],
+            )
 
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
 
@@ -101,7 +104,11 @@ def ring_links(nodes: DataFrame) -> DataFrame:
 
     def keyed(name: str, flip: str, packed: list[Column]) -> DataFrame:
         exploded = nodes.select(F.col("fp").alias(name), F.explode(F.array(*packed)).alias("packed"))
-        return exploded.select(name, F.shiftright("packed", FLIP_BITS).alias("key"), F.col("packed").bitwiseAND(long((1 << FLIP_BITS) - 1)).cast("byte").alias(flip))
+        return exploded.select(
+            name,
+            F.shiftright("packed", FLIP_BITS).alias("key"),
+            F.col("packed").bitwiseAND(long((1 << FLIP_BITS) - 1)).cast("byte").alias(flip),
+        )
 
     differ = F.col("a").bitwiseXOR(F.col("b"))
     counts = [F.bit_count(segment(differ, k)) for k in range(SEGMENTS)]
@@ -126,7 +133,11 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     rooted = nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(by_print, "fp", "left").select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -71,13 +71,19 @@ def test_shards_hold_every_slot_once(docs):
     assert Counter(r.sidx for r in mix) == Counter({r.sidx: r.slots for r in sources if r.slots})
     for r in sources:
         times = Counter(x["index"] for x in mix if x.sidx == r.sidx)
-        assert set(times) <= set(range(r.blocks)) and max(times.values(), default=0) - min((times[k] for k in range(r.blocks)), default=0) <= 1
+        assert set(times) <= set(range(r.blocks)) and max(times.values(), default=0) - min(
+            (times[k] for k in range(r.blocks)),
+            default=0,
+        ) <= 1
 
 
 def test_draws_are_multinomial(spark):
     """Counts of many shards have a multinomial's mean and variance; what is drawn beyond a source's own moves, no more."""
     slots = [600_000, 0, 300_000, 100_000, 7]
-    plan = spark.createDataFrame([(k, n, 10**6, 10**6 + 1, 5) for k, n in enumerate(slots)], "sidx long, slots long, full long, blocks long, cut long").cache()
+    plan = spark.createDataFrame(
+        [(k, n, 10**6, 10**6 + 1, 5) for k, n in enumerate(slots)],
+        "sidx long, slots long, full long, blocks long, cut long",
+    ).cache()
     drawn = mixing.draw_shards(plan)
     shards = sum(slots) // mixing.SHARD_SLOTS
     counts: dict = {}
@@ -89,7 +95,11 @@ def test_draws_are_multinomial(spark):
         mean = sum(counts[k]) / shards
         spread = sum((x - mean) ** 2 for x in counts[k]) / shards
         assert abs(mean - mixing.SHARD_SLOTS * p) < 3 and 0.8 < spread / (mixing.SHARD_SLOTS * p * (1 - p)) < 1.2
-    ranks = mixing.ranked(drawn).groupBy("sidx").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d"), F.max("rank").alias("top")).collect()
+    ranks = mixing.ranked(drawn).groupBy("sidx").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("rank").alias("d"),
+        F.max("rank").alias("top"),
+    ).collect()
     assert {r.sidx: (r.n, r.d, r.top) for r in ranks} == {k: (n, n, n - 1) for k, n in enumerate(slots) if n}
     moved = sum(max(0, d - w) for w, d in zip(drawn.wanted, drawn.drawn, strict=True))
     assert moved < 5 * sum(slots) ** 0.5
@@ -168,7 +178,10 @@ def plain_links(text):
     out = plain_spans(text)
     for a, rank, b, kind in found:
         near = {k for s, _, e, k in found if b <= s <= b + secrets.SCOPE or a - secrets.SCOPE <= e <= a}
-        if kind == "weak_id" and near & {"assign", "hex"} and "endpoint" in near or kind == "endpoint" and near & {"assign", "hex"} and "weak_id" in near:
+        if kind == "weak_id" and near & {
+            "assign",
+            "hex",
+        } and "endpoint" in near or kind == "endpoint" and near & {"assign", "hex"} and "weak_id" in near:
             out.append((a, rank, b, kind))
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
 
@@ -178,8 +191,18 @@ def test_long_parts_keep_company(spark):
     texts = []
     for n in (48, 512, 800, 3000):
         long_secret, dump, long_url = "token=" + "aB3." * (n // 4), "0123456789abcdef" * (n // 16), "https://db.example.com/" + "p/" * (n // 2)
-        for parts in ((long_secret, named, url), (dump, named, url), (long_url, named, "token=abcdefgh"), (named, url, long_secret), (url, named, dump)):
-            texts += [f"{'é ' * pad}{(' ' * gap).join(parts)}" for pad in (0, 70, 149) for gap in (1, 120, 141, 143, 299, 300, 301)]
+        for parts in (
+            (long_secret, named, url),
+            (dump, named, url),
+            (long_url, named, "token=abcdefgh"),
+            (named, url, long_secret),
+            (url, named, dump),
+        ):
+            texts += [
+                f"{'é ' * pad}{(' ' * gap).join(parts)}"
+                for pad in (0, 70, 149)
+                for gap in (1, 120, 141, 143, 299, 300, 301)
+            ]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     expected = dict(enumerate(map(plain_links, texts)))
     assert {r.doc_id: r.spans for r in secrets.scan(frame).collect()} == expected
@@ -212,8 +235,21 @@ def test_masks_at_every_place(spark):
     size = secrets.CHUNK
     text = "aé中😀\n" * (size * 3 // 5)
     n = len(text)
-    cases = [[(0, n)], [(0, 1), (1, 2)], [(3, 9), (5, 7), (8, 12)], [(size - 1, size), (size, size + 1)], [(size - 3, size + 3), (size + 2, 3 * size - 2)], [(n - 1, n)], [(2, 2 * size), (2 * size + 1, n - 5)], [(size, 2 * size)], [(0, size)]]
-    rows = [(k, text, [(a, 0, b) for a, b in c]) for k, c in enumerate(cases)] + [(99, text[: 2 * size], [(size, 0, 2 * size)]), (100, text[: 2 * size], [(1, 0, 2)])]
+    cases = [
+        [(0, n)],
+        [(0, 1), (1, 2)],
+        [(3, 9), (5, 7), (8, 12)],
+        [(size - 1, size), (size, size + 1)],
+        [(size - 3, size + 3), (size + 2, 3 * size - 2)],
+        [(n - 1, n)],
+        [(2, 2 * size), (2 * size + 1, n - 5)],
+        [(size, 2 * size)],
+        [(0, size)],
+    ]
+    rows = [(k, text, [(a, 0, b) for a, b in c]) for k, c in enumerate(cases)] + [
+        (99, text[: 2 * size], [(size, 0, 2 * size)]),
+        (100, text[: 2 * size], [(1, 0, 2)]),
+    ]
     frame = spark.createDataFrame(rows, "id int, text string, found array<struct<start:bigint,rank:int,end:bigint>>")
     out = {r.id: r.made for r in frame.select("id", secrets.masked(F.col("text"), F.col("found")).alias("made")).collect()}
     assert out == {i: plain_masked(t, [(a, b) for a, _, b in f]) for i, t, f in rows}
@@ -255,13 +291,30 @@ def gnu_header(title, version, program="program"):
 
 
 HEADERS = [
-    ("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("GPL-3.0", gnu_header("General Public License", 3)), ("GPL-2.0", gnu_header("General Public License", 2)), ("AGPL-3.0", gnu_header("Affero General Public License", 3)),
-    ("LGPL-3.0", gnu_header("Lesser General Public License", 3, "library")), ("LGPL-2.1", gnu_header("Lesser General Public License", "2.1", "library")),
-    ("MIT", "prose before " * 30 + "Released under the MIT License. " + "and prose after " * 30), ("Apache-2.0", "many words " * 30 + "Licensed under the Apache License, Version 2.0. " + "many more " * 30),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "This work is licenced under a Creative Commons Attribution 4.0 International Licence."),
-    (None, "a license, said in passing, to use the word permission"), (None, "GNU is a word here, and mozilla, creative, eclipse, cc: none of them alone means much"), (None, "licensed"), (None, None), (None, ""),
+    ("Apache-2.0", APACHE),
+    ("MPL-2.0", MPL),
+    ("GPL-3.0", gnu_header("General Public License", 3)),
+    ("GPL-2.0", gnu_header("General Public License", 2)),
+    ("AGPL-3.0", gnu_header("Affero General Public License", 3)),
+    ("LGPL-3.0", gnu_header("Lesser General Public License", 3, "library")),
+    ("LGPL-2.1", gnu_header("Lesser General Public License", "2.1", "library")),
+    ("MIT", "prose before " * 30 + "Released under the MIT License. " + "and prose after " * 30),
+    ("Apache-2.0", "many words " * 30 + "Licensed under the Apache License, Version 2.0. " + "many more " * 30),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "This work is licenced under a Creative Commons Attribution 4.0 International Licence."),
+    (None, "a license, said in passing, to use the word permission"),
+    (None, "GNU is a word here, and mozilla, creative, eclipse, cc: none of them alone means much"),
+    (None, "licensed"),
+    (None, None),
+    (None, ""),
 ]
-SPDX = [("MIT", "# SPDX-License-Identifier: MIT"), ("Apache-2.0", "// spdx-license-identifier: apache-2.0 */"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later\n" + gnu_header("General Public License", 3)), ("Foo-1.0", "SPDX-License-Identifier: (Foo-1.0 OR MIT)"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1+")]
+SPDX = [
+    ("MIT", "# SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "// spdx-license-identifier: apache-2.0 */"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later\n" + gnu_header("General Public License", 3)),
+    ("Foo-1.0", "SPDX-License-Identifier: (Foo-1.0 OR MIT)"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1+"),
+]
 
 
 def test_license_headers(spark):
@@ -273,7 +326,15 @@ def test_license_headers(spark):
     assert all(found[len(HEADERS) + k].found_in == "spdx" and found[len(HEADERS) + k].cosine == 1 for k in range(len(SPDX)))
 
 
-WHOLE = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+WHOLE = {
+    "Apache-2.0": "Apache-2.0",
+    "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3": "LGPL-3.0",
+    "MPL-2.0": "MPL-2.0",
+    "CC0-1.0": "CC0-1.0",
+}
 
 
 def test_whole_licence_files(spark):
@@ -281,7 +342,10 @@ def test_whole_licence_files(spark):
     there = [n for n in WHOLE if (folder / n).is_file()]
     if not there:
         pytest.skip("no licence texts on this machine")
-    files = spark.createDataFrame([(n, f"{n}/LICENSE", (folder / n).read_text()) for n in there], "doc_id string, path string, text string")
+    files = spark.createDataFrame(
+        [(n, f"{n}/LICENSE", (folder / n).read_text()) for n in there],
+        "doc_id string, path string, text string",
+    )
     found = {r.doc_id: (r.license, r.found_in) for r in licenses.scan(files, "doc_id", "path", "text").collect()}
     assert found == {n: (WHOLE[n], "file") for n in there}
 
@@ -303,20 +367,50 @@ def test_licenses_are_inherited(spark):
         (11, None, None, 0),
     ]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string, row int")
-    found = Counter((r.doc_id, r.license, r.found_in, r.inherited_from) for r in licenses.scan(files, "doc_id", "path", "text").collect())
+    found = Counter(
+        (r.doc_id, r.license, r.found_in, r.inherited_from)
+        for r in licenses.scan(files, "doc_id", "path", "text").collect()
+    )
     assert found == Counter({
-        (1, "MIT", "file", None): 1, (2, "GPL-3.0", "inherited", "a/b"): 1, (3, "Apache-2.0", "header", None): 1, (4, None, "none", None): 1, (5, "MIT", "header", None): 1,
-        (6, "GPL-3.0", "file", None): 1, (7, "GPL-3.0", "inherited", "a/b"): 2, (8, None, "none", None): 1, (9, "MIT", "inherited", "a"): 1, (10, None, "none", None): 1, (11, None, "none", None): 1,
+        (1, "MIT", "file", None): 1,
+        (2, "GPL-3.0", "inherited", "a/b"): 1,
+        (3, "Apache-2.0", "header", None): 1,
+        (4, None, "none", None): 1,
+        (5, "MIT", "header", None): 1,
+        (6, "GPL-3.0", "file", None): 1,
+        (7, "GPL-3.0", "inherited", "a/b"): 2,
+        (8, None, "none", None): 1,
+        (9, "MIT", "inherited", "a"): 1,
+        (10, None, "none", None): 1,
+        (11, None, "none", None): 1,
     })
     assert licenses.scan(files.where("false"), "doc_id", "path", "text").count() == 0
 
 
 def test_chat(spark):
-    calls = {"content": "look\n", "tool_calls": [{"id": "b", "name": "fetch", "arguments": {"url": "u", "x": 1}, "after": ["a"]}, {"id": "a", "name": "search", "arguments": {"query": "é", "limit": 3}}]}
-    cyclic = {"tool_calls": [{"id": "c", "name": "list", "arguments": {"items": [1]}, "after": ["d"]}, {"id": "d", "name": "convert", "arguments": {"unit": "m", "amount": 1.5}, "after": ["c"]}, {"id": "a", "name": "nope", "arguments": {}}]}
+    calls = {
+        "content": "look\n",
+        "tool_calls": [
+            {"id": "b", "name": "fetch", "arguments": {"url": "u", "x": 1}, "after": ["a"]},
+            {"id": "a", "name": "search", "arguments": {"query": "é", "limit": 3}},
+        ],
+    }
+    cyclic = {
+        "tool_calls": [
+            {"id": "c", "name": "list", "arguments": {"items": [1]}, "after": ["d"]},
+            {"id": "d", "name": "convert", "arguments": {"unit": "m", "amount": 1.5}, "after": ["c"]},
+            {"id": "a", "name": "nope", "arguments": {}},
+        ]
+    }
     rows = [
-        (1, 0, "user", "hi", 1), (1, 1, "assistant", json.dumps(calls), 1), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": {"z": 1, "a": [1]}}), 1), (1, 3, "tool", json.dumps({"tool_call_id": "zz", "content": "s"}), 1),
-        (1, 4, "assistant", json.dumps(cyclic), 1), (2, 0, "assistant", '{broken "tool_calls"', 1), (2, 1, None, None, 1), (2, 1, None, None, 1),
+        (1, 0, "user", "hi", 1),
+        (1, 1, "assistant", json.dumps(calls), 1),
+        (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": {"z": 1, "a": [1]}}), 1),
+        (1, 3, "tool", json.dumps({"tool_call_id": "zz", "content": "s"}), 1),
+        (1, 4, "assistant", json.dumps(cyclic), 1),
+        (2, 0, "assistant", '{broken "tool_calls"', 1),
+        (2, 1, None, None, 1),
+        (2, 1, None, None, 1),
     ]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level int")
     found = {(r.conv_id, r.turn): r for r in chat.format_chat(messages).collect()}
@@ -331,7 +425,14 @@ def test_chat(spark):
     assert chat.format_chat(messages.where("false")).count() == 0
 
 
-FITS = {"string": lambda v: isinstance(v, str), "integer": lambda v: type(v) is int, "number": lambda v: type(v) in (int, float), "boolean": lambda v: isinstance(v, bool), "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list)}
+FITS = {
+    "string": lambda v: isinstance(v, str),
+    "integer": lambda v: type(v) is int,
+    "number": lambda v: type(v) in (int, float),
+    "boolean": lambda v: isinstance(v, bool),
+    "object": lambda v: isinstance(v, dict),
+    "array": lambda v: isinstance(v, list),
+}
 
 
 def plain_valid(call):
@@ -363,7 +464,9 @@ def plain_chat(rows):
         if text and text.startswith("{") and role in ("assistant", "tool"):
             body = json.loads(text)
         calls = (body or {}).get("tool_calls") if role == "assistant" else None
-        parsed.append((conv, turn, role, text, calls or None, body if role == "tool" and body and "tool_call_id" in body else None, body))
+        parsed.append(
+            (conv, turn, role, text, calls or None, body if role == "tool" and body and "tool_call_id" in body else None, body)
+        )
     owner: dict = {}
     for row, (conv, turn, _, _, calls, _, _) in sorted(enumerate(parsed), key=lambda x: (x[1][1], x[0])):
         for place, c in enumerate(calls or []):
@@ -382,17 +485,45 @@ def plain_chat(rows):
     for row, (conv, turn, role, text, calls, result, body) in enumerate(parsed):
         if calls:
             firsts, order = every[row]
-            unmet = sum(not ((o := owner.get((conv, a))) and (o[1] == row or o[0] < turn)) for c in calls for a in dict.fromkeys(c.get("after", [])))
+            unmet = sum(
+                not ((o := owner.get((conv, a))) and (o[1] == row or o[0] < turn))
+                for c in calls
+                for a in dict.fromkeys(c.get("after", []))
+            )
             ranked = sorted(range(len(calls)), key=lambda k: (1 << 30 if order[k] is None else order[k], k))
-            shown = [{"after": calls[k].get("after", []), **({"arguments": made(calls[k]["arguments"])} if "arguments" in calls[k] else {}), **{f: calls[k][f] for f in ("id", "name") if f in calls[k]}} for k in ranked]
+            shown = [
+                {
+                    "after": calls[k].get("after", []),
+                    **({"arguments": made(calls[k]["arguments"])} if "arguments" in calls[k] else {}),
+                    **{f: calls[k][f] for f in ("id", "name") if f in calls[k]},
+                }
+                for k in ranked
+            ]
             text = f'{{"content":{made(body.get("content"))},"role":"assistant","tool_calls":[{",".join(map(made, shown))}]}}'
             linked = sum(f and (conv, c["id"]) in answered for f, c in zip(firsts, calls))
-            counts = (len(calls), linked, sum(map(plain_valid, calls)), sum("id" in c and not f for f, c in zip(firsts, calls)), order.count(None), unmet)
+            counts = (
+                len(calls),
+                linked,
+                sum(map(plain_valid, calls)),
+                sum("id" in c and not f for f, c in zip(firsts, calls)),
+                order.count(None),
+                unmet,
+            )
             out.append((conv, turn, role, text, *counts, None, max((x for x in order if x is not None), default=None)))
         elif result:
             key = (conv, result["tool_call_id"])
             level = every[owner[key][1]][1][owner[key][2]] if key in owner else None
-            out.append((conv, turn, role, f'{{"content":{made(result.get("content"))},"role":"tool","tool_call_id":{made(result["tool_call_id"])}}}', *[0] * 6, answered[key] == turn if key in answered else None, level))
+            out.append(
+                (
+                    conv,
+                    turn,
+                    role,
+                    f'{{"content":{made(result.get("content"))},"role":"tool","tool_call_id":{made(result["tool_call_id"])}}}',
+                    *[0] * 6,
+                    answered[key] == turn if key in answered else None,
+                    level,
+                )
+            )
         else:
             out.append((conv, turn, role, f'{{"content":{made(text)},"role":{made(role)}}}', *[0] * 6, None, None))
     return out
@@ -402,14 +533,30 @@ def test_chat_against_loops(spark):
     import random
 
     r = random.Random(8)
-    values = {"string": lambda: r.choice(["x", "é\"q", ""]), "integer": lambda: r.randint(-5, 10**12), "number": lambda: r.choice([1, 2.5]), "boolean": lambda: r.random() < 0.5, "object": lambda: {"z": 1, "a": [None, {"k": "v"}]}, "array": lambda: [1, "b"]}
+    values = {
+        "string": lambda: r.choice(["x", "é\"q", ""]),
+        "integer": lambda: r.randint(-5, 10**12),
+        "number": lambda: r.choice([1, 2.5]),
+        "boolean": lambda: r.random() < 0.5,
+        "object": lambda: {"z": 1, "a": [None, {"k": "v"}]},
+        "array": lambda: [1, "b"],
+    }
 
     def call():
         name = r.choice([*chat.TOOLS, "unknown"])
-        arguments = {f: values[kind if r.random() < 0.9 else r.choice(list(values))]() for f, (kind, needed) in chat.TOOLS.get(name, {}).items() if needed or r.random() < 0.5}
+        arguments = {
+            f: values[kind if r.random() < 0.9 else r.choice(list(values))]()
+            for f, (kind, needed) in chat.TOOLS.get(name, {}).items()
+            if needed or r.random() < 0.5
+        }
         if r.random() < 0.1:
             arguments["other"] = 1
-        c = {"id": r.choice("abcdefgh"), "name": name, "arguments": arguments if r.random() < 0.9 else r.choice([[1], "text", 3]), "after": [r.choice("abcdefghz") for _ in range(r.choice([0, 0, 1, 2]))]}
+        c = {
+            "id": r.choice("abcdefgh"),
+            "name": name,
+            "arguments": arguments if r.random() < 0.9 else r.choice([[1], "text", 3]),
+            "after": [r.choice("abcdefghz") for _ in range(r.choice([0, 0, 1, 2]))],
+        }
         for f in list(c):
             if r.random() < 0.07:
                 del c[f]
@@ -420,10 +567,21 @@ def test_chat_against_loops(spark):
         for turn in range(r.randint(1, 9)):
             kind = r.random()
             if kind < 0.5:
-                body = {"tool_calls": [call() for _ in range(r.randint(0, 5))]} | ({"content": r.choice(["hi", "é\n", ""])} if r.random() < 0.5 else {})
+                body = {"tool_calls": [call() for _ in range(r.randint(0, 5))]} | (
+                    {"content": r.choice(["hi", "é\n", ""])} if r.random() < 0.5 else {}
+                )
                 rows.append((conv, turn, "assistant", json.dumps(body)))
             elif kind < 0.8:
-                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": r.choice("abcdefghz"), "content": r.choice(["ok", {"b": 1, "a": 2}, [1, 2]])})))
+                rows.append(
+                    (
+                        conv,
+                        turn,
+                        "tool",
+                        json.dumps(
+                            {"tool_call_id": r.choice("abcdefghz"), "content": r.choice(["ok", {"b": 1, "a": 2}, [1, 2]])}
+                        ),
+                    )
+                )
             else:
                 rows.append((conv, turn, r.choice(["user", "system", None]), r.choice(["hello", None, "", "tab\t\"quoted\""])))
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
@@ -435,8 +593,14 @@ def test_chat_against_loops(spark):
 def test_chat_of_a_deep_chain(spark):
     """A chain of 600 calls, within one message and over as many messages: no rounds of jobs."""
     chain = [{"id": f"c{k}", "name": "fetch", "arguments": {"url": "u"}, "after": [f"c{k - 1}"] if k else []} for k in range(600)]
-    rows = [(1, 0, "assistant", json.dumps({"tool_calls": chain[::-1]}))] + [(2, k, "assistant", json.dumps({"tool_calls": [c]})) for k, c in enumerate(chain)]
-    found = {(r.conv_id, r.turn): r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": chain[::-1]}))] + [
+        (2, k, "assistant", json.dumps({"tool_calls": [c]}))
+        for k, c in enumerate(chain)
+    ]
+    found = {
+        (r.conv_id, r.turn): r
+        for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    }
     assert found[1, 0].level == 599 and [c["id"] for c in json.loads(found[1, 0].json)["tool_calls"]] == [c["id"] for c in chain]
     assert all(found[2, k].level == 0 and found[2, k].n_unmet == 0 for k in range(600))
 

@@ -59,7 +59,18 @@ def test_packing_digest_and_empty(docs, nothing):
         packing.pack(docs, tokenizer_path(), max_len=100)
 
 
-@pytest.mark.parametrize("text", ["It's a DON'T <|endoftext|>x", "İstanbul Ünï ǅ \xa0n\x85 a\x1cb", "中文 テスト ½²3 ,'s --'re", "á ſs K ς Σ", "́abc\tt\rc\x0bv\x0cf \xad", "😀 x12 5.6e-7", ""])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "It's a DON'T <|endoftext|>x",
+        "İstanbul Ünï ǅ \xa0n\x85 a\x1cb",
+        "中文 テスト ½²3 ,'s --'re",
+        "á ſs K ς Σ",
+        "́abc\tt\rc\x0bv\x0cf \xad",
+        "😀 x12 5.6e-7",
+        "",
+    ],
+)
 def test_cached_tokenizer_equals_whole(text):
     t = packing.tokenizer_at(tokenizer_path())
     assert t.ids(text) == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,7 +93,10 @@ def plain_features(text):
 
 
 def test_quality_features(docs, spark):
-    more = spark.createDataFrame([(900, "a b c a b c d # * |\nx\nx\n \n\nx"), (901, "q " * 30), (902, "a b c"), (903, "é😀 <b> é😀 <b> é😀 <b>")], "doc_id long, text string")
+    more = spark.createDataFrame(
+        [(900, "a b c a b c d # * |\nx\nx\n \n\nx"), (901, "q " * 30), (902, "a b c"), (903, "é😀 <b> é😀 <b> é😀 <b>")],
+        "doc_id long, text string",
+    )
     both = docs.select("doc_id", "text").union(more)
     found = quality.judge(both).collect()
     expected = Counter((i, *plain_features(t)) for i, t in both.collect())
@@ -118,8 +132,18 @@ def plain_estimate(patterns, size, share, rates, prior):
                 bad *= {1: 1 - b, -1: b, 0: 1}[x]
             weight[v] = good / (good + bad)
         share = (sum(n * weight[v] for v, n in patterns.items()) + prior * first) / (total + prior)
-        sums = lambda k, value, mine: sum(n * mine(v) for v, n in patterns.items() if (v[k] == value if value else v[k]))
-        rates = [((sums(k, 1, weight.get) + prior * start[k][0]) / (sums(k, 0, weight.get) + prior), (sums(k, -1, lambda v: 1 - weight[v]) + prior * start[k][1]) / (sums(k, 0, lambda v: 1 - weight[v]) + prior)) for k in range(size)]
+        sums = lambda k, value, mine: sum(
+            n * mine(v)
+            for v, n in patterns.items()
+            if (v[k] == value if value else v[k])
+        )
+        rates = [
+            (
+                (sums(k, 1, weight.get) + prior * start[k][0]) / (sums(k, 0, weight.get) + prior),
+                (sums(k, -1, lambda v: 1 - weight[v]) + prior * start[k][1]) / (sums(k, 0, lambda v: 1 - weight[v]) + prior),
+            )
+            for k in range(size)
+        ]
     return share, rates
 
 
@@ -129,14 +153,25 @@ def test_quality_estimates_accuracies(nothing):
     counts: Counter = Counter()
     right = []
     for good in rng.random(20000) < share:
-        votes = tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < g) else -1) if good else (-1 if rng.random() < b else 1) for g, b in rates)
+        votes = tuple(
+            0
+            if rng.random() < 0.2 else (1 if (rng.random() < g) else -1)
+            if good else (-1 if rng.random() < b else 1)
+            for g, b in rates
+        )
         counts[votes] += 1
         right.append((votes, good))
     found_share, found = quality.estimate(sorted(counts.items()), 4)
     assert abs(found_share - share) < 0.02
     assert all(abs(a - c) < 0.03 and abs(b - d) < 0.06 for (a, b), (c, d) in zip(found, rates, strict=True))
     assert sum((quality.posterior(v, found_share, found) >= 0.5) == good for v, good in right) > 0.95 * len(right)
-    plain_share, plain = plain_estimate(counts, 4, quality.START_SHARE, [(quality.START_GOOD, quality.START_BAD)] * 4, (quality.PRIOR, quality.PRIOR_PART))
+    plain_share, plain = plain_estimate(
+        counts,
+        4,
+        quality.START_SHARE,
+        [(quality.START_GOOD, quality.START_BAD)] * 4,
+        (quality.PRIOR, quality.PRIOR_PART),
+    )
     assert abs(plain_share - found_share) < 1e-9 and np.allclose(plain, found)
     assert quality.judge(nothing).count() == 0
 
@@ -144,7 +179,10 @@ def test_quality_estimates_accuracies(nothing):
 def test_quality_verdicts(spark):
     """Junk goes by the votes of several rules, prose stays; each row's verdict is that of its own votes."""
     rng = np.random.default_rng(6)
-    prose = [" ".join(f"word{rng.integers(5000)}"[: int(rng.integers(3, 9))] + chr(97 + int(rng.integers(26))) for _ in range(200)) for _ in range(300)]
+    prose = [
+        " ".join(f"word{rng.integers(5000)}"[: int(rng.integers(3, 9))] + chr(97 + int(rng.integers(26))) for _ in range(200))
+        for _ in range(300)
+    ]
     junk = [" ".join(("##||##" if k % 2 else f"x{rng.integers(900)}") for k in range(200)) for _ in range(30)]
     frame = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id long, text string")
     found = {r.doc_id: r for r in quality.judge(frame).collect()}
@@ -199,7 +237,12 @@ def test_ring_links_lose_none(spark):
     links = [tuple(r) for r in simhash.ring_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
     found = set(links)
     assert len(links) == len(found)
-    expected = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
+    expected = {
+        tuple(sorted((a, b)))
+        for i, a in enumerate(signed)
+        for b in signed[:i]
+        if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4
+    }
     assert found == expected
 
 
@@ -222,7 +265,10 @@ def test_language(docs, nothing):
     kept = language.keep_known(docs)
     assert kept.columns == docs.columns and not {r.doc_id for r in kept.collect()} & {200, 201, 202, 205}
     empty = language.learn(nothing)
-    assert language.identify(docs, empty).where("lang_pred <> 'und'").count() == 0 and language.identify(nothing, filters).count() == 0
+    assert language.identify(docs, empty).where("lang_pred <> 'und'").count() == 0 and language.identify(
+        nothing,
+        filters,
+    ).count() == 0
 
 
 def test_language_sample_is_bounded(spark, monkeypatch):
@@ -230,7 +276,12 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     copies = spark.range(3000).select(F.lit("one text of many copies").alias("text"))
     others = spark.range(3000).select(F.format_string("text number %d", "id").alias("text"))
     rows = copies.union(others).select(F.lit("en").alias("label"), "text", F.xxhash64("text").alias("order"))
-    sample = [r.text for r in language._first_by_order(rows.withColumn("order", F.when(F.col("text").startswith("one"), 0).otherwise(F.col("order")))).collect()]
+    sample = [
+        r.text
+        for r in language._first_by_order(
+            rows.withColumn("order", F.when(F.col("text").startswith("one"), 0).otherwise(F.col("order")))
+        ).collect()
+    ]
     assert len(sample) == len(set(sample)) and 10 < len(sample) < 110 and "one text of many copies" in sample
 
 
@@ -238,7 +289,9 @@ def test_language_copies_leave_the_sample_whole(spark, monkeypatch):
     monkeypatch.setattr(language, "PER_LANGUAGE", 100)
     texts = spark.range(50).select(F.format_string("text number %d", "id").alias("text"))
     rows = texts.crossJoin(spark.range(60)).select(F.lit("en").alias("label"), "text")
-    rows = rows.union(spark.range(5000).select(F.lit("fr"), F.when(F.col("id") < 4000, "copy").otherwise(F.format_string("texte %d", "id"))))
+    rows = rows.union(
+        spark.range(5000).select(F.lit("fr"), F.when(F.col("id") < 4000, "copy").otherwise(F.format_string("texte %d", "id")))
+    )
     sample = [(r.label, r.text) for r in language._first_by_order(rows.withColumn("order", F.xxhash64("text"))).collect()]
     assert sorted(t for k, t in sample if k == "en") == sorted(r.text for r in texts.collect())
     assert 70 < len([t for k, t in sample if k == "fr"]) < 130 and len(sample) == len(set(sample))
@@ -246,7 +299,10 @@ def test_language_copies_leave_the_sample_whole(spark, monkeypatch):
 
 def test_language_of_many_labels(spark):
     words = {f"l{k:03d}": " ".join(chr(0x4E00 + 40 * k + i) * 2 for i in range(20)) for k in range(150)}
-    docs = spark.createDataFrame([(f"{text} {n}", label) for label, text in words.items() for n in "abc"], "text string, lang string")
+    docs = spark.createDataFrame(
+        [(f"{text} {n}", label) for label, text in words.items() for n in "abc"],
+        "text string, lang string",
+    )
     filters = language.learn(docs)
     assert filters.languages == sorted(words)
     assert all(filters.decide(text)[0] == label and filters.decide(text)[1] > 0.9 for label, text in words.items())
@@ -255,10 +311,16 @@ def test_language_of_many_labels(spark):
 def test_language_learns_every_label(spark):
     """Labels of two texts, of one text in many copies, and of long and short texts are all learned."""
     rows = [("common words of the usual kind " * 3 + str(n), "en") for n in range(200)]
-    rows += [("żółta łódź płynie", "pl"), ("gęś idzie dróżką", "pl")] + [("sjór og fjall", "is")] * 40 + [("123", "zz"), (None, "nn"), ("no label", None)]
+    rows += [
+        ("żółta łódź płynie", "pl"),
+        ("gęś idzie dróżką", "pl"),
+    ] + [("sjór og fjall", "is")] * 40 + [("123", "zz"), (None, "nn"), ("no label", None)]
     filters = language.learn(spark.createDataFrame(rows, "text string, lang string"))
     assert filters.languages == ["en", "is", "pl", "zz"]
-    assert [filters.decide(t)[0] for t in ("the usual words", "fjall og sjór", "żółta gęś", "łódź idzie", "123", None)] == ["en", "is", "pl", "pl", "und", "und"]
+    assert [
+        filters.decide(t)[0]
+        for t in ("the usual words", "fjall og sjór", "żółta gęś", "łódź idzie", "123", None)
+    ] == ["en", "is", "pl", "pl", "und", "und"]
 
 
 def test_filter_has_no_false_negatives():
@@ -300,7 +362,12 @@ def test_jpeg_with_runs_and_end_of_block():
     bits += "1" * (-len(bits) % 8)
     scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
     tables = b"".join(bytes([k << 4]) + bytes(c) + s for k, (c, s) in enumerate((dc, ac)))
-    parts = [(jpeg.DQT, bytes([0]) + bytes([16] * 64)), (jpeg.SOF0, bytes([8, 0, 8, 0, 16, 1, 1, 0x11, 0])), (jpeg.DHT, tables), (jpeg.SOS, bytes([1, 1, 0, 0, 63, 0]))]
+    parts = [
+        (jpeg.DQT, bytes([0]) + bytes([16] * 64)),
+        (jpeg.SOF0, bytes([8, 0, 8, 0, 16, 1, 1, 0x11, 0])),
+        (jpeg.DHT, tables),
+        (jpeg.SOS, bytes([1, 1, 0, 0, 63, 0])),
+    ]
     image = jpeg.Image(b"\xff\xd8" + b"".join(jpeg._marker(k, b) for k, b in parts) + scan + b"\xff\xd9")
     out = jpeg.decode([image])[0]
     first, second = np.zeros(64, int), np.zeros(64, int)
@@ -330,10 +397,17 @@ def test_media_reader_survives_anything(spark):
     whole = media.write_files([b"some text of a few words " * 40])[0]
     frame_at = next(a for a, _ in markers(whole) if whole[a + 1] == jpeg.SOF0)
     bad = [whole[: frame_at + 5] + b"\xff\xff\xff\xff" + whole[frame_at + 9 :]]
-    bad += [whole[: frame_at + 11 + 3 * k] + bytes([x]) + whole[frame_at + 12 + 3 * k :] for k in range(3) for x in (0, 0x10, 0x01, 0xFF)]
+    bad += [
+        whole[: frame_at + 11 + 3 * k] + bytes([x]) + whole[frame_at + 12 + 3 * k :]
+        for k in range(3)
+        for x in (0, 0x10, 0x01, 0xFF)
+    ]
     comment = b"payload 1000 1152"
     assert comment in whole
-    foreign = [whole.replace(comment, c) for c in (b"payload xx   1152", b"payload 9999 1152", b"payload 1000 9999", b"payload 1000 1151", b"payload -1   1152")]
+    foreign = [
+        whole.replace(comment, c)
+        for c in (b"payload xx   1152", b"payload 9999 1152", b"payload 1000 9999", b"payload 1000 1151", b"payload -1   1152")
+    ]
     rng = np.random.default_rng(11)
     damaged = []
     for _ in range(1500):
@@ -350,7 +424,10 @@ def test_media_reader_survives_anything(spark):
         damaged.append(bytes(data))
     found = inspected(spark, [whole, *bad, *foreign, *damaged])
     assert found[0].n_bytes == 1000 and all(found[1 + k].width is None for k in range(len(bad)))
-    assert all(found[1 + len(bad) + k].width == found[0].width and found[1 + len(bad) + k].n_bytes is None for k in range(len(foreign)))
+    assert all(
+        found[1 + len(bad) + k].width == found[0].width and found[1 + len(bad) + k].n_bytes is None
+        for k in range(len(foreign))
+    )
     assert len(found) == 1 + len(bad) + len(foreign) + len(damaged)
 
 
@@ -404,10 +481,15 @@ def test_scores(docs, nothing):
     expected = {}
     for r in rows:
         w = tokens(r.text)
-        expected.setdefault(r.doc_id, []).append((held(r.doc_id), len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)))
+        expected.setdefault(r.doc_id, []).append(
+            (held(r.doc_id), len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
+        )
     assert len(found) == len(rows)
     for r in found:
-        assert any((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == e[:4] and abs(r.base_score - e[4]) < 1e-6 * max(1, abs(e[4])) for e in expected[r.doc_id])
+        assert any(
+            (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == e[:4] and abs(r.base_score - e[4]) < 1e-6 * max(1, abs(e[4]))
+            for e in expected[r.doc_id]
+        )
         assert r.score < 0 and math.isfinite(r.score)
     assert scoring.score(nothing).count() == 0
 
@@ -453,7 +535,10 @@ def test_network_is_a_distribution():
     rng = np.random.default_rng(1)
     p = gru.unpacked(gru.start_vector(np.arange(gru.OUTPUTS, 0, -1)))
     states = rng.standard_normal((3, gru.HIDDEN)).astype(np.float32)
-    each = [np.exp(gru.log_probabilities(p, np.repeat(s[None, :], gru.OUTPUTS, axis=0), np.arange(gru.OUTPUTS))).sum() for s in states]
+    each = [
+        np.exp(gru.log_probabilities(p, np.repeat(s[None, :], gru.OUTPUTS, axis=0), np.arange(gru.OUTPUTS))).sum()
+        for s in states
+    ]
     assert np.allclose(each, 1, atol=1e-4)
 
 
