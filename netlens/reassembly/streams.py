@@ -115,6 +115,9 @@ def head_segments(packets: DataFrame) -> DataFrame:
     opening before it, or of the first segment if there is none. So an elephant flow reaches the grouping as
     no more than a head for each of its openings. The latest opening is carried along within a flow's range
     of ``CARRY`` indexes, and from range to range by one row for each, so no task sorts a whole flow.
+    Of openings that follow each other those between the first and the last go, of ends those after the first,
+    and all that comes after an end that follows an opening, as none of it changes the stream: a flow of
+    openings and ends alone leaves a few segments for each range.
     """
     tcp = packets.where(F.col("tcp").isNotNull() & ~F.col("fragmented")).select(
         "index",
@@ -145,6 +148,17 @@ def head_segments(packets: DataFrame) -> DataFrame:
         "_latest",
         F.last(F.when(is_opening, F.col("seq")), True).over(within),
     )
+    order = Window.partitionBy(*ENDPOINTS, "_range").orderBy("index")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    is_end = F.col("flags").bitwiseAND(F.lit(FIN | RST)) != 0
+    opens = is_opening & ~is_end
+    latest = latest.withColumns(
+        {
+            "_opened": F.coalesce(F.max(opens).over(earlier), F.lit(False)),
+            "_again": (opens & F.lag(opens, 1, False).over(order) & F.lead(opens, 1, False).over(order)) | (is_end & F.lag(is_end, 1, False).over(order)),
+        }
+    )
+    latest = latest.withColumn("_over", F.coalesce(F.max(is_end & F.col("_opened")).over(earlier), F.lit(False))).where("not _over and not _again")
     joined = latest.alias("t").join(bases.alias("b"), same).withColumn("_base", F.coalesce("_latest", "_carried", "_first"))
     kept = joined.where(ends | near("_base"))
     return kept.select(*(F.col(f"t.{c}").alias(c) for c in tcp.columns))

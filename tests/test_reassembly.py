@@ -124,3 +124,53 @@ def test_on_spark(spark):
     recovered = streams.recover_streams(packets)
     assert [r.http.summary for r in streams.recovered_messages(recovered, 1).collect()] == ["GET h/private"]
     assert tuple(streams.stats(recovered).first()) == (1, 1, 0)
+
+
+def test_dropped_segments_change_nothing(spark, monkeypatch):
+    """Streams of random openings, ends and pieces of a request come out as if every segment had been taken."""
+    import random
+
+    from netlens.decode.applications import parse
+
+    monkeypatch.setattr(streams, "CARRY", 7)
+    r = random.Random(3)
+    sent, index = [], 0
+    for port in range(41000, 41060):
+        base = r.choice([1000, (1 << 32) - 20])
+        for _ in range(r.randint(2, 40)):
+            index += r.randint(1, 3)
+            kind, cut = r.random(), r.randrange(0, len(REQUEST), 15)
+            flags, data = (24, REQUEST[cut : cut + r.choice([15, 30])])
+            if kind < 0.35:
+                flags, data, cut = 2, b"", -1
+            elif kind < 0.45:
+                flags, data = r.choice([4, 17, 6]), b""
+            elif kind < 0.5:
+                data = REQUEST
+            sent.append((index, port, (base + cut) % (1 << 32), flags, data))
+    rows = []
+    for k, port, seq, flags, data in sent:
+        d = sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(port, 80, seq, flags, data)))
+        rows.append(("f", k, 1, len(d), len(d), 1, d))
+    schema = "file string, index long, ts_ns long, captured_len int, wire_len int, link_type int, data binary"
+    packets = layers.decode(spark.createDataFrame(rows, schema))
+    found = {x.src_port: (x.message is not None, x["index"], x.conflicts, x.segments) for x in streams.recover_streams(packets).collect()}
+    expected = {}
+    for port in sorted({x[1] for x in sent}):
+        s, at = streams.Stream(), -1
+        for k, _, seq, flags, data in (x for x in sent if x[1] == port):
+            own = parse(data, (port, 80), True)
+            if s.push(seq, flags, data, bool(own and own[1]["complete"]), (port, 80)) and at < 0:
+                at = k
+        expected[port] = (at >= 0, at, s.conflicts, int(s.tracked))
+    assert found == expected and any(x[0] for x in expected.values())
+    assert streams.head_segments(packets).count() < len(sent)
+
+
+def test_a_flow_of_openings_and_ends_leaves_few_segments(spark):
+    rows = []
+    for k in range(3000):
+        d = sample.ethernet(sample.ipv4("10.0.0.1", "10.0.0.2", 6, sample.tcp(50000, 80, k, 2 if k % 3 else 4, b"")))
+        rows.append(("f", k + 1, 1, len(d), len(d), 1, d))
+    schema = "file string, index long, ts_ns long, captured_len int, wire_len int, link_type int, data binary"
+    assert streams.head_segments(layers.decode(spark.createDataFrame(rows, schema))).count() <= 4
