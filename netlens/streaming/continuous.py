@@ -96,37 +96,43 @@ def flow_sessions(packets: DataFrame, gap: str = "5 minutes", watermark: str = "
 HANDSHAKES = "src_ip string, dst_ip string, dst_port int, syns bigint, answered boolean"
 
 
-def handshakes(packets: DataFrame) -> DataFrame:
-    """Whether a host's bare SYNs to a port were answered, by state that is kept for each triple."""
+def handshakes(packets: DataFrame, idle: str | None = None) -> DataFrame:
+    """Whether a host's bare SYNs to a port were answered, by state that is kept for each triple.
+
+    With ``idle``, say "10 minutes", a triple of which nothing came for that long in the packets' time is forgotten,
+    which bounds the state; a later SYN starts its count again.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        syns, answered = state.get if state.exists else (0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        syns, answered, last = state.get if state.exists else (0, False, 0)
         for pdf in batches:
             syns += int((pdf.answer == 0).sum())
             answered |= bool((pdf.answer == 1).any())
-        state.update((syns, answered))
+            last = max(last, int(pdf.ms.max()))
+        state.update((syns, answered, last))
+        if idle_ms:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame([(*key, syns, answered)], columns=["src_ip", "dst_ip", "dst_port", "syns", "answered"])
 
-    opening, answer = names.is_syn_only(F.col("tcp_flags")), names.has(
-        F.col("tcp_flags"),
-        names.SYN,
-    ) & names.has(F.col("tcp_flags"), names.ACK)
-    either = packets.where(opening | F.coalesce(answer, F.lit(False)))
-    back = F.coalesce(answer, F.lit(False))
+    timed = packets.withWatermark("ts", idle) if idle else packets
+    flags = F.col("tcp_flags")
+    back = F.coalesce(names.has(flags, names.SYN) & names.has(flags, names.ACK), F.lit(False))
     pick = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
-    turned = either.select(
+    turned = timed.where(names.is_syn_only(flags) | back).select(
+        "ts",
         pick("src_ip", "dst_ip").alias("src_ip"),
         pick("dst_ip", "src_ip").alias("dst_ip"),
         pick("dst_port", "src_port").alias("dst_port"),
         back.cast("int").alias("answer"),
+        whole_div(F.col("ts_ns"), 1_000_000).alias("ms"),
     )
-    return turned.groupBy("src_ip", "dst_ip", "dst_port").applyInPandasWithState(
-        update,
-        HANDSHAKES,
-        "syns bigint, answered boolean",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    state = "syns bigint, answered boolean, last bigint"
+    return turned.groupBy("src_ip", "dst_ip", "dst_port").applyInPandasWithState(update, HANDSHAKES, state, "update", timeout)
 
 
 def publish_reports(

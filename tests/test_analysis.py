@@ -209,3 +209,25 @@ def test_busy_flows_are_cut_to_their_first_arrivals(spark, monkeypatch):
     assert 60 <= kept.count() < 80
     found = beacon.scores(packets, flows.flows(packets)).first()
     assert (found.interval, found.jitter, found.times, found.samples_truncated) == (10.0, 0.0, 60, True)
+
+
+def test_idle_handshakes_are_forgotten(spark, tmp_path):
+    """A triple that nothing came of for the idle time starts again; without an idle time it goes on."""
+    from netlens.sources.capture import pcap_header, pcap_record
+
+    def syn(second, host):
+        data = sample.ethernet(sample.ipv4(host, "10.0.0.2", 6, sample.tcp(50000, 80, 1, 2, b"")))
+        return pcap_record((1_700_000_000 + second) * 1_000_000_000, len(data), data)
+
+    (tmp_path / "in").mkdir()
+    seen: dict[str, dict] = {"kept": {}, "idle": {}}
+    for n, frames in enumerate(([syn(0, "10.0.0.1")], [syn(5000, "10.0.0.9")], [syn(5001, "10.0.0.9")], [syn(5002, "10.0.0.1")])):
+        (tmp_path / "in" / f"{n}.pcap").write_bytes(pcap_header(1) + b"".join(frames))
+        for name, idle in (("kept", None), ("idle", "10 minutes")):
+            found = continuous.handshakes(continuous.packet_stream(spark, str(tmp_path / "in")), idle)
+
+            def put(df, _, name=name):
+                seen[name].update({r.src_ip: r.syns for r in df.collect()})
+
+            continuous.publish(found, str(tmp_path / name), put, mode="update", once=True).awaitTermination()
+    assert seen == {"kept": {"10.0.0.1": 2, "10.0.0.9": 2}, "idle": {"10.0.0.1": 1, "10.0.0.9": 2}}
