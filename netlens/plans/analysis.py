@@ -19,6 +19,25 @@ from netlens.storage import materialize, release
 EVIDENCE = 12
 SEVERITIES = ("info", "low", "medium", "high")
 
+# The findings' titles by id, which are part of the report's format.
+TITLES = {
+    "ioc-ip-match": "%d host(s) matched an address indicator",
+    "ioc-domain-match": "%d name(s) matched a domain indicator",
+    "ioc-ja3-match": "%d TLS client(s) matched a fingerprint indicator",
+    "periodic-beaconing": "%d flow(s) with machine-regular timing",
+    "dns-subdomain-volume": "%d domain(s) queried with unusually many subdomains",
+    "high-entropy-dns": "%d high-entropy DNS name(s)",
+    "port-scan": "%d host(s) exhibiting port-scan behaviour",
+    "outbound-upload-heavy": "%d outbound flow(s) dominated by upload",
+    "cleartext-http-credentials": "HTTP Authorization sent in the clear on %d request(s)",
+    "cleartext-service": "%d unencrypted service flow(s)",
+    "obsolete-tls": "%d TLS handshake(s) negotiated a deprecated version",
+    "tcp-overlap-conflict": "%d TCP segment(s) overlapped earlier data with different bytes",
+    "ip-fragment-overlap": "%d IP fragment(s) overlapped earlier data with different bytes",
+    "arp-address-conflict": "%d IP(s) claimed by more than one MAC",
+    "capture-quality": "Capture quality notes",
+}
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -160,11 +179,10 @@ def finding(
     evidence: Column,
     kind: str,
     severity: Column | str,
-    title: Column,
     detail: str,
     technique: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row from the rows that a rule found, or none: a title over ``n`` rows and the first evidence."""
+    """One row from the rows that a rule found, or none: the title with their number, and the first evidence."""
     ranked = rows.select(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("by"), evidence.alias("e"), "*")
     # The evidence shown comes from a top-k, the number from a count that combines before it shuffles.
     shown = ranked.orderBy("by").limit(EVIDENCE).agg(F.sort_array(F.collect_list(F.struct("by", "e"))).alias("l"))
@@ -174,17 +192,13 @@ def finding(
     return whole.select(
         F.lit(kind).alias("id"),
         "severity",
-        title.alias("title"),
+        F.format_string(TITLES[kind], "n").alias("title"),
         F.lit(detail).alias("detail"),
         F.transform("l", lambda x: x["e"]).alias("evidence"),
         techniques.alias("technique"),
     )
 
 
-def _titled(after: str) -> Column:
-    return F.concat(F.col("n").cast("string"), F.lit(after))
-
-
 def _fmt(pattern: str, *columns) -> Column:
     return F.format_string(pattern, *columns)
 
@@ -195,13 +209,8 @@ def collect_findings(a: Analysis) -> DataFrame:
     sni = F.coalesce(F.concat(F.lit(" sni="), c("sni")), F.lit(""))
     out: list[DataFrame] = []
     hits = a.indicator_hits() or {}
-    units = {
-        "ip": ("host(s) matched an address indicator", "packet(s)"),
-        "domain": ("name(s) matched a domain indicator", "lookup(s)/hit(s)"),
-        "ja3": ("TLS client(s) matched a fingerprint indicator", "handshake(s)"),
-    }
+    units = {"ip": "packet(s)", "domain": "lookup(s)/hit(s)", "ja3": "handshake(s)"}
     for kind, found in hits.items():
-        what, unit = units[kind]
         line = F.concat(
             c("indicator"),
             F.lit(" → "),
@@ -211,7 +220,7 @@ def collect_findings(a: Analysis) -> DataFrame:
             F.lit("] via "),
             c("source"),
             F.coalesce(F.concat(F.lit(" ("), c("tag"), F.lit(")")), F.lit("")),
-            _fmt(f" (%d {unit})", c("count")),
+            _fmt(f" (%d {units[kind]})", c("count")),
         )
         out.append(
             finding(
@@ -220,7 +229,6 @@ def collect_findings(a: Analysis) -> DataFrame:
                 line,
                 f"ioc-{kind}-match",
                 "high",
-                _titled(f" {what}"),
                 "Check that the list is current and the indicator narrow before acting on a match.",
             )
         )
@@ -241,7 +249,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             line,
             "periodic-beaconing",
             strong,
-            _titled(" flow(s) with machine-regular timing"),
             "Timing this even is a program's, not a person's; scheduled jobs and telemetry do it too.",
             ("T1071",),
         )
@@ -254,7 +261,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             line,
             "dns-subdomain-volume",
             "high",
-            _titled(" domain(s) queried with unusually many subdomains"),
             "Many names below one parent can carry data out over DNS; content networks also have many.",
             ("T1071.004",),
         )
@@ -273,7 +279,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             line,
             "high-entropy-dns",
             heavy,
-            _titled(" high-entropy DNS name(s)"),
             "Generated names and encoded data look random; so do hashed host names of cloud services.",
             ("T1568.002",),
         )
@@ -286,7 +291,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             line,
             "port-scan",
             "high",
-            _titled(" host(s) exhibiting port-scan behaviour"),
             "Connections were opened to many ports of one host; inventory scanners do the same.",
             ("T1046",),
         )
@@ -311,7 +315,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             line,
             "outbound-upload-heavy",
             "medium",
-            _titled(" outbound flow(s) dominated by upload"),
             "An inside host sent far more than it got back; backups and sync do too.",
             ("T1048",),
         )
@@ -324,7 +327,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             c("http.summary"),
             "cleartext-http-credentials",
             "high",
-            F.concat(F.lit("HTTP Authorization sent in the clear on "), c("n").cast("string"), F.lit(" request(s)")),
             "Credentials went over plain HTTP; their values are not kept here.",
             ("T1040",),
         )
@@ -347,7 +349,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             c("line"),
             "cleartext-service",
             "low",
-            _titled(" unencrypted service flow(s)"),
             "These services carry their data, and often passwords, without encryption.",
             ("T1040",),
         )
@@ -361,23 +362,19 @@ def collect_findings(a: Analysis) -> DataFrame:
         F.lit(""),
         "obsolete-tls",
         "medium",
-        F.concat(c("n").cast("string"), F.lit(" TLS handshake(s) negotiated a deprecated version")),
         "Versions before TLS 1.2 have known weaknesses.",
         ("T1040",),
     )
     lines = shown.orderBy("line").limit(EVIDENCE).agg(F.sort_array(F.collect_list("line")).alias("lines"))
     out.append(title.crossJoin(lines).withColumn("evidence", c("lines")).drop("lines"))  # one row each
-    for table, kind, what, unit in (
-        (a.streams, "tcp-overlap-conflict", "TCP segment(s)", "stream(s)"),
-        (a.datagrams, "ip-fragment-overlap", "IP fragment(s)", "datagram(s)"),
-    ):
+    for table, kind, unit in ((a.streams, "tcp-overlap-conflict", "stream(s)"), (a.datagrams, "ip-fragment-overlap", "datagram(s)")):
         total = streams.stats(table).where("conflicts > 0")
         line = _fmt(f"%d conflicting overlap(s) across %d tracked {unit}; first writer was kept", c("conflicts"), c("tracked"))
         out.append(
             total.select(
                 F.lit(kind).alias("id"),
                 F.lit("medium").alias("severity"),
-                _fmt(f"%d {what} overlapped earlier data with different bytes", c("conflicts")).alias("title"),
+                _fmt(TITLES[kind], c("conflicts")).alias("title"),
                 F.lit(
                     "Two versions of the same bytes let a monitor and a host see different data; merged taps do it too."
                 ).alias("detail"),
@@ -393,7 +390,6 @@ def collect_findings(a: Analysis) -> DataFrame:
             F.concat(c("ip"), F.lit(" claimed by "), F.array_join("macs", ", ")),
             "arp-address-conflict",
             "high",
-            _titled(" IP(s) claimed by more than one MAC"),
             "Several devices answered for one address: a poisoned cache, or a failover pair.",
             ("T1557.002",),
         )
@@ -440,7 +436,7 @@ def capture_quality(a: Analysis) -> DataFrame:
     return kept.select(
         F.lit("capture-quality").alias("id"),
         F.lit("info").alias("severity"),
-        F.lit("Capture quality notes").alias("title"),
+        F.lit(TITLES["capture-quality"]).alias("title"),
         F.lit("What may limit this analysis.").alias("detail"),
         "evidence",
         F.array().cast("array<string>").alias("technique"),
