@@ -43,6 +43,8 @@ SHARD_SLOTS = 1024
 BUCKET_ROWS = 1024
 SHARD_GROUP = 1024
 TASK_SHARDS = 32
+#: Slots that are made in a task, about.
+TASK_SLOTS = 1 << 15
 MOST_PARTITIONS = 4096
 ROUNDS = 12
 
@@ -228,7 +230,10 @@ def ranked(drawn: Drawn) -> DataFrame:
         }
     )
     each = offsets.join(starts, ["sidx", "group"]).withColumn("first", F.col("start") + F.col("inside"))
-    slots = each.withColumn("drawn_rank", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
+    # A fixed number of partitions: the counts are short, and adaptive execution would make all slots in one task.
+    parts = max(1, min(MOST_PARTITIONS, sum(drawn.wanted) // TASK_SLOTS + 1))
+    spread = each.repartition(parts, "sidx", "shard")
+    slots = spread.withColumn("drawn_rank", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
     place = F.col("in_shard") + F.col("drawn_rank") - F.col("first")
     over = [max(0, d - w) for w, d in zip(drawn.wanted, drawn.drawn, strict=True)]
     short = [max(0, w - d) for w, d in zip(drawn.wanted, drawn.drawn, strict=True)]
