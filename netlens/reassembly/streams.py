@@ -1,13 +1,15 @@
 """Messages that are split over TCP segments or IP fragments.
 
-Segments are grouped by flow and direction, fragments by datagram; within a group they are taken
-in order of index. What can't matter is left out before: segments past the head of a stream are
-dropped, so a group that goes to one task is bounded by the head, not by the stream.
+Segments are dealt by flow and direction, fragments by datagram, sorted by key and index, and taken one by
+one: a task holds one head or datagram at a time, however many segments or copies a key has. What
+can't matter is left out before: segments past the head of a stream are dropped, so what one task sorts
+of a stream is bounded by the head, not by the stream.
 """
 
 import json
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ HEAD = 16 * 1024
 #: Packets' indexes over which one task carries a flow's latest opening along; the result does not depend on it.
 CARRY = 1 << 16
 MOST_DATAGRAM = 65_535
+#: After a silence of so long an identification is a new datagram's; hosts give up an unfinished one sooner.
+REUSED_AFTER_NS = 120 * 1_000_000_000
 FIN, WRAP = 1, 1 << 32
 
 RESULT = "index bigint, message string, conflicts bigint, segments bigint"
@@ -164,62 +168,112 @@ def head_segments(packets: DataFrame) -> DataFrame:
     return kept.select(*(F.col(f"t.{c}").alias(c) for c in tcp.columns))
 
 
+def in_order(rows: DataFrame, key: tuple[str, ...], result: T.StructType, start: Callable[[tuple], "Recovery"]) -> DataFrame:
+    """Each key's rows, in order of index, through a ``Recovery`` of its own; the key's columns and what it returns."""
+    values = [c for c in rows.columns if c not in key]
+    schema = T.StructType([*(rows.schema[c] for c in key), *result.fields])
+    width = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        current, recovery = None, None
+        for batch in batches:
+            made: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != current:
+                    if recovery:
+                        made += [current + x for x in recovery.end()]
+                    current, recovery = row[:width], start(row[:width])
+                made += [current + x for x in recovery.take(*row[width:])]
+            yield table(made, arrow)
+        if recovery:
+            yield table([current + x for x in recovery.end()], arrow)
+
+    def table(made: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+        columns = zip(*made, strict=True) if made else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    dealt = rows.select(*key, *values).repartition(*key).sortWithinPartitions(*key, "index")
+    return dealt.mapInArrow(run, schema)
+
+
+class Recovery:
+    """What a key's rows come to; ``take`` and ``end`` return finished result rows."""
+
+    def take(self, *row) -> list[tuple]:
+        raise NotImplementedError
+
+    def end(self) -> list[tuple]:
+        raise NotImplementedError
+
+
+class StreamRecovery(Recovery):
+    """(index, message, conflicts, segments) of one direction of a flow."""
+
+    def __init__(self, endpoints: tuple):
+        self.ports = (endpoints[ENDPOINTS.index("src_port")], endpoints[ENDPOINTS.index("dst_port")])
+        self.stream, self.message, self.at = Stream(), None, -1
+
+    def take(self, index: int, seq: int, flags: int, payload: bytes | None) -> list[tuple]:
+        own = parse(payload or b"", self.ports, True)
+        found = self.stream.push(seq, flags, payload or b"", bool(own and own[1]["complete"]), self.ports)
+        if found and self.message is None:
+            self.message, self.at = json.dumps(message_row(found)), index
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.at, self.message, self.stream.conflicts, int(self.stream.tracked))]
+
+
 def recover_streams(packets: DataFrame) -> DataFrame:
     """Per stream: the recovered message (JSON), the segment's index that completed it, and conflicts."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        stream, message, at = Stream(), None, None
-        for r in pdf.itertuples(index=False):
-            payload = r.payload if isinstance(r.payload, (bytes, bytearray)) else b""
-            ports = (int(r.src_port), int(r.dst_port))
-            own = parse(bytes(payload), ports, True)
-            found = stream.push(int(r.seq), int(r.flags), bytes(payload), bool(own and own[1]["complete"]), ports)
-            if found and message is None:
-                message, at = json.dumps(message_row(found)), int(r.index)
-        out = pdf.iloc[:1][list(ENDPOINTS)].copy()
-        out["index"], out["message"], out["conflicts"], out["segments"] = at if at is not None else -1, message, stream.conflicts, int(stream.tracked)
-        return out
-
-    head = head_segments(packets)
-    schema = T.StructType([*(head.schema[c] for c in ENDPOINTS), *T._parse_datatype_string(RESULT).fields])
-    return head.groupBy(*ENDPOINTS).applyInPandas(run, schema)
+    return in_order(head_segments(packets), ENDPOINTS, T._parse_datatype_string(RESULT), StreamRecovery)
 
 
 FRAGMENT_KEY = ("src_ip", "dst_ip", "src_key", "dst_key", "ip_proto", "fragment_id")
 
 
-def recover_datagrams(packets: DataFrame) -> DataFrame:
-    """Per datagram: whether it is whole, its message (JSON) if it has one, its ports, and conflicts."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        datagram, message, at, ports = Datagram(), None, -1, (None, None)
-        proto = int(pdf.ip_proto.iloc[0])
-        for r in pdf.itertuples(index=False):
-            whole = datagram.push(int(r.fragment_offset), bool(r.more_fragments), bytes(r.ip_payload or b""))
-            if whole is not None:
-                at = int(r.index)
-                found = transport_payload(whole, proto)
-                if found:
-                    ports = found[:2]
-                    parsed = parse(found[2], ports, proto == TCP)
-                    message = json.dumps(message_row(parsed)) if parsed else None
-        out = pdf.iloc[:1][list(FRAGMENT_KEY)].copy()
-        out["src_port"], out["dst_port"] = pd.array([ports[0]], "Int32"), pd.array([ports[1]], "Int32")
-        out["index"], out["message"], out["conflicts"], out["segments"] = at, message, datagram.conflicts, int(datagram.fragments > 0)
-        return out
-
-    pieces = packets.where("fragmented").select("index", *FRAGMENT_KEY, "fragment_offset", "more_fragments", "ip_payload")
-    schema = T.StructType(
-        [
-            *(pieces.schema[c] for c in FRAGMENT_KEY),
-            T.StructField("src_port", T.IntegerType()),
-            T.StructField("dst_port", T.IntegerType()),
-            *T._parse_datatype_string(RESULT).fields,
-        ]
-    )
-    return pieces.groupBy(*FRAGMENT_KEY).applyInPandas(run, schema)
+class DatagramRecovery(Recovery):
+    """(ports, index, message, conflicts, fragments) of each datagram of an identification."""
+
+    def __init__(self, key: tuple, reused_after: int | None):
+        self.proto, self.reused_after = key[FRAGMENT_KEY.index("ip_proto")], reused_after
+        self._start()
+
+    def _start(self) -> None:
+        self.datagram, self.message, self.at, self.ports, self.last = Datagram(), None, -1, (None, None), None
+
+    def take(self, index: int, ts_ns: int, offset: int, more: bool, payload: bytes | None) -> list[tuple]:
+        done = []
+        if self.reused_after is not None and self.last is not None and ts_ns - self.last > self.reused_after:
+            done = self.end()
+            self._start()
+        self.last = max(ts_ns, self.last or ts_ns)
+        whole = self.datagram.push(offset, more, payload or b"")
+        if whole is not None:
+            self.at = index
+            found = transport_payload(whole, self.proto)
+            if found:
+                self.ports = found[:2]
+                parsed = parse(found[2], self.ports, self.proto == TCP)
+                self.message = json.dumps(message_row(parsed)) if parsed else None
+        return done
+
+    def end(self) -> list[tuple]:
+        return [(*self.ports, self.at, self.message, self.datagram.conflicts, int(self.datagram.fragments > 0))]
+
+
+def recover_datagrams(packets: DataFrame, reused_after: int | None = REUSED_AFTER_NS) -> DataFrame:
+    """Per datagram: whether it is whole, its message (JSON) if it has one, its ports, and conflicts.
+
+    Identifications have 16 bits and come again: after a silence of ``reused_after`` nanoseconds the same one
+    begins another datagram, which is a row of its own; with None each identification is one datagram.
+    """
+    pieces = packets.where("fragmented").select(*FRAGMENT_KEY, "index", "ts_ns", "fragment_offset", "more_fragments", "ip_payload")
+    schema = T._parse_datatype_string(f"src_port int, dst_port int, {RESULT}")
+    return in_order(pieces, FRAGMENT_KEY, schema, lambda key: DatagramRecovery(key, reused_after))
 
 
 def recovered_messages(recovered: DataFrame, origin: int) -> DataFrame:

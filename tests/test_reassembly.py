@@ -174,3 +174,33 @@ def test_a_flow_of_openings_and_ends_leaves_few_segments(spark):
         rows.append(("f", k + 1, 1, len(d), len(d), 1, d))
     schema = "file string, index long, ts_ns long, captured_len int, wire_len int, link_type int, data binary"
     assert streams.head_segments(layers.decode(spark.createDataFrame(rows, schema))).count() <= 4
+
+
+def pieces_of(spark, rows):
+    """(index, ts_ns, identification, offset, more, payload) as fragmented packets."""
+    return spark.createDataFrame(
+        [("10.0.0.1", "10.0.0.2", b"\4\n\0\0\1", b"\4\n\0\0\2", 17, r[2], r[0], r[1], r[3], r[4], r[5], True) for r in rows],
+        "src_ip string, dst_ip string, src_key binary, dst_key binary, ip_proto int, fragment_id bigint, index bigint, ts_ns bigint, "
+        "fragment_offset int, more_fragments boolean, ip_payload binary, fragmented boolean",
+    ).repartition(3)
+
+
+def test_identifications_come_again(spark):
+    datagram = [sample.udp(5000, 53, sample.dns(f"n{k}.example.org")) for k in range(3)]
+    rows, second = [], 1_000_000_000
+    for k, at in enumerate((0, 500, 530)):  # the third comes too soon to be a new one
+        rows += [(10 * k + 1, at * second, 7, 0, True, datagram[k][:24]), (10 * k + 2, at * second + 5, 7, 24, False, datagram[k][24:])]
+    rows.append((99, 0, 8, 8, True, b"alone"))
+    packets = pieces_of(spark, rows)
+    found = sorted((r.fragment_id, r.index, r.message is not None, r.conflicts) for r in streams.recover_datagrams(packets).collect())
+    assert found == [(7, 2, True, 0), (7, 12, True, 0), (8, -1, False, 0)]
+    once = sorted((r.fragment_id, r.index) for r in streams.recover_datagrams(packets, None).collect())
+    assert once == [(7, 2), (8, -1)]
+    assert streams.recover_datagrams(packets.where("false")).count() == 0
+
+
+def test_a_flood_of_copies_is_one_datagram(spark):
+    whole = sample.udp(5000, 53, sample.dns("copies.example.org"))
+    rows = [(k, k, 7, 0, True, whole[:24]) for k in range(20_000)] + [(20_000, 20_000, 7, 24, False, whole[24:])]
+    found = streams.recover_datagrams(pieces_of(spark, rows)).collect()
+    assert [(r.index, r.conflicts) for r in found] == [(20_000, 0)]
