@@ -238,11 +238,11 @@ def cleartext_services(found: DataFrame) -> DataFrame:
 
 
 def search(found: DataFrame, text: str, n: int = 200) -> DataFrame:
-    """Flows whose text, server name, service or protocol holds the text, at most 2000."""
+    """Flows whose text, server name, service or protocol holds the text: those of the most bytes, at most 2000, in order."""
     wanted = text.lower()
     hit = F.contains(F.lower("flow"), F.lit(wanted)) | F.coalesce(F.contains("service", F.lit(wanted)), F.lit(False))
     if "sni" in found.columns:
         hit = hit | F.coalesce(F.contains(F.lower("sni"), F.lit(wanted)), F.lit(False))
     if "protocols" in found.columns:
         hit = hit | F.exists(F.coalesce("protocols", F.array().cast("array<string>")), lambda p: F.contains(p, F.lit(wanted)))
-    return found.where(hit).limit(min(n, 2000))
+    return found.where(hit).orderBy(F.desc("bytes"), "flow").limit(min(n, 2000))

@@ -81,7 +81,7 @@ class Analysis:
     ):
         frames = capture.frames(records)
         if limit is not None:
-            frames = frames.where(F.col("index") <= max(1, limit))
+            frames = capture.first_records(frames, max(1, limit))
         self._prepare(materialize(layers.decode(frames), "packets"), capture.read_errors(records), settings, listed)
 
     @classmethod

@@ -283,7 +283,7 @@ SELECT packets, wire_bytes, wire_bytes AS captured_bytes, CAST(0 AS BIGINT) AS t
     "unanswered_syns": f"WITH {PKT_SCAN}, {_flow_sql('pkt_scan')} SELECT count(*) FILTER (unanswered) AS unanswered, count(*) AS flows FROM flows",
     "upload_heavy": f"{_F} SELECT flow, up_payload, down_payload, upload_ratio, duration FROM flows WHERE scope = 'outbound' AND up_payload >= 2000 AND upload_ratio >= 1.5",
     "cleartext_services": f"{_F} SELECT service, service_port, bytes, packets, flow FROM flows WHERE service IN ({', '.join(repr(x) for x in names.CLEARTEXT)}) AND a_payload + b_payload > 0",
-    "flow_search": f"{_F} SELECT flow, bytes FROM flows WHERE contains(lower(flow), '10.0.0.1:')",
+    "flow_search": f"{_F} SELECT flow, bytes FROM flows WHERE contains(lower(flow), '10.0.0.1:') ORDER BY bytes DESC, flow LIMIT 2000",
     "reset_flows": f"{_F} SELECT flow, client_ip FROM flows WHERE reset",
     "direction_stats": f"{_F} SELECT {_sql_ip('a')} AS a_ip, ap AS a_port, {_sql_ip('b')} AS b_ip, bp AS b_port, CASE ip_proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, a_packets, a_bytes, a_payload, {_FLAGS('a_flags')} AS a_flags, b_packets, b_bytes, b_payload, {_FLAGS('b_flags')} AS b_flags, initiator_a FROM flows",
     "first_packets": f"WITH {PKT} SELECT idx AS index, {_sql_ip('src')} AS src_ip, {_sql_ip('dst')} AS dst_ip, wire_len FROM pkt WHERE idx <= 100",

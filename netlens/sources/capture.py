@@ -38,6 +38,10 @@ RECORDS_AT_ONCE = 4096
 AT_ONCE, STRETCH = 128 << 20, 8 << 20
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 FILE_SHIFT = 1 << 40
+#: Files whose places are broadcast, at most.
+MOST_PLACES = 100_000
+#: Indexes of streamed records: seconds from 2020 on, then so many bits for the number in the file.
+FIRST_SECOND, NUMBER_BITS = 1_577_836_800, 33
 
 SCHEMA = "file string, n bigint, ts_ns bigint, captured_len int, wire_len int, link_type int, iface_id int, data binary, error string"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -187,39 +191,66 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def records_of(files: DataFrame, legacy_link_type: bool = False) -> DataFrame:
-    """Records of ``path`` and ``content`` rows, batch or streaming, with errors as rows of their own."""
+def _carrying(found: Iterator[pa.RecordBatch], names: list[str], values: list[pa.Scalar]) -> Iterator[pa.RecordBatch]:
+    """Batches with further columns of one value each."""
+    for batch in found:
+        more = [pa.repeat(v, batch.num_rows) for v in values]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*COLUMNS, *names])
+
+
+def records_of(files: DataFrame, legacy_link_type: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Records of ``path`` and ``content`` rows, batch or streaming, with errors as rows of their own and the ``carried`` columns of their file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                yield from _batches(path.as_py(), content.as_buffer().to_pybytes(), legacy_link_type)
+            for path, content, *values in zip(*batch.columns, strict=True):
+                yield from _carrying(_batches(path.as_py(), content.as_buffer().to_pybytes(), legacy_link_type), [*carried], values)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content", *carried).mapInArrow(run, _schema(files, carried))
 
 
-def records_of_large(files: DataFrame, legacy_link_type: bool = False) -> DataFrame:
+def records_of_large(files: DataFrame, legacy_link_type: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """Records of ``path`` rows, whose files the tasks open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with opened(path) as content:
-                    yield from _batches(path, content, legacy_link_type)
+            for path, *values in zip(*batch.columns, strict=True):
+                with opened(path.as_py()) as content:
+                    yield from _carrying(_batches(path.as_py(), content, legacy_link_type), [*carried], values)
 
-    return files.select("path").mapInArrow(run, SCHEMA)
+    return files.select("path", *carried).mapInArrow(run, _schema(files, carried))
 
 
-def indexed(files: DataFrame, legacy_link_type: bool = False, base: int = 0) -> DataFrame:
-    """Records of ``binaryFile`` rows with ``index``: from ``base`` on, the number in the file, and the file's place by name in the high bits."""
-    places = files.select("path").withColumn(
-        "place",
-        F.row_number().over(Window.orderBy("path")) - 1,
-    ).withColumnRenamed("path", "file")
+def _schema(files: DataFrame, carried: tuple[str, ...]) -> StructType:
+    return StructType([*StructType.fromDDL(SCHEMA).fields, *(files.schema[c] for c in carried)])
+
+
+def _records(files: DataFrame, legacy_link_type: bool, carried: tuple[str, ...]) -> DataFrame:
     # The source checks the length before it reads a file.
     small, large = files.where(F.col("length") <= AT_ONCE), files.where(F.col("length") > AT_ONCE)
-    found = records_of(small, legacy_link_type).unionByName(records_of_large(large, legacy_link_type))
-    return found.join(places, "file").withColumn("index", base + F.col("place") * FILE_SHIFT + F.col("n")).drop("place", "n")
+    return records_of(small, legacy_link_type, carried).unionByName(records_of_large(large, legacy_link_type, carried))
+
+
+def indexed(files: DataFrame, legacy_link_type: bool = False, base: int = 0) -> DataFrame:
+    """Records of ``binaryFile`` rows with ``index``: from ``base`` on, the number in the file, and the file's place by name in the high bits.
+
+    The places meet the files' rows before these are read, so no record is shuffled. Up to MOST_PLACES of them are
+    broadcast; more are joined as Spark sees fit, where every file is a key of its own.
+    """
+    places = files.select("path").withColumn("place", F.row_number().over(Window.orderBy("path")) - 1)
+    few = files.select("path").limit(MOST_PLACES + 1).count() <= MOST_PLACES
+    placed = files.join(F.broadcast(places) if few else places, "path")
+    found = _records(placed, legacy_link_type, ("place",))
+    return found.withColumn("index", base + F.col("place") * FILE_SHIFT + F.col("n")).drop("place", "n")
+
+
+def first_records(found: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` records in order of files and places; the files' numbers of records are counted first."""
+    place = F.call_function("div", F.col("index") - 1, F.lit(FILE_SHIFT))
+    sizes = found.groupBy(place.alias("place")).agg(F.count("*").alias("n"))
+    so_far = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("place")))  # a row for each file
+    last = so_far.where(F.col("upto") >= limit).orderBy("place").limit(1).first()
+    return found if last is None else found.where(F.col("index") <= last.place * FILE_SHIFT + limit - (last.upto - last.n))
 
 
 def read_capture(spark: SparkSession, path: str, legacy_link_type: bool = False) -> DataFrame:
@@ -233,10 +264,14 @@ def stream_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of captures as they appear in a folder; ``index`` is by time within a file's records."""
-    files = stream_files(spark, folder)
-    small, large = files.where(F.col("length") <= AT_ONCE), files.where(F.col("length") > AT_ONCE)
-    return records_of(small).unionByName(records_of_large(large)).withColumn("index", F.col("n"))
+    """Records of captures as they appear in a folder.
+
+    ``index`` orders records by the second in which their file was last changed, then by their number in it, so it
+    grows over rotated files; files of the same second interleave.
+    """
+    found = _records(stream_files(spark, folder), False, ("modificationTime",))
+    second = F.unix_seconds("modificationTime") - FIRST_SECOND
+    return found.withColumn("index", F.shiftleft(second, NUMBER_BITS) + F.col("n")).drop("modificationTime")
 
 
 def frames(found: DataFrame) -> DataFrame:

@@ -192,9 +192,9 @@ def test_identifications_come_again(spark):
         rows += [(10 * k + 1, at * second, 7, 0, True, datagram[k][:24]), (10 * k + 2, at * second + 5, 7, 24, False, datagram[k][24:])]
     rows.append((99, 0, 8, 8, True, b"alone"))
     packets = pieces_of(spark, rows)
-    found = sorted((r.fragment_id, r.index, r.message is not None, r.conflicts) for r in streams.recover_datagrams(packets).collect())
+    found = sorted((r.fragment_id, r["index"], r.message is not None, r.conflicts) for r in streams.recover_datagrams(packets).collect())
     assert found == [(7, 2, True, 0), (7, 12, True, 0), (8, -1, False, 0)]
-    once = sorted((r.fragment_id, r.index) for r in streams.recover_datagrams(packets, None).collect())
+    once = sorted((r.fragment_id, r["index"]) for r in streams.recover_datagrams(packets, None).collect())
     assert once == [(7, 2), (8, -1)]
     assert streams.recover_datagrams(packets.where("false")).count() == 0
 
@@ -203,4 +203,4 @@ def test_a_flood_of_copies_is_one_datagram(spark):
     whole = sample.udp(5000, 53, sample.dns("copies.example.org"))
     rows = [(k, k, 7, 0, True, whole[:24]) for k in range(20_000)] + [(20_000, 20_000, 7, 24, False, whole[24:])]
     found = streams.recover_datagrams(pieces_of(spark, rows)).collect()
-    assert [(r.index, r.conflicts) for r in found] == [(20_000, 0)]
+    assert [(r["index"], r.conflicts) for r in found] == [(20_000, 0)]

@@ -185,3 +185,63 @@ def test_addresses_as_text(spark):
     frame = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
     found = {bytes(r.key): r.text for r in frame.select("key", addresses.text_of_key(F.col("key")).alias("text")).collect()}
     assert found == {k: str(ipaddress.ip_address(k[1:])) for k in keys}
+
+
+def test_limit_reaches_over_files(spark, tmp_path):
+    """The first records are counted over files in order, so a short file doesn't use the limit up."""
+    from netlens.plans.analysis import Analysis
+
+    frames = sample.frames()
+    for name, some in (("a", frames[:5]), ("b", []), ("c", frames[5:10])):
+        (tmp_path / f"{name}.pcap").write_bytes(capture.pcap_header(1) + b"".join(capture.pcap_record(*f) for f in some))
+    found = capture.read_capture(spark, str(tmp_path))
+    for limit in (1, 5, 8, 10, 50):
+        kept = sorted(r["index"] for r in capture.first_records(found, limit).collect())
+        assert kept == [*range(1, 6), *((2 << 40) + k for k in range(1, 6))][:limit]
+    assert Analysis(found, limit=8).packets.count() == 8
+
+
+def test_records_are_not_shuffled_for_their_place(spark, tmp_path):
+    """Places meet the file rows before these are read: above the reader there is no exchange and no join."""
+    (tmp_path / "a.pcap").write_bytes(sample.capture_bytes())
+    plan = capture.read_capture(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("MapInArrow")
+    assert "Exchange" not in above and "Join" not in above and "BroadcastHashJoin" in below
+
+
+def test_many_files_are_joined_without_broadcast(spark, tmp_path, monkeypatch):
+    for name in "abc":
+        (tmp_path / f"{name}.pcap").write_bytes(sample.capture_bytes()[:4000])
+    few = sorted(map(tuple, capture.read_capture(spark, str(tmp_path)).collect()), key=repr)
+    monkeypatch.setattr(capture, "MOST_PLACES", 2)
+    assert sorted(map(tuple, capture.read_capture(spark, str(tmp_path)).collect()), key=repr) == few
+
+
+def test_streamed_records_are_ordered_over_files(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    frames = sample.frames()
+    for name, some, second in (("z", frames[:3], 1_700_000_000), ("a", frames[3:6], 1_700_000_009)):
+        (folder / f"{name}.pcap").write_bytes(capture.pcap_header(1) + b"".join(capture.pcap_record(*f) for f in some))
+        os.utime(folder / f"{name}.pcap", (second, second))
+    got = []
+    query = (
+        capture.stream_captures(spark, str(folder))
+        .writeStream.foreachBatch(lambda df, n: got.extend(df.collect()))
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    ordered = [bytes(r.data) for r in sorted(got, key=lambda r: r["index"])]
+    assert ordered == [f[2] for f in frames[:6]]
+
+
+def test_search_gives_the_largest_flows_in_order(spark):
+    from netlens.operators import flows
+
+    rows = [(f"10.0.0.{k}:1 -> x", k % 7, None) for k in range(40)]
+    found = flows.search(spark.createDataFrame(rows, "flow string, bytes long, service string").repartition(4), "10.0.", 5).collect()
+    assert [(r.flow, r.bytes) for r in found] == sorted([(f, b) for f, b, _ in rows], key=lambda x: (-x[1], x[0]))[:5]
