@@ -58,6 +58,57 @@ def flows(packets: DataFrame) -> DataFrame:
     return described(grouped)
 
 
+#: Figures of a flow that add up over stretches of packets.
+ADDED = ("a_packets", "b_packets", "a_bytes", "b_bytes", "a_payload", "b_payload")
+
+
+def flow_partials(packets: DataFrame) -> DataFrame:
+    """What a stretch of packets tells of each flow, in a form that ``merged_partials`` can merge with other stretches."""
+    keyed = with_flow_key(packets)
+    ab, syn = F.col("a_to_b"), names.is_syn_only(F.col("tcp_flags"))
+    opened = F.when(syn, F.col("index"))
+    one = lambda cond, value: F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("long")
+    sides = [
+        one(cond, value).alias(f"{side}_{name}")
+        for name, value in (("packets", F.lit(1)), ("bytes", F.col("wire_len")), ("payload", F.col("payload_len")))
+        for side, cond in (("a", ab), ("b", ~ab))
+    ]
+    flags = [F.coalesce(F.bit_or(F.when(cond, F.col("tcp_flags"))), F.lit(0)).alias(f"{side}_flags") for side, cond in (("a", ab), ("b", ~ab))]
+    return keyed.groupBy(*FLOW_KEY).agg(
+        *sides,
+        *flags,
+        F.min("ts_ns").alias("first_ns"),
+        F.max("ts_ns").alias("last_ns"),
+        F.min(opened).alias("opened_at"),
+        F.min_by(ab, opened).alias("opened_by_a"),
+        F.min("index").alias("began_at"),
+        F.min_by(ab, "index").alias("began_by_a"),
+    )
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """One row for each flow again; merging merged rows further gives the same."""
+    return partials.groupBy(*FLOW_KEY).agg(
+        *(F.sum(c).alias(c) for c in ADDED),
+        *(F.bit_or(c).alias(c) for c in ("a_flags", "b_flags")),
+        F.min("first_ns").alias("first_ns"),
+        F.max("last_ns").alias("last_ns"),
+        F.min("opened_at").alias("opened_at"),
+        F.min_by("opened_by_a", "opened_at").alias("opened_by_a"),
+        F.min("began_at").alias("began_at"),
+        F.min_by("began_by_a", "began_at").alias("began_by_a"),
+    )
+
+
+def flows_of_partials(partials: DataFrame) -> DataFrame:
+    """The same rows as ``flows`` gives for all the packets."""
+    initiator = F.coalesce("opened_by_a", "began_by_a").alias("initiator_a")
+    kept = partials.select(
+        *FLOW_KEY, *ADDED, "a_flags", "b_flags", "first_ns", "last_ns", F.col("opened_at").isNotNull().alias("handshake"), initiator
+    )
+    return described(kept)
+
+
 def described(grouped: DataFrame) -> DataFrame:
     """Adds who is the client, service, scope, ratio and other facts to aggregated flows."""
     c = F.col
@@ -124,6 +175,11 @@ def top_flows(found: DataFrame, n: int) -> DataFrame:
 
 def hosts(packets: DataFrame) -> DataFrame:
     """One row for each address: what it sent and received, and its distinct peers."""
+    return hosts_of_peers(peer_totals(packets))
+
+
+def peer_totals(packets: DataFrame) -> DataFrame:
+    """What each address sent to and received from each peer."""
     there = packets.where(F.col("src_key").isNotNull() & F.col("dst_key").isNotNull())
     side = lambda key, peer, sent: F.struct(
         F.col(key).alias("key"),
@@ -135,8 +191,14 @@ def hosts(packets: DataFrame) -> DataFrame:
         F.explode(F.array(side("src_key", "dst_key", True), side("dst_key", "src_key", False))).alias("e"),
     ).select("wire_len", "e.*")
     # By peer first: the number of rows for a host is then that of its peers, and no set of peers is held.
-    by_peer = both.groupBy("key", "peer").agg(*_sent_received())
-    sums = [F.sum(x).alias(x) for x in ("sent_packets", "sent_bytes", "received_packets", "received_bytes")]
+    return both.groupBy("key", "peer").agg(*_sent_received())
+
+
+SENT_RECEIVED = ("sent_packets", "sent_bytes", "received_packets", "received_bytes")
+
+
+def hosts_of_peers(by_peer: DataFrame) -> DataFrame:
+    sums = [F.sum(x).alias(x) for x in SENT_RECEIVED]
     each = by_peer.groupBy("key").agg(*sums, F.count("*").alias("peers"))
     return each.select(
         addresses.text_of_key(F.col("key")).alias("ip"),
@@ -211,7 +273,14 @@ def summary(total: DataFrame) -> DataFrame:
 
 def syn_ports(packets: DataFrame) -> DataFrame:
     """Distinct ports that a host's bare SYNs tried, by target."""
-    tried = packets.where(names.is_syn_only(F.col("tcp_flags"))).select("src_key", "dst_key", "dst_port").distinct()
+    return ports_by_target(tried_ports(packets))
+
+
+def tried_ports(packets: DataFrame) -> DataFrame:
+    return packets.where(names.is_syn_only(F.col("tcp_flags"))).select("src_key", "dst_key", "dst_port").distinct()
+
+
+def ports_by_target(tried: DataFrame) -> DataFrame:
     ends = [addresses.text_of_key(F.col(f"{x}_key")).alias(f"{x}_ip") for x in ("src", "dst")]
     return tried.groupBy("src_key", "dst_key").agg(F.count("*").alias("ports")).select(*ends, "src_key", "dst_key", "ports")
 

@@ -232,13 +232,19 @@ def flow_messages(messages: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return told.join(values, same, "left").select(*told.columns, *(F.coalesce(kind, none).alias(kind) for kind in FLOW_VALUES))
 
 
+def arp_claims(packets: DataFrame) -> DataFrame:
+    """Distinct pairs of ``ip`` and the ``mac`` that replied for it."""
+    replies = packets.where((F.col("arp.op") == 2) & (F.col("arp.sender_ip") != "0.0.0.0"))
+    return replies.select(F.col("arp.sender_ip").alias("ip"), F.col("arp.sender_mac").alias("mac")).distinct()
+
+
 def arp_bindings(packets: DataFrame) -> DataFrame:
     """Hardware addresses that replied for each protocol address."""
-    replies = packets.where((F.col("arp.op") == 2) & (F.col("arp.sender_ip") != "0.0.0.0"))
-    return replies.select(
-        F.col("arp.sender_ip").alias("ip"),
-        F.col("arp.sender_mac").alias("mac"),
-    ).distinct().groupBy("ip").agg(F.array_sort(F.collect_list("mac")).alias("macs"))
+    return bindings_of_claims(arp_claims(packets))
+
+
+def bindings_of_claims(claims: DataFrame) -> DataFrame:
+    return claims.groupBy("ip").agg(F.array_sort(F.collect_list("mac")).alias("macs"))
 
 
 def arp_conflicts(bindings: DataFrame) -> DataFrame:

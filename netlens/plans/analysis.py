@@ -98,44 +98,67 @@ class Analysis:
         return made
 
     def _prepare(self, packets: DataFrame, errors: DataFrame, settings: Settings | None, listed: DataFrame | None) -> None:
+        self.packets, self.errors = packets, errors
+        self.flow_packets = packets
+        self._derive(
+            streams.recover_streams(packets),
+            streams.recover_datagrams(packets),
+            applications.messages(packets),
+            flows.flows(packets),
+            flows.hosts(packets),
+            settings,
+            listed,
+        )
+
+    def _derive(
+        self,
+        recovered_streams: DataFrame,
+        recovered_datagrams: DataFrame,
+        found: DataFrame,
+        base: DataFrame,
+        hosts: DataFrame,
+        settings: Settings | None,
+        listed: DataFrame | None,
+    ) -> None:
+        """Write what many sections read."""
         self.settings = (settings or Settings()).clamped()
         self.listed = listed if listed is not None and not listed.isEmpty() else None
-        self.packets, self.errors = packets, errors
-        self.streams = materialize(streams.recover_streams(self.packets), "streams")
-        self.datagrams = materialize(streams.recover_datagrams(self.packets), "datagrams")
-        found = applications.messages(self.packets)
+        self.streams = materialize(recovered_streams, "streams")
+        self.datagrams = materialize(recovered_datagrams, "datagrams")
         for recovered, origin in ((self.streams, 1), (self.datagrams, 2)):
             found = found.unionByName(streams.recovered_messages(recovered, origin), allowMissingColumns=True)
         self.messages = materialize(found, "messages")
-        self.flows = materialize(self._flows(), "flows")
-        self.hosts = materialize(flows.hosts(self.packets), "hosts")
+        self.flows = materialize(self._flows(base), "flows")
+        self.hosts = materialize(hosts, "hosts")
         self.names = materialize(messages.dns_names(self.messages), "dns-names")
 
     def release(self) -> None:
         """Delete the tables that this analysis wrote."""
-        for table in (self.packets, self.streams, self.datagrams, self.messages, self.flows, self.hosts, self.names):
+        for table in self.written():
             release(table)
 
-    def _flows(self) -> DataFrame:
-        base = flows.flows(self.packets)
+    def written(self) -> list[DataFrame]:
+        return [self.packets, self.streams, self.datagrams, self.messages, self.flows, self.hosts, self.names]
+
+    def _flows(self, base: DataFrame) -> DataFrame:
         keyed = flows.with_flow_key(self.messages)
         told = messages.flow_messages(keyed, flows.FLOW_KEY)
         resolved = messages.dns_resolved(self.messages).select(F.col("ip").alias("server_ip"), F.col("name").alias("destination"))
         return base.join(told, list(flows.FLOW_KEY), "left").join(resolved, "server_ip", "left")
 
     def counters(self) -> DataFrame:
-        more = self.packets.agg(
-            F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"),
-            F.count_if("fragmented").alias("fragments"),
-            F.count_if(F.col("arp").isNotNull()).alias("arp"),
-            F.count_if(F.col("src_key").isNull() & F.col("arp").isNull()).alias("other_l3"),
-        )
-        return flows.summary(flows.counters(self.packets)).crossJoin(more)  # one row each
+        return flows.summary(all_counters(self.packets))
+
+    def timeline(self) -> DataFrame:
+        return flows.timeline(self.packets)
+
+    def bindings(self) -> DataFrame:
+        return messages.arp_bindings(self.packets)
 
     def beacons(self) -> DataFrame:
         s = self.settings
         scored = beacon.gated(
-            beacon.scores(self.packets, self.flows),
+            beacon.scores(self.flow_packets, self.flows),
             s.beacon_packets,
             s.beacon_jitter,
             s.beacon_least,
@@ -173,6 +196,17 @@ class Analysis:
         return collect_findings(self)
 
 
+def all_counters(packets: DataFrame) -> DataFrame:
+    """One row of totals, with what only decoding tells."""
+    more = packets.agg(
+        F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"),
+        F.count_if("fragmented").alias("fragments"),
+        F.count_if(F.col("arp").isNotNull()).alias("arp"),
+        F.count_if(F.col("src_key").isNull() & F.col("arp").isNull()).alias("other_l3"),
+    )
+    return flows.counters(packets).crossJoin(more)  # one row each
+
+
 def finding(
     rows: DataFrame,
     order: list[Column],
@@ -382,7 +416,7 @@ def collect_findings(a: Analysis) -> DataFrame:
                 F.array().cast("array<string>").alias("technique"),
             )
         )
-    conflicts = messages.arp_conflicts(messages.arp_bindings(a.packets))
+    conflicts = messages.arp_conflicts(a.bindings())
     out.append(
         finding(
             conflicts,

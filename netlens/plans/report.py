@@ -94,7 +94,7 @@ def build(a: Analysis, source: str, now: float | None = None) -> dict:
             "top_hosts": top(messages.http_hosts(a.messages), "requests", "host"),
             "top_agents": top(messages.http_agents(a.messages), "requests", "user_agent"),
         },
-        "timeline": _pairs(flows.timeline(a.packets).orderBy("second")),
+        "timeline": _pairs(a.timeline().orderBy("second")),
     }
     if hits is not None:
         report["ioc"] = {

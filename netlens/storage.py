@@ -46,7 +46,7 @@ def release(df: DataFrame) -> None:
     """Delete the table behind a frame that ``materialize`` returned."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
         _written[:] = [x for x in _written if x[1] != path]
 
 
@@ -60,11 +60,12 @@ def release_since(mark: int, keep: DataFrame) -> None:
     kept = getattr(keep, "_scratch_path", None)
     for spark, path in _written[mark:]:
         if path != kept:
-            _delete(spark, path)
+            delete(spark, path)
     _written[mark:] = [x for x in _written[mark:] if x[1] == kept]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reaches; one that isn't there is no error."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -74,6 +75,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean_up() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return

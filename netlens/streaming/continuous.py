@@ -4,7 +4,8 @@ Captures that rotate into a folder are decoded as they come. The small aggregate
 mode and are published as snapshots; flows carry their state by key. Times are never cut off by a
 watermark unless one is asked for, so late packets count; a watermark bounds the state instead.
 Whole reports, with findings, names and reassembly across batches, come from ``publish_reports``: packets
-are decoded once and kept, and each snapshot is the analysis of all that are kept.
+are decoded once and leave partial tables, and each report merges those. Split messages as they come, by
+keyed state, are in ``recovery``.
 """
 
 from collections.abc import Callable, Iterator
@@ -12,7 +13,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,8 +22,9 @@ from netlens.functions.addresses import text_of_key
 from netlens.functions.text import whole_div
 from netlens.operators.flows import FLOW_KEY, with_flow_key
 from netlens.plans import report
-from netlens.plans.analysis import Analysis, Settings
+from netlens.plans.analysis import Settings
 from netlens.sources import capture
+from netlens.streaming import snapshots
 
 LEAST_REFRESH, MOST_REFRESH = 0.25, 60.0
 
@@ -148,24 +149,18 @@ def publish_reports(
 ) -> StreamingQuery:
     """Hand ``put`` the report of all captures in a folder with its generation, again whenever captures have come.
 
-    Each batch's packets go to a folder of their own under ``store``, which a repeated batch replaces, so nothing counts
-    twice. Streams and datagrams that reach over several files and batches are put together, as the analysis
-    reads all packets kept; drop old batches from ``store`` to bound what a snapshot covers.
+    Each batch leaves partial tables under ``store`` (see ``snapshots``), which a repeated batch replaces, so nothing
+    counts twice; the report merges them. Streams and datagrams that reach over several files and batches are put
+    together from the segments and fragments that are kept.
     """
+    kept = snapshots.Store(spark, store)
 
     def take(files: DataFrame, number: int) -> None:
-        own = f"{store}/batch={number}"
-        last = spark.read.schema(stored).parquet(store).where(F.col("batch") < number).agg(F.max("index")).first()[0] if number else None
-        base = 0 if last is None else (last // capture.FILE_SHIFT + 1) * capture.FILE_SHIFT
-        found = capture.indexed(files, (settings or Settings()).legacy_link_type, base)
-        layers.decode(capture.frames(found)).write.mode("overwrite").parquet(own)
-        packets = spark.read.schema(stored).parquet(store).where(F.col("batch") <= number).drop("batch")
-        analysis = Analysis.of_packets(packets, capture.read_errors(found), settings, listed)
+        snapshots.take_batch(kept, files, number, settings)
+        analysis = snapshots.MergedAnalysis(kept, number + 1, settings, listed)
         put(report.build(analysis, folder), number)
         analysis.release()
 
-    empty = capture.frames(spark.createDataFrame([], capture.SCHEMA).withColumnRenamed("n", "index"))
-    stored = T.StructType([*layers.decode(empty).schema.fields, T.StructField("batch", T.LongType())])
     return publish(capture.stream_files(spark, folder), checkpoint, take, refresh, "append", once)
 
 
