@@ -36,6 +36,7 @@ CACHE_ENTRIES = 500_000
 #: Ids that one output batch holds, about; and texts or id lists of more than this stand alone.
 BATCH_IDS = 2_000_000
 NEVER = float("-inf")
+NOTHING: dict[str, int] = {}
 #: A segment of more characters is not worth keeping.
 CACHED_CHARS = 64
 
@@ -84,9 +85,8 @@ class MergeModel:
         self.backward.make_automaton()
         self.cut = re.compile(self._segments()).findall
         self.segments: dict[str, bytes] = {}
-        self.followers: dict[str, dict[str, bool]] = {}
+        self.followers: dict[str, dict[str, int]] = {}
         self.n_pairs = 0
-        self.shorter: dict[str, int] = {}
 
     def _segments(self) -> str:
         """What texts are cut into: spaces and the letters, or the other signs, that follow them."""
@@ -112,22 +112,20 @@ class MergeModel:
         return parts
 
     def fits(self, before: str, piece: str) -> bool:
-        """Whether merging the two alone leaves the two; with nothing before, whether the piece is made at all.
+        """Whether merging the two alone leaves the two; with nothing before, whether the piece is made at all."""
+        return self.merged(before + piece) == ([before, piece] if before else [piece])
 
-        Answers are kept in ``followers``.
-        """
+    def shorter(self, piece: str) -> int:
+        """Characters of the longest piece that is a proper prefix of this one; 0 after a single character."""
+        return next((k for k in range(len(piece) - 1, 1, -1) if piece[:k] in self.score), min(1, len(piece) - 1))
+
+    def _judged(self, before: str, piece: str) -> int:
+        """-1 if the piece may follow, else how long the next one to try is; kept in ``followers``."""
         if self.n_pairs >= CACHE_ENTRIES:
             self.followers.clear()
             self.n_pairs = 0
         self.n_pairs += 1
-        found = self.merged(before + piece) == ([before, piece] if before else [piece])
-        self.followers.setdefault(before, {})[piece] = found
-        return found
-
-    def next_shorter(self, piece: str) -> int:
-        """Characters of the longest piece that is a proper prefix of this one; 0 after a single character."""
-        found = next((k for k in range(len(piece) - 1, 1, -1) if piece[:k] in self.score), min(1, len(piece) - 1))
-        self.shorter[piece] = found
+        found = self.followers.setdefault(before, {})[piece] = -1 if self.fits(before, piece) else self.shorter(piece)
         return found
 
     def pieces(self, segment: str) -> list[str]:
@@ -140,27 +138,30 @@ class MergeModel:
                 longest[start] = length
         failed = bytearray(n // 8 + 1)
         found: list[str] = []
-        at, size = 0, longest[0] if n else 0
+        before, at, size = "", 0, longest[0] if n else 0
         while at < n:
-            before = found[-1] if found else ""
-            known = self.followers.get(before, {})
+            known = self.followers.get(before, NOTHING)
             while size:
                 end = at + size
                 piece = segment[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    fits = known.get(piece)
-                    if self.fits(before, piece) if fits is None else fits:
-                        break
-                shorter = self.shorter.get(piece)
-                size = self.next_shorter(piece) if shorter is None else shorter
+                if failed[end >> 3] >> (end & 7) & 1:
+                    size = self.shorter(piece)
+                    continue
+                judged = known.get(piece)
+                if judged is None:
+                    judged = self._judged(before, piece)
+                if judged < 0:
+                    break
+                size = judged
             if size:
                 found.append(piece)
-                at = end
+                before, at = piece, end
                 size = longest[at] if at < n else 0
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(found.pop())
-                size = self.next_shorter(before)
+                size = self.shorter(before)
+                before = found[-1] if found else ""
         return found
 
     def _segment(self, segment: str) -> bytes:
@@ -274,7 +275,7 @@ def decode(frame: DataFrame, model_path: str, *, ids_column: str = "ids", into:
             for first, last in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if first < last:
                     part = batch.slice(int(first), int(last - first))
-                    texts = [model.decode(x.values.drop_null().to_pylist()) if x.is_valid else "" for x in part.column(place)]
+                    texts = [model.decode(x.values.drop_null().to_numpy().tolist()) if x.is_valid else "" for x in part.column(place)]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema.names)
 
     return frame.mapInArrow(run, schema)
