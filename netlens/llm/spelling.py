@@ -23,6 +23,7 @@ result. Columns other than the id and the text are not looked at.
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ BLOCK_ROWS = 1 << 12
 
 #: Latin-1 bytes of a run as they are, capital A-Z as small ones, all else a space.
 RUN_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
+NEAR = "word string, near long, best_n long, best string"
 #: Label of the end of a word.
 END = 0
 
@@ -312,7 +314,7 @@ def near_in(words: DataFrame, tries: list[bytes]) -> DataFrame:
                     ["word", "near", "best_n", "best"],
                 )
 
-    made = materialize(words.mapInArrow(run, "word string, near long, best_n long, best string"), "near")
+    made = materialize(words.mapInArrow(run, NEAR), "near")
     sent.destroy()
     return made
 
@@ -337,20 +339,19 @@ def variants(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     words = materialize(counted, "words")
     tries = materialize(shards(words), "trie-shards")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = None
+    parts: list[DataFrame] = []
     for some in rounds([(r.shard, r.size) for r in tries.select("shard", "size").collect()]):
         blobs = [bytes(r.trie) for r in tries.where(F.col("shard").between(some[0], some[-1])).select("trie").collect()]
-        found = near_in(words.select("word").repartition(tasks, "word"), blobs)
-        near = found if near is None else near.unionByName(found)
-    if near is None:
-        near = spark.createDataFrame([], "word string, near long, best_n long, best string")
+        parts.append(near_in(words.select("word").repartition(tasks, "word"), blobs))
+    near = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], NEAR)
     best = near.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("form"))).alias("best"))
     led = F.col("form_n") >= FACTOR * F.col("n")
     joined = words.join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n")
     )
     formed = materialize(joined.withColumns({"form": F.when(led, F.col("form")), "form_n": F.when(led, F.col("form_n"))}), "forms")
-    release(tries)
+    for table in (words, tries, *parts):
+        release(table)
     roots = follow_forms(formed.where("form is not null").select("word", F.col("form").alias("root")))
     return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
