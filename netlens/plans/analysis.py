@@ -146,6 +146,17 @@ class Analysis:
         resolved = messages.dns_resolved(self.messages).select(F.col("ip").alias("server_ip"), F.col("name").alias("destination"))
         return base.join(told, list(flows.FLOW_KEY), "left").join(resolved, "server_ip", "left")
 
+    #: Notes on what was let go before it could be put together.
+    drop_notes: tuple[str, ...] = ()
+
+    def note_drops(self, dropped_streams: int, dropped_datagrams: int) -> None:
+        """Tell the report what a bounded recovery let go (see ``streaming.recovery.accounting``)."""
+        told = (
+            (dropped_datagrams, "%d fragmented datagram(s) were let go unfinished; their messages are missing"),
+            (dropped_streams, "%d TCP direction(s) were let go unfinished; messages split over their segments are missing"),
+        )
+        self.drop_notes = tuple(text % n for n, text in told if n)
+
     def counters(self) -> DataFrame:
         return flows.summary(all_counters(self.packets))
 
@@ -464,6 +475,7 @@ def capture_quality(a: Analysis) -> DataFrame:
             c("tcp_recovered") > 0,
             _fmt("%d application message(s) were recovered from several TCP segments", c("tcp_recovered")),
         ),
+        *(F.lit(note) for note in a.drop_notes),
         F.when(c("outside"), "no private address was seen: the capture point may be outside the network"),
     )
     kept = facts.select(F.filter(notes, lambda n: n.isNotNull()).alias("evidence")).where(F.size("evidence") > 0)

@@ -1,9 +1,9 @@
 """Captures: pcap and pcapng files to frames, and frames to pcap files.
 
 Files are read through Spark's own ``binaryFile`` source, so any store that Spark reads will do,
-in batches and as a stream; records aren't splittable, so a file is one task's work. Rotated
-captures spread over tasks by file. Files of more than ``AT_ONCE`` bytes, which that source would hold
-whole, are opened in the task and read in stretches, so a capture may have any size. A ``capture`` data
+in batches and as a stream. Rotated captures spread over tasks by file. Files of more than ``AT_ONCE`` bytes,
+which that source would hold whole, are opened in the tasks and read in stretches, so a capture may have any
+size; a pcap file of that size is split into ranges of bytes that many tasks read (``placed_ranges``). A ``capture`` data
 source with the same reader, for local paths, and a writer can be registered for ``spark.read`` and
 ``df.write``.
 """
@@ -15,12 +15,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
+
+from netlens.storage import materialize, release
 
 # Magic numbers (byte order, nanoseconds per unit), block types and limits.
 MAGICS = {
@@ -36,6 +39,8 @@ TSRESOL, MICROSECONDS = 9, 1_000_000
 RECORDS_AT_ONCE = 4096
 #: Bytes of a file that are taken whole, at most; bytes of a stretch of larger ones.
 AT_ONCE, STRETCH = 128 << 20, 8 << 20
+#: Bytes of a range of a large pcap file; headers in a row that make a record's start plausible; seconds they may lie apart.
+RANGE, CHAIN, YEARS = 64 << 20, 8, 10 * 366 * 86_400
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 FILE_SHIFT = 1 << 40
 #: Files whose places are broadcast, at most.
@@ -96,12 +101,12 @@ def records(content: bytes | Stretches, legacy_link_type: bool = False) -> Itera
         raise CaptureError("unknown capture format")
 
 
-def _pcap(content: bytes | Stretches, order: str, unit: int) -> Iterator[tuple]:
+def _pcap(content: bytes | Stretches, order: str, unit: int, at: int = 24, stop: int | None = None) -> Iterator[tuple]:
+    """The records that start from ``at`` on and before ``stop``."""
     if len(content) < 24:
         raise CaptureError("file header is cut off")
     link = _numbers(order + "I", content, 20)[0]
-    at = 24
-    while at + 16 <= len(content):
+    while at + 16 <= len(content) and (stop is None or at < stop):
         seconds, fraction, captured, wire = _numbers(order + "4I", content, at)
         if captured > MOST_CAPTURED:
             raise CaptureError(f"implausible record length {captured}")
@@ -162,10 +167,11 @@ def _pcapng(content: bytes | Stretches, legacy: bool) -> Iterator[tuple]:
             yield 0, len(data), max(wire, len(data)), 1 if legacy or not interfaces else interfaces[0][0], 0, data
 
 
-def _batches(name: str, content: bytes | Stretches, legacy: bool) -> Iterator[pa.RecordBatch]:
+def _batches(name: str, content: bytes | Stretches, legacy: bool, part: tuple[int, int, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of a file's records; of a pcap file's ``part`` those from a place on and up to another, numbered on from a number."""
     rows: list[tuple] = []
-    n, error = 0, None
-    found = records(content, legacy)
+    n, error = part[2] if part else 0, None
+    found = _pcap(content, *MAGICS[bytes(content[:4])], *part[:2]) if part else records(content, legacy)
     while True:
         try:
             record = next(found)
@@ -231,6 +237,131 @@ def _records(files: DataFrame, legacy_link_type: bool, carried: tuple[str, ...])
     return records_of(small, legacy_link_type, carried).unionByName(records_of_large(large, legacy_link_type, carried))
 
 
+def _starts_chain(content: Stretches, order: str, most: int, at: int, second: int) -> bool:
+    """Whether headers follow each other from here on, to the end of the file or CHAIN times; one header alone must end the file exactly."""
+    for k in range(CHAIN):
+        if at + 16 > len(content):
+            return k > 1 or at == len(content)
+        seconds, fraction, captured, wire = _numbers(order + "4I", content, at)
+        if captured > MOST_CAPTURED or fraction >= most or not max(1, captured) <= wire or abs(seconds - second) > YEARS:
+            return False
+        at += 16 + captured
+    return True
+
+
+def _first_start(content: Stretches, order: str, unit: int, at: int, stop: int) -> int:
+    """The first plausible start of a record from ``at`` on; ``stop`` if there is none before it."""
+    second, most = _numbers(order + "I", content, 24)[0], 1_000_000_000 // unit
+    while at < stop:
+        window = np.frombuffer(content[at : min(at + STRETCH // 8, stop) + 15], np.uint8).astype(np.uint32)
+        if len(window) < 16:
+            return stop
+        n = len(window) - 15
+        octets = lambda k: [window[k + j : k + j + n] for j in range(4)]  # noqa: B023, E731
+        number = lambda k: sum(x << np.uint32(8 * (j if order == "<" else 3 - j)) for j, x in enumerate(octets(k)))  # noqa: B023, E731
+        may = np.flatnonzero((number(8) <= MOST_CAPTURED) & (number(4) < most) & (number(12) >= np.maximum(number(8), 1)))
+        for k in may.tolist():
+            if _starts_chain(content, order, most, at + k, second):
+                return at + k
+        at += n
+    return stop
+
+
+def _walk(content: Stretches, order: str, at: int, stop: int) -> tuple[int, int, bool]:
+    """Where the first record from ``stop`` on starts, how many start before it, and whether the file ends there (cut off or in error)."""
+    n = 0
+    while at < stop:
+        if at + 16 > len(content):
+            return at, n, True
+        captured = _numbers(order + "I", content, at + 8)[0]
+        if captured > MOST_CAPTURED or at + 16 + captured > len(content):
+            return at, n, True
+        at, n = at + 16 + captured, n + 1
+    return at, n, False
+
+
+WALKED = "path string, place bigint, start bigint, stop bigint, first bigint, last bigint, records bigint, ends boolean, whole boolean"
+
+
+def _walk_ranges(ranges: DataFrame) -> DataFrame:
+    """What walking each range (path, place, start, stop, forced) tells; with ``forced`` a record is known to start there."""
+    names = [x.split()[0] for x in WALKED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                with opened(r["path"]) as content:
+                    magic, at = bytes(content[:4]), r["forced"]
+                    if magic not in MAGICS or len(content) < 40:  # other formats are the first range's work
+                        made.append((r["path"], r["place"], r["start"], r["stop"], r["start"], r["stop"], 0, False, True))
+                        continue
+                    order, unit = MAGICS[magic]
+                    if at is None:
+                        at = 24 if r["start"] == 0 else _first_start(content, order, unit, r["start"], r["stop"])
+                    last, n, ends = _walk(content, order, at, r["stop"])
+                    made.append((r["path"], r["place"], r["start"], r["stop"], at, last, n, ends, False))
+            kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names)
+
+    tasks = max(1, ranges.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartition(4 * tasks, "path", "start").mapInArrow(run, WALKED)
+
+
+def placed_ranges(large: DataFrame, size: int | None = None) -> DataFrame:
+    """Ranges of large files: path, place, first (where its first record starts), stop, before (records of the file before it), whole.
+
+    Each range finds its first record by itself, as a chain of plausible headers, and walks to its end. Where the walk of the
+    range before ends elsewhere, the range took other bytes for headers: it walks again from the right place, so what is
+    read is exactly what one reader would read. Ranges behind the end of a cut-off or broken file are left out. Files that
+    are no pcap are one range.
+    """
+    size = size or RANGE
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start")
+    ranges = large.select("path", "place", "length", starts).select(
+        "path", "place", "start", F.least(F.col("start") + size, "length").alias("stop"), F.lit(None).cast("long").alias("forced")
+    )
+    order = Window.partitionBy("path").orderBy("start")
+    walked = materialize(_walk_ranges(ranges), "ranges")
+    while True:
+        before = F.lag("last").over(order)
+        told = walked.withColumn("due", F.when(F.col("whole") | before.isNull(), F.col("first")).otherwise(F.greatest(before, "start")))
+        # The first wrong range of a file is put right for certain, and most others, as walks soon fall in step.
+        again = told.where("due <> first").select("path", "place", "start", "stop", F.col("due").alias("forced"))
+        mended = materialize(_walk_ranges(again), "ranges")
+        if mended.isEmpty():
+            release(mended)
+            break
+        whole = materialize(walked.join(mended, ["path", "start"], "left_anti").select(*walked.columns).unionByName(mended), "ranges")
+        release(walked)
+        release(mended)
+        walked = whole
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    counted = walked.withColumns(
+        {
+            "before": F.coalesce(F.sum("records").over(earlier), F.lit(0)),
+            "over": F.coalesce(F.max("ends").over(earlier), F.lit(False)),
+        }
+    )
+    return counted.where("not over and (not whole or start = 0)").select("path", "place", "first", "stop", "before", "whole")
+
+
+def records_of_ranges(ranges: DataFrame, legacy_link_type: bool = False) -> DataFrame:
+    """Records of ``placed_ranges``, numbered as in the whole file, with ``place``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with opened(r["path"]) as content:
+                    part = None if r["whole"] else (r["first"], r["stop"], r["before"])
+                    yield from _carrying(_batches(r["path"], content, legacy_link_type, part), ["place"], [pa.scalar(r["place"], pa.int64())])
+
+    tasks = max(1, ranges.sparkSession.sparkContext.defaultParallelism)
+    spread = ranges.repartition(4 * tasks, "path", "first")
+    # Ranges are few rows, so they are dealt out to more tasks than there are cores.
+    return spread.mapInArrow(run, StructType([*StructType.fromDDL(SCHEMA).fields, StructField("place", LongType())]))
+
+
 def indexed(files: DataFrame, legacy_link_type: bool = False, base: int = 0) -> DataFrame:
     """Records of ``binaryFile`` rows with ``index``: from ``base`` on, the number in the file, and the file's place by name in the high bits.
 
@@ -239,8 +370,12 @@ def indexed(files: DataFrame, legacy_link_type: bool = False, base: int = 0) ->
     """
     places = files.select("path").withColumn("place", F.row_number().over(Window.orderBy("path")) - 1)
     few = files.select("path").limit(MOST_PLACES + 1).count() <= MOST_PLACES
-    placed = files.join(F.broadcast(places) if few else places, "path")
-    found = _records(placed, legacy_link_type, ("place",))
+    placed = files.join(F.broadcast(places) if few else places, "path").withColumn("place", F.col("place").cast("long"))
+    # The source checks the length before it reads a file.
+    found = records_of(placed.where(F.col("length") <= AT_ONCE), legacy_link_type, ("place",))
+    large = placed.where(F.col("length") > AT_ONCE).select("path", "place", "length")
+    if not large.isEmpty():
+        found = found.unionByName(records_of_ranges(placed_ranges(large), legacy_link_type))
     return found.withColumn("index", base + F.col("place") * FILE_SHIFT + F.col("n")).drop("place", "n")
 
 

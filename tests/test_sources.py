@@ -245,3 +245,46 @@ def test_search_gives_the_largest_flows_in_order(spark):
     rows = [(f"10.0.0.{k}:1 -> x", k % 7, None) for k in range(40)]
     found = flows.search(spark.createDataFrame(rows, "flow string, bytes long, service string").repartition(4), "10.0.", 5).collect()
     assert [(r.flow, r.bytes) for r in found] == sorted([(f, b) for f, b, _ in rows], key=lambda x: (-x[1], x[0]))[:5]
+
+
+def odd_frames():
+    """Frames whose payloads look like records, are zeros, or are empty."""
+    inner = b"".join(capture.pcap_record(1_700_000_000_000_000_000 + k, 40, bytes(range(40))) for k in range(12))
+    some = [bytes(1400), inner, inner[7:], b"", b"\xff" * 333, capture.pcap_header(1) + inner]
+    return [(1_700_000_000_000_000_000 + k * 1_000_000, max(60, len(some[k % 6])), some[k % 6]) for k in range(240)]
+
+
+@pytest.mark.parametrize("tail", [b"\0" * 9, struct.pack("<4I", 1, 1, 1 << 20, 1) + b"x" * 5000])
+def test_split_files_give_what_one_reader_gives(spark, tmp_path, monkeypatch, tail):
+    """Ranges of bytes of any size, some starting within payloads that look like records, some behind an error."""
+    content = capture.pcap_header(1) + b"".join(capture.pcap_record(*f) for f in odd_frames()) + tail
+    swapped = b"".join(struct.pack(">4I", t // 10**9, t % 10**9 // 1000, len(d), w) + d for t, w, d in odd_frames()[:60])
+    (tmp_path / "a.pcap").write_bytes(content)
+    (tmp_path / "b.pcap").write_bytes(struct.pack(">IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + swapped)
+    (tmp_path / "c.pcap").write_bytes(b"not a capture" * 1000)
+    rows = lambda: sorted(map(tuple, capture.read_capture(spark, str(tmp_path)).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(capture, "AT_ONCE", 1000)
+    monkeypatch.setattr(capture, "RANGE", 4_999)
+    assert rows() == whole
+
+
+def test_ranges_are_read_apart(spark, tmp_path):
+    """Plausible starts are found without the range before, so all ranges but odd ones are right at once."""
+    frames = [(1_700_000_000_000_000_000 + k, 200 + k % 900, bytes(200 + k % 900)) for k in range(400)]
+    (tmp_path / "a.pcap").write_bytes(capture.pcap_header(1) + b"".join(capture.pcap_record(*f) for f in frames))
+    files = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "0L as place", "length")
+    found = sorted(map(tuple, capture.placed_ranges(files, 30_000).select("first", "before").collect()))
+    assert len(found) > 4 and [n for _, n in found] == sorted(n for _, n in found) and found[0] == (24, 0)
+    with capture.opened(str(tmp_path / "a.pcap")) as content:
+        for start in range(30_000, 150_000, 30_000):
+            assert capture._first_start(content, "<", 1, start, start + 30_000) in {at for at, _ in found}
+
+
+def test_drops_are_noted(spark):
+    from netlens.plans.analysis import Analysis
+
+    made = Analysis.__new__(Analysis)
+    assert made.drop_notes == ()
+    made.note_drops(2, 0)
+    assert len(made.drop_notes) == 1 and made.drop_notes[0].startswith("2 TCP")
