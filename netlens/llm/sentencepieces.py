@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from netlens.llm.columns import documents, unused_name
 
 #: Cached segments and pairs of a worker, at most so many of each.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Ids that one output batch holds, about; and texts or id lists of more than this stand alone.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1_000_000
 NEVER = float("-inf")
 NOTHING: dict[str, int] = {}
 #: A segment of more characters is not worth keeping.
