@@ -287,12 +287,11 @@ def name_entropy(spark, sf_dir):
 def token_kinds(spark, sf_dir):
     """Kinds of the address-shaped and domain-shaped words of documents."""
     word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9./-]*\.[A-Za-z0-9./-]+"), F.lit(0))).alias("token")
-    return views.table(spark, sf_dir, "documents").select(word).select(
-        "token",
-        text.indicator_kind(F.col("token")).alias("kind"),
-    ).groupBy("kind").agg(
-        F.count("*").alias("tokens"),
-        F.count_distinct("token").alias("distinct_tokens"),
+    # Each distinct token is classified once.
+    tokens = views.table(spark, sf_dir, "documents").select(word).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.groupBy(text.indicator_kind(F.col("token")).alias("kind")).agg(
+        F.sum("n").alias("tokens"),
+        F.count("*").alias("distinct_tokens"),
     )
 
 
