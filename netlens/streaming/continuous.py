@@ -79,6 +79,43 @@ def host_totals(packets: DataFrame) -> DataFrame:
     )
 
 
+#: Registers of a distinct-count sketch, as a power of two: the standard error is about 1.04 / sqrt(2^n), here 1.6 %.
+SKETCH_BITS = 12
+
+
+def host_spread(packets: DataFrame) -> DataFrame:
+    """About how many peers each host has met and how many (peer, port) pairs it has tried with bare SYNs, by sketches.
+
+    A host's state is two sketches of at most 2^SKETCH_BITS bytes, however many peers it has. The batch tables
+    (``operators.flows.hosts``, ``syn_ports``) count exactly. ``peers_sketch`` and ``tried_sketch`` merge with
+    those of other stretches by ``merged_spread``.
+    """
+    tried = F.when(names.is_syn_only(F.col("tcp_flags")), F.concat("dst_key", F.lpad(F.hex("dst_port"), 4, "0").cast("binary")))
+    side = lambda key, peer, port: F.struct(F.col(key).alias("key"), F.col(peer).alias("peer"), port.alias("tried"))
+    ends = F.array(side("src_key", "dst_key", tried), side("dst_key", "src_key", F.lit(None).cast("binary")))
+    both = packets.where(F.col("src_key").isNotNull() & F.col("dst_key").isNotNull()).select(F.inline(ends))
+    sketches = both.groupBy("key").agg(
+        F.hll_sketch_agg("peer", SKETCH_BITS).alias("peers_sketch"), F.hll_sketch_agg("tried", SKETCH_BITS).alias("tried_sketch")
+    )
+    return _estimated(sketches)
+
+
+def merged_spread(stretches: DataFrame) -> DataFrame:
+    """``host_spread`` of several stretches of packets together."""
+    return _estimated(stretches.groupBy("key").agg(*(F.hll_union_agg(c).alias(c) for c in ("peers_sketch", "tried_sketch"))))
+
+
+def _estimated(sketches: DataFrame) -> DataFrame:
+    return sketches.select(
+        text_of_key(F.col("key")).alias("ip"),
+        "key",
+        F.hll_sketch_estimate("peers_sketch").alias("peers"),
+        F.hll_sketch_estimate("tried_sketch").alias("tried"),
+        "peers_sketch",
+        "tried_sketch",
+    )
+
+
 def flow_sessions(packets: DataFrame, gap: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Flows that end after a silence; an extension, as flows otherwise never end."""
     keyed = with_flow_key(packets).withWatermark("ts", watermark)
