@@ -9,9 +9,12 @@ out; the largest decides.
 The filters learn from a sample of labelled texts whose size is a parameter, ``PER_LANGUAGE``
 different texts of each language, about, the first by a hash of the text; copies of a text count once,
 so no group of copies makes the sample larger. Every label that a text has is learned, be it of one
-text. A filter holds each n-gram that at least ``LEAST_PART`` of its language's sampled texts contain:
-no fixed number of n-grams, but never more than a text's mean number of n-grams divided by that part,
-which bounds what the driver sees. Counting n-grams runs on Spark.
+text. Sampled texts are cut into pieces of ``PIECE`` letters, and an n-gram counts once for each piece it is
+in, so neither the number of a label's texts nor their length matters, only how much there is to learn from.
+A filter holds the n-grams whose count is at least a ``LEAST_RATE`` of all that the label's pieces hold, by
+``ERRORS`` standard errors of that expected count: what a small sample holds by chance is not taken for
+frequent, so labels of little text hit less and never take the texts of others. A filter has at most
+1 / ``LEAST_RATE`` n-grams, which bounds what the driver sees. Counting n-grams runs on Spark.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text
 if nothing was learned. Ties go to the language that comes first by code point. Repeated rows
@@ -33,8 +36,11 @@ from netlens.storage import materialize, release
 
 #: Labelled texts that the filters learn from, for each language; the bound of the training sample.
 PER_LANGUAGE = 4000
-#: N-grams in a smaller part of a language's sampled texts are left out of its filter.
-LEAST_PART = 0.05
+#: Letters of one piece.
+PIECE = 500
+#: N-grams that are a smaller part of all in a label's pieces are left out of its filter, and standard errors of that bar.
+LEAST_RATE = 1e-5
+ERRORS = 3.0
 SIZES = (2, 3, 4)
 HASHES = 3
 #: Slots for each n-gram of the language that has most, at least; and the fewest slots.
@@ -94,6 +100,12 @@ def grams(points: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def pieces(points: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of each piece, the last letters of one carried into the next so that none is lost."""
+    for start in range(0, len(points), PIECE):
+        yield grams(points[start : start + PIECE + max(SIZES) - 1])
+
+
 def slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
     """The slots of each hash among ``size`` (a power of two), one array for each of the filter's hash functions."""
     step = (hashes >> np.uint64(40)) | np.uint64(1)
@@ -169,39 +181,44 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
                 pa.array(values, pa.int64()),
                 pa.array(list(counts.values()), pa.int64()),
             ],
-            ["label", "gram", "texts"],
+            ["label", "gram", "times"],
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        texts: Counter = Counter()
+        totals: Counter = Counter()
+        held = 0
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts[label] += 1
-                own = counts.setdefault(label, Counter())
-                own.update(np.unique(grams(letters(text))).tolist())
-                if sum(map(len, counts.values())) >= COUNTED_AT_ONCE:
-                    yield from (made(*x) for x in counts.items())
-                    counts = {}
+                totals[label] += 0
+                for hashes in pieces(letters(text)):
+                    totals[label] += len(hashes)
+                    own = counts.setdefault(label, Counter())
+                    held -= len(own)
+                    own.update(np.unique(hashes).tolist())
+                    held += len(own)
+                    if held >= COUNTED_AT_ONCE:
+                        yield from (made(*x) for x in counts.items())
+                        counts, held = {}, 0
         yield from (made(*x) for x in counts.items())
-        # The null n-gram counts the texts themselves.
+        # The null n-gram counts all n-grams.
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(texts), pa.string()), pa.nulls(len(texts), pa.int64()), pa.array(list(texts.values()), pa.int64())],
-            ["label", "gram", "texts"],
+            [pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())],
+            ["label", "gram", "times"],
         )
 
     schema = T.StructType(
-        [T.StructField("label", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("texts", T.LongType())]
+        [T.StructField("label", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("times", T.LongType())]
     )
     counted = materialize(
-        sample.select("label", "text").mapInArrow(count, schema).groupBy("label", "gram").agg(F.sum("texts").alias("texts")),
+        sample.select("label", "text").mapInArrow(count, schema).groupBy("label", "gram").agg(F.sum("times").alias("times")),
         "language-grams",
     )
-    totals = counted.where(F.col("gram").isNull()).select(F.col("label").alias("of"), F.col("texts").alias("all_texts"))
+    totals = counted.where(F.col("gram").isNull()).select(F.col("label").alias("of"), (F.col("times") * LEAST_RATE).alias("bar"))
     # One row for each language; a null n-gram makes an empty filter.
     kept = counted.join(totals.hint("broadcast"), F.col("label") == F.col("of")).where(
         F.col("gram").isNull()
-        | (F.col("texts") >= LEAST_PART * F.col("all_texts"))
+        | (F.col("times") >= F.col("bar") + ERRORS * F.sqrt("bar"))
     )
     table = kept.select("label", "gram").orderBy("label", "gram").toArrow()
     release(counted)

@@ -94,7 +94,14 @@ GNU_DATES = {
 }
 
 FILE_NAMES = "^(license|licence|copying|notice)([.-].*)?$"
-SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
+#: A whole license expression; its operators are upper-case, so that prose behind an identifier isn't part of it.
+SPDX_ID = "[A-Za-z0-9][A-Za-z0-9.+-]*"
+SPDX = (
+    r"(?i)SPDX-License-Identifier:[ \t]*"
+    rf"([( \t]*{SPDX_ID}(?:[) \t]*[ \t](?-i:AND|OR|WITH)[ \t][( \t]*{SPDX_ID})*(?:[ \t]*\))*)"
+)
+SPDX_TOKEN = f"({SPDX_ID}|[()])"
+SPDX_SUFFIX = r"(-only|-or-later|\+|\.)$"
 LEAST_COSINE = 0.6
 
 
@@ -233,10 +240,24 @@ def directory(path: Column) -> Column:
 
 
 def declared_name(text: Column) -> Column:
-    """The license that an SPDX identifier in the text names, spelled as the templates' names are; null without one."""
+    """The license expression of the text's first SPDX identifier, its names spelled as the templates' are; null without one.
+
+    One blank stands between names and operators. Parentheses that don't match in number, as where a closing one
+    belongs to the text around, are left out.
+    """
     known = F.create_map(*(F.lit(x) for name in sorted({name for name, _, _ in templates()}) for x in (name.lower(), name)))
-    said = F.regexp_replace(F.nullif(F.regexp_extract(text, SPDX, 1), F.lit("")), r"(-only|-or-later|\+|\.)$", "")
-    return let(said, lambda s: F.coalesce(F.try_element_at(known, F.lower(s)), s))
+    expression = F.nullif(F.regexp_extract(text, SPDX, 1), F.lit(""))
+
+    def spelled(token: Column) -> Column:
+        return let(F.regexp_replace(token, SPDX_SUFFIX, ""), lambda s: F.coalesce(F.try_element_at(known, F.lower(s)), s))
+
+    def joined(tokens: Column) -> Column:
+        opening, closing = F.filter(tokens, lambda t: t == "("), F.filter(tokens, lambda t: t == ")")
+        kept = F.when(F.size(opening) == F.size(closing), tokens).otherwise(F.filter(tokens, lambda t: ~t.isin("(", ")")))
+        said = F.array_join(F.transform(kept, spelled), " ")
+        return F.replace(F.replace(said, F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
+
+    return let(F.regexp_extract_all(expression, F.lit(SPDX_TOKEN), 1), joined)
 
 
 def scan(files: DataFrame, id_column: str, path_column: str, text_column: str) -> DataFrame:
@@ -335,8 +356,12 @@ placed AS (SELECT doc_id, text, replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVW
   [coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id // 10 AS VARCHAR)] AS folders FROM documents),
 files AS (SELECT doc_id, text, plain, array_to_string(CASE WHEN doc_id % 20 = 0 THEN folders[1 : (doc_id // 20) % 4 + 1] ELSE folders END, '/') AS directory,
   CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM placed),
-said AS (SELECT doc_id, regexp_replace(nullif(regexp_extract(text, '{SPDX}', 1), ''), '(-only|-or-later|\\+|\\.)$', '') AS id FROM files),
-declared_ids AS (SELECT doc_id, coalesce(name, id) AS license FROM said LEFT JOIN known ON lower(id) = lower(name) WHERE id IS NOT NULL),
+said AS (SELECT doc_id, regexp_extract_all(nullif(regexp_extract(text, '{SPDX}', 1), ''), '{SPDX_TOKEN}') AS tokens FROM files),
+tokens AS (SELECT doc_id, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token, len(list_filter(tokens, lambda t: t = '(')) = len(list_filter(tokens, lambda t: t = ')')) AS even
+  FROM said WHERE tokens IS NOT NULL),
+names AS (SELECT doc_id, pos, coalesce(name, regexp_replace(token, '{SPDX_SUFFIX}', '')) AS name
+  FROM tokens LEFT JOIN known ON lower(regexp_replace(token, '{SPDX_SUFFIX}', '')) = lower(name) WHERE even OR token NOT IN ('(', ')')),
+declared_ids AS (SELECT doc_id, replace(replace(string_agg(name, ' ' ORDER BY pos), '( ', '('), ' )', ')') AS license FROM names GROUP BY doc_id),
 lists AS (SELECT doc_id, regexp_extract_all(plain, '[a-z0-9]+') AS t FROM files WHERE regexp_matches(plain, '{cue()}') AND doc_id NOT IN (SELECT doc_id FROM declared_ids)),
 terms AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM lists),
 hits AS (SELECT doc_id, pos AS hit, template, pos - off AS start, pos - off + len AS stop FROM terms JOIN windows ON term = anchor),

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,7 +313,13 @@ SPDX = [
     ("MIT", "# SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "// spdx-license-identifier: apache-2.0 */"),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later\n" + gnu_header("General Public License", 3)),
-    ("Foo-1.0", "SPDX-License-Identifier: (Foo-1.0 OR MIT)"),
+    ("(Foo-1.0 OR MIT)", "SPDX-License-Identifier: (Foo-1.0 OR mit)"),
+    ("MIT OR Apache-2.0", "SPDX-License-Identifier:  MIT OR  Apache-2.0."),
+    ("MIT AND (GPL-2.0 OR BSD-3-Clause)", "// SPDX-License-Identifier: MIT AND ( gpl-2.0-only OR BSD-3-Clause )"),
+    ("GPL-2.0 WITH Classpath-exception-2.0", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */"),
+    ("MIT", "(SPDX-License-Identifier: MIT)"),
+    ("MIT", "SPDX-License-Identifier: MIT and more of it"),
+    ("MIT", "SPDX-License-Identifier: MIT AND"),
     ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1+"),
 ]
 
@@ -326,6 +333,18 @@ def test_license_headers(spark):
     assert all(found[len(HEADERS) + k].found_in == "spdx" and found[len(HEADERS) + k].cosine == 1 for k in range(len(SPDX)))
 
 
+def test_license_sql_reads_the_same_expressions(spark, tmp_path):
+    texts = [text for _, text in HEADERS + SPDX]
+    rows = [(k, text, f"s{k % 3}" if k % 7 else None) for k, text in enumerate(texts * 3)]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = licenses.op4_license_scan(spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = connection.execute(f"SELECT {', '.join(found.columns)} FROM ({licenses.oracle()}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == expected
+
+
 WHOLE = {
     "Apache-2.0": "Apache-2.0",
     "GPL-2": "GPL-2.0",

@@ -323,6 +323,72 @@ def test_language_learns_every_label(spark):
     ] == ["en", "is", "pl", "pl", "und", "und"]
 
 
+def invented(language: int, texts: int, words: int, seed: int = 0) -> list[str]:
+    """Texts of words whose frequencies fall as in a language, from letters that a language prefers; languages share some words."""
+    rng = np.random.default_rng(language)
+    alphabet = rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:14]
+    shared = np.random.default_rng(99)
+    stock = ["".join(rng.choice(alphabet, rng.integers(2, 9))) for _ in range(1500)]
+    stock[::20] = ["".join(shared.choice(list("aeinorst"), 4)) for _ in stock[::20]]
+    falling = 1 / np.arange(1, len(stock) + 1)
+    draw = np.random.default_rng([seed, language])
+    return [" ".join(draw.choice(stock, words, p=falling / falling.sum())) for _ in range(texts)]
+
+
+def test_language_filters_do_not_follow_the_number_of_texts(spark):
+    """A label of one long text, of one short one or of few short ones of a known language takes none of its documents, and texts
+    of two words go where they belong."""
+    known = [(t, name) for name, k in (("aa", 1), ("bb", 2), ("cc", 3)) for t in invented(k, 400, 150)]
+    of_aa = invented(1, 200, 150, seed=5)
+    for own in ([" ".join(of_aa)], of_aa[:1], of_aa[:10], [" ".join(of_aa[:10])]):
+        filters = language.learn(spark.createDataFrame(known + [(t, "zz") for t in own], "text string, lang string"))
+        tried = [(t, name) for name, k in (("aa", 1), ("bb", 2), ("cc", 3)) for t in invented(k, 100, 150, seed=6)]
+        wrong = [name for t, name in tried if filters.decide(t)[0] != name]
+        assert len(wrong) <= 5 and set(wrong) <= {"aa"}
+        short = [(t, name) for name, k in (("bb", 2), ("cc", 3)) for t in invented(k, 200, 2, seed=7)]
+        # The most frequent word is one of those that languages share, so some ten of the 400 texts tell nothing.
+        assert sum(filters.decide(t)[0] != name for t, name in short) <= 24
+
+
+def test_language_learns_a_long_rare_label(spark):
+    """One text of a language of its own, be it long, is enough to know its documents, and its filter is bounded."""
+    rows = [(t, "aa") for t in invented(1, 300, 100)] + [(" ".join(invented(4, 2000, 100)), "rare")]
+    filters = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert all(filters.decide(t)[0] == "rare" for t in invented(4, 50, 60, seed=3))
+    assert all(filters.decide(t)[0] == "aa" for t in invented(1, 50, 60, seed=3))
+
+
+def test_language_shares_equal_exact_sets(spark, monkeypatch):
+    """Learned filters and shares against plain counters and sets, for texts of many pieces, repeated texts and several tasks."""
+    rows = [(t, name) for name, k in (("aa", 1), ("bb", 2)) for t in invented(k, 40, 400)] + [("żółta łódź", "pl")] * 3
+    filters = language.learn(spark.createDataFrame(rows, "text string, lang string").repartition(7))
+    for word in filters.bits:
+        assert word.any()
+
+    def plain_grams(points: list[int]) -> list[tuple]:
+        parts = [tuple(points[i : i + n]) for n in language.SIZES for i in range(len(points) - n + 1)]
+        return [p for p in parts if 32 not in p[1:-1]]
+
+    sets = {}
+    for name in {name for _, name in rows}:
+        counts: Counter = Counter()
+        total = 0
+        for text in {t for t, label in rows if label == name}:
+            points = language.letters(text).tolist()
+            for at in range(0, len(points), language.PIECE):
+                held = plain_grams(points[at : at + language.PIECE + 3])
+                total += len(held)
+                counts.update(set(held))
+        bar = total * language.LEAST_RATE
+        sets[name] = {g for g, c in counts.items() if c >= bar + language.ERRORS * bar**0.5}
+    assert filters.languages == sorted(sets)
+    for text in [*invented(1, 10, 80, seed=2), *invented(2, 10, 3, seed=2), "łódź", rows[0][0]]:
+        held = plain_grams(language.letters(text).tolist())
+        exact = [sum(g in sets[name] for g in held) / len(held) for name in filters.languages]
+        # A filter is at most a sixteenth full for each n-gram and hash, so false positives are few.
+        assert np.allclose(filters.shares(text), exact, atol=0.02 + 1.5 / len(held))
+
+
 def test_filter_has_no_false_negatives():
     grams = language.grams(language.letters("Où est la rivière, déjà?"))
     f = language.Filters({"a": grams[:10], "b": grams[5:]})
