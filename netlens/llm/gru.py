@@ -13,7 +13,8 @@ import numpy as np
 OUTPUTS, CLASS = 1024, 32
 CLASSES = OUTPUTS // CLASS
 HIDDEN = 16
-WINDOW = 32
+#: Steps of a window of training; and the most of one of scoring, where windows grow as lanes end, for as many tokens.
+WINDOW, LONGEST_WINDOW = 32, 1024
 START = 0
 CLIP = 1.0
 
@@ -52,14 +53,6 @@ def start_vector(counts: np.ndarray) -> np.ndarray:
     return vector
 
 
-def sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-
-
 class Lanes:
     """Documents laid out in lanes, longest lane first: ``ids``, ``keep`` (0 where a document begins) and ``doc`` by (step, lane), and the lanes in use at each step."""
 
@@ -94,42 +87,49 @@ class Lanes:
             return slice(None)
         return np.arange(n)[None, :] < self.active[a:b, None]
 
-    def windows(self):
+    def windows(self, longest: int = WINDOW):
         """(first step, end, lanes in use) of each window."""
         at, steps = 0, len(self.active)
         while at < steps:
-            end = min(at + WINDOW, steps)
-            yield at, end, int(self.active[at])
+            lanes = int(self.active[at])
+            end = min(at + min(WINDOW * max(1, self.ids.shape[1] // lanes), longest), steps)
+            yield at, end, lanes
             at = end
 
 
-def by_gate(weights: np.ndarray) -> np.ndarray:
-    """The columns of reset, update and candidate as three arrays, each whole in memory."""
-    return np.ascontiguousarray(weights.reshape(len(weights), 3, HIDDEN).transpose(1, 0, 2))
-
-
 def run_window(p: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray):
-    """States of each step, the last one, and what the way back needs: (before, candidate's product, r and z, candidate)."""
-    steps, lanes = x.shape
-    gx = np.stack([np.take(part, x, axis=0) for part in by_gate(p["inputs"])])
-    weights = by_gate(p["state"])
-    states, befores, products, candidates = (np.empty((steps, lanes, HIDDEN), np.float32) for _ in range(4))
-    gates = np.empty((2, steps, lanes, HIDDEN), np.float32)
+    """States of each step, the last one, and what the way back needs: (before, candidate's product, gates).
+
+    Lanes are the last axis of all of them, so that reset, update and candidate are stretches of one product.
+    """
+    H, (steps, lanes) = HIDDEN, x.shape
+    # sigmoid(x) is (tanh(x / 2) + 1) / 2; the halves of x are taken from the weights.
+    half = np.repeat(np.array([0.5, 1], np.float32), [2 * H, H])
+    weights = np.ascontiguousarray((p["state"] * half).T)
+    gates = np.ascontiguousarray(np.take(p["inputs"] * half, x, axis=0).transpose(0, 2, 1))
+    states, befores, products = (np.empty((steps, H, lanes), np.float32) for _ in range(3))
     for t in range(steps):
-        before, rz, n = befores[t], gates[:, t], candidates[t]
-        np.multiply(h, keep[t][:, None], out=before)
-        gh = np.matmul(before, weights)
-        products[t] = gh[2]
-        np.add(gx[:2, t], gh[:2], out=rz)
-        sigmoid(rz)
-        np.multiply(rz[0], gh[2], out=n)
-        n += gx[2, t]
-        np.tanh(n, out=n)
+        before, rz, n = befores[t], gates[t, : 2 * H], gates[t, 2 * H :]
+        np.multiply(h, keep[t], out=before)
+        product = np.matmul(weights, before)
+        products[t] = product[2 * H :]
+        rz += product[: 2 * H]
+        np.tanh(rz, out=rz)
+        rz += 1
+        rz *= 0.5
         h = states[t]
+        np.multiply(rz[:H], product[2 * H :], out=h)
+        n += h
+        np.tanh(n, out=n)
         np.subtract(before, n, out=h)
-        h *= rz[1]
+        h *= rz[H:]
         h += n
-    return states, states[-1], (befores, products, gates, candidates)
+    return states, states[-1], (befores, products, gates)
+
+
+def rows_of(states: np.ndarray, used) -> np.ndarray:
+    """One row for each place of a window that holds a token."""
+    return states.transpose(0, 2, 1)[used].reshape(-1, states.shape[1])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -155,6 +155,22 @@ def by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return order, [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
 
+def with_one(states: np.ndarray) -> np.ndarray:
+    """States with a further column of ones, for the biases."""
+    out = np.ones((len(states), HIDDEN + 1), states.dtype)
+    out[:, :HIDDEN] = states
+    return out
+
+
+def word_logits(p: dict, ones: np.ndarray, stretches: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits within each target's class, one column for each of the states, which lie by class and end in a one."""
+    weights = np.concatenate([p["words"], p["word_bias"][:, None, :]], axis=1)
+    x = np.empty((CLASS, len(ones)), np.result_type(ones, weights))
+    for c, at in stretches:
+        x[:, at] = weights[c].T @ ones[at].T
+    return x
+
+
 def log_softmax_at(x: np.ndarray, rows: np.ndarray | int) -> np.ndarray:
     """Of each column, the entry in the row named. Overwrites ``x``."""
     x -= x.max(axis=0)
@@ -168,8 +184,7 @@ def log_probabilities(p: dict, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     order, stretches = by_class(y)
     s, t, found = states[order], y[order], np.empty(len(y))
     found[order] = log_softmax_at(logits(s, p["classes"], p["class_bias"]), t // CLASS)
-    for c, at in stretches:
-        found[order[at]] += log_softmax_at(logits(s[at], p["words"][c], p["word_bias"][c]), t[at] % CLASS)
+    found[order] += log_softmax_at(word_logits(p, with_one(s), stretches), t % CLASS)
     return found
 
 
@@ -182,14 +197,14 @@ def inputs_of(ids: np.ndarray, keep: np.ndarray, last: np.ndarray) -> np.ndarray
 def score(vector: np.ndarray, docs: list[np.ndarray], lanes: int) -> np.ndarray:
     """Natural log probability of each document's ids."""
     p, laid, total = unpacked(vector), Lanes(docs, lanes), np.zeros(len(docs))
-    h, last = np.zeros((laid.ids.shape[1], HIDDEN), np.float32), np.zeros(laid.ids.shape[1], np.int16)
-    for a, b, n in laid.windows():
+    h, last = np.zeros((HIDDEN, laid.ids.shape[1]), np.float32), np.zeros(laid.ids.shape[1], np.int16)
+    for a, b, n in laid.windows(LONGEST_WINDOW):
         ids, keep = laid.ids[a:b, :n], laid.keep[a:b, :n]
-        states, h, _ = run_window(p, inputs_of(ids, keep, last[:n]), keep, h[:n])
+        states, h, _ = run_window(p, inputs_of(ids, keep, last[:n]), keep, h[:, :n])
         used = laid.used(a, b, n)
         total += np.bincount(
             laid.doc[a:b, :n][used].ravel(),
-            log_probabilities(p, states[used].reshape(-1, HIDDEN), ids[used].ravel().astype(np.int64)),
+            log_probabilities(p, rows_of(states, used), ids[used].ravel().astype(np.int64)),
             len(docs),
         )
         last = ids[-1]
@@ -201,7 +216,7 @@ def gradient(p: dict, x, keep, h, y, used) -> tuple[np.ndarray, np.ndarray]:
     H, grad = HIDDEN, np.zeros(LENGTH, np.float32)
     g = unpacked(grad)
     states, last, saved = run_window(p, x, keep, h)
-    s, t = states[used].reshape(-1, H), y[used].ravel()
+    s, t = rows_of(states, used), y[used].ravel()
     scale = np.float32(1 / max(1, len(t)))
     order, stretches = by_class(t)
     s, t, ds = s[order], t[order], np.empty_like(s)
@@ -210,37 +225,37 @@ def gradient(p: dict, x, keep, h, y, used) -> tuple[np.ndarray, np.ndarray]:
     g["classes"][...] = (dc @ s).T
     g["class_bias"][...] = dc.sum(axis=1)
     within = dc.T @ p["classes"].T
+    ones = with_one(s)
+    dw = softmax(word_logits(p, ones, stretches))
+    dw[t % CLASS, np.arange(len(t))] -= 1
     for c, at in stretches:
-        dw = softmax(logits(s[at], p["words"][c], p["word_bias"][c]))
-        dw[t[at] % CLASS, np.arange(dw.shape[1])] -= 1
-        g["words"][c] = (dw @ s[at]).T
-        g["word_bias"][c] = dw.sum(axis=1)
-        within[at] += dw.T @ p["words"][c].T
+        both = dw[:, at] @ ones[at]
+        g["words"][c] = both[:, :H].T
+        g["word_bias"][c] = both[:, H]
+        within[at] += dw[:, at].T @ p["words"][c].T
     ds[order] = within
-    if isinstance(used, slice):
-        out = ds.reshape(states.shape)
-    else:
-        out = np.zeros_like(states)
-        out[used] = ds
-    before, products, (r, z), n = saved
+    out = np.zeros((*x.shape, H), np.float32)
+    out[used] = ds.reshape(out.shape) if isinstance(used, slice) else ds
+    out = np.ascontiguousarray(out.transpose(0, 2, 1))
+    before, products, gates = saved
+    r, z, n = gates[:, :H], gates[:, H : 2 * H], gates[:, 2 * H :]
     # Factors of the state's gradient, for all steps at once; the loop keeps what depends on the step after.
     to_candidate, to_update, to_reset = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), products * r * (1 - r)
-    dc, dg = np.empty((*x.shape, H), np.float32), np.empty((3, *x.shape, H), np.float32)
-    back, dh = np.ascontiguousarray(by_gate(p["state"]).transpose(0, 2, 1)), np.zeros_like(h)
+    dc, dg = np.empty_like(states), np.empty_like(gates)
+    back, dh = np.ascontiguousarray(p["state"]), np.zeros_like(last)
     for k in range(len(x) - 1, -1, -1):
         dh += out[k]
-        dn, d = dc[k], dg[:, k]
+        dn, d = dc[k], dg[k]
         np.multiply(dh, to_candidate[k], out=dn)
-        np.multiply(dn, to_reset[k], out=d[0])
-        np.multiply(dh, to_update[k], out=d[1])
-        np.multiply(dn, r[k], out=d[2])
+        np.multiply(dn, to_reset[k], out=d[:H])
+        np.multiply(dh, to_update[k], out=d[H : 2 * H])
+        np.multiply(dn, r[k], out=d[2 * H :])
         dh *= z[k]
-        for part in np.matmul(d, back):
-            dh += part
-        dh *= keep[k][:, None]
-    for at, part in enumerate(dg):
-        g["state"][:, at * H : (at + 1) * H] = before.reshape(-1, H).T @ part.reshape(-1, H)
-    flat, ids = np.concatenate([dg[0], dg[1], dc], axis=2).reshape(-1, 3 * H), x.ravel()
+        dh += np.matmul(back, d)
+        dh *= keep[k]
+    g["state"][...] = np.matmul(before, dg.transpose(0, 2, 1)).sum(axis=0)
+    dg[:, 2 * H :] = dc
+    flat, ids = dg.transpose(0, 2, 1).reshape(-1, 3 * H), x.ravel()
     order = np.argsort(ids, kind="stable")
     begins = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
     g["inputs"][ids[order][begins]] = np.add.reduceat(flat[order], begins, axis=0)
@@ -266,10 +281,10 @@ def train(vector: np.ndarray, docs: list[np.ndarray], lanes: int, adam: Adam) ->
     """One pass over the documents by truncated backpropagation, a step of ``adam`` for each window; changes ``vector``."""
     laid = Lanes(docs, lanes)
     p = unpacked(vector)
-    h, last = np.zeros((laid.ids.shape[1], HIDDEN), np.float32), np.zeros(laid.ids.shape[1], np.int16)
+    h, last = np.zeros((HIDDEN, laid.ids.shape[1]), np.float32), np.zeros(laid.ids.shape[1], np.int16)
     for a, b, n in laid.windows():
         ids, keep = laid.ids[a:b, :n], laid.keep[a:b, :n]
         used = laid.used(a, b, n)
-        grad, h = gradient(p, inputs_of(ids, keep, last[:n]), keep, h[:n], ids.astype(np.int64), used)
+        grad, h = gradient(p, inputs_of(ids, keep, last[:n]), keep, h[:, :n], ids.astype(np.int64), used)
         adam.step(vector, grad)
         last = ids[-1]

@@ -567,12 +567,12 @@ def test_gru_gradient_and_lanes():
     laid = gru.Lanes(docs, 2)
     lanes = laid.ids.shape[1]
     used = np.arange(lanes)[None, :] < laid.active[:, None]
-    x, zero = gru.inputs_of(laid.ids, laid.keep, np.zeros(lanes, np.int16)), np.zeros((lanes, gru.HIDDEN), np.float32)
+    x, zero = gru.inputs_of(laid.ids, laid.keep, np.zeros(lanes, np.int16)), np.zeros((gru.HIDDEN, lanes), np.float32)
 
     def loss(v):
         p = gru.unpacked(v)
         s, _, _ = gru.run_window(p, x, laid.keep, zero)
-        return -gru.log_probabilities(p, s.astype(np.float64)[used], laid.ids[used].astype(int)).mean()
+        return -gru.log_probabilities(p, gru.rows_of(s, used).astype(np.float64), laid.ids[used].astype(int)).mean()
 
     g, _ = gru.gradient(gru.unpacked(v), x, laid.keep, zero, laid.ids.astype(int), used)
     for i in np.argsort(-abs(g))[:3000:200]:
