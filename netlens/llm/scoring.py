@@ -18,13 +18,13 @@ scored each by itself. An empty table gives an empty result. Other columns are n
 """
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain, repeat
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +40,9 @@ FREQUENT = 1 << 16
 LONGEST = 64
 #: Symbols of the words that have none of their own, and the bytes at a word's end that choose among them.
 RESTS, ENDING = gru.CLASS, 3
-#: Distinct words that a counting task holds, about.
-COUNTED_AT_ONCE = 300_000
-#: Tokens that are laid out in lanes at once, and lanes.
-GROUP_TOKENS = 4_000_000
+#: Bytes of text that are split at once and scored in lanes together, but for a longer text, which stands alone.
+GROUP_BYTES = 24 << 20
+#: Tokens that are laid out in lanes at once for training, and lanes.
 TRAIN_TOKENS = 4_000_000
 SCORE_LANES, TRAIN_LANES = 384, 192
 #: (share of the training documents, learning rate) of each round; together they are all.
@@ -54,43 +53,63 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def words_of(value: pa.Scalar) -> list[bytes]:
-    return value.as_buffer().to_pybytes().lower().split() if value.is_valid else []
+class Tokens(NamedTuple):
+    """Words of several texts: places in ``words``, which are distinct, one text after the other, and how many each text has."""
+
+    codes: np.ndarray
+    lengths: np.ndarray
+    words: pa.Array
+
+
+def tokenized(texts: pa.Array) -> Tokens:
+    """Split, lower-cased and numbered by Arrow for all texts at once; a null text has no words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    codes, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary
+    # White space at a text's ends, or nothing else, leaves empty words.
+    nothing = pc.index(words, pa.scalar("", words.type)).as_py()
+    if nothing >= 0:
+        some = codes != nothing
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[some], minlength=len(lengths))
+        codes = codes[some]
+    return Tokens(codes, lengths, words)
+
+
+def groups(batch: pa.RecordBatch, text_column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in stretches of about ``GROUP_BYTES`` of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(text_column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """``word`` and ``c``, with the end once for each text. ``texts`` has one column."""
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("c", T.LongType())])
 
-    def made(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
-            ["word", "c"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                counts.update(words_of(text))
-                if len(counts) >= COUNTED_AT_ONCE:
-                    yield made(counts)
-                    counts = Counter()
-            counts[END.encode()] += len(batch)
-        if counts:
-            yield made(counts)
+            for part in groups(batch, 0):
+                found = tokenized(part.column(0))
+                counts = np.bincount(found.codes, minlength=len(found.words))
+                some = np.flatnonzero(counts)
+                words = pa.concat_arrays([found.words.take(pa.array(some)), pa.array([END], found.words.type)])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(counts[some], len(part)), pa.int64())], ["word", "c"])
 
     return texts.mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def counted_words(counts: list[Counter]) -> pa.MapArray:
-    """One map from words to counts for each counter."""
-    offsets = pa.array([0, *accumulate(map(len, counts))], pa.int32())
-    return pa.MapArray.from_arrays(
-        offsets,
-        pa.array(list(chain.from_iterable(counts)), pa.binary()).cast(pa.string()),
-        pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int64()),
-    )
+def counted_words(found: Tokens, outside: np.ndarray) -> pa.MapArray:
+    """For each text a map of its words that are ``outside`` (by place in the dictionary) to their counts there."""
+    tokens = np.flatnonzero(outside[found.codes])
+    text = np.searchsorted(np.cumsum(found.lengths), tokens, "right")
+    pairs, counts = np.unique(text * len(outside) + found.codes[tokens], return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(len(found.lengths) + 1) * len(outside))
+    words = found.words.take(pa.array(pairs % max(1, len(outside))))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), words, pa.array(counts, pa.int64()))
 
 
 def rest_symbol(word: bytes) -> int:
@@ -110,12 +129,12 @@ class Vocabulary:
     def __init__(self, rows: list[tuple[str, int]], rests: dict[int, tuple[int, int]]):
         counts = dict(rows)
         ordered = [(END, counts.pop(END, 0)), *sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
-        self.index = {w.encode(): k for k, (w, _) in enumerate(ordered)}
+        self.words = pa.array([w for w, _ in ordered], pa.string())
         self.counts = np.array([c for _, c in ordered], np.int64)
         self.log_counts = np.log10(self.counts + 1)
         self.tokens, self.distinct = (sum(x[k] for x in rests.values()) for k in (0, 1))
         own = gru.OUTPUTS - RESTS
-        symbol = np.fromiter(map(rest_symbol, self.index), np.int64, len(self.index))
+        symbol = np.fromiter((rest_symbol(w.encode()) for w, _ in ordered), np.int64, len(ordered))
         tokens, distinct = np.zeros(RESTS, np.int64), np.zeros(RESTS, np.int64)
         for k, (n, v) in rests.items():
             tokens[k], distinct[k] = n, v
@@ -128,19 +147,24 @@ class Vocabulary:
         self.id_counts[: min(own, len(symbol))] = self.counts[:own]
         self.id_counts[own:] = tokens + 1
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Each word's place, -1 for words outside, and the end's last."""
-        get = self.index.get
-        return np.fromiter(chain(map(get, words, repeat(-1)), (0,)), np.int32, len(words) + 1)
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place, -1 for words outside."""
+        return pc.index_in(words, self.words.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False)
 
-    def ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+    def ids(self, words: pa.Array, places: np.ndarray) -> np.ndarray:
         """Each word's symbol."""
         out = self.id_of_place[places]
         outside = np.flatnonzero(places < 0)
-        out[outside] = [gru.OUTPUTS - RESTS + rest_symbol(words[i]) for i in outside.tolist()]
+        rare = words.take(pa.array(outside)).cast(pa.binary()).to_pylist()
+        out[outside] = [gru.OUTPUTS - RESTS + rest_symbol(w) for w in rare]
         return out
 
 
+def with_ends(values: np.ndarray, found: Tokens, end: float) -> np.ndarray:
+    """The value of each token of all texts, from those of distinct words, with the end's after each text."""
+    return np.insert(values[found.codes], np.cumsum(found.lengths), end)
+
+
 def train(docs: DataFrame, vocabulary, start: np.ndarray, salt: str = "lm") -> np.ndarray:
     """Weights after one pass over ``docs`` (row key, text) in rounds."""
     schema = T.StructType([T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("tokens", T.LongType())])
@@ -159,13 +183,16 @@ def train(docs: DataFrame, vocabulary, start: np.ndarray, salt: str = "lm") -> n
                 gru.train(own, held, max(8, min(TRAIN_LANES, tokens // (gru.WINDOW * 50))), adam)
 
             for batch in batches:
-                for text in batch.column(0).cast(pa.binary()):
-                    words = words_of(text)
-                    held.append(vocabulary.value.ids(words, vocabulary.value.places(words)))
-                    tokens += len(held[-1])
-                    if tokens >= TRAIN_TOKENS:
-                        flush()
-                        total, held, tokens = total + tokens, [], 0
+                for part in groups(batch, 0):
+                    found = tokenized(part.column(0))
+                    symbols = vocabulary.value.ids(found.words, vocabulary.value.places(found.words))
+                    ids = with_ends(symbols, found, vocabulary.value.id_of_place[0])
+                    for one in np.split(ids, np.cumsum(found.lengths + 1)[:-1]):
+                        held.append(one)
+                        tokens += len(one)
+                        if tokens >= TRAIN_TOKENS:
+                            flush()
+                            total, held, tokens = total + tokens, [], 0
             if held:
                 flush()
                 total += tokens
@@ -228,46 +255,33 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
+        first_rest = gru.OUTPUTS - RESTS
         for batch in batches:
-            start, tokens, held, rows = 0, 0, [], []
-
-            def flush(end: int, batch=batch) -> pa.RecordBatch:
-                network = gru.score(sent.value, held, SCORE_LANES) / math.log(10)
-                columns = [list(c) for c in zip(*rows, strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                n, f, r, lf, lr = (pa.array(c, k) for c, k in zip(columns[:5], kinds, strict=True))
-                rare = counted_words(columns[5])
-                own = batch.slice(start, end - start)
-                return pa.RecordBatch.from_arrays(
-                    [*own.columns[:3], n, f, r, pa.array(network, pa.float64()), lf, lr, rare],
-                    schema.fieldNames(),
-                )
-
-            for k, text in enumerate(batch.column(3).cast(pa.binary())):
-                words = words_of(text)
-                places = voc.places(words)
-                ids = voc.ids(words, places)
-                rest = ids >= gru.OUTPUTS - RESTS
-                inside = places >= 0
+            for part in groups(batch, 3):
+                found = tokenized(part.column(3))
+                places = voc.places(found.words)
+                symbols = voc.ids(found.words, places)
+                inside, rest = places >= 0, symbols >= first_rest
                 logs = np.where(inside, voc.log_counts[places], 0.0)
-                known = int((inside & (voc.counts[places] > 0)).sum())
-                rows.append(
-                    (
-                        len(places),
-                        known,
-                        float(voc.log_rest_sizes[ids[rest] - (gru.OUTPUTS - RESTS)].sum()),
-                        float(logs.sum()),
-                        float(logs[rest].sum()),
-                        Counter(words[i] for i in np.flatnonzero(~inside).tolist()),
-                    )
-                )
-                held.append(ids)
-                tokens += len(ids)
-                if tokens >= GROUP_TOKENS:
-                    yield flush(k + 1)
-                    start, tokens, held, rows = k + 1, 0, [], []
-            if held:
-                yield flush(len(batch))
+                rest_sizes = np.where(rest, voc.log_rest_sizes[np.maximum(symbols - first_rest, 0)], 0.0)
+                ends = np.cumsum(found.lengths + 1)
+
+                def sums(of_word: np.ndarray, of_end: float, found=found, ends=ends) -> np.ndarray:
+                    return np.add.reduceat(with_ends(of_word, found, of_end), ends - found.lengths - 1)
+
+                ids = with_ends(symbols, found, voc.id_of_place[0])
+                network = gru.score(sent.value, np.split(ids, ends[:-1]), SCORE_LANES) / math.log(10)
+                known = sums((inside & (voc.counts[places] > 0)).astype(np.int64), int(voc.counts[0] > 0))
+                columns = [
+                    pa.array(found.lengths + 1, pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(sums(rest_sizes, 0.0), pa.float64()),
+                    pa.array(network, pa.float64()),
+                    pa.array(sums(logs, voc.log_counts[0]), pa.float64()),
+                    pa.array(sums(np.where(rest, logs, 0.0), 0.0), pa.float64()),
+                    counted_words(found, ~inside),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], schema.fieldNames())
 
     scored = materialize(slim.select("row", "doc_id", "held_out", "text").mapInArrow(run, schema), "scored-documents")
     rare = scored.select("row", F.explode("rare").alias("word", "times"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -621,10 +622,9 @@ def test_rest_symbols_agree_and_shares_add_up(spark):
     assert (voc.tokens, voc.distinct) == (sum(counts.values()), len(counts))
     mass = np.zeros(scoring.RESTS)
     first = gru.OUTPUTS - scoring.RESTS
-    for w in voc.index:
-        symbol = int(voc.ids([w], voc.places([w]))[0]) - first
+    for w, symbol in zip(voc.words.to_pylist(), voc.ids(voc.words, voc.places(voc.words)) - first, strict=True):
         if symbol >= 0:
-            mass[symbol] += (counts[w.decode()] + 1) / 10 ** voc.log_rest_sizes[symbol]
+            mass[symbol] += (counts[w] + 1) / 10 ** voc.log_rest_sizes[symbol]
     assert np.allclose(mass + 10**-voc.log_rest_sizes, 1)
 
 
@@ -642,6 +642,24 @@ def test_held_out_score_beats_base(spark):
     assert sums.n > 20_000 and sums.s > sums.b + 0.1 * sums.n
 
 
+def test_words_of_many_texts():
+    texts = ["", None, " A b\x0b\x0cB  ", "\n", "É é\u00a0é", "x" * 50_000, "a\r\na", "b"] * 3
+    found = scoring.tokenized(pa.array(texts))
+    words = found.words.cast(pa.binary()).to_pylist()
+    lists = np.split(found.codes, np.cumsum(found.lengths)[:-1])
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert [[words[c] for c in one] for one in lists] == plain
+    outside = np.array([w != b"a" for w in words])
+    rare = [dict(m) for m in scoring.counted_words(found, outside).to_pylist()]
+    assert rare == [dict(Counter(w.decode() for w in p if w != b"a")) for p in plain]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert [t for part in scoring.groups(batch, 0) for t in part.column(0).to_pylist()] == texts
+    for none in ([], [None], [""]):
+        found = scoring.tokenized(pa.array(none, pa.string()))
+        assert len(found.codes) == 0 and found.lengths.tolist() == [0] * len(none)
+        assert scoring.counted_words(found, np.zeros(len(found.words), bool)).to_pylist() == [[]] * len(none)
+
+
 def test_held_out_is_by_crc(spark):
     ids = spark.range(200).select(F.col("id").alias("doc_id"))
     for r in ids.select("doc_id", scoring.held_out().alias("a"), language.held_out().alias("b")).collect():
