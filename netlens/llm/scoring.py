@@ -155,8 +155,10 @@ class Vocabulary:
         """Each word's symbol."""
         out = self.id_of_place[places]
         outside = np.flatnonzero(places < 0)
-        rare = words.take(pa.array(outside)).cast(pa.binary()).to_pylist()
-        out[outside] = [gru.OUTPUTS - RESTS + rest_symbol(w) for w in rare]
+        # Many words share an ending.
+        endings = pc.binary_slice(words.take(pa.array(outside)).cast(pa.binary()), -ENDING).dictionary_encode()
+        symbols = np.array([gru.OUTPUTS - RESTS + rest_symbol(e) for e in endings.dictionary.to_pylist()], out.dtype)
+        out[outside] = symbols[endings.indices.to_numpy(zero_copy_only=False)]
         return out
 
 
