@@ -15,8 +15,8 @@ Nothing gathers a conversation: the result has one row for each message, ordered
 ``turn``), with the calls of its JSON ordered by level and place. Defined results: null texts have null
 content. A null ``conv_id`` is a conversation like any other. Calls without an id stay, unlinked; without
 a name, invalid. Of repeated call ids the first by (turn, position) counts and the others are duplicates
-without a result; of several results the first. A result must come in a later turn. Unknown tools and
-arguments that are no object are invalid. A name in ``after`` is unmet if no call of this message or of
+without a result; of several results the first. A result must come in a later turn. Arguments that are
+a string with the JSON of an object are that object. Unknown tools and arguments that are no object are invalid. A name in ``after`` is unmet if no call of this message or of
 one with a smaller turn has it. Calls on a cycle, and those that wait for one, have no level and come last.
 Broken JSON is plain text; fields that are named nowhere here are not kept. Repeated rows are numbered
 when written. An empty table gives an empty result. Other columns are not looked at.
@@ -99,24 +99,32 @@ def fits(arguments: Column, name: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def unquoted(arguments: Column) -> Column:
+    """Arguments, or the object that they hold if they are a string with the JSON of one."""
+    held = F.try_parse_json(F.try_variant_get(arguments, "$", "string"))
+    quoted = (F.schema_of_variant(arguments) == "STRING") & F.schema_of_variant(held).startswith("OBJECT")
+    return F.when(F.coalesce(quoted, F.lit(False)), held).otherwise(arguments)
+
+
 def calls_of(found: DataFrame) -> DataFrame:
     """One row for each call: its message, place, and whether it is the first of its id."""
     rows = found.where(F.size("calls") > 0).select("row", "conv_id", "turn", F.posexplode("calls").alias("place", "c"))
-    return rows.select(
+    calls = rows.select(
         "row",
         "conv_id",
         "turn",
         "place",
         F.col("c.id").alias("id"),
         F.col("c.name").alias("name"),
-        F.col("c.arguments").alias("arguments"),
+        unquoted(F.col("c.arguments")).alias("arguments"),
         F.coalesce("c.after", F.array().cast("array<string>")).alias("after"),
-        fits(F.col("c.arguments"), F.col("c.name")).alias("valid"),
     )
+    return calls.withColumn("valid", fits(F.col("arguments"), F.col("name")))
 
 
 def linked(calls: DataFrame, found: DataFrame) -> DataFrame:
-    """Calls with ``first`` (of its id), ``result_turn`` (null without a later result) and ``n_unmet``, the names in ``after`` that are of no call before it."""
+    """Calls with ``first`` (of its id), ``result_turn`` (null without a later result), ``n_unmet``, the names in
+    ``after`` that are of no call before it, and ``needs``, the places of those that are of its own message."""
     named = calls.where(F.col("id").isNotNull())
     first = named.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row", "place")).alias("f")).select(
         F.col("conv_id").alias("of"),
@@ -142,47 +150,74 @@ def linked(calls: DataFrame, found: DataFrame) -> DataFrame:
     is_first = F.coalesce((F.col("first_row") == F.col("row")) & (F.col("first_place") == F.col("place")), F.lit(False))
     marked = marked.select(*calls.columns, is_first.alias("first"), F.when(is_first, F.col("result_turn")).alias("result_turn"))
     needs = calls.select("row", "conv_id", "turn", "place", F.explode(F.array_distinct("after")).alias("needs"))
-    targets = answered.select("of", "named", "first_turn", "first_row")
+    targets = answered.select("of", "named", "first_turn", "first_row", "first_place")
     met = needs.join(targets, needs["conv_id"].eqNullSafe(targets["of"]) & (needs["needs"] == targets["named"]), "left")
     before = F.coalesce((F.col("first_row") == F.col("row")) | (F.col("first_turn") < F.col("turn")), F.lit(False))
-    unmet = met.groupBy("row", "place").agg(F.count_if(~before).alias("n_unmet"))
-    return marked.join(unmet, ["row", "place"], "left").na.fill({"n_unmet": 0})
+    # Places of the calls of the same message that a call names; the join finds them, no search within the row.
+    within = F.collect_list(F.when(F.col("first_row") == F.col("row"), F.col("first_place")))
+    of_call = met.groupBy("row", "place").agg(F.count_if(~before).alias("n_unmet"), F.sort_array(within).alias("needs"))
+    whole = marked.join(of_call, ["row", "place"], "left").na.fill({"n_unmet": 0})
+    return whole.withColumn("needs", F.coalesce("needs", F.array().cast("array<int>")))
 
 
-def levels(calls: Column) -> Column:
+def levels(needs: Column) -> Column:
     """The level of each call of a message, in order of place; null on a cycle and above one.
 
-    ``calls``: structs with ``id`` and ``after``, in order of place; only first ones of an id can be named. A round gives each
-    call one more than the largest level that it needs; walks that are as long as there are calls have met a cycle.
+    ``needs``: for each call the places of those that it names. If none names more than one, each call's way down is doubled
+    in each round, so that a chain takes as many rounds as its length has binary digits. Otherwise a call gets its level in
+    the round after the last of those that it names, and rounds without a change do nothing: work is calls times levels.
     """
+    return let(
+        needs,
+        lambda each: F.when(F.forall(each, lambda need: F.size(need) <= 1), chain_levels(each)).otherwise(round_levels(each)),
+    )
+
+
+def chain_levels(needs: Column) -> Column:
+    """Levels where a call names at most one: steps down to the end of its chain, if there is one."""
+    start = F.transform(
+        needs,
+        lambda need: F.struct(F.get(need, F.lit(0)).alias("to"), F.size(need).alias("steps")),
+    )
+
+    def further(way: Column, at: Column) -> Column:
+        next_one = F.struct(at["to"].alias("to"), (way["steps"] + at["steps"]).alias("steps"))
+        return F.when(way["to"].isNull(), way).otherwise(next_one)
 
-    def leveled(needs: Column) -> Column:
-        n = F.size(needs)
-        start = F.transform(needs, lambda x: F.lit(0))
-        one_round = lambda held, _: F.transform(
-            needs,
-            lambda need: F.coalesce(F.array_max(F.transform(need, lambda k: F.get(held, k) + 1)), F.lit(0)),
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(needs).cast("long"))))
+    ends = F.aggregate(rounds, start, lambda held, _: F.transform(held, lambda way: further(way, F.get(held, way["to"]))))
+    return F.transform(ends, lambda way: F.when(way["to"].isNull(), way["steps"]))
+
+
+def round_levels(needs: Column) -> Column:
+    """Levels by rounds, until one changes nothing."""
+    start = F.transform(needs, lambda need: F.when(F.size(need) == 0, F.lit(0)))
+
+    def level(held: Column, need: Column, i: Column) -> Column:
+        known = F.forall(need, lambda k: F.get(held, k).isNotNull())
+        return F.coalesce(
+            F.get(held, i),
+            F.when(known, F.array_max(F.transform(need, lambda k: F.get(held, k))) + 1),
         )
-        rounds = F.when(
-            F.exists(needs, lambda need: F.size(need) > 0),
-            F.aggregate(F.sequence(F.lit(1), n), start, one_round),
-        ).otherwise(start)
-        return F.transform(rounds, lambda level: F.when(level < n, level))
-
-    def placed(ids: Column) -> Column:
-        needs = F.transform(
-            calls,
-            lambda c: F.filter(
-                F.transform(
-                    F.coalesce(c["after"], F.array().cast("array<string>")),
-                    lambda a: (F.array_position(ids, a) - 1).cast("int"),
-                ),
-                lambda k: k >= 0,
+
+    def one_round(state: Column) -> Column:
+        open_ones = lambda made: F.size(F.filter(made, lambda x: x.isNull()))
+        return let(
+            F.transform(needs, lambda need, i: level(state["held"], need, i)),
+            lambda made: F.struct(
+                made.alias("held"), open_ones(made).alias("open"), (open_ones(made) < state["open"]).alias("busy")
             ),
         )
-        return let(needs, leveled)
 
-    return let(F.transform(calls, lambda c: F.when(c["first"], c["id"])), placed)
+    first = F.struct(start.alias("held"), F.size(needs).alias("open"), F.lit(True).alias("busy"))
+    # A round copies its state even if it does nothing, so rounds come in blocks and idle blocks have none.
+    block = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(needs))).cast("int"))
+
+    def one_block(state: Column) -> Column:
+        rounds = F.when(state["busy"], block).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(rounds, state, lambda held, _: F.when(held["busy"], one_round(held)).otherwise(held))
+
+    return F.aggregate(block, first, lambda state, _: one_block(state), lambda state: state["held"])
 
 
 def format_chat(messages: DataFrame) -> DataFrame:
@@ -194,7 +229,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
     call = F.struct(
         "place",
         "id",
-        "after",
+        "needs",
         "first",
         "valid",
         "result_turn",
@@ -202,7 +237,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
         F.to_json(F.struct("after", F.to_json("arguments").alias("arguments"), "id", "name")).alias("json"),
     )
     gathered = each.groupBy("row").agg(F.sort_array(F.collect_list(call)).alias("calls"))
-    ordered = gathered.select("row", "calls", let(F.col("calls"), levels).alias("levels"))
+    ordered = gathered.select("row", "calls", levels(F.col("calls.needs")).alias("levels"))
     sums = materialize(ordered.select(
         "row", "calls", "levels",
         F.size("calls").cast("long").alias("n_calls"),
@@ -239,10 +274,11 @@ def format_chat(messages: DataFrame) -> DataFrame:
         "place",
         "result_turn",
     )
-    at_level = answers.join(sums.select(F.col("row").alias("call_row"), "levels"), "call_row").select(
+    each_level = sums.select(F.col("row").alias("call_row"), F.posexplode("levels").alias("place", "answered_level"))
+    at_level = answers.join(each_level, ["call_row", "place"]).select(
         "of",
         "named",
-        F.get("levels", F.col("place")).alias("answered_level"),
+        "answered_level",
         F.col("result_turn").alias("answered_turn"),
     )
     results = found.where(F.col("result").isNotNull()).select(

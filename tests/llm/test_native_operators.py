@@ -461,6 +461,15 @@ def plain_valid(call):
     return all((FITS[kind](given[f]) if f in given else not required) for f, (kind, required) in schema.items())
 
 
+def plain_unquoted(call):
+    """The call, its arguments read if they are a string with an object."""
+    try:
+        held = json.loads(call["arguments"])
+    except (KeyError, TypeError, ValueError):
+        return call
+    return call | {"arguments": held} if isinstance(held, dict) else call
+
+
 def plain_levels(calls, firsts):
     at = {c["id"]: k for k, c in enumerate(calls) if firsts[k]}
     needs = [[at[a] for a in c.get("after", []) if a in at] for c in calls]
@@ -482,7 +491,7 @@ def plain_chat(rows):
         body = None
         if text and text.startswith("{") and role in ("assistant", "tool"):
             body = json.loads(text)
-        calls = (body or {}).get("tool_calls") if role == "assistant" else None
+        calls = [plain_unquoted(c) for c in (body or {}).get("tool_calls", [])] if role == "assistant" else None
         parsed.append(
             (conv, turn, role, text, calls or None, body if role == "tool" and body and "tool_call_id" in body else None, body)
         )
@@ -573,7 +582,7 @@ def test_chat_against_loops(spark):
         c = {
             "id": r.choice("abcdefgh"),
             "name": name,
-            "arguments": arguments if r.random() < 0.9 else r.choice([[1], "text", 3]),
+            "arguments": r.choice([arguments] * 6 + [json.dumps(arguments, indent=1)] * 2 + [[1], "text", 3, "[1]", '{"a": 1', "7"]),
             "after": [r.choice("abcdefghz") for _ in range(r.choice([0, 0, 1, 2]))],
         }
         for f in list(c):
@@ -651,3 +660,23 @@ def test_pipeline(docs, nothing, tmp_path):
             assert not {r.doc_id for r in out} & {200, 201, 202, 205, 300} and {r.doc_id for r in out} >= {1, 2, 100, 204}
             assert corpus_pipeline.run(docs.sparkSession, str(folder)).count() == len(out)
     assert END_ID == 2
+
+
+def test_chat_of_many_calls(spark):
+    """50,000 calls in a message: one chain of them, and a wide graph with a cycle and calls that wait for it."""
+    n = 50_000
+    chain = [{"id": f"c{k}", "name": "fetch", "after": [f"c{k - 1}"] if k else []} for k in range(n)]
+    wide = [{"id": f"c{k}", "after": [f"c{k // 2}", f"c{k // 3}"] if k else []} for k in range(n - 3)] + [
+        {"id": "x", "after": ["y"]}, {"id": "y", "after": ["x", "c0"]}, {"id": "z", "after": ["c1", "y"]}
+    ]
+    rows = [(k, 0, "assistant", json.dumps({"tool_calls": calls})) for k, calls in enumerate((chain[::-1], wide))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.format_chat(frame).collect()}
+    assert (found[0].level, found[0].n_cyclic, found[0].n_unmet) == (n - 1, 0, 0)
+    assert [c["id"] for c in json.loads(found[0].json)["tool_calls"]] == [c["id"] for c in chain]
+    level = [0]
+    for k in range(1, n - 3):
+        level.append(max(level[k // 2], level[k // 3]) + 1)
+    assert (found[1].level, found[1].n_cyclic) == (max(level), 3)
+    ranked = sorted(range(n - 3), key=lambda k: (level[k], k))
+    assert [c["id"] for c in json.loads(found[1].json)["tool_calls"]] == [*(f"c{k}" for k in ranked), "x", "y", "z"]
