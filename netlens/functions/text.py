@@ -49,31 +49,64 @@ def suffixes(name: Column) -> Column:
     )
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A number with up to three decimals, rounded from its exact value, a tie to the even digit.
+
+    ``format_string`` rounds the shortest decimal that stands for a double instead, and a tie up; it is left
+    what has no such digits: negative numbers, those from 2^53, infinity and NaN.
+    """
+    x, scale, half = x.cast("double"), 10**places, 1 << 51
+
+    def digits(there: Column) -> Column:
+        whole = F.floor(there)
+        fraction = (there - whole) * float(1 << 52)
+        small = (fraction - F.floor(fraction)) * scale  # what numbers below 1 have past 52 binary digits
+        scaled = F.floor(fraction) * scale + F.floor(small)
+        return F.struct(
+            (whole * scale + F.shiftright(scaled, 52)).alias("n"),
+            scaled.bitwiseAND(F.lit((1 << 52) - 1)).alias("rest"),
+            (small > F.floor(small)).alias("more"),
+        )
+
+    def rounded(d: Column) -> Column:
+        up = (d["rest"] > half) | ((d["rest"] == half) & (d["more"] | (d["n"] % 2 == 1)))
+        return d["n"] + F.when(up, 1).otherwise(0)
+
+    def written(n: Column) -> Column:
+        decimals = [F.lit("."), F.lpad((n % scale).cast("string"), places, "0")] if places else []
+        return F.concat(whole_div(n, scale).cast("string"), *decimals)
+
+    # Functions of an array's one element, so that what is used often is one expression.
+    found = F.array(F.when((x >= 0) & (x < float(1 << 53)), x))
+    for step in (digits, rounded, written):
+        found = F.transform(found, step)
+    return F.coalesce(found[0], F.format_string(f"%.{places}f", x))
+
+
 UNITS = ("KB", "MB", "GB", "TB")
 
 
 def human_bytes(n: Column) -> Column:
     """``512 B``, ``1.5 KB`` and so on, in steps of 1024 with one decimal."""
-    out = F.format_string("%.1f PB", n / 1024.0**5)
+    share, unit = n / 1024.0**5, F.lit("PB")
     for k in range(len(UNITS), 0, -1):
-        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {UNITS[k - 1]}", n / float(1024**k))).otherwise(out)
-    return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
+        below = n < 1024 ** (k + 1)
+        share, unit = F.when(below, n / float(1024**k)).otherwise(share), F.when(below, UNITS[k - 1]).otherwise(unit)
+    return F.when(n < 1024, F.format_string("%d B", n)).otherwise(F.concat_ws(" ", fixed(share, 1), unit))
 
 
 def human_percent(share: Column) -> Column:
     """A share as percent, with more digits the smaller it is."""
     p = share * 100
-    return (
-        F.when(p == 0, "0%").when(p >= 10, F.format_string("%.0f%%", p)).when(p >= 1, F.format_string("%.1f%%", p))
-        .when(p >= 0.1, F.format_string("%.2f%%", p)).when(p >= 0.001, F.format_string("%.3f%%", p)).otherwise("<0.001%")
-    )
+    shown = lambda places: F.concat(fixed(p, places), F.lit("%"))
+    return F.when(p == 0, "0%").when(p >= 10, shown(0)).when(p >= 1, shown(1)).when(p >= 0.1, shown(2)).when(p >= 0.001, shown(3)).otherwise("<0.001%")
 
 
 def human_duration(seconds: Column) -> Column:
     """``310ms``, ``4.2s``, ``1m30s``, ``1h02m``."""
     whole = F.floor(seconds).cast("long")
     return (
-        F.when(seconds < 1, F.format_string("%.0fms", seconds * 1000)).when(seconds < 60, F.format_string("%.1fs", seconds))
+        F.when(seconds < 1, F.concat(fixed(seconds * 1000, 0), F.lit("ms"))).when(seconds < 60, F.concat(fixed(seconds, 1), F.lit("s")))
         .when(seconds < 3600, F.format_string("%dm%02ds", F.floor(whole / 60), whole % 60)).otherwise(
             F.format_string("%dh%02dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60))
         )

@@ -284,7 +284,7 @@ def collect_findings(a: Analysis) -> DataFrame:
         text.human_duration(c("interval")),
         F.lit(" (jitter "),
         text.human_percent(c("jitter")),
-        _fmt(", %d samples, confidence %.2f)", c("samples"), c("confidence")),
+        _fmt(", %d samples, confidence %s)", c("samples"), text.fixed(c("confidence"), 2)),
         sni,
     )
     out.append(
@@ -312,7 +312,7 @@ def collect_findings(a: Analysis) -> DataFrame:
     )
     line = F.concat(
         c("name"),
-        _fmt(" (entropy %.2f bits/char, %d lookups", c("entropy"), c("lookups")),
+        _fmt(" (entropy %s bits/char, %d lookups", text.fixed(c("entropy"), 2), c("lookups")),
         F.when(c("nxdomain") > 0, _fmt(", %d NXDOMAIN", c("nxdomain"))).otherwise(""),
         F.lit(")"),
     )
@@ -349,7 +349,7 @@ def collect_findings(a: Analysis) -> DataFrame:
         F.when(
             c("upload_ratio") == float("inf"),
             " down (ratio infx) over ",
-        ).otherwise(_fmt(" down (ratio %.1fx) over ", c("upload_ratio"))),
+        ).otherwise(_fmt(" down (ratio %sx) over ", text.fixed(c("upload_ratio"), 1))),
         text.human_duration(c("duration")),
         sni,
     )
@@ -460,10 +460,10 @@ def capture_quality(a: Analysis) -> DataFrame:
         F.when(
             c("truncated") > 0,
             _fmt(
-                "%d of %d packets (%.1f%%) were cut short by the capture's limit",
+                "%d of %d packets (%s%%) were cut short by the capture's limit",
                 c("truncated"),
                 c("packets"),
-                c("truncated") * 100.0 / c("packets"),
+                text.fixed(c("truncated") * 100.0 / c("packets"), 1),
             ),
         ),
         F.when(c("warnings") > 0, _fmt("%d decode warning(s) were raised", c("warnings"))),

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from netlens.functions import text
 from netlens.operators import beacon, flows, messages
 from netlens.plans import report as reports
 from netlens.plans.analysis import Settings, analyze
@@ -78,6 +79,23 @@ def test_outputs(analysis, report):
     assert reports.gate(analysis.findings(), "high") == 2
 
 
+def test_figures_are_rounded_from_their_exact_value(spark):
+    """Halfway to the even digit, and 0.15 down, as it is less than that."""
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.5, 0.75, 1.005, 1.25, 1.5, 2.5, 2.25, 9.95, 99.95, 0.0005, 0.0625, 1e-300, 1.5e-3, 4503599627370495.5, 9007199254740991.0]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in range(4):
+        found = rows.select("x", text.fixed(F.col("x"), places).alias("s")).collect()
+        assert {r.x: r.s for r in found} == {v: f"{v:.{places}f}" for v in values}
+    others = spark.sql("SELECT -1.5D AS a, double('inf') AS b, CAST(NULL AS DOUBLE) AS c")
+    assert others.select(*(text.fixed(F.col(c), 1) for c in "abc")).first()[:2] == ("-1.5", "Infinity")
+    n = spark.sql("SELECT 2415919104L AS a, 1152L AS b, 1024L AS c, 1023L AS d, 1300L << 40 AS e, 5L << 48 AS f")
+    assert list(n.select(*(text.human_bytes(F.col(c)) for c in "abcdef")).first()) == ["2.2 GB", "1.1 KB", "1.0 KB", "1023 B", "1.3 PB", "1.2 PB"]
+    shares = spark.sql("SELECT 0.145D AS a, 0.0125D AS b, 0.00125D AS c, 0.0D AS d, 0.000001D AS e")
+    assert list(shares.select(*(text.human_percent(F.col(c)) for c in "abcde")).first()) == ["14%", "1.2%", "0.12%", "0%", "<0.001%"]
+    times = spark.sql("SELECT 0.0125D AS a, 2.25D AS b, 90.5D AS c, 3720.0D AS d")
+    assert list(times.select(*(text.human_duration(F.col(c)) for c in "abcd")).first()) == ["12ms", "2.2s", "1m30s", "1h02m"]
+
+
 def test_clean_capture(spark, tmp_path):
     from netlens.sources.capture import pcap_header, pcap_record
 
