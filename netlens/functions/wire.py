@@ -62,12 +62,11 @@ def prefixed(data: Column, size: int) -> Column:
 
 
 def checksum(data: Column) -> Column:
-    """The internet checksum of an even number of bytes."""
-    word = lambda digits, k: F.conv(F.substring(digits, 4 * k + 1, F.lit(4)), 16, 10).cast("long")
-    places = lambda digits: F.sequence(F.lit(0), (F.length(digits) / 4).cast("int") - 1)
-    total = let(F.hex(data), lambda d: F.aggregate(places(d), F.lit(0).cast("long"), lambda a, k: a + word(d, k)))
-    fold = lambda n: F.shiftright(n, 16) + n.bitwiseAND(F.lit(0xFFFF).cast("long"))
-    return F.lit(0xFFFF).cast("long") - let(let(total, fold), fold)
+    """The internet checksum of an even number of bytes, three words at a time, as carries keep the rest by 65,535."""
+    words = lambda digits, k: F.conv(F.substring(digits, 12 * k + 1, F.lit(12)), 16, 10).cast("long")
+    places = lambda digits: F.sequence(F.lit(0), F.ceil(F.length(digits) / 12).cast("int") - 1)
+    total = let(F.hex(data), lambda d: F.aggregate(places(d), F.lit(0).cast("long"), lambda a, k: a + words(d, k)))
+    return F.lit(0xFFFF).cast("long") - let(total, lambda n: F.when(n > 0, (n - 1) % 0xFFFF + 1).otherwise(n))
 
 
 def ethernet(payload: Column, kind: Value = IPV4, src: Value = 0x020000000001, dst: Value = 0x020000000002, tags: tuple = ()) -> Column:

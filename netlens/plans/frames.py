@@ -14,6 +14,7 @@ from netlens.plans.analysis import Analysis
 from netlens.plans.views import CLIENT_BASE, FLAG_SETS, SERVER_BASE, SERVER_PORTS, URL_NAMES, _pick, _sql_ip, _sql_pick
 from netlens.reassembly import streams
 from netlens.sources import capture
+from netlens.storage import materialize
 
 SECOND = 1_000_000_000
 START_NS = 1_700_000_000 * SECOND
@@ -37,6 +38,15 @@ def framed(rows: DataFrame, index: Column, data: Column, link_type: Column | int
     return built.select("file", "index", "ts_ns", size.alias("captured_len"), F.coalesce("wire", size).cast("int").alias("wire_len"), "link_type", "data")
 
 
+def _dealt(spark, sf_dir, name: str, key: str) -> DataFrame:
+    """A table whose rows are dealt out by key to more tasks than there are cores.
+
+    A file of a few megabytes is one split, but frames are built and decoded where its rows are, at some
+    hundred microseconds a row; only the columns in use are moved, before any bytes are built from them."""
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    return views.table(spark, sf_dir, name).repartition(4 * tasks, key)
+
+
 def _layer_frames(spark, sf_dir):
     """One frame for each event, in thirteen kinds of encapsulation."""
     e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_id") % 13
@@ -66,7 +76,7 @@ def _layer_frames(spark, sf_dir):
     ])
     links = F.element_at(F.array(*map(F.lit, (1, 1, 1, 1, 1, 101, 101, 0, 113, 276, 1, 1, 147))), (kind + 1).cast("int"))
     cut = F.when(kind == 11, 54 + e % 37)
-    return framed(views.table(spark, sf_dir, "events"), e, data, links, cut, F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
+    return framed(_dealt(spark, sf_dir, "events", "event_id"), e, data, links, cut, F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
 
 
 def decoded_layers(spark, sf_dir):
@@ -122,7 +132,8 @@ def capture_records(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    return views.url_names(spark, sf_dir).withColumnRenamed("index", "i")
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    return views.url_names(spark, sf_dir).withColumnRenamed("index", "i").repartition(4 * tasks, "i")
 
 
 def _exchange(rows: DataFrame, back: Column, port: int, payload: Column, base: int, tcp: Column | bool = True) -> DataFrame:
@@ -251,7 +262,7 @@ def _split_requests(spark, sf_dir, base=0):
         F.concat(F.lit("Host: c"), number, F.lit(".example.net\r\n")),
     )
     parts = _parts(
-        views.table(spark, sf_dir, "customer"),
+        _dealt(spark, sf_dir, "customer", "c_custkey"),
         k,
         [F.substring(request, 1, 40), F.substring(request, 41, 20), F.substring(request, 61, 1000)],
         wire.text("q" * 8),
@@ -268,7 +279,9 @@ def _split_requests(spark, sf_dir, base=0):
 
 def recovered_streams(spark, sf_dir):
     """Requests put together from segments in any order: the segment that completed each, and contradictions."""
-    found = streams.recover_streams(layers.decode(_split_requests(spark, sf_dir)))
+    # Segments are read twice, for the bases of their streams and for themselves, but decoded once.
+    packets = materialize(streams.segment_columns(layers.decode(_split_requests(spark, sf_dir))), "segments")
+    found = streams.recover_streams(packets)
     http = F.from_json("message", "http struct<host:string,uri:string>")["http"]
     return found.select("src_ip", "index", http["host"].alias("host"), http["uri"].alias("uri"), "conflicts")
 
@@ -279,7 +292,7 @@ def _split_datagrams(spark, sf_dir, base=0):
     name = F.concat(F.lit("p"), k.cast("string"), F.lit(".frag.example"))
     datagram = wire.udp(30000 + k % 20000, 53, wire.dns(wire.dns_name(name), 1, 0x0100))
     pieces = [F.substring(datagram, 1, 16), F.substring(datagram, 17, 8), F.substring(datagram, 25, 1000)]
-    parts = _parts(views.table(spark, sf_dir, "part"), k, pieces, wire.raw("ff" * 8))
+    parts = _parts(_dealt(spark, sf_dir, "part", "p_partkey"), k, pieces, wire.raw("ff" * 8))
     k, part = F.col("k"), F.col("part")
     offset = F.element_at(F.array(*map(F.lit, (0, 16, 24, 16))), part + 1)
     packet = wire.ipv4(CLIENT_BASE + (1 << 21) + k, SERVER_BASE, 17, F.col("piece"), k % 65536, offset, part != 2)
@@ -297,14 +310,14 @@ def _probes(spark, sf_dir, base=0):
     """A bare SYN for each event, to a port of its user's server."""
     e, u = F.col("event_id"), F.col("user_id")
     segment = wire.tcp(1024 + e % 60000, 10000 + e % 1000, e % 1_000_000, 2, wire.raw(""))
-    return framed(views.table(spark, sf_dir, "events"), e + base, wire.ethernet(wire.ipv4(CLIENT_BASE + u, SERVER_BASE + u % 7, 6, segment)))
+    return framed(_dealt(spark, sf_dir, "events", "event_id"), e + base, wire.ethernet(wire.ipv4(CLIENT_BASE + u, SERVER_BASE + u % 7, 6, segment)))
 
 
 def _claims(spark, sf_dir, base=0):
     """An ARP message for each supplier."""
     s = F.col("s_suppkey")
     message = wire.arp(s % 3, 0x020000000000 + s % 16, 0x0A000100 + F.col("s_nationkey"), 0x0A000100 + s % 25)
-    return framed(views.table(spark, sf_dir, "supplier"), s + base, wire.ethernet(message, wire.ARP))
+    return framed(_dealt(spark, sf_dir, "supplier", "s_suppkey"), s + base, wire.ethernet(message, wire.ARP))
 
 
 def capture_findings(spark, sf_dir):

@@ -112,6 +112,11 @@ def transport_payload(datagram: bytes, protocol: int) -> tuple[int, int, bytes]
     return int.from_bytes(datagram[:2], "big"), int.from_bytes(datagram[2:4], "big"), payload
 
 
+def segment_columns(packets: DataFrame) -> DataFrame:
+    """What ``recover_streams`` reads of packets."""
+    return packets.select("index", *ENDPOINTS, F.struct("tcp.seq", "tcp.flags").alias("tcp"), "fragmented", "payload").where("tcp.seq is not null")
+
+
 def head_segments(packets: DataFrame) -> DataFrame:
     """Segments that can matter to the head of their stream.
 
