@@ -46,6 +46,11 @@ def test_segments_of_one_file_are_built_by_all_tasks_and_decoded_once(spark, fol
     assert sum(x.value for x in decoded) == frames._split_requests(spark, folder).count()
 
 
+def test_fragments_of_one_file_are_built_by_all_tasks(spark, folder):
+    tasks, most = spread(spark, frames._split_datagrams(spark, folder))
+    assert tasks > spark.sparkContext.defaultParallelism and most < 0.2
+
+
 def test_segment_columns_are_all_that_recovery_reads(spark, folder):
     packets = frames.layers.decode(frames._split_requests(spark, folder).where("index < 3000"))
     whole, slim = (sorted(map(tuple, streams.recover_streams(p).collect()), key=repr) for p in (packets, streams.segment_columns(packets)))
