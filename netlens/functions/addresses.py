@@ -26,7 +26,7 @@ def text_of_v4(number: Column) -> Column:
 def text_of_key(key: Column) -> Column:
     """An address as text: dotted, or hexadecimal groups with the first of the longest runs of zeros left out."""
     digits = F.hex(key)
-    v4 = text_of_v4(F.conv(F.substring(digits, 3, 8), 16, 10))
+    v4 = F.transform(F.array(F.conv(F.substring(digits, 3, 8), 16, 10).cast("long")), text_of_v4)[0]  # converted once, not for each octet
     groups = [
         F.coalesce(F.nullif(F.ltrim(F.lower(F.substring(digits, 3 + 4 * k, 4)), F.lit("0")), F.lit("")), F.lit("0"))
         for k in range(8)
